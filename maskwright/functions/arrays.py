@@ -29,21 +29,28 @@ def index_range(n: Column) -> Column:
 
 
 def scan_fold(items: Column, state: Column, step: Callable[[Column, Column], Column],
-              emit: Callable[[Column, Column], Column], emit_type: str) -> Column:
+              emit: Callable[[Column, Column], Column], emit_type: str,
+              emit_after: bool = False) -> Column:
     """Left fold that also yields one output per item.
 
     ``step(state, item)`` gives the next state, ``emit(state, item)`` the
-    output for ``item`` given the state *before* it. Works in blocks: the inner
-    fold appends to a short array, the outer one to the whole result.
+    output for ``item`` given the state before it, or after it when
+    ``emit_after`` is set. Works in blocks: the inner fold appends to a short
+    array, the outer one to the whole result.
     """
+    def advance(acc: Column, item: Column) -> Column:
+        def grown(state: Column, seen: Column) -> Column:
+            return F.struct(state.alias("state"), F.concat(
+                acc["out"], F.array(emit(seen, item).cast(emit_type))).alias("out"))
+        if emit_after:
+            return let(step(acc["state"], item), lambda after: grown(after, after))
+        return grown(step(acc["state"], item), acc["state"])
+
     def run(carry: Column, block: Column) -> Column:
         inner = F.aggregate(
             block,
             F.struct(carry["state"].alias("state"), empty(emit_type).alias("out")),
-            lambda acc, item: F.struct(
-                step(acc["state"], item).alias("state"),
-                F.concat(acc["out"], F.array(emit(acc["state"], item).cast(emit_type))).alias("out"),
-            ),
+            advance,
         )
         return let(inner, lambda r: F.struct(
             r["state"].alias("state"), F.concat(carry["out"], r["out"]).alias("out")))
