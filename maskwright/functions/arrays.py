@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Positions in a text are folded block by block, so that building the result
@@ -18,6 +18,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def with_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    The optimizer may copy a projected expression into every place that uses
+    it, filters included. A generator row is never copied, which matters when
+    the expression is a whole text scan.
+    """
+    made = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select("*", F.inline(made))
+
+
 @lru_cache(maxsize=None)
 def empty(sql_type: str) -> Column:
     return F.expr(f"cast(array() as array<{sql_type}>)")

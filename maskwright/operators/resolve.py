@@ -8,10 +8,10 @@ into islands of touching candidates and each island is settled on its own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import empty, let, scan_fold
+from ..functions.arrays import empty, let, scan_fold, with_once
 from . import detect
 
 SETTLED = "struct<start:int,end:int,rank:int,text:string,reason:string,outcome:string>"
@@ -170,3 +170,9 @@ def scan(text: Column | str, country: Column | str | None = None, email=True, nu
     """Findings of a text unit as ``array<struct<start,end,type,detector,text>>``."""
     return _keep("scan", lambda: matches(explain(text, country, email, numeric, profile)),
                  text, country, email, numeric, profile)
+
+
+def with_matches(df: DataFrame, text: str = "text", country: str | None = "country", email=True,
+                 numeric=True, profile: str = "precise", name: str = "m") -> DataFrame:
+    """Add the findings of a text column, scanned once per row whatever is built on them."""
+    return with_once(df, **{name: scan(text, country, email, numeric, profile)})

@@ -9,6 +9,10 @@ are plain SQL that both engines understand.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions.arrays import with_once
+
 # Digits, hex digits and letters to cut the identifiers from.
 _H = "md5(CAST(o_orderkey AS STRING)) || md5(CAST(o_custkey + o_orderkey AS STRING))"
 BASE_SQL = (
@@ -115,4 +119,5 @@ def probes(spark, sf_dir: str):
     base = orders.selectExpr("o_orderkey", f"{_H} AS h").selectExpr(
         "o_orderkey", "h", "translate(h, 'abcdef', '012345') AS d",
         "translate(h, '0123456789abcdef', 'ABCDEFGHJKLMSTXZ') AS u")
-    return base.selectExpr("o_orderkey AS id", f"{TEXT_SQL} AS text", f"{COUNTRY_SQL} AS country")
+    return with_once(base, text=F.expr(TEXT_SQL), country=F.expr(COUNTRY_SQL)).select(
+        F.col("o_orderkey").alias("id"), "text", "country")

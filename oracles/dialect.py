@@ -49,7 +49,7 @@ def digits(x: str) -> str:
 
 
 def luhn(d: str) -> str:
-    v = f"CAST(substring({d}, length({d}) - i + 1, 1) AS INT)"
+    v = f"TRY_CAST(substring({d}, length({d}) - i + 1, 1) AS INT)"
     return (f"(regexp_matches({d}, '^[0-9]+$') AND coalesce(list_sum(list_transform("
             f"range(1, length({d}) + 1), lambda i: CASE WHEN i % 2 = 0 THEN "
             f"{v} * 2 - CASE WHEN {v} > 4 THEN 9 ELSE 0 END ELSE {v} END)), 1) % 10 = 0)")
@@ -57,7 +57,7 @@ def luhn(d: str) -> str:
 
 def verhoeff(d: str) -> str:
     step = (f"CAST(substring('{validators._POWERS}', CAST((i % 8) * 10 + 1 + "
-            f"CAST(substring({d}, length({d}) - i, 1) AS INT) AS INT), 1) AS INT)")
+            f"TRY_CAST(substring({d}, length({d}) - i, 1) AS INT) AS INT), 1) AS INT)")
     return (f"(regexp_matches({d}, '^[0-9]+$') AND list_reduce([0] || list_transform("
             f"range(0, length({d})), lambda i: {step}), lambda c, p: "
             f"CAST(substring('{validators._PRODUCT}', c * 10 + p + 1, 1) AS INT)) = 0)")
