@@ -277,7 +277,7 @@ class RuleBook:
 
     def first_match(self, url: Column) -> Column:
         """Lowest wildcard or regex rule that matches, null when none does."""
-        return F.least(let(U.url_parts(url), self.wildcard_ord), self.regex_ord(url))
+        return F.least(let(U.url_parts(url), lambda p: self.wildcard_ord(p)), self.regex_ord(url))
 
     def first_any(self, url: Column) -> Column:
         """Like :meth:`first_match`, with exact rules read as host patterns too."""
