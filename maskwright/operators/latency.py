@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import values as V
-
-
-def _rank(q: float, value: str) -> Column:
-    return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")
+from ..functions.windows import nearest_rank
 
 
 def js_round(x: Column, digits: int = 0) -> Column:
@@ -24,14 +21,18 @@ def summary(samples: DataFrame, keys: list[str], value: str = "value") -> DataFr
 
     def zero(x: Column) -> Column:
         return F.coalesce(x, F.lit(0.0))
-    return samples.groupBy(*keys).agg(
-        F.count(v).alias("n"), zero(F.min(v)).alias("min"), zero(_rank(0.5, value)).alias("p50"),
-        zero(_rank(0.95, value)).alias("p95"), zero(F.max(v)).alias("max"),
+    plain = samples.groupBy(*keys).agg(
+        F.count(v).alias("n"), zero(F.min(v)).alias("min"), zero(F.max(v)).alias("max"),
         zero(js_round(F.avg(v))).alias("mean"))
+    ranked = nearest_rank(samples, keys, value, {"p50": 0.5, "p95": 0.95})
+    return plain.join(ranked, keys, "left").select(
+        *keys, "n", "min", zero(F.col("p50")).alias("p50"), zero(F.col("p95")).alias("p95"), "max", "mean")
 
 
 def inp(samples: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    return samples.groupBy(*keys).agg(_rank(0.98, value).alias("inp"), F.count(value).alias("inp_count"))
+    """98th percentile by nearest rank and the number of samples."""
+    counts = samples.groupBy(*keys).agg(F.count(value).alias("inp_count"))
+    return counts.join(nearest_rank(samples, keys, value, {"inp": 0.98}), keys, "left")
 
 
 def trend(samples: DataFrame, keys: list[str], iteration: str = "iter", value: str = "value",
@@ -46,13 +47,10 @@ def spread(samples: DataFrame, keys: list[str], value: str = "value") -> DataFra
     return samples.groupBy(*keys).agg(js_round(F.stddev_samp(value), 1).alias("stddev"))
 
 
-def series(samples: DataFrame, keys: list[str], iteration: str = "iter", value: str = "value",
-           digits: int = 1) -> DataFrame:
-    """Mean and the samples themselves in order; a group is one run of a fixture."""
-    return samples.groupBy(*keys).agg(
-        js_round(F.avg(value), digits).alias("mean"),
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col(iteration), F.col(value)))),
-                    lambda s: s[value]).alias("series"))
+def series(samples: DataFrame, keys: list[str], value: str = "value", digits: int = 1) -> DataFrame:
+    """The raw series, one row per sample, next to the mean of its group."""
+    means = samples.groupBy(*keys).agg(js_round(F.avg(value), digits).alias("mean"))
+    return samples.join(means, keys)
 
 
 def delta(means: DataFrame, keys: list[str], state: str, base: str, digits: int = 1) -> DataFrame:

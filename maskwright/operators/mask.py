@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .. import values as V
 from ..functions.arrays import let
 from ..functions.matching import chunked, slice_of
+from ..functions.windows import running_sum
 
+NODES_PER_BUCKET = 1024
 SPAN_ATTRIBUTE = "data-pii"
 STAR, BLOCK, DISC = "*", "█", "●"
 _SPAN = rf'<span {SPAN_ATTRIBUTE}="[a-z]+">((?s:.*?))</span>'
@@ -73,10 +75,9 @@ def mask_range(nodes: DataFrame, ranges: DataFrame, glyph: str = STAR) -> DataFr
     ``ranges(page_id, range_id, start, end)`` count characters over the whole
     page. Each range is clipped to every node it touches.
     """
-    from pyspark.sql import Window
-    order = Window.partitionBy("page_id").orderBy("node_id")
-    placed = nodes.withColumn("len", F.length("text")).withColumn(
-        "at", F.sum("len").over(order) - F.col("len"))
+    sized = nodes.withColumn("len", F.length("text"))
+    placed = running_sum(sized, ["page_id"], F.floor(F.col("node_id") / NODES_PER_BUCKET), ["node_id"],
+                         F.col("len"), "upto").withColumn("at", F.col("upto") - F.col("len"))
     clipped = placed.join(ranges, "page_id").where(
         (F.col("start") < F.col("at") + F.col("len")) & (F.col("end") > F.col("at"))).select(
         "page_id", "node_id", "range_id", "text",

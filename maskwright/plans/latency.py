@@ -51,12 +51,10 @@ def sample_stddev(spark, sf_dir):
 
 @query("mean_and_series")
 def mean_and_series(spark, sf_dir):
-    """Mean and ordered samples per user and state, a run being one user's events of a kind."""
+    """Every sample with the mean of its run, a run being one user's events of a kind."""
     runs = tables.read(spark, sf_dir, "events").select(
         "user_id", c("event_type").alias("state"), c("event_id").alias("iter"), "value")
-    done = latency.series(runs, ["user_id", "state"])
-    return done.select("user_id", "state", "mean", F.size("series").alias("n"),
-                       F.element_at("series", 1).alias("first"), F.element_at("series", -1).alias("last"))
+    return latency.series(runs, ["user_id", "state"]).select("user_id", "state", "iter", "value", "mean")
 
 
 @query("delta_vs_base")

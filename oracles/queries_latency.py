@@ -32,8 +32,8 @@ SQL["trend_slope"] = (
     f"FROM (SELECT *, CAST(iter % 500 AS DOUBLE) AS x FROM {S}) GROUP BY fixture, state")
 SQL["sample_stddev"] = f"SELECT fixture, state, {rnd('stddev_samp(value)', 1)} AS stddev FROM {S} GROUP BY fixture, state"
 SQL["mean_and_series"] = (
-    f"SELECT user_id, event_type AS state, {rnd('avg(value)', 1)} AS mean, CAST(count(value) AS INT) AS n, "
-    "arg_min(value, event_id) AS first, arg_max(value, event_id) AS last FROM events GROUP BY 1, 2")
+    f"SELECT user_id, event_type AS state, event_id AS iter, value, "
+    f"{rnd('avg(value) OVER (PARTITION BY user_id, event_type)', 1)} AS mean FROM events")
 SQL["delta_vs_base"] = f"""
 WITH m AS (SELECT fixture, state, {rnd('avg(value)', 1)} AS mean FROM {S} WHERE NOT (fixture = 'f3' AND state = 'view') GROUP BY 1, 2)
 SELECT a.fixture, a.state, {rnd('a.mean - b.mean', 1)} AS delta FROM m a LEFT JOIN m b ON b.fixture = a.fixture AND b.state = 'view'
