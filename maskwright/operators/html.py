@@ -248,3 +248,42 @@ def body_sample(html: Column) -> Column:
     body = F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*)\z", 1)
     bare = F.regexp_replace(body, TOKEN.removesuffix(r"|[^<]++|<"), "")
     return F.substring(decode_entities(bare), 1, V.CURRENCY_SAMPLE)
+
+
+STEP_NODE = ("struct<pos:int,kind:string,tag:string,token:string,parent:int,"
+             "ancestors:array<int>,steps:array<string>>")
+_STEP_FRAME = "struct<tag:string,pos:int,step:string,kids:array<string>>"
+
+
+def element_tree(html: Column) -> Column:
+    """Like :func:`tree`, with the ``tag:nth-of-type(n)`` step of every element on the way down."""
+    def frame(tag, pos, step, kids) -> Column:
+        return F.struct(tag.alias("tag"), pos.alias("pos"), step.alias("step"), kids.alias("kids")).cast(_STEP_FRAME)
+
+    def step(state: Column, t: Column) -> Column:
+        def apply(stack: Column) -> Column:
+            top = F.element_at(stack, -1)
+            nth = F.size(F.filter(top["kids"], lambda k: k == t["tag"])) + 1
+            own = F.concat(t["tag"], F.lit(":nth-of-type("), nth.cast("string"), F.lit(")"))
+            counted = F.concat(F.slice(stack, F.lit(1), F.size(stack) - 1), F.array(
+                frame(top["tag"], top["pos"], top["step"], F.concat(top["kids"], F.array(t["tag"])))))
+            is_element = t["kind"].isin("open", "void", "raw")
+            grown = F.when(t["kind"] == "open", F.concat(counted, F.array(
+                frame(t["tag"], t["pos"], own, empty("string"))))).when(is_element, counted).otherwise(stack)
+            return F.struct(grown.alias("stack"), F.when(is_element, own).alias("own"))
+        return let(_open_before(state["stack"], t), apply)
+
+    def emit(state: Column, t: Column) -> Column:
+        depth = F.size(state["stack"]) - F.when(t["kind"] == "open", 2).otherwise(1)
+        above = F.slice(state["stack"], F.lit(2), depth)
+        return let(above, lambda up: F.struct(
+            t["pos"].alias("pos"), t["kind"].alias("kind"), t["tag"].alias("tag"), t["token"].alias("token"),
+            F.coalesce(F.try_element_at(up, F.lit(-1))["pos"], F.lit(-1)).alias("parent"),
+            F.transform(up, lambda s: s["pos"]).alias("ancestors"),
+            F.concat(F.transform(up, lambda s: s["step"]),
+                     F.when(state["own"].isNotNull(), F.array(state["own"])).otherwise(empty("string")))
+            .alias("steps")).cast(STEP_NODE))
+
+    root = F.array(frame(F.lit(""), F.lit(-1), F.lit(""), empty("string")))
+    start = F.struct(root.alias("stack"), F.lit(None).cast("string").alias("own"))
+    return scan_fold(page_nodes(html), start, step, emit, STEP_NODE, emit_after=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import values as V
@@ -471,23 +473,14 @@ def remove_mask_range(spark, sf_dir):
 
 def _written(spark, name: str, write):
     """Write below the shared folder, read back."""
-    import uuid
     path = tables.scratch(spark, f"{name}-{uuid.uuid4().hex}")
     write(path)
     return spark.read.parquet(path)
 
 
-def _scratch_ready(spark):
-    import tempfile
-    if not spark.conf.get("spark.checkpoint.dir", "") and not spark.sparkContext.getConf().get(
-            "spark.checkpoint.dir", "") and spark.sparkContext.master.startswith("local"):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="maskwright-"))
-
-
 @query("findings_sink")
 def findings_sink(spark, sf_dir):
     """Findings written by detector and read back."""
-    _scratch_ready(spark)
     found = _findings(tables.spread(tables.documents(spark, sf_dir)))
     back = _written(spark, "findings", lambda path: tables.write_findings(found, path))
     return back.select("id", "start_pos", "end_pos", "type", c("detector").cast("string"), "hit")
@@ -496,7 +489,6 @@ def findings_sink(spark, sf_dir):
 @query("masked_sink")
 def masked_sink(spark, sf_dir):
     """Masked documents written and read back."""
-    _scratch_ready(spark)
     docs = resolve.with_matches(tables.spread(tables.documents(spark, sf_dir)))
     masked = docs.select("id", mask.mask_starred(c("text"), c("m")).alias("text"))
     back = _written(spark, "masked", lambda path: tables.write_masked(masked, path))

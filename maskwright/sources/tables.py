@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,14 +42,32 @@ def conversations(spark, sf_dir) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A folder below the shared checkpoint folder of the session."""
+    """A folder below the shared checkpoint folder of the session.
+
+    A local session without that setting gets a folder of its own; a cluster
+    must name one that every executor can reach.
+    """
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", "")
+    if not base and spark.sparkContext.master.startswith("local"):
+        base = tempfile.mkdtemp(prefix="maskwright-")
+        spark.conf.set("spark.checkpoint.dir", base)
     if not base:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     return os.path.join(base, name)
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    For results that several branches of a plan read and that cost more to make
+    than to store. The copy is a table, so it outlives lost executors.
+    """
+    path = scratch(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def write_findings(findings: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One folder per detector, so that audits of one kind read only that kind."""
     findings.write.mode(mode).partitionBy("detector").parquet(path)
