@@ -154,9 +154,11 @@ def selector_list(spark, sf_dir):
 
 @query("selector_restore")
 def selector_restore(spark, sf_dir):
-    """Elements of the richer pages found again after their main menu was removed."""
+    """Elements found again after the menu is gone and the main parts sit one level deeper."""
     stored = E.selector_lists(_kept(pages(spark, sf_dir))).select("page_id", c("pos").alias("item"), "selectors")
-    changed = pages(spark, sf_dir).withColumn("html", F.regexp_replace("html", r"(?s)<nav\b.*?</nav>", "<p>gone</p>"))
+    moved = F.replace(F.replace("html", F.lit("<article>"), F.lit("<main><article>")),
+                      F.lit("<section id"), F.lit("<div><section id"))
+    changed = pages(spark, sf_dir).withColumn("html", F.regexp_replace(moved, r"(?s)<nav\b.*?</nav>", "<p>gone</p>"))
     return E.restore(stored, E.selector_lists(_kept(changed))).groupBy("by_selector").agg(
         F.count("*").alias("items"), F.sum("found").alias("checksum"))
 

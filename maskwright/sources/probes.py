@@ -114,10 +114,14 @@ COUNTRY_SQL = _case(((i, f"'{c}'") for i, (_, c) in enumerate(TEMPLATES) if c),
 SELECT_SQL = f"SELECT o_orderkey AS id, {TEXT_SQL} AS text, {COUNTRY_SQL} AS country FROM ({BASE_SQL})"
 
 
-def probes(spark, sf_dir: str):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    base = orders.selectExpr("o_orderkey", f"{_H} AS h").selectExpr(
-        "o_orderkey", "h", "translate(h, 'abcdef', '012345') AS d",
+def from_orders(orders, **extra):
+    """Probe texts of any ``orders`` DataFrame, streaming or not, with extra columns if asked."""
+    base = orders.select("o_orderkey", F.expr(_H).alias("h"), *[v.alias(k) for k, v in extra.items()]).selectExpr(
+        "*", "translate(h, 'abcdef', '012345') AS d",
         "translate(h, '0123456789abcdef', 'ABCDEFGHJKLMSTXZ') AS u")
     return with_once(base, text=F.expr(TEXT_SQL), country=F.expr(COUNTRY_SQL)).select(
-        F.col("o_orderkey").alias("id"), "text", "country")
+        F.col("o_orderkey").alias("id"), *extra, "text", "country")
+
+
+def probes(spark, sf_dir: str):
+    return from_orders(spark.read.parquet(f"{sf_dir}/orders.parquet"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 def all_sql() -> dict[str, str]:
     import importlib
     out: dict[str, str] = {}
-    for name in ("detection", "pages", "policy", "elements", "sessions", "latency"):
+    for name in ("detection", "pages", "policy", "elements", "sessions", "latency", "streams"):
         try:
             module = importlib.import_module(f"{__name__}.queries_{name}")
         except ModuleNotFoundError as missing:

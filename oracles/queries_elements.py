@@ -140,7 +140,7 @@ SQL["selector_list"] = ROWS + " SELECT page_id, pos, array_to_string(sels, ' ||
 SQL["selector_stable"] = ROWS + (
     " SELECT page_id, pos, tag, coalesce(id, '') <> '' OR coalesce(aria, '') <> '' OR len(classes) > 0 OR len(stable) > 0 AS stable FROM el")
 
-CHANGED = f"(SELECT page_id, url, regexp_replace(html, '(?s)<nav\\b.*?</nav>', '<p>gone</p>', 'g') AS html FROM {RICH})"
+CHANGED = f"(SELECT page_id, url, regexp_replace(replace(replace(html, '<article>', '<main><article>'), '<section id', '<div><section id'), '(?s)<nav\\b.*?</nav>', '<p>gone</p>', 'g') AS html FROM {RICH})"
 
 
 def _body(src: str) -> str:
