@@ -60,7 +60,9 @@ def java(pattern: str, ignore_case: bool = False) -> str:
             continue
         out.append(ch)
         i += 1
-    return ("(?iu)" if ignore_case else "") + "".join(out)
+    # Without the u flag only ASCII letters fold, which is right for ASCII words and faster.
+    flags = ("(?i)" if pattern.isascii() else "(?iu)") if ignore_case else ""
+    return flags + "".join(out)
 
 
 def strip_boundaries(pattern: str) -> str:
@@ -68,5 +70,21 @@ def strip_boundaries(pattern: str) -> str:
     return pattern.replace(r"\b", "")
 
 
-def any_of(words) -> str:
-    return "|".join(words)
+def grouped(words, depth: int = 2) -> str:
+    """Alternation of words, split by leading letter so that few are tried at a position.
+
+    Words with different first letters exclude each other, so only the order
+    among words with the same start matters, and that is kept.
+    """
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    parts = []
+    for head, rests in heads.items():
+        if depth > 1 and len(rests) > 1 and all(r == "" or r[0].isalpha() for r in rests):
+            parts.append(head + grouped(rests, depth - 1))
+        elif len(rests) > 1:
+            parts.append(head + "(?:" + "|".join(rests) + ")")
+        else:
+            parts.append(head + rests[0])
+    return "(?:" + "|".join(parts) + ")"

@@ -116,8 +116,8 @@ def card_network(digits: Column) -> Column:
 
 
 def iban_country_len(country: Column) -> Column:
-    pairs = [F.lit(x) for kv in V.IBAN_LENGTHS.items() for x in kv]
-    return F.element_at(F.create_map(*pairs), country)
+    table = ",".join(f"{code}:{n}" for code, n in V.IBAN_LENGTHS.items())
+    return F.try_element_at(F.str_to_map(F.lit(table)), country).cast("int")
 
 
 def ipv4_public(address: Column) -> Column:

@@ -30,8 +30,8 @@ def country_meta(metas: Column) -> Column:
 
 def country_tld(host: Column) -> Column:
     labels = F.split(F.lower(host), r"\.")
-    table = F.create_map(*[F.lit(x) for kv in V.TLD_COUNTRY.items() for x in kv])
-    return F.when(F.size(labels) >= 2, F.element_at(table, F.element_at(labels, -1)))
+    table = F.str_to_map(F.lit(",".join(f"{tld}:{code}" for tld, code in V.TLD_COUNTRY.items())))
+    return F.when(F.size(labels) >= 2, F.try_element_at(table, F.element_at(labels, -1)))
 
 
 def country_currency(sample: Column) -> Column:

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from .. import values as V
 from ..functions.arrays import empty, let
 from ..functions.matching import chunked, find_all, place, slice_of
-from ..functions.rx import java, strip_boundaries
+from ..functions.rx import grouped, java, strip_boundaries
 from ..functions.validators import VALIDATORS, secret_value_ok
 from . import suppress
 
 CANDIDATE = "struct<start:int,end:int,rank:int,text:string>"
 GATED = "struct<start:int,end:int,rank:int,text:string,reason:string>"
-_FOUND = "struct<rank:int,hits:array<string>,groups:array<string>>"
+_FOUND = "struct<rank:int,hits:array<string>>"
 
 # Order of claims: stage 1, identifiers, stage 2, generic numbers. Emails take no part.
 EMAIL_RANK = 0
@@ -43,10 +43,10 @@ def catalogue() -> list[V.Detector]:
     return [
         V.Detector("email", V.EMAIL, 0, contains=("@",), dispositive=True),
         *V.STAGE1, *(d for d in _extra if d.stage == 1),
-        V.Detector("secret_token", V.SECRET_TOKEN, 10, gate=r"[A-Za-z0-9._\-+/=]{15}",
-                   dispositive=True),
+        V.Detector("secret_token", V.SECRET_TOKEN, 10, dispositive=True),
+        # Some run of value characters must be long enough and hold more than letters.
         V.Detector("keyword_value", V.KEYWORD_VALUE, 11,
-                   gate=r"[A-Za-z0-9](?=[A-Za-z]*[0-9._\-])[A-Za-z0-9._\-]{11}",
+                   gate=r"(?<![A-Za-z0-9._\-])(?=[A-Za-z]*[0-9._\-])[A-Za-z0-9._\-]{12}",
                    dispositive=True),
         *V.STAGE2, *(d for d in _extra if d.stage == 2),
         V.Detector("numeric_generic", V.NUMERIC, 3, dispositive=True),
@@ -63,8 +63,9 @@ def compiled(d: V.Detector) -> str:
         # Every alternative starts with one of these; looking first saves seven attempts.
         return java(r"(?=[$€£¥₹₩₿₺₨₱฿+(\d])(?:" + d.pattern + ")")
     if d.id == "keyword_value":
-        # The keyword starts with a letter, so the leading boundary is a look behind.
-        return "(?iu)(?-i:(?<![A-Za-z0-9_]))" + java(d.pattern.removeprefix(r"\b"))
+        # A keyword starts with a letter, so the leading boundary is a look behind.
+        return ("(?i)(?-i:(?<![A-Za-z0-9_]))" + java(grouped(V.KEYWORDS_LONGEST_FIRST))
+                + java(V.KEYWORD_VALUE_TAIL))
     return java(d.pattern)
 
 
@@ -72,13 +73,23 @@ def in_countries(country: Column, codes) -> Column:
     return F.coalesce(country.isin(*codes), F.lit(False)) if codes else F.lit(False)
 
 
+def contains_any(text: Column, words) -> Column:
+    found = text.contains(words[0])
+    for word in words[1:]:
+        found = found | text.contains(word)
+    return found
+
+
 def prescreen(d: V.Detector, text: Column, country: Column) -> Column:
     """Necessary condition for any accepted match of ``d``, checked on the whole text."""
     gate = F.lit(True)
     if d.contains:
-        gate = text.contains(d.contains[0])
-        for word in d.contains[1:]:
-            gate = gate | text.contains(word)
+        gate = contains_any(text, d.contains)
+    if d.id == "secret_token":
+        gate = F.lit(False)
+        for char, words in V.SECRET_TOKEN_PARTS.items():
+            held = contains_any(text, words)
+            gate = gate | (text.contains(char) & held if char else held)
     if d.gate:
         gate = text.rlike(java(d.gate))
     if d.keyword and not d.dispositive:
@@ -98,12 +109,9 @@ def has_digit_or_long_alnum(text: Column) -> Column:
 def _found(d: V.Detector, rank: int, text: Column, country: Column) -> Column:
     pattern = compiled(d)
     gate = prescreen(d, text, country)
-    groups = F.when(gate, find_all(text, pattern, 1)).otherwise(empty("string")) \
-        if d.id == "keyword_value" else empty("string")
     return F.struct(
         F.lit(rank).alias("rank"),
         F.when(gate, find_all(text, pattern)).otherwise(empty("string")).alias("hits"),
-        groups.alias("groups"),
     )
 
 
@@ -133,20 +141,25 @@ def extract(text: Column, country: Column, email, numeric, only=None) -> Column:
             cut = F.split(text, compiled(d), -1)
             pieces = F.when(f["rank"] == i, cut) if pieces is None else pieces.when(f["rank"] == i, cut)
         placed = let(pieces, lambda p: place(f["hits"], p))
-        keyword_rank = next((i for i, d in rows if d.id == "keyword_value"), -1)
 
-        def narrow(h: Column, k: Column) -> Column:
-            value = F.get(f["groups"], k)
+        def whole(h: Column) -> Column:
+            return F.struct(h["start"].alias("start"), h["end"].alias("end"),
+                            f["rank"].alias("rank"), h["text"].alias("text")).cast(CANDIDATE)
+
+        def value_only(h: Column) -> Column:
+            # The same pattern on the match alone finds the same value.
+            value = F.regexp_extract(h["text"], keyword_pattern, 1)
             quote = F.when(h["text"].rlike("[\"']\\z"), 1).otherwise(0)
-            return F.when(
-                f["rank"] == keyword_rank,
-                F.struct((h["end"] - quote - F.length(value)).alias("start"),
-                         (h["end"] - quote).alias("end"),
-                         f["rank"].alias("rank"), value.alias("text")),
-            ).otherwise(F.struct(h["start"].alias("start"), h["end"].alias("end"),
-                                 f["rank"].alias("rank"), h["text"].alias("text"))
-                        ).cast(CANDIDATE)
-        return F.transform(placed, narrow)
+            return F.struct((h["end"] - quote - F.length(value)).alias("start"),
+                            (h["end"] - quote).alias("end"),
+                            f["rank"].alias("rank"), value.alias("text")).cast(CANDIDATE)
+
+        keyword = next(((i, d) for i, d in rows if d.id == "keyword_value"), None)
+        if keyword is None:
+            return F.transform(placed, whole)
+        keyword_pattern = compiled(keyword[1])
+        return F.when(f["rank"] == keyword[0], F.transform(placed, value_only)).otherwise(
+            F.transform(placed, whole))
 
     return F.flatten(F.transform(found, locate))
 
@@ -217,7 +230,7 @@ def candidates(text: Column, country: Column | None = None, email=True, numeric=
 
 
 def detector_name(rank: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(d.id) for d in catalogue()]), rank + 1)
+    return F.element_at(F.split(F.lit(",".join(d.id for d in catalogue())), ","), rank + 1)
 
 
 def detectors_table(spark):

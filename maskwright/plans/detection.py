@@ -273,6 +273,29 @@ def suppressors(spark, sf_dir):
         v.alias(k) for k, v in suppress.checks(around).items()])
 
 
+def _rule_query(rule: str):
+    @query(rule)
+    def run(spark, sf_dir):
+        """Generic numbers one rule would drop, whatever the other rules say."""
+        return suppressors(spark, sf_dir).where(c(rule)).select("src", "id", "start_pos", "hit")
+    return run
+
+
+def _alternative_query(name: str):
+    @query(name)
+    def run(spark, sf_dir):
+        """Generic numbers of one shape."""
+        return numeric_generic(spark, sf_dir).where(c("alternative") == name).select(
+            "src", "id", "start_pos", "hit", "reason")
+    return run
+
+
+for _rule in suppress.PROFILES["precise"]:
+    _rule_query(_rule.__name__)
+for _name, _ in V.NUMERIC_ALTERNATIVES:
+    _alternative_query(_name)
+
+
 @query("suppress_reason")
 def suppress_reason(spark, sf_dir):
     found = detect.candidates(c("text"), c("country"), email=False, only=("numeric_generic",))

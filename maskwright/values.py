@@ -158,6 +158,13 @@ SECRET_TOKEN = (
     r")\b"
 )
 
+# A text without any of these holds no such token; by a character they all hold.
+SECRET_TOKEN_PARTS = {
+    "_": ("github_pat_", "dckr_pat_", "dop_v1_", "k_live_", "k_test_", "npm_", "ghp_", "hf_"),
+    "-": ("sk-", "glpat-", "pypi-", "xox"),
+    "": ("Bearer", "Basic", "AKIA", "AIza", "eyJ", "SG.", "AC"),
+}
+
 # Identifier pass: words that announce an identifier value.
 KEYWORDS = (
     "user[ _-]?id", "account[ _-]?id", "customer[ _-]?id", "employee[ _-]?id",
@@ -180,11 +187,13 @@ KEYWORDS = (
     "mongo", "redis", "postgres", "mysql", "smtp", "imap", "id",
 )
 # Longest spelling first, so that "user id" is preferred over "user".
-KEYWORD_ALT = "(?:" + "|".join(sorted(KEYWORDS, key=len, reverse=True)) + ")"
-KEYWORD_VALUE = (
-    r"\b" + KEYWORD_ALT + r"\b\s*[:=#\-—]?\s*(?:is\s+|of\s+)?[\"']?"
+KEYWORDS_LONGEST_FIRST = tuple(sorted(KEYWORDS, key=len, reverse=True))
+KEYWORD_ALT = "(?:" + "|".join(KEYWORDS_LONGEST_FIRST) + ")"
+KEYWORD_VALUE_TAIL = (
+    r"\b\s*[:=#\-—]?\s*(?:is\s+|of\s+)?[\"']?"
     r"([A-Za-z0-9][A-Za-z0-9._\-]{11,63})[\"']?"
 )
+KEYWORD_VALUE = r"\b" + KEYWORD_ALT + KEYWORD_VALUE_TAIL
 KEYWORD_TRAIL = KEYWORD_ALT + r"\s*[:=#\-—]?\s*$"
 SHORT_DIGIT_NODE = r"^\s*\d[\d \-]{2,14}\d\s*$"
 PRECEDING_LIMIT = 120

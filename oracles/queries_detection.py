@@ -133,6 +133,10 @@ SQL["gate_order"] = " UNION ALL ".join(
 _g = D.accepted(KEYED, CAT[GENERIC], GENERIC)
 SQL["suppressors"] = (f"SELECT {SRC}, s AS start_pos, hit, "
                       + ", ".join(f"{cond} AS {name}" for name, cond in D.rules().items()) + f" FROM ({_g})")
+for _name, _cond in D.rules().items():
+    SQL[_name] = f"SELECT {SRC}, s AS start_pos, hit FROM ({_g}) WHERE {_cond}"
+for _name, _ in V.NUMERIC_ALTERNATIVES:
+    SQL[_name] = f"SELECT src, id, start_pos, hit, reason FROM ({SQL['numeric_generic']}) WHERE alternative = {q(_name)}"
 SQL["suppress_reason"] = (f"SELECT src, reason, count(*) AS n FROM (SELECT {SRC}, {D.reason()} AS reason FROM ({_g})) "
                           f"GROUP BY src, reason")
 
