@@ -15,6 +15,21 @@ def find_all(text: Column, java_pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(java_pattern), F.lit(group))
 
 
+# A private-use character stands for a match while the text around matches is cut out.
+MARK = "\ue000"
+
+
+def gaps(text: Column, java_pattern: str) -> Column:
+    """The text between matches, one piece more than there are matches.
+
+    Replacing keeps the compiled pattern, which splitting by a regex does not,
+    and splitting by one plain character needs none. A text that already holds
+    that character is split by the pattern itself.
+    """
+    marked = F.split(F.regexp_replace(text, java_pattern, MARK), MARK, -1)
+    return F.when(text.contains(MARK), F.split(text, java_pattern, -1)).otherwise(marked)
+
+
 def place(hits: Column, pieces: Column) -> Column:
     """Positions of ``hits`` from the text pieces around them.
 
@@ -38,7 +53,7 @@ def hits(text: Column, java_pattern: str) -> Column:
     """All matches as ``array<struct<start,end,text>>`` (0-based, end exclusive)."""
     return let(find_all(text, java_pattern), lambda found: F.when(
         F.size(found) > 0,
-        let(F.split(text, java_pattern, -1), lambda pieces: place(found, pieces)),
+        let(gaps(text, java_pattern), lambda pieces: place(found, pieces)),
     ).otherwise(empty(HIT)))
 
 

@@ -88,3 +88,60 @@ def grouped(words, depth: int = 2) -> str:
         else:
             parts.append(head + rests[0])
     return "(?:" + "|".join(parts) + ")"
+
+
+def alternatives(pattern: str) -> list[str]:
+    """Top-level alternatives of a pattern."""
+    parts, depth, in_class, start, i = [], 0, False, 0, 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\":
+            i += 2
+            continue
+        if in_class:
+            in_class = ch != "]"
+        elif ch == "[":
+            in_class = True
+        elif ch in "()":
+            depth += 1 if ch == "(" else -1
+        elif ch == "|" and depth == 0:
+            parts.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return parts + [pattern[start:]]
+
+
+def _head(word: str) -> str:
+    """Leading literal of an alternative, with the boundary before it if any."""
+    cut = 2 if word.startswith(r"\b") else 0
+    first, after = word[cut:cut + 1], word[cut + 1:cut + 2]
+    if first and first not in r"\[](){}.*+?^$|" and after not in ("?", "*", "+", "{"):
+        return word[:cut] + (first.lower() if first.isascii() else first)
+    return ""
+
+
+@lru_cache(maxsize=None)
+def finds(pattern: str, ignore_case: bool = True) -> str:
+    """A JVM pattern that is found in the same texts as ``pattern``.
+
+    Only for tests of presence, where the order of alternatives is free: they
+    are grouped by first letter, and ASCII words are not tried at other characters.
+    """
+    ascii_heads: dict[str, list[str]] = {}
+    other_heads: dict[str, list[str]] = {}
+    for w in alternatives(pattern):
+        head = _head(w)
+        bucket = ascii_heads if head and head.isascii() else other_heads
+        bucket.setdefault(head, []).append(w[len(head):])
+
+    def joined(heads: dict[str, list[str]]) -> str:
+        return "|".join(
+            java(h + ("(?:" + "|".join(rest) + ")" if len(rest) > 1 else rest[0]) if h
+                 else "(?:" + "|".join(rest) + ")") for h, rest in heads.items())
+    parts = []
+    if ascii_heads:
+        flag = "(?iu:" if any(not c.isascii() for r in ascii_heads.values() for x in r for c in x) else "(?i:"
+        parts.append("(?=[\\x00-\\x7f])" + (flag if ignore_case else "(?:") + joined(ascii_heads) + ")")
+    if other_heads:
+        parts.append(("(?iu:" if ignore_case else "(?:") + joined(other_heads) + ")")
+    return "|".join(parts)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions.arrays import empty, let
-from ..functions.matching import chunked, find_all, place, slice_of
+from ..functions.matching import chunked, find_all, gaps, place, slice_of
 from ..functions.rx import grouped, java, strip_boundaries
 from ..functions.validators import VALIDATORS, secret_value_ok
 from . import suppress
@@ -138,7 +138,7 @@ def extract(text: Column, country: Column, email, numeric, only=None) -> Column:
     def locate(f: Column) -> Column:
         pieces = None
         for i, d in rows:
-            cut = F.split(text, compiled(d), -1)
+            cut = gaps(text, compiled(d))
             pieces = F.when(f["rank"] == i, cut) if pieces is None else pieces.when(f["rank"] == i, cut)
         placed = let(pieces, lambda p: place(f["hits"], p))
 

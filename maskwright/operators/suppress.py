@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions.arrays import let
-from ..functions.rx import java
+from ..functions.rx import finds, java
 
 MARGIN = 150
 TAIL = 60
@@ -109,11 +109,11 @@ def is_statistic(a: Around) -> Column:
 
 
 def is_public_price(a: Around) -> Column:
-    return a.span(100).rlike(java(V.PUBLIC_PRICE, True))
+    return a.span(100).rlike(finds(V.PUBLIC_PRICE))
 
 
 def is_count_noise(a: Around) -> Column:
-    return a.span(150).rlike(java(V.COUNT_NOISE, True))
+    return a.span(150).rlike(finds(V.COUNT_NOISE))
 
 
 TIERS = (
