@@ -11,6 +11,7 @@ from ..functions.matching import chunked, slice_of
 from ..functions.windows import running_sum
 
 NODES_PER_BUCKET = 1024
+STRETCH = 4096
 SPAN_ATTRIBUTE = "data-pii"
 STAR, BLOCK, DISC = "*", "█", "●"
 _SPAN = rf'<span {SPAN_ATTRIBUTE}="[a-z]+">((?s:.*?))</span>'
@@ -78,8 +79,18 @@ def mask_range(nodes: DataFrame, ranges: DataFrame, glyph: str = STAR) -> DataFr
     sized = nodes.withColumn("len", F.length("text"))
     placed = running_sum(sized, ["page_id"], F.floor(F.col("node_id") / NODES_PER_BUCKET), ["node_id"],
                          F.col("len"), "upto").withColumn("at", F.col("upto") - F.col("len"))
-    clipped = placed.join(ranges, "page_id").where(
-        (F.col("start") < F.col("at") + F.col("len")) & (F.col("end") > F.col("at"))).select(
+    # Nodes and ranges meet per stretch of the page they both touch; a pair that shares several
+    # stretches is taken in the first of them, so it appears once and far pairs never meet.
+    def stretches(df: DataFrame, lo: Column, hi: Column, name: str) -> DataFrame:
+        first = F.floor(lo / STRETCH)
+        last = F.floor(F.greatest(hi - 1, lo) / STRETCH)
+        return df.withColumn(name, first).withColumn("stretch", F.explode(F.sequence(first, last)))
+
+    left = stretches(placed, F.col("at"), F.col("upto"), "_node_first")
+    right = stretches(ranges, F.col("start"), F.col("end"), "_range_first")
+    clipped = left.join(right, ["page_id", "stretch"]).where(
+        (F.col("stretch") == F.greatest("_node_first", "_range_first"))
+        & (F.col("start") < F.col("upto")) & (F.col("end") > F.col("at"))).select(
         "page_id", "node_id", "range_id", "text",
         F.greatest(F.col("start") - F.col("at"), F.lit(0)).cast("int").alias("lo"),
         F.least(F.col("end") - F.col("at"), F.col("len")).cast("int").alias("hi"))

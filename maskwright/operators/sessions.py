@@ -1,8 +1,8 @@
 """Idle, tab and screen-share state folded from control events.
 
 Input ``events(event_id, ts, tab_id, host, kind, stream_id, trigger)``. Order
-is by ``(ts, event_id)``. Ordered steps run per tab and day, so a busy tab is
-spread over many tasks.
+is by ``(ts, event_id)``. Ordered steps run per tab and minute, so a busy tab
+is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from ..functions import windows as W
 ORDER = ["ts", "event_id"]
 
 
-def day() -> Column:
-    return F.to_date("ts")
+def slot(ts: str = "ts") -> Column:
+    """The piece of time that is put in order as one."""
+    return F.date_trunc("minute", ts)
 
 
 def last_of(value, when: Column | None = None) -> Column:
@@ -34,7 +35,7 @@ def clamp_threshold(seconds: float | None) -> float:
 def idle_phases(events: DataFrame, threshold: float | None = None) -> DataFrame:
     """Phase transitions per tab: activity, silence beyond the threshold, explicit locks."""
     limit = clamp_threshold(threshold)
-    nexted = W.previous(events, ["tab_id"], day(), ORDER, F.col("ts"), "next_ts", backward=True)
+    nexted = W.previous(events, ["tab_id"], slot(), ORDER, F.col("ts"), "next_ts", backward=True)
     here = F.struct(F.col("ts").alias("at"), F.when(F.col("kind") == "lock", "locked")
                     .otherwise("active").alias("phase"))
     silent = F.col("next_ts").isNull() | (
@@ -61,7 +62,7 @@ def tab_phases(events: DataFrame) -> DataFrame:
 def share_steps(events: DataFrame) -> DataFrame:
     """Opens and closes that change the set of open streams of a tab, as +1 and -1."""
     shares = events.where(F.col("kind").isin("share_open", "share_close"))
-    before = W.previous(shares, ["tab_id", "stream_id"], day(), ORDER, F.col("kind"), "_before")
+    before = W.previous(shares, ["tab_id", "stream_id"], slot(), ORDER, F.col("kind"), "_before")
     opened, was_open = F.col("kind") == "share_open", F.coalesce(F.col("_before") == "share_open", F.lit(False))
     return before.withColumn("step", F.when(opened & ~was_open, 1).when(~opened & was_open, -1).otherwise(0)) \
         .drop("_before")
@@ -70,9 +71,9 @@ def share_steps(events: DataFrame) -> DataFrame:
 def share_sessions(events: DataFrame) -> DataFrame:
     """Sharing sessions per tab: from the first open stream to the close of the last one."""
     steps = share_steps(events).where(F.col("step") != 0)
-    open_now = W.running_sum(steps, ["tab_id"], day(), ORDER, F.col("step"), "n_open")
+    open_now = W.running_sum(steps, ["tab_id"], slot(), ORDER, F.col("step"), "n_open")
     starts = (F.col("step") == 1) & (F.col("n_open") == 1)
-    marked = W.latest(open_now, ["tab_id"], day(), ORDER, F.when(starts, F.struct("ts", "event_id")), "began")
+    marked = W.latest(open_now, ["tab_id"], slot(), ORDER, F.when(starts, F.struct("ts", "event_id")), "began")
     return marked.groupBy("tab_id", "began").agg(
         F.max(F.when(F.col("n_open") == 0, F.col("ts"))).alias("ended_at"),
         F.max("n_open").alias("max_streams"),
@@ -94,7 +95,7 @@ def cleared_ignores(events: DataFrame) -> DataFrame:
     relevant = events.where(
         (F.col("kind") == "share_open")
         | ((F.col("kind") == "ignore_tab") & (F.col("trigger") == "screen_share")))
-    nexted = W.latest(relevant, [], F.date_trunc("hour", "ts"), ORDER,
+    nexted = W.latest(relevant, [], slot(), ORDER,
                       F.when(F.col("kind") == "share_open", F.col("ts")), "cleared_at", following=True)
     return nexted.where(F.col("kind") == "ignore_tab").select("event_id", "tab_id", "ts", "cleared_at")
 
@@ -109,8 +110,8 @@ def ignore_lists(events: DataFrame) -> DataFrame:
     entry = F.when(scope == "tab", F.col("tab_id").cast("string")).otherwise(F.col("host"))
     last = ops.groupBy("trigger", scope.alias("scope"), entry.alias("entry")).agg(
         last_of(F.col("kind")).alias("op"), F.max(F.struct(*ORDER)).alias("at"))
-    share_start = events.where(F.col("kind") == "share_open").agg(F.max(F.struct(*ORDER)).alias("reset"))
-    kept = last.where(F.col("op").startswith("ignore")).join(F.broadcast(share_start))
+    reset = events.where(F.col("kind") == "share_open").agg(F.max(F.struct(*ORDER))).scalar()
+    kept = last.where(F.col("op").startswith("ignore")).withColumn("reset", reset)
     resets = (F.col("trigger") == "screen_share") & (F.col("scope") == "tab")
     return kept.where(~resets | F.col("reset").isNull() | (F.col("at") > F.col("reset"))).select(
         "trigger", "scope", "entry")
@@ -121,9 +122,9 @@ def suspend_flags(events: DataFrame) -> DataFrame:
     flags = events.where(F.col("kind").isin("suspend", "resume")).groupBy("trigger").agg(
         last_of(F.col("kind")).alias("op"), F.max(F.struct(*ORDER)).alias("at"))
     steps = share_steps(events).where(F.col("step") != 0)
-    open_now = W.running_sum(steps, [], F.date_trunc("hour", "ts"), ORDER, F.col("step"), "n_open")
-    quiet = open_now.where(F.col("n_open") == 0).agg(F.max(F.struct(*ORDER)).alias("quiet"))
-    return flags.join(F.broadcast(quiet)).select("trigger", F.when(
+    open_now = W.running_sum(steps, [], slot(), ORDER, F.col("step"), "n_open")
+    quiet = open_now.where(F.col("n_open") == 0).agg(F.max(F.struct(*ORDER))).scalar()
+    return flags.withColumn("quiet", quiet).select("trigger", F.when(
         F.col("op") == "resume", False).otherwise(
         ~((F.col("trigger") == "screen_share") & F.coalesce(F.col("quiet") > F.col("at"), F.lit(False)))
     ).alias("suspended"))
@@ -191,11 +192,11 @@ def effective_triggers(tabs: DataFrame, idle: DataFrame, phases: DataFrame, shar
         key = F.col("tab_id").cast("string") if scope == "tab" else F.col("host")
         part = ignored(trigger, scope, name)
         out = out.join(part, key == part[f"{name}_key"], "left").drop(f"{name}_key")
-    flags = suspended.agg(*[
+    flags = suspended.agg(F.struct(*[
         F.coalesce(F.max(F.when(F.col("trigger") == t, F.col("suspended"))), F.lit(False)).alias(f"{t}_off")
-        for t in ("idle", "tab_switch", "screen_share")])
-    active = shares.agg((F.count("*") > 0).alias("share_active"))
-    out = out.join(F.broadcast(flags)).join(F.broadcast(active))
+        for t in ("idle", "tab_switch", "screen_share")])).scalar()
+    active = shares.agg(F.count("*") > 0).scalar()
+    out = out.withColumn("flags", flags).withColumn("share_active", active).select("*", "flags.*")
 
     def no(name: str) -> Column:
         return ~F.coalesce(F.col(name), F.lit(False))
@@ -217,7 +218,7 @@ def trigger_edges(evaluations: DataFrame) -> DataFrame:
     A share outranks idle for the one notice slot.
     """
     now = F.struct("idle_phase", "tab_phase", "share_on")
-    e = W.previous(evaluations, ["tab_id"], day(), ORDER, now, "was")
+    e = W.previous(evaluations, ["tab_id"], slot(), ORDER, now, "was")
     c, was = F.col, F.col("was")
     away = c("idle_phase").isin("idle", "locked")
     notices = F.array(
@@ -236,19 +237,19 @@ def notify_counts(events: DataFrame, tabs: DataFrame) -> DataFrame:
     Counted, not enumerated: the pairs of events and tabs never exist.
     """
     starts, ends = F.col("kind") == "share_open", F.col("kind") == "share_close"
-    all_of = events.agg(F.count_if(starts).alias("starts"), F.count_if(ends).alias("ends"))
+    all_of = events.agg(F.count_if(starts) + F.count_if(ends)).scalar()
     own = events.where(starts).groupBy("tab_id").agg(F.count("*").alias("own"))
-    return tabs.join(own, "tab_id", "left").join(F.broadcast(all_of)).select(
-        "tab_id", (F.col("starts") - F.coalesce(F.col("own"), F.lit(0)) + F.col("ends")).alias("notices"))
+    return tabs.join(own, "tab_id", "left").withColumn("all", all_of).select(
+        "tab_id", (F.col("all") - F.coalesce(F.col("own"), F.lit(0))).alias("notices"))
 
 
 def debounce(events: DataFrame, keys: list[str], quiet_ms: int = V.URL_CHANGE_QUIET_MS,
              url: str = "url") -> DataFrame:
     """Last event of every burst whose url differs from the one reported before."""
-    nexted = W.previous(events, keys, day(), ORDER, F.col("ts"), "next_ts", backward=True)
+    nexted = W.previous(events, keys, slot(), ORDER, F.col("ts"), "next_ts", backward=True)
     settled = nexted.where(F.col("next_ts").isNull() | (
         F.col("next_ts") >= F.col("ts") + F.make_dt_interval(secs=F.lit(quiet_ms / 1000)))).drop("next_ts")
-    return changes(settled, keys, ORDER, day(), url)
+    return changes(settled, keys, ORDER, slot(), url)
 
 
 def latest_text(changes_df: DataFrame, keys: list[str], text: str, order: list[str]) -> DataFrame:

@@ -18,10 +18,10 @@ def _events(spark, sf_dir):
 
 
 def _live(events):
-    """Tabs seen in the last five days of the stream."""
-    end = events.agg(F.max("ts").alias("end"))
-    seen = events.groupBy("tab_id").agg(F.max("ts").alias("seen"))
-    return seen.join(F.broadcast(end)).where(c("seen") > c("end") - F.expr("INTERVAL 6 HOURS")).select("tab_id")
+    """Tabs seen in the last hours of the stream."""
+    end = events.agg(F.max("ts")).scalar()
+    seen = events.groupBy("tab_id").agg(F.max("ts").alias("seen")).withColumn("end", end)
+    return seen.where(c("seen") > c("end") - F.expr("INTERVAL 6 HOURS")).select("tab_id")
 
 
 @query("idle_phase")
@@ -42,7 +42,7 @@ def idle_threshold(spark, sf_dir):
 def phase_changes(spark, sf_dir):
     """Idle transitions that change the phase."""
     phases = S.idle_phases(_events(spark, sf_dir), THRESHOLD)
-    return S.changes(phases, ["tab_id"], ["at", "event_id"], F.to_date("at")).select(
+    return S.changes(phases, ["tab_id"], ["at", "event_id"], S.slot("at")).select(
         "tab_id", "event_id", "phase", c("at").cast("string").alias("happened_at"))
 
 

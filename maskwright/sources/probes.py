@@ -100,6 +100,7 @@ TEMPLATES: tuple[tuple[str, str | None], ...] = (
     (f"'The price ' || {_num(5)}", None),
     (f"{_num(5)} || ' unread messages'", None),
     (f"'Lot ' || {_num(5)} || '-' || {_num(4, 2)} || '; bin ' || {_num(7, 3)}", None),
+    (f"'Build ' || {_num(5)} || '.7, sum 1,' || {_num(3, 2)} || ',' || {_num(3, 3)} || ' and (55) ' || {_num(4, 4)} || 'e10'", None),
     (f"'é' || {_num(5)} || ' naïve — ' || {_num(3, 2)} || ' ' || {_num(4, 3)} || ' ' || {_num(3, 4)}", None),
 )
 
