@@ -6,13 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import values as V
+from ..functions.arrays import let
 from ..functions.rx import java
 
 
 def country_lang(lang: Column) -> Column:
     """Region subtag of a language tag; a bare language says nothing."""
     region = F.regexp_extract(lang, java(V.LANG_REGION).replace("^", r"\A", 1), 1)
-    return F.when(region != "", F.upper(region))
+    return let(region, lambda r: F.when(r != "", F.upper(r)))
 
 
 def country_meta(metas: Column) -> Column:
@@ -36,14 +37,17 @@ def country_tld(host: Column) -> Column:
 
 def country_currency(sample: Column) -> Column:
     """Three or more of one single-country sign; strictly most wins, then table order."""
-    counts = [F.length(sample) - F.length(F.replace(sample, F.lit(sign), F.lit("")))
-              for sign, _ in V.CURRENCY_COUNTRY]
-    top = F.greatest(*counts)
-    picked = None
-    for count, (_, country) in zip(counts, V.CURRENCY_COUNTRY):
-        hit = (count == top) & (count > 2)
-        picked = F.when(hit, country) if picked is None else picked.when(hit, country)
-    return picked
+    def pick(counts: Column) -> Column:
+        picked = None
+        for i, (_, country) in enumerate(V.CURRENCY_COUNTRY):
+            hit = (counts[i] == F.array_max(counts)) & (counts[i] > 2)
+            picked = F.when(hit, country) if picked is None else picked.when(hit, country)
+        return picked
+
+    def count(text: Column) -> Column:
+        return F.array(*[F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
+                         for sign, _ in V.CURRENCY_COUNTRY])
+    return let(let(sample, count), pick)
 
 
 def page_country(metas: Column, lang: Column, host: Column, sample: Column) -> Column:

@@ -165,17 +165,21 @@ _NUMERIC = r"&#([0-9]{1,6});"
 
 def decode_entities(text: Column) -> Column:
     """Common named and decimal character references."""
-    out = text
-    for name, char in _NAMED:
-        out = F.replace(out, F.lit(name), F.lit(char))
+    def named(t: Column) -> Column:
+        for name, char in _NAMED:
+            t = F.replace(t, F.lit(name), F.lit(char))
+        return t
 
     def numeric(t: Column) -> Column:
         chars = F.transform(find_all(t, _NUMERIC, 1), lambda c: F.decode(
             F.unhex(F.lpad(F.hex(c.cast("int")), 8, "0")), "UTF-32"))
         return let(chars, lambda cs: F.array_join(F.transform(
             F.split(t, _NUMERIC, -1), lambda p, i: F.concat(p, F.coalesce(F.get(cs, i), F.lit("")))), ""))
-    out = F.when(text.rlike(_NUMERIC), let(out, numeric)).otherwise(out)
-    return F.when(text.contains("&"), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+
+    def decode(t: Column) -> Column:
+        plain = let(named(t), lambda x: F.when(x.rlike(_NUMERIC), numeric(x)).otherwise(x))
+        return F.when(t.contains("&"), F.replace(plain, F.lit("&amp;"), F.lit("&"))).otherwise(t)
+    return let(text, decode)
 
 
 TEXT_NODE = "struct<pos:int,parent:int,text:string,preceding:string>"
