@@ -17,6 +17,14 @@ def query(name: str):
     return register
 
 
+@query("op1_site_templates")
+def site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from .site_templates import extract_main_text
+    out = extract_main_text(read(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 @query("op3_line_dedup")
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that at least three documents share stay in the largest document only."""
@@ -24,3 +32,34 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = drop_repeated_lines(docs)
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+@query("op5_link_trust")
+def link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every url."""
+    from .link_trust import judge_urls
+    return judge_urls(read(spark, sf_dir, "pages"))
+
+
+@query("op4_warc")
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to dictionary-compressed archives and read back."""
+    from .warc import read_archives, write_archives
+    manifest = write_archives(read(spark, sf_dir, "pages"))
+    return read_archives(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op2_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by character models of the documents outside the held-out fold."""
+    from .language_id import identify_held_out
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify_held_out(docs).select("row.doc_id", "held_out", "lang_pred", "score", "bits", "accepted")
+
+
+@query("op6_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels outside the held-out fold."""
+    from .toxicity import score_held_out
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_held_out(docs, read(spark, sf_dir, "labels")).select("row.doc_id", "held_out", "score", "predicted")
