@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import stored, whole_rows, with_fields
 from .words import characters, pieces, utf8
 
 ORDER = 4
@@ -264,10 +264,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", evidence: fl
                 [batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(np.where(found, bits, 0.0)),
                  pa.array(accepted)], ["row", "lang_pred", "score", "bits", "accepted"])
 
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    row_type = whole.schema[0].dataType.simpleString()
-    schema = whole.schema.add("lang_pred", "string").add("score", "double").add("bits", "double").add("accepted", "boolean")
-    return whole.mapInArrow(rows, schema)
+    whole = whole_rows(docs)
+    return whole.mapInArrow(rows, with_fields(
+        whole, lang_pred="string", score="double", bits="double", accepted="boolean"))
 
 
 def fold(id_col: Column, parts: int) -> Column:

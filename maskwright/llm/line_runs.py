@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BLANK_CHARS, ascii_lower, shared_folder, stored
+from .shared import BLANK_CHARS, ascii_lower, shared_folder, stored, whole_rows
 
 
 def text_lines(text: Column) -> Column:
@@ -105,7 +105,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gone = gone.where(~F.col("doc").eqNullSafe(F.col("holder")))
     gone = gone.groupBy("doc", "version").agg(F.collect_set("pos").alias("gone"))
     gone = gone.select(F.col("doc").alias("gone_doc"), F.col("version").alias("gone_version"), "gone")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = whole_rows(docs)
     doc, text = F.col(f"row.`{id_col}`").cast("long"), F.col(f"row.`{text_col}`")
     joined = rows.join(gone, doc.eqNullSafe(F.col("gone_doc")) & (F.xxhash64(text) == F.col("gone_version")), "left")
     split = joined.select("row", "gone", text_lines(text).alias("lines"))

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space of the contracts, as a regex class and as characters.
 BLANKS = r"[\x20\x09-\x0D]"
@@ -47,3 +48,14 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
 def ascii_lower(col: Column) -> Column:
     """A-Z to a-z, every other character as it is."""
     return F.translate(col, UPPER, LOWER)
+
+
+def whole_rows(df: DataFrame) -> DataFrame:
+    """Every column of ``df`` in one column ``row``: whatever their names, new columns do not clash with them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def with_fields(df: DataFrame, **fields: str) -> T.StructType:
+    """The schema of ``df`` and further fields (name=type)."""
+    more = T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in fields.items()))
+    return T.StructType([*df.schema.fields, *more.fields])

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import whole_rows, with_fields
 from .words import BYTE_LOWER, BYTE_VALUE, U64, mix, pieces, powers, utf8
 
 SIZES = (3, 4, 5)
@@ -31,15 +32,18 @@ IN_WORD[[36, 42, 64]] = True
 
 @dataclass(frozen=True)
 class Settings:
-    """What training depends on. ``rows_per_label`` and ``max_chars`` bound the labelled sample."""
+    """What training depends on. ``toxic_rows``, ``clean_rows`` and ``max_chars`` bound the labelled sample."""
 
-    rows_per_label: int = 2000
+    toxic_rows: int = 2000
+    clean_rows: int = 6000
     max_chars: int = 20_000
     buckets: int = 1 << 18
     width: int = 8
-    passage: int = 16
-    rounds: int = 6
-    min_texts: int = 8
+    passage: int = 6
+    easy_share: float = 0.15
+    check_share: float = 0.25
+    rounds: int = 8
+    min_texts: int = 30
     batch: int = 512
     rate: float = 0.3
     decay: float = 1e-3
@@ -54,6 +58,9 @@ class Model:
     kept: np.ndarray
     bias: float
     settings: Settings
+    #: Slope and shift from the worst passage's logit to the text's, fitted on texts the embeddings have not seen.
+    slope: float = 1.0
+    shift: float = 0.0
 
 
 @dataclass
@@ -141,7 +148,7 @@ def score_texts(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarr
     logit = _sums(mean, at) / np.diff(at) + model.bias
     full = np.flatnonzero(np.diff(of_text) > 0)
     out[full] = np.maximum.reduceat(logit, of_text[:-1][full])
-    out[full] = 1 / (1 + np.exp(-np.clip(out[full], -30, 30)))
+    out[full] = 1 / (1 + np.exp(-np.clip(model.slope * out[full] + model.shift, -30, 30)))
     return out
 
 
@@ -190,7 +197,8 @@ def fit(texts: list[str], toxic: np.ndarray, settings: Settings = Settings()) ->
     grown_t, grown_s, grown_b = np.full(s.buckets, 1e-6, np.float32), np.full(soft.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
     total = len(text_of)
     target = toxic[text_of].copy()
-    used = np.ones(total, bool)
+    seen = rng.random(len(texts)) >= s.check_share
+    used = seen[text_of]
     for turn in range(s.rounds):
         chosen = np.flatnonzero(used)
         rng.shuffle(chosen)
@@ -233,31 +241,48 @@ def fit(texts: list[str], toxic: np.ndarray, settings: Settings = Settings()) ->
             base -= (0.2 * s.rate * d_base / np.sqrt(grown_b)).astype(np.float32)
         weights = np.where(enough, table @ (soft[:, 1] - soft[:, 0]), 0).astype(np.float32)
         bias = float(base[1] - base[0])
-        if turn + 1 < s.rounds:  # which passages of the toxic texts are it
-            n = np.diff(bag_at)
-            word_score, some = np.zeros(len(kept)), np.flatnonzero(n > 0)
-            if len(some):
-                word_score[some] = np.add.reduceat(weights[ids], bag_at[:-1][some]) / n[some]
-            logit = np.add.reduceat(word_score[same], p_at[:-1]) / np.diff(p_at) + bias
-            worst = np.full(len(texts), -np.inf)
-            np.maximum.at(worst, text_of, logit)
-            target = toxic[text_of] & ((logit > 0) | (logit == worst[text_of]))
-            used = ~toxic[text_of] | target
-    return Model(weights, enough, bias, s)
+        # which passages of the toxic texts are it, and which clean ones are not clear yet
+        n = np.diff(bag_at)
+        word_score, some = np.zeros(len(kept)), np.flatnonzero(n > 0)
+        if len(some):
+            word_score[some] = np.add.reduceat(weights[ids], bag_at[:-1][some]) / n[some]
+        logit = np.add.reduceat(word_score[same], p_at[:-1]) / np.diff(p_at) + bias
+        worst = np.full(len(texts), -np.inf)
+        np.maximum.at(worst, text_of, logit)
+        target = toxic[text_of] & ((logit > 0) | (logit == worst[text_of]))
+        clean = ~toxic[text_of] & ((logit > -2) | (rng.random(total) < s.easy_share))
+        used = seen[text_of] & (target | clean)
+    held = ~seen & np.isfinite(worst)
+    slope, shift = _calibrated(worst[held], toxic[held])
+    return Model(weights, enough, bias, s, slope, shift)
+
+
+def _calibrated(logit: np.ndarray, toxic: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Slope and shift of the logistic curve through held-out texts; as it is where one label is missing."""
+    if toxic.all() or not toxic.any():
+        return 1.0, 0.0
+    y = np.where(toxic, 1 - 1 / (toxic.sum() + 2), 1 / ((~toxic).sum() + 2))
+    x, w = np.stack([np.clip(logit, -30, 30), np.ones(len(logit))], axis=1), np.array([1.0, 0.0])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (p - y) + 1e-3 * w
+        w = w - np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-3 * np.eye(2), grad) * 0.5
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
           settings: Settings = Settings()) -> Model:
-    """Fit on at most ``rows_per_label`` rows of each label, those of the smallest id hashes."""
+    """Fit on at most ``toxic_rows`` and ``clean_rows`` labelled rows, those of the smallest id hashes."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("toxic")).distinct()
     picked = None
-    for value in (0, 1):
-        part = known.where(F.col("toxic") == value).orderBy(F.xxhash64("key"), "key").limit(settings.rows_per_label)
+    for value, most in ((0, settings.clean_rows), (1, settings.toxic_rows)):
+        part = known.where(F.col("toxic") == value).orderBy(F.xxhash64("key"), "key").limit(most)
         picked = part if picked is None else picked.unionByName(part)
     texts = docs.where(F.char_length(text_col) <= settings.max_chars).select(
         F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    rows = texts.join(picked, "key").orderBy("key", "text", "toxic").limit(4 * settings.rows_per_label).toArrow()
+    rows = texts.join(picked, "key").orderBy("key", "text", "toxic").limit(
+        2 * (settings.toxic_rows + settings.clean_rows)).toArrow()
     return fit(rows["text"].to_pylist(), rows["toxic"].to_numpy(), settings)
 
 
@@ -274,8 +299,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
                                              ["row", "score", "predicted"])
 
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return whole.mapInArrow(rows, whole.schema.add("score", "double").add("predicted", "int"))
+    whole = whole_rows(docs)
+    return whole.mapInArrow(rows, with_fields(whole, score="double", predicted="int"))
 
 
 def score_held_out(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
