@@ -100,7 +100,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     runs = LineRuns(spark, min_docs, fanout)
     for k in range(batches):
         runs.add(lines.where(F.col("batch") == k))
-    known = runs.settled().select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "holder")
+    # a table of its own, so that both sides of the join are dealt by it and a line of many documents can be split
+    known = stored(runs.settled().select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "holder"), "settled")
     gone = lines.join(known, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
     gone = gone.where(~F.col("doc").eqNullSafe(F.col("holder")))
     gone = gone.groupBy("doc", "version").agg(F.collect_set("pos").alias("gone"))
