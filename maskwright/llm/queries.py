@@ -63,3 +63,34 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_held_out
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return score_held_out(docs, read(spark, sf_dir, "labels")).select("row.doc_id", "held_out", "score", "predicted")
+
+
+@query("op7_cross_polytope")
+def cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    from .cross_polytope import nearest
+    vectors = read(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+@query("op8_jaccard_join")
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by their three-word shingles."""
+    from .jaccard_join import join_sets
+    out = join_sets(read(spark, sf_dir, "documents"))
+    return out.select(F.col("key").alias("doc_id"), "n_shingles", "component_id")
+
+
+@query("op9_packing")
+def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in sequences of 8192 bytes."""
+    from .packing import pack
+    return pack(read(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+@query("op10_decontaminate")
+def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that documents hold, and where."""
+    from .decontaminate import find_items
+    found = find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "score", "first_word", "last_word")

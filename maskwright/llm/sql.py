@@ -20,3 +20,80 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY r, doc_id
 """
+
+#: Pages of the given tables declare one article of h1 and p blocks.
+SQL["op1_site_templates"] = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS body FROM pages),
+blocks AS (SELECT page_id, url, regexp_split_to_array(body, '</?(p|h1)>') AS bs FROM a),
+plain AS (SELECT page_id, url, [trim(regexp_replace(
+  replace(replace(replace(replace(replace(replace(regexp_replace(b, '<[^>]*>', ' ', 'g'),
+    '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'),
+  '\s+', ' ', 'g')) FOR b IN bs] AS bs FROM blocks),
+texts AS (SELECT page_id, url, coalesce(array_to_string([b FOR b IN bs IF b <> ''], chr(10)), '') AS text FROM plain)
+SELECT page_id, url, text, length(text) AS n_chars FROM texts
+"""
+
+SQL["op4_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+last AS (SELECT payload_digest, max(page_id) AS keeper FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest HAVING count(*) > 1),
+marked AS (SELECT p.*, CASE WHEN keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper AND payload_bytes >= 1000
+  THEN keeper END AS refers_to FROM p LEFT JOIN last USING (payload_digest))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  refers_to FROM marked
+"""
+
+
+def link_trust(rounds: int = 12, damping: float = 0.85) -> str:
+    """Rules by length, then the rounds of both walks written out one after the other."""
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    fits = "((host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}'))"
+    rules = (("allow", "www.example.com", "/en/"), ("block", "example.com", "/en/"), ("block", "net", "/es/"),
+             ("block", "net", "/fr/"), ("allow", "com", "/"))
+    rule = " ".join(f"WHEN {fits.format(h, p)} THEN '{h}{p}'" for _, h, p in rules)
+    verdict = " ".join(f"WHEN {fits.format(h, p)} THEN '{v}'" for v, h, p in rules)
+    steps = []
+    for k in range(rounds):
+        steps.append(f"""s{k + 1} AS (SELECT kind, host, sum(score) AS score FROM (
+  SELECT w.kind, w.b AS host, {damping} * w.w * s.score AS score FROM ways w JOIN s{k} s ON w.kind = s.kind AND w.a = s.host
+  UNION ALL SELECT kind, host, score FROM s0) GROUP BY kind, host)""")
+    return f"""
+WITH cut AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, html, {lower.format("regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1)")} AS host,
+  regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+ruled AS (SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS ruled FROM parts),
+links AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)<a\\s[^<>]*?href\\s*=\\s*["'']?([^"''\\s<>]+)', 1)) AS href
+  FROM ruled WHERE host <> ''),
+hosts AS (SELECT src, {lower.format("regexp_extract(href, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]+)', 1)")} AS dst FROM links),
+edges AS (SELECT src, dst, count(*) AS n FROM hosts WHERE dst <> '' AND dst <> src GROUP BY src, dst),
+both_ways AS (SELECT 'trust' AS kind, src AS a, dst AS b, n FROM edges UNION ALL SELECT 'distrust', dst, src, n FROM edges),
+ways AS (SELECT kind, a, b, n / sum(n) OVER (PARTITION BY kind, a) AS w FROM both_ways),
+shares AS (SELECT host, avg(CASE WHEN ruled = 'allow' THEN 1.0 ELSE 0.0 END) AS t, avg(CASE WHEN ruled = 'block' THEN 1.0 ELSE 0.0 END) AS d
+  FROM ruled WHERE host <> '' GROUP BY host),
+s0 AS (SELECT 'trust' AS kind, host, {1 - damping} AS score FROM shares WHERE t >= 0.5
+  UNION ALL SELECT 'distrust', host, {1 - damping} FROM shares WHERE d >= 0.5),
+{", ".join(steps)},
+by_host AS (SELECT host, coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0) AS d, coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0) AS t
+  FROM s{rounds} GROUP BY host),
+bad AS (SELECT host FROM by_host WHERE d >= 0.01 AND d >= 0.5 * (d + t))
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM ruled
+"""
+
+
+SQL["op5_link_trust"] = link_trust()
+
+SQL["op8_jaccard_join"] = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lists AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS s FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM lists),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS i
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id
+  WHERE a.n * 10 >= b.n * 9 AND b.n * 10 >= a.n * 9 GROUP BY ALL),
+linked AS (SELECT a, b FROM pairs WHERE 100 * i >= 90 * (na + nb - i)),
+ways AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach AS (SELECT a, b FROM ways UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a),
+least_of AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id
+FROM lists LEFT JOIN least_of ON doc_id = a
+"""
