@@ -25,7 +25,7 @@ from .shared import stored
 class Tables:
     """``count`` rotations, ``probes`` axes looked up per rotation; more of either raises recall and work."""
 
-    count: int = 24
+    count: int = 16
     probes: int = 6
     seed: int = 11
 
