@@ -112,7 +112,7 @@ class Writer:
         found = train(self.waiting, self.limits.dictionary_bytes)
         name = f"{uuid.uuid4().hex}.warc.zst"
         self.path = f"{self.folder}/{name}"
-        self.out = self.fs.open_output_stream(f"{self.root}/{name}")
+        self.out = self.fs.open_output_stream(f"{self.root}/{name}", compression=None)
         if found is not None:
             data = found.as_bytes()
             self._put(DICTIONARY_MARK + len(data).to_bytes(4, "little") + data)
@@ -133,7 +133,7 @@ class Writer:
 def read_archive(path: str, chunk: int = 1 << 20) -> Iterator[bytes]:
     """The records of an archive, one at a time."""
     fs, name = pafs.FileSystem.from_uri(path)
-    with fs.open_input_stream(name) as source:
+    with fs.open_input_stream(name, compression=None) as source:
         held = source.read(8)
         found = None
         if held[:4] == DICTIONARY_MARK:
