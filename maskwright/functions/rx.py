@@ -8,6 +8,7 @@ through :func:`java` before it reaches Spark.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 WORD = "[A-Za-z0-9_]"
@@ -28,10 +29,25 @@ def _starts_with_word(rest: str) -> bool:
     return False
 
 
+#: Syntax that ``java.util.regex`` takes and ECMAScript refuses: possessive and stacked quantifiers,
+#: atomic groups, inline flags, named groups of another dialect.
+_FOREIGN = (r"[*+?}][*+]", r"\(\?(?![:=!]|<[=!]|<[A-Za-z_$])", r"(?:^|[(|])[*+]|(?:^|\|)\?")
+
+
+def ecmascript(pattern: str) -> bool:
+    """False for what an ECMAScript engine would refuse though the JVM would not."""
+    plain = re.sub(r"\\.", "x", pattern, flags=re.S)
+    plain = re.sub(r"\[(?:\^)?[^\]]*\]", "x", plain)
+    return not any(re.search(p, plain) for p in _FOREIGN)
+
+
 @lru_cache(maxsize=None)
 def java(pattern: str, ignore_case: bool = False) -> str:
     """Rewrite an ECMAScript pattern for ``java.util.regex``."""
     out, i, in_class = [], 0, False
+    # inside a class only ECMAScript's own signs keep a meaning; an empty class and its complement have none here
+    pattern = re.sub(r"(?<!\\)\[\^\]", r"[\\s\\S]", pattern)
+    pattern = re.sub(r"(?<!\\)\[\]", "(?!)", pattern)
     while i < len(pattern):
         ch = pattern[i]
         if ch == "\\" and i + 1 < len(pattern):
@@ -44,8 +60,12 @@ def java(pattern: str, ignore_case: bool = False) -> str:
                 out.append(SPACE if in_class else f"[{SPACE}]")
             elif nxt == "d":
                 out.append("0-9" if in_class else "[0-9]")
-            elif nxt == "b" and not in_class:
-                out.append(_BEFORE_WORD if _starts_with_word(pattern[i + 2:]) else _BOUNDARY)
+            elif nxt == "b":
+                out.append("\\x08" if in_class else _BEFORE_WORD if _starts_with_word(pattern[i + 2:]) else _BOUNDARY)
+            elif nxt == "v":
+                out.append("\\x0B")
+            elif nxt.isascii() and nxt.isalpha() and nxt not in "BDSWcfknrtwx":
+                out.append(nxt)  # any other letter stands for itself
             else:
                 out.append(ch + nxt)
             i += 2
@@ -54,6 +74,8 @@ def java(pattern: str, ignore_case: bool = False) -> str:
             in_class = True
         elif ch == "]" and in_class:
             in_class = False
+        elif in_class and (ch == "[" or ch == "&" and pattern[i + 1:i + 2] == "&"):
+            out.append("\\")
         elif ch == "$" and not in_class:
             out.append(r"\z")
             i += 1

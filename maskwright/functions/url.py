@@ -7,15 +7,22 @@ from pyspark.sql import functions as F
 
 from .. import values as V
 
-URL = r"(?i)\A([a-z][a-z0-9+.\-]*):(?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^:/?#]*)(?::([0-9]*))?)?([^?#]*)"
+#: For the schemes of the web any number of slashes of either kind leads to the host; others need two.
+URL = (r"(?i)\A([a-z][a-z0-9+.\-]*):(?:(?:(?<=\A(?:http|https|ftp|ws|wss):)[/\\]*|(?<!\A(?:http|https|ftp|ws|wss):)//)"
+       r"(?:[^/?#@\\]*@)?(\[[^\]]*\]|[^:/?#\\]*)(?::([0-9]*))?(?=[/?#\\]|\z))?([^?#]*)")
 _DEFAULT_PORTS = {"http": "80", "https": "443", "ftp": "21", "ws": "80", "wss": "443"}
 _SPECIAL = ("http", "https", "ftp", "ws", "wss")
 
 
+def decoded_host(host: Column) -> Column:
+    """Percent-encoded ASCII bytes of a host as characters."""
+    return F.when(host.rlike("%[0-9A-Fa-f]{2}"), F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B")))).otherwise(host)
+
+
 def url_parts(url: Column) -> Column:
     """``struct<scheme,host,port,path>``, null when the text is no absolute URL."""
     scheme = F.lower(F.regexp_extract(url, URL, 1))
-    host = F.lower(F.regexp_extract(url, URL, 2))
+    host = F.lower(decoded_host(F.regexp_extract(url, URL, 2)))
     port = F.regexp_extract(url, URL, 3)
     path = F.regexp_extract(url, URL, 4)
     default = F.create_map(*[F.lit(x) for kv in _DEFAULT_PORTS.items() for x in kv])
@@ -25,7 +32,8 @@ def url_parts(url: Column) -> Column:
         F.struct(
             scheme.alias("scheme"), host.alias("host"),
             F.when(port == F.coalesce(F.element_at(default, scheme), F.lit("")), "").otherwise(port).alias("port"),
-            F.when(special & (path == ""), "/").otherwise(path).alias("path")))
+            F.when(special & (path == ""), "/").when(special, F.replace(path, F.lit("\\"), F.lit("/")))
+            .otherwise(path).alias("path")))
 
 
 def parse_pattern(pattern: Column) -> Column:

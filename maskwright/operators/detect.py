@@ -80,8 +80,11 @@ def contains_any(text: Column, words) -> Column:
     return found
 
 
-def prescreen(d: V.Detector, text: Column, country: Column) -> Column:
-    """Necessary condition for any accepted match of ``d``, checked on the whole text."""
+def prescreen(d: V.Detector, text: Column, country: Column, context: bool = True) -> Column:
+    """Necessary condition for any accepted match of ``d``, checked on the whole text.
+
+    Without ``context`` it is one for any match of the shape.
+    """
     gate = F.lit(True)
     if d.contains:
         gate = contains_any(text, d.contains)
@@ -92,7 +95,7 @@ def prescreen(d: V.Detector, text: Column, country: Column) -> Column:
             gate = gate | (text.contains(char) & held if char else held)
     if d.gate:
         gate = text.rlike(java(d.gate))
-    if d.keyword and not d.dispositive:
+    if context and d.keyword and not d.dispositive:
         near = text.rlike(java(strip_boundaries(d.keyword), True))
         gate = gate & (in_countries(country, d.countries) | near)
     return gate
@@ -106,17 +109,20 @@ def has_digit_or_long_alnum(text: Column) -> Column:
     return text.rlike("[0-9]|[A-Za-z0-9]{8}")
 
 
-def _found(d: V.Detector, rank: int, text: Column, country: Column) -> Column:
+def _found(d: V.Detector, rank: int, text: Column, country: Column, context: bool) -> Column:
     pattern = compiled(d)
-    gate = prescreen(d, text, country)
+    gate = prescreen(d, text, country, context)
     return F.struct(
         F.lit(rank).alias("rank"),
         F.when(gate, find_all(text, pattern)).otherwise(empty("string")).alias("hits"),
     )
 
 
-def extract(text: Column, country: Column, email, numeric, only=None) -> Column:
-    """Raw matches of every enabled detector, ``array<array<candidate>>`` flattened."""
+def extract(text: Column, country: Column, email, numeric, only=None, context: bool = True) -> Column:
+    """Raw matches of every enabled detector, ``array<array<candidate>>`` flattened.
+
+    Without ``context``, shapes that no keyword or country can confirm are kept too.
+    """
     email, numeric = (x if isinstance(x, Column) else F.lit(bool(x)) for x in (email, numeric))
     rows = [(i, d) for i, d in enumerate(catalogue()) if only is None or d.id in only]
     digit_rows = [(i, d) for i, d in rows if d.stage in (1, 2, 3)]
@@ -126,7 +132,7 @@ def extract(text: Column, country: Column, email, numeric, only=None) -> Column:
     def batch(part, enabled):
         if not part:
             return empty(_FOUND)
-        return F.when(enabled, F.array(*[_found(d, i, text, country) for i, d in part])
+        return F.when(enabled, F.array(*[_found(d, i, text, country, context) for i, d in part])
                       .cast(f"array<{_FOUND}>")).otherwise(empty(_FOUND))
 
     found = F.filter(

@@ -6,13 +6,15 @@ import json
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions import url as U
 from ..functions.arrays import let
-from ..functions.rx import java
+from ..functions.rx import ecmascript, java
 
 _CATS = "struct<text:boolean,media:boolean,form:boolean,table:boolean,structure:boolean>"
 _GLOBAL = ("struct<blur_radius:double,transition_duration:double,highlight_color:string,"
@@ -201,29 +203,31 @@ def complete_snapshot(snapshot_json: Column) -> Column:
     return F.when(~empty_object, let(raw, fill))
 
 
-def normalise_rules(rules: DataFrame, unknown_type: str = "wildcard") -> DataFrame:
-    """Drop blank rules, keep the first 200, trim, cut and type the rest.
+def normalise_rules(rules: DataFrame, unknown_type: str = "wildcard", max_rules: int = V.MAX_RULES,
+                    max_length: int = V.MAX_PATTERN_LENGTH) -> DataFrame:
+    """Drop blank rules, keep the first ``max_rules``, trim, cut and type the rest.
 
-    The limit is the feature: a model holds at most 200 rules.
+    The limits are the feature: a model holds at most so many rules of such a length.
     """
     kind = F.col("hostname_type")
-    return rules.where(F.trim("hostname_value") != "").orderBy("rule_ord").limit(V.MAX_RULES).select(
+    return rules.where(F.trim("hostname_value") != "").orderBy("rule_ord").limit(max_rules).select(
         "rule_ord",
-        F.substring(F.trim("hostname_value"), 1, V.MAX_PATTERN_LENGTH).alias("hostname_value"),
+        F.substring(F.trim("hostname_value"), 1, max_length).alias("hostname_value"),
         F.when(kind.isin(*V.PATTERN_TYPES), kind).otherwise(unknown_type).alias("hostname_type"),
         "snapshot")
 
 
-def regex_allowed(pattern: str) -> bool:
-    """Compilable and without nested quantifiers."""
-    if not pattern or len(pattern) > V.MAX_PATTERN_LENGTH:
+def regex_allowed(pattern: str, spark: SparkSession | None = None, max_length: int = V.MAX_PATTERN_LENGTH) -> bool:
+    """Without nested quantifiers, and a pattern both for ECMAScript and, rewritten, for the engine that runs it."""
+    if not pattern or len(pattern) > max_length:
         return False
-    if any(re.search(p, pattern) for p in V.NESTED_QUANTIFIER):
+    if any(re.search(p, pattern) for p in V.NESTED_QUANTIFIER) or not ecmascript(pattern):
         return False
+    jvm = (spark or SparkSession.getActiveSession())._jvm
     try:
-        re.compile(pattern)
+        jvm.java.util.regex.Pattern.compile(java(pattern, True))
         return True
-    except re.error:
+    except (Py4JJavaError, IllegalArgumentException):
         return False
 
 
@@ -233,10 +237,10 @@ _RULE = ("struct<rule_ord:int,hostname_value:string,hostname_type:string,"
 
 @dataclass
 class RuleBook:
-    """At most 200 normalised rules, kept as literals inside the page expressions.
+    """The normalised rules of one model, kept as literals inside the page expressions.
 
     Matching needs no join: every page row tests the rules in place, so pages
-    are neither shuffled nor multiplied.
+    are neither shuffled nor multiplied. ``normalise_rules`` bounds their number.
     """
 
     rules: list[dict]
@@ -250,9 +254,7 @@ class RuleBook:
             complete_snapshot(F.col("snapshot")).alias("snap"))
         kept = parsed.select("rule_ord", "hostname_value", "hostname_type", "p.*",
                              F.to_json("snap", {"ignoreNullFields": "false"}).alias("snap"))
-        rows = [r.asDict() for r in kept.orderBy("rule_ord").limit(V.MAX_RULES + 1).collect()]
-        if len(rows) > V.MAX_RULES:
-            raise ValueError(f"more than {V.MAX_RULES} rules: normalise them first")
+        rows = [r.asDict() for r in kept.orderBy("rule_ord").collect()]
         return cls(rows, parsed.schema["snap"].dataType.simpleString())
 
     def _literal(self, rows, extra=()) -> Column:

@@ -149,7 +149,7 @@ _built: dict[tuple, Column] = {}
 def _keep(kind: str, make, *args) -> Column:
     if any(isinstance(a, Column) for a in args):
         return make()
-    key = (kind, *args, tuple(d.id for d in detect.catalogue()))
+    key = (kind, *args, tuple(detect.catalogue()))
     if key not in _built:
         _built[key] = make()
     return _built[key]

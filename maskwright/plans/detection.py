@@ -131,9 +131,6 @@ def secret_value_ok(spark, sf_dir):
 
 # ------------------------------------------------------------- validators
 
-DIGIT_RUN = r"(?<![0-9A-Za-z])[0-9]{1,19}(?![0-9A-Za-z])"
-
-
 def digit_runs(spark, sf_dir):
     """Numbers cut out of the probe and document texts."""
     return units(spark, sf_dir).select("src", "id", F.explode(
@@ -167,8 +164,8 @@ def mod97_ok(spark, sf_dir):
 
 @query("mod11_weighted")
 def mod11_weighted(spark, sf_dir):
-    nine = digit_runs(spark, sf_dir).select(F.substring("s", 1, 9).alias("d"))
-    return nine.groupBy(C.mod11_weighted(c("d"), V.NHS_WEIGHTS).alias("residue")).agg(
+    """Residues of the numbers; -1 for all that have not as many digits as there are weights."""
+    return digit_runs(spark, sf_dir).groupBy(C.mod11_weighted(c("s"), V.NHS_WEIGHTS).alias("residue")).agg(
         F.count("*").alias("n"))
 
 
@@ -205,10 +202,10 @@ def strip_separators(spark, sf_dir):
 
 
 def gated(spark, sf_dir):
-    """Context-gated shapes with each gate on its own."""
+    """Every context-gated shape, whatever else its text holds, so that each gate can be asked on its own."""
     rows = [(i, d) for i, d in enumerate(detect.catalogue()) if not d.dispositive]
     ids = tuple(d.id for _, d in rows)
-    raw = detect.extract(c("text"), F.lit(None).cast("string"), False, True, only=ids)
+    raw = detect.extract(c("text"), F.lit(None).cast("string"), False, True, only=ids, context=False)
     found = units(spark, sf_dir).withColumn("h", F.explode(raw)).select(
         "src", "id", "country", "text", c("h.rank").alias("rank"), c("h.start").alias("s"),
         c("h.end").alias("e"), c("h.text").alias("hit"))
@@ -217,7 +214,7 @@ def gated(spark, sf_dir):
 
 @query("keyword_window")
 def keyword_window(spark, sf_dir):
-    """Is a keyword near the match? Shapes without any keyword in the text do not occur here."""
+    """Is a keyword near the match?"""
     found, rows = gated(spark, sf_dir)
     near = None
     for i, d in rows:

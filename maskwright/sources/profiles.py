@@ -90,7 +90,8 @@ def profiles(spark, sf_dir: str):
         "c_custkey AS profile", f"{SETTINGS_SQL} AS settings")
 
 
-# Rules: hosts of the pages in name order, one rule each, every kind in turn.
+# Rules: a model holds a fixed number of them, so every page host belongs to one of as many
+# groups and the first host of a group names its rule; every kind of rule in turn.
 _VALUE = (
     "CASE o % 12 WHEN 0 THEN host WHEN 1 THEN '*.' || parent WHEN 2 THEN host || '/en*' "
     "WHEN 3 THEN 'https://' || host WHEN 4 THEN host || ':8080' WHEN 5 THEN '   ' "
@@ -124,11 +125,12 @@ _SNAPSHOT = (
         ("pick_and_blur", _obj(("item_ids", "'[]'")))) + " END"
 )
 HOST = r"^[a-z]+://([^/:?#]+)"
-# The cap keeps 200 of them, so a few more than that are enough to offer.
+GROUPS = 199
+_PARENT = "substring(host, CAST(CASE WHEN instr(host, '.') > 0 THEN instr(host, '.') + 1 ELSE 1 END AS INT), 1000) AS parent"
 HOSTS_SQL = (
-    "SELECT host, CAST(row_number() OVER (ORDER BY host) - 1 AS INT) AS o, "
-    "substring(host, CAST(CASE WHEN instr(host, '.') > 0 THEN instr(host, '.') + 1 ELSE 1 END AS INT), 1000) AS parent "
-    "FROM (SELECT DISTINCT regexp_extract(url, '" + HOST + "', 1) AS host FROM pages ORDER BY host LIMIT 240)"
+    f"SELECT o, min(host) AS host, {_PARENT.replace('host', 'min(host)')} FROM (SELECT host, "
+    f"CAST(('0x' || substring(md5(host), 1, 7))::INT % {GROUPS} AS INT) AS o FROM "
+    "(SELECT regexp_extract(url, '" + HOST + "', 1) AS host FROM pages)) GROUP BY o"
 )
 RULES_SQL = (f"SELECT o AS rule_ord, {_VALUE} AS hostname_value, {_TYPE} AS hostname_type, "
              f"{_SNAPSHOT} AS snapshot FROM ({HOSTS_SQL})")
@@ -136,11 +138,10 @@ RULES_SQL = (f"SELECT o AS rule_ord, {_VALUE} AS hostname_value, {_TYPE} AS host
 
 def site_rules(spark, sf_dir: str):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    hosts = pages.selectExpr(f"regexp_extract(url, r'{HOST}', 1) AS host").distinct() \
-        .orderBy("host").limit(240)
-    numbered = hosts.selectExpr(
-        "host", "CAST(row_number() OVER (ORDER BY host) - 1 AS INT) AS o",
-        "substring(host, CAST(CASE WHEN instr(host, '.') > 0 THEN instr(host, '.') + 1 ELSE 1 END AS INT), 1000) AS parent")
+    hosts = pages.selectExpr(f"regexp_extract(url, r'{HOST}', 1) AS host")
+    grouped = hosts.selectExpr("host", f"CAST(CAST(conv(substring(md5(host), 1, 7), 16, 10) AS INT) % {GROUPS} AS INT) AS o")
+    numbered = grouped.groupBy("o").agg({"host": "min"}).withColumnRenamed("min(host)", "host").selectExpr(
+        "o", "host", _PARENT)
     return numbered.selectExpr("o AS rule_ord", f"{_VALUE} AS hostname_value",
                                f"{_TYPE} AS hostname_type", f"{_SNAPSHOT} AS snapshot")
 

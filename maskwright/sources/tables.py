@@ -15,13 +15,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core when the input has fewer splits than there are cores.
+    """In as many parts as the session asks for with ``maskwright.scan.partitions``, else as scanned.
 
-    Only a small input arrives in so few splits; a large one keeps the splits
-    of its scan and is never shuffled here.
+    For sessions that read files too few to split, such as a bench on one
+    machine. Nothing here depends on the size of the input.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = df.sparkSession.conf.get("maskwright.scan.partitions", None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def texts(df: DataFrame, key: Column | str, text: Column | str = "text",
@@ -76,8 +76,3 @@ def write_findings(findings: DataFrame, path: str, mode: str = "errorifexists")
 def write_masked(masked: DataFrame, path: str, mode: str = "errorifexists") -> None:
     masked.write.mode(mode).parquet(path)
 
-
-def read_settings(df: DataFrame, column: str = "settings") -> DataFrame:
-    """Settings JSON, one profile per row, parsed but not repaired."""
-    from ..operators.policy import RAW_SETTINGS
-    return df.withColumn("raw", F.from_json(column, RAW_SETTINGS))

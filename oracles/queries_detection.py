@@ -75,7 +75,7 @@ SQL["mod97_ok"] = (
     f"SELECT src, id, s, {S.mod97('s')} AS mod97, {S.iban_len('substring(s, 1, 2)')} AS expected_len FROM ("
     f"SELECT src, id, unnest(regexp_extract_all({S.digits('text')}, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{6,30}}')) AS s FROM {UNITS})")
 SQL["mod11_weighted"] = (f"SELECT {S.mod11('d', V.NHS_WEIGHTS)} AS residue, count(*) AS n "
-                         f"FROM (SELECT substring(s, 1, 9) AS d FROM {RUNS}) GROUP BY 1")
+                         f"FROM (SELECT s AS d FROM {RUNS}) GROUP BY 1")
 SQL["card_network"] = (f"SELECT {S.network('s')} AS network, count(*) AS n, count_if({S.luhn('s')}) AS luhn "
                        f"FROM {RUNS} WHERE length(s) BETWEEN 12 AND 20 GROUP BY 1")
 SQL["iban_country_len"] = (
@@ -105,16 +105,12 @@ def _near(d):
     return has(f"substring(text, {lo} + 1, s + length(hit) + {d.window} - {lo})", d.keyword, True)
 
 
-def _anywhere(d):
-    return has("text", d.keyword.replace(r"\b", ""), True)
-
-
 SQL["keyword_window"] = " UNION ALL ".join(
     f"SELECT {SRC}, {q(d.id)} AS detector, s AS start_pos, hit, {_near(d)} AS keyword "
-    f"FROM ({D.hits(KEYED, d, i)}) WHERE {_shape(d)} AND {_anywhere(d)} AND {_gate(d)}" for i, d in _context)
+    f"FROM ({D.hits(KEYED, d, i)}) WHERE {_shape(d)} AND {_gate(d)}" for i, d in _context)
 SQL["country_gate"] = " UNION ALL ".join(
     f"SELECT {q(d.id)} AS detector, country, count(*) AS n FROM ({D.hits(KEYED, d, i)}) WHERE {_shape(d)} "
-    f"AND {_anywhere(d)} AND {_gate(d)} AND country IN ({', '.join(map(q, d.countries))}) GROUP BY country"
+    f"AND {_gate(d)} AND country IN ({', '.join(map(q, d.countries))}) GROUP BY country"
     for i, d in _context if d.countries)
 
 

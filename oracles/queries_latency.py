@@ -35,7 +35,7 @@ SQL["mean_and_series"] = (
     f"SELECT user_id, event_type AS state, event_id AS iter, value, "
     f"{rnd('avg(value) OVER (PARTITION BY user_id, event_type)', 1)} AS mean FROM events")
 SQL["delta_vs_base"] = f"""
-WITH m AS (SELECT fixture, state, {rnd('avg(value)', 1)} AS mean FROM {S} WHERE NOT (fixture = 'f3' AND state = 'view') GROUP BY 1, 2)
+WITH m AS (SELECT fixture, state, {rnd('avg(value)', 1)} AS mean FROM {S} GROUP BY 1, 2)
 SELECT a.fixture, a.state, {rnd('a.mean - b.mean', 1)} AS delta FROM m a LEFT JOIN m b ON b.fixture = a.fixture AND b.state = 'view'
 WHERE a.state <> 'view'"""
 SQL["pct_change"] = f"""
@@ -43,13 +43,12 @@ SELECT fixture, CASE WHEN b <> 0 THEN {rnd('(a - b) / b * 100', 1)} END AS pct,
 FROM (SELECT fixture, max(value) FILTER (state = 'view') AS a, max(value) FILTER (state = 'click') AS b FROM {S} GROUP BY fixture)"""
 SQL["throughput"] = (
     f"SELECT fixture, state, {rnd('count(value) / max(value)', 1)} AS per_ms, CAST(NULL AS DOUBLE) AS none FROM {S} GROUP BY 1, 2")
-_p95 = summary(f"(SELECT * FROM {S} WHERE value IS NOT NULL)", "fixture, state")
+_p95 = summary(f"(SELECT fixture, state, CASE WHEN NOT (fixture = 'f2' AND state = 'error') THEN value END AS value FROM {S})", "fixture, state")
 SQL["budget_check"] = (
-    "SELECT fixture, state, CASE WHEN p95 <= coalesce(MAP {'f0': 95.0, 'f1': 60.0, 'f2': 80.0}[fixture], 'infinity'::DOUBLE) "
+    "SELECT fixture, state, CASE WHEN n = 0 THEN 'N/A' WHEN p95 <= coalesce(MAP {'f0': 95.0, 'f1': 60.0, 'f2': 80.0}[fixture], 'infinity'::DOUBLE) "
     f"THEN 'PASS' ELSE 'FAIL' END AS verdict FROM ({_p95})")
-_src = f"(SELECT * FROM {S} WHERE NOT (fixture = 'f1' AND state = 'purchase'))"
 SQL["budget_derive"] = f"""
-WITH p AS ({summary(_src, 'fixture, state')})
+WITH p AS ({summary(S, 'fixture, state')})
 SELECT fixture, {rnd("coalesce(max(p95) FILTER (state = 'purchase'), max(p95) FILTER (state = 'signup'), "
                      "max(p95) FILTER (state = 'view'), max(p95) FILTER (state = 'click')) * 1.25")} AS budget
 FROM p GROUP BY fixture"""

@@ -37,8 +37,10 @@ SQL["metas"] = P.metas(RICH)
 
 
 def url_field(url: str, group: int) -> str:
-    p = r"^(?i)([a-z][a-z0-9+.\-]*):(?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^:/?#]*)(?::([0-9]*))?)?([^?#]*)"
-    return f"regexp_extract({url}, {q(p)}, {group})"
+    web = r"^(?i)(https?|ftp|wss?):[/\\]*(?:[^/?#@\\]*@)?(\[[^\]]*\]|[^:/?#\\]*)(?::([0-9]*))?([^?#]*)"
+    other = r"^(?i)([a-z][a-z0-9+.\-]*):(?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^:/?#]*)(?::([0-9]*))?)?([^?#]*)"
+    return (f"CASE WHEN regexp_matches({url}, '^(?i)(https?|ftp|wss?):') THEN regexp_extract({url}, {q(web)}, {group}) "
+            f"ELSE regexp_extract({url}, {q(other)}, {group}) END")
 
 
 SPECIAL = "('http', 'https', 'ftp', 'ws', 'wss')"
