@@ -8,6 +8,9 @@ browsers close them; elements without end tag never nest.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ TOKEN = (
     r"|<script\b[^>]*>.*?(?:</script\s*>|\z)"
     r"|<style\b[^>]*>.*?(?:</style\s*>|\z)"
     r"|<noscript\b[^>]*>.*?(?:</noscript\s*>|\z)"
+    r"|<textarea\b[^>]*>.*?(?:</textarea\s*>|\z)"
+    r"|<title\b[^>]*>.*?(?:</title\s*>|\z)"
     r"|<![^>]*>"
     r"|</?[a-z](?:\"[^\"]*+\"|'[^']*+'|[^'\">]++)*+>"
     r"|[^<]++|<"
@@ -53,7 +58,7 @@ def kind(token: Column) -> Column:
         .when(token.startswith("<!"), "doctype")
         .when(tag == "", "text")
         .when(token.startswith("</"), "close")
-        .when(tag.isin("script", "style", "noscript"), "raw")
+        .when(tag.isin(*V.RAW_TEXT_TAGS), "raw")
         .when(tag.isin(*V.VOID_TAGS) | token.endswith("/>"), "void")
         .otherwise("open")
     )
@@ -158,27 +163,41 @@ def skip_roots(nodes: Column) -> Column:
         F.filter(nodes, lambda n: is_root(n, c, f)), lambda n: n["pos"])))
 
 
-_NAMED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-          ("&copy;", "©"), ("&middot;", "·"))
-_NUMERIC = r"&#([0-9]{1,6});"
+# Named references as the standard library lists them; some stand without a semicolon too.
+_BARE = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+REFERENCE = rf"&(?:#[0-9]{{1,9}};?|#[xX][0-9A-Fa-f]{{1,8}};?|[A-Za-z][A-Za-z0-9]{{1,31}};|(?:{_BARE}))"
+_REPLACED = {c: bytes([c]).decode("cp1252", "replace") for c in range(128, 160)}
+
+
+def _numbered(ref: Column) -> Column:
+    """The character of a numeric reference; numbers that are none give the replacement sign."""
+    hexed = F.regexp_extract(ref, r"\A&#[xX]([0-9A-Fa-f]+)", 1)
+    number = F.when(hexed != "", F.conv(hexed, 16, 10)).otherwise(F.regexp_extract(ref, r"\A&#([0-9]+)", 1)).cast("long")
+    old = F.create_map(*[F.lit(x) for c, v in _REPLACED.items() if v != "\ufffd" for x in (c, v)])
+
+    def char(n: Column) -> Column:
+        known = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        code = F.when(known, n).otherwise(0xFFFD)
+        return F.coalesce(F.try_element_at(old, n.cast("int")),
+                          F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    return let(number, char)
 
 
 def decode_entities(text: Column) -> Column:
-    """Common named and decimal character references."""
-    def named(t: Column) -> Column:
-        for name, char in _NAMED:
-            t = F.replace(t, F.lit(name), F.lit(char))
-        return t
-
-    def numeric(t: Column) -> Column:
-        chars = F.transform(find_all(t, _NUMERIC, 1), lambda c: F.decode(
-            F.unhex(F.lpad(F.hex(c.cast("int")), 8, "0")), "UTF-32"))
-        return let(chars, lambda cs: F.array_join(F.transform(
-            F.split(t, _NUMERIC, -1), lambda p, i: F.concat(p, F.coalesce(F.get(cs, i), F.lit("")))), ""))
+    """Character references as a browser reads them in text: named, decimal, hexadecimal."""
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+
+    def one(ref: Column) -> Column:
+        name = F.substring(ref, F.lit(2), F.length(ref))
+        start = F.regexp_extract(ref, rf"\A&({_BARE})", 1)  # an unknown name may begin with a known one
+        cut = F.when(start == "", ref).otherwise(F.concat(
+            F.try_element_at(names, start), F.substring(ref, F.length(start) + 2, F.length(ref))))
+        return F.when(ref.startswith("&#"), _numbered(ref)).otherwise(F.coalesce(F.try_element_at(names, name), cut))
 
     def decode(t: Column) -> Column:
-        plain = let(named(t), lambda x: F.when(x.rlike(_NUMERIC), numeric(x)).otherwise(x))
-        return F.when(t.contains("&"), F.replace(plain, F.lit("&amp;"), F.lit("&"))).otherwise(t)
+        refs = F.transform(F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0)), one)
+        return F.when(t.contains("&"), let(refs, lambda cs: F.array_join(F.transform(
+            F.split(t, REFERENCE, -1), lambda p, i: F.concat(p, F.coalesce(F.get(cs, i), F.lit("")))), ""))).otherwise(t)
     return let(text, decode)
 
 
@@ -200,16 +219,23 @@ def text_nodes(nodes: Column) -> Column:
                                & ~F.arrays_overlap(n["ancestors"], roots)
                                & ((F.size(body) == 0) | F.arrays_overlap(n["ancestors"], body)))
 
-            def shape(n: Column, vis: Column) -> Column:
-                before = F.array_join(F.transform(F.filter(
-                    vis, lambda v: (v["seg"] == n["seg"]) & (v["pos"] < n["pos"])),
-                    lambda v: decode_entities(v["token"])), "")
-                return F.struct(
-                    n["pos"].alias("pos"), n["parent"].alias("parent"),
-                    decode_entities(n["token"]).alias("text"),
-                    F.when(n["token"].rlike(java(V.SHORT_DIGIT_NODE).replace("^", r"\A", 1)),
-                           F.right(before, F.lit(V.PRECEDING_LIMIT))).alias("preceding")).cast(TEXT_NODE)
-            return let(visible, lambda vis: F.transform(vis, lambda n: shape(n, vis)))
+            read = F.transform(visible, lambda n: F.struct(
+                n["pos"].alias("pos"), n["parent"].alias("parent"), n["seg"].alias("seg"),
+                decode_entities(n["token"]).alias("text")))
+
+            def tail(state: Column, n: Column) -> Column:
+                return F.when(state["seg"] == n["seg"], state["tail"]).otherwise("")
+
+            def step(state: Column, n: Column) -> Column:
+                return F.struct(n["seg"].alias("seg"),
+                                F.right(F.concat(tail(state, n), n["text"]), F.lit(V.PRECEDING_LIMIT)).alias("tail"))
+
+            def emit(state: Column, n: Column) -> Column:
+                short = n["text"].rlike(java(V.SHORT_DIGIT_NODE).replace("^", r"\A", 1))
+                return F.struct(n["pos"].alias("pos"), n["parent"].alias("parent"), n["text"].alias("text"),
+                                F.when(short, tail(state, n)).alias("preceding"))
+            start = F.struct(F.lit(-1).alias("seg"), F.lit("").alias("tail"))
+            return scan_fold(read, start, step, emit, TEXT_NODE)
         return let(body, lambda b: let(skip_roots(ns), lambda r: with_roots(r, b)))
     return let(nodes, pick)
 
@@ -234,8 +260,8 @@ META = "struct<name:string,property:string,http_equiv:string,content:string>"
 
 
 def metas(html: Column) -> Column:
-    """Meta tags in document order."""
-    found = find_all(html, r"(?is)<meta\b(?:\"[^\"]*+\"|'[^']*+'|[^'\">]++)*+>")
+    """Meta tags in document order; none from comments, scripts or other raw text."""
+    found = F.filter(tokens(html), lambda t: t.rlike(r"(?i)\A<meta[\s/>]"))
     field = lambda m, name: F.coalesce(attribute(m, name), F.lit(""))
     return F.transform(found, lambda m: F.struct(
         field(m, "name").alias("name"), field(m, "property").alias("property"),
@@ -243,15 +269,23 @@ def metas(html: Column) -> Column:
 
 
 def html_lang(html: Column) -> Column:
-    tag = F.regexp_extract(html, r"(?is)<html\b(?:\"[^\"]*+\"|'[^']*+'|[^'\">]++)*+>", 0)
+    """The language the page's own html tag names."""
+    tag = F.get(F.filter(tokens(html), lambda t: t.rlike(r"(?i)\A<html[\s/>]")), F.lit(0))
     return F.coalesce(attribute(tag, "lang"), F.lit(""))
 
 
 def body_sample(html: Column) -> Column:
-    """First characters of the body text."""
-    body = F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*)\z", 1)
-    bare = F.regexp_replace(body, TOKEN.removesuffix(r"|[^<]++|<"), "")
-    return F.substring(decode_entities(bare), 1, V.CURRENCY_SAMPLE)
+    """First characters of all text below the body, scripts and styles included, comments not."""
+    def sample(ts: Column) -> Column:
+        body = F.coalesce(F.array_min(F.transform(ts, lambda t, i: F.when(t.rlike(r"(?i)\A<body[\s/>]"), i))), F.size(ts))
+        inside = F.filter(ts, lambda t, i: i > body)
+
+        def text(t: Column) -> Column:
+            held = F.regexp_extract(t, r"(?is)\A<[a-z]+\b[^>]*>(.*?)(?:</[a-z]+\s*>)?\z", 1)
+            return F.when(kind(t) == "raw", F.when(t.rlike(r"(?i)\A<(?:textarea|title)\b"), decode_entities(held)).otherwise(held)) \
+                .when(kind(t) == "text", decode_entities(t)).otherwise("")
+        return F.substring(F.array_join(F.transform(inside, text), ""), 1, V.CURRENCY_SAMPLE)
+    return let(tokens(html), sample)
 
 
 STEP_NODE = ("struct<pos:int,kind:string,tag:string,token:string,parent:int,"

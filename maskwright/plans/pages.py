@@ -70,15 +70,6 @@ def preceding_text(spark, sf_dir):
         c("preceding").isNotNull()).select("page_id", "pos", "text", "preceding")
 
 
-@query("cross_node_keyword")
-def cross_node_keyword(spark, sf_dir):
-    """Lone numbers announced by a keyword in the text before them."""
-    return preceding_text(spark, sf_dir).select("page_id", F.inline(F.coalesce(
-        html.cross_node_match(c("text"), c("preceding")),
-        F.expr("cast(array() as array<struct<start:int,end:int,type:string,detector:string,text:string>>)"))),
-        "pos").select("page_id", "pos", c("start").alias("start_pos"), c("end").alias("end_pos"), c("text").alias("hit"))
-
-
 @query("metas")
 def metas(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", F.posexplode(html.metas(c("html"))).alias("ord", "m")) \
@@ -176,6 +167,13 @@ def scan_pages(df, country_col=None, email=True, numeric=True):
         "type", "detector", c("text").alias("hit"))
 
 
+@query("cross_node_keyword")
+def cross_node_keyword(spark, sf_dir):
+    """Lone numbers announced by a keyword in the text before them, in nodes without a finding of their own."""
+    return scan_pages(pages(spark, sf_dir)).where(c("detector") == "cross_node_keyword").select(
+        "page_id", "pos", "start_pos", "end_pos", "hit")
+
+
 @query("page_scan")
 def page_scan(spark, sf_dir):
     """Findings of every page, under the country of the page."""

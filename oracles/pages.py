@@ -24,7 +24,7 @@ def token_rows(src: str) -> str:
     SELECT page_id, pos, kind, CASE WHEN kind IN ('close', 'raw', 'void', 'open') THEN t END AS tag, token FROM (
       SELECT *, CASE WHEN starts_with(token, '<!--') THEN 'comment' WHEN starts_with(token, '<!') THEN 'doctype'
         WHEN t = '' THEN 'text' WHEN starts_with(token, '</') THEN 'close'
-        WHEN t IN ('script', 'style', 'noscript') THEN 'raw'
+        WHEN t IN ('script', 'style', 'noscript', 'textarea', 'title') THEN 'raw'
         WHEN {_in('t', V.VOID_TAGS)} OR ends_with(token, '/>') THEN 'void' ELSE 'open' END AS kind
       FROM (SELECT page_id, token, CAST(i - 1 AS INT) AS pos, {tag} AS t FROM (
         SELECT page_id, unnest(ts) AS token, unnest(range(1, len(ts) + 1)) AS i FROM (
@@ -84,16 +84,20 @@ def has_attribute(token: str, name: str) -> str:
     return f"regexp_matches({token}, {q(rf'(?is)[[:space:]]{name}([[:space:]]|[=/>])')})"
 
 
+#: The references that the pages of the driver and their additions hold.
+NAMED = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", "\u00a0"), ("copy", "\u00a9"), ("middot", "\u00b7"), ("pound", "\u00a3"))
+
+
 def decode(x: str) -> str:
     out = x
-    for name, char in H._NAMED:
-        out = f"replace({out}, {q(name)}, {q(char)})"
-    nums = f"regexp_extract_all({out}, '&#([0-9]{{1,6}});', 1)"
-    parts = f"string_split_regex({out}, '&#[0-9]{{1,6}};')"
+    for name, char in NAMED:
+        out = f"regexp_replace({out}, '&{name};?', {q(char)}, 'g')"
+    nums = f"regexp_extract_all({out}, '&#([0-9]{{1,6}});?', 1)"
+    parts = f"string_split_regex({out}, '&#[0-9]{{1,6}};?')"
     joined = (f"array_to_string(list_transform(range(1, len({parts}) + 1), lambda i: {parts}[i] || "
               f"CASE WHEN i <= len({nums}) THEN chr(CAST({nums}[i] AS INT)) ELSE '' END), '')")
-    return (f"CASE WHEN contains({x}, '&') THEN replace(CASE WHEN regexp_matches({x}, '&#[0-9]{{1,6}};') "
-            f"THEN {joined} ELSE {out} END, '&amp;', '&') ELSE {x} END")
+    return (f"CASE WHEN contains({x}, '&') THEN regexp_replace(CASE WHEN regexp_matches({x}, '&#[0-9]{{1,6}};?') "
+            f"THEN {joined} ELSE {out} END, '&amp;?', '&', 'g') ELSE {x} END")
 
 
 def with_text_nodes(src: str) -> str:
@@ -126,30 +130,33 @@ def with_text_nodes(src: str) -> str:
                      WHERE a.page_id = n.page_id AND a.pos = n.pos))),
     units AS MATERIALIZED (
       SELECT v.page_id, v.pos, v.parent, v.text,
-        CASE WHEN regexp_matches(v.token, {q(short)}) THEN right(coalesce((
+        CASE WHEN regexp_matches(v.text, {q(short)}) THEN right(coalesce((
           SELECT string_agg(u.text, '' ORDER BY u.pos) FROM visible u
           WHERE u.page_id = v.page_id AND u.seg = v.seg AND u.pos < v.pos), ''), {V.PRECEDING_LIMIT}) END AS preceding
       FROM visible v)"""
 
 
 def metas(src: str) -> str:
-    p = r"(?is)<meta\b(?:\"[^\"]*\"|'[^']*'|[^'\">]+)*>"
     return f"""SELECT page_id, CAST(i AS INT) AS ord, coalesce({attribute('m', 'name')}, '') AS name,
       coalesce({attribute('m', 'property')}, '') AS property, coalesce({attribute('m', 'http-equiv')}, '') AS http_equiv,
       coalesce({attribute('m', 'content')}, '') AS content
-      FROM (SELECT page_id, unnest(ms) AS m, unnest(range(0, len(ms))) AS i
-            FROM (SELECT page_id, regexp_extract_all(html, {q(p)}) AS ms FROM {src}))"""
+      FROM (SELECT page_id, token AS m, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS i
+            FROM ({token_rows(src)}) WHERE regexp_matches(token, '^(?i)<meta[[:space:]/>]'))"""
 
 
 def lang(html: str) -> str:
-    p = r"(?is)<html\b(?:\"[^\"]*\"|'[^']*'|[^'\">]+)*>"
-    return f"coalesce({attribute(f'regexp_extract({html}, {q(p)})', 'lang')}, '')"
+    tag = (f"list_filter(regexp_extract_all({html}, {q(TOKEN)}), lambda t: regexp_matches(t, '^(?i)<html[[:space:]/>]'))[1]")
+    return f"coalesce({attribute(tag, 'lang')}, '')"
 
 
 def sample(html: str) -> str:
-    markup = TOKEN.removesuffix("|[^<]+|<")
-    body = f"regexp_extract({html}, '(?is)<body\\b[^>]*>(.*)', 1)"
-    return f"substring({decode(f'regexp_replace({body}, {q(markup)}, {q(str())}, {q(chr(103))})')}, 1, {V.CURRENCY_SAMPLE})"
+    toks = f"regexp_extract_all({html}, {q(TOKEN)})"
+    body = f"list_position(list_transform({toks}, lambda t: regexp_matches(t, '^(?i)<body[[:space:]/>]')), true)"
+    raw = "regexp_matches(t, '^(?i)<(script|style|noscript|textarea|title)\\b')"
+    held = "regexp_extract(t, '^(?is)<[a-z]+\\b[^>]*>(.*?)(?:</[a-z]+\\s*>)?$', 1)"
+    text = (f"CASE WHEN {raw} THEN {held} WHEN regexp_matches(t, '^(?i)(<!|</?[a-z])') THEN '' ELSE {decode('t')} END")
+    return (f"substring(CASE WHEN {body} > 0 THEN array_to_string(list_transform({toks}[{body} + 1:], lambda t: {text}), '') "
+            f"ELSE '' END, 1, {V.CURRENCY_SAMPLE})")
 
 
 def country_lang(x: str) -> str:

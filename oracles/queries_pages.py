@@ -31,8 +31,6 @@ def trail(x: str) -> str:
 _BLANKS = "^[" + SPACE + "]*"
 _cross = (f"SELECT page_id, pos, CAST(length(regexp_extract(text, {q(_BLANKS)})) AS INT) AS start_pos, "
           f"regexp_extract(text, {q('[0-9][0-9 -]*[0-9]')}) AS hit FROM units WHERE preceding IS NOT NULL AND {trail('preceding')}")
-SQL["cross_node_keyword"] = P.with_text_nodes(RICH) + (
-    f" SELECT page_id, pos, start_pos, CAST(start_pos + length(hit) AS INT) AS end_pos, hit FROM ({_cross})")
 SQL["metas"] = P.metas(RICH)
 
 
@@ -114,4 +112,5 @@ def page_findings(email: str = "true", numeric: str = "true", flags: str | None
       UNION ALL SELECT * FROM crossed)"""
 
 
+SQL["cross_node_keyword"] = page_findings() + " SELECT page_id, pos, start_pos, end_pos, hit FROM crossed"
 SQL["page_scan"] = page_findings() + " SELECT * FROM found"
