@@ -35,7 +35,7 @@ class Settings:
     """What training depends on. ``toxic_rows``, ``clean_rows`` and ``max_chars`` bound the labelled sample."""
 
     toxic_rows: int = 2000
-    clean_rows: int = 6000
+    clean_rows: int = 4000
     max_chars: int = 20_000
     buckets: int = 1 << 18
     width: int = 8
@@ -43,8 +43,12 @@ class Settings:
     easy_share: float = 0.15
     check_share: float = 0.25
     rounds: int = 8
-    min_texts: int = 30
+    smooth: float = 4.0
+    lean: float = 3.0
+    min_share: float = 0.004
+    min_texts: int = 3
     batch: int = 512
+    steps: int = 200
     rate: float = 0.3
     decay: float = 1e-3
     seed: int = 7
@@ -152,7 +156,64 @@ def score_texts(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarr
     return out
 
 
-def fit(texts: list[str], toxic: np.ndarray, settings: Settings = Settings()) -> Model:
+def _bags(texts: pa.Array, toxic: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
+    """(first word of each text and their number, number of each word's bag, bag starts, buckets, buckets that count, lean).
+
+    ``lean`` is each bucket's smoothed log-ratio of its toxic texts to those expected.
+
+    Equal words share one bag: ``ids[bag_at[k]:bag_at[k + 1]]``. N-grams of
+    words of few texts are left out: they would only be learned by heart.
+    """
+    data, offsets = utf8(texts)
+    parts = [(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]) for a, b in pieces(offsets, PIECE)]
+    whole, counts = [], []
+    for part, at in parts:
+        w = words_of(part, at)
+        whole.append(w.whole)
+        counts.append(np.diff(w.first))
+    first = np.concatenate([[0], *counts]).cumsum()
+    whole = np.concatenate(whole) if whole else np.zeros(0, U64)
+    _, kept, same = np.unique(whole, return_index=True, return_inverse=True)
+    text_of = np.repeat(np.arange(len(texts)), np.diff(first))
+    pairs = np.unique(text_of * np.int64(max(1, len(kept))) + same) % max(1, len(kept))
+    held_by = np.bincount(pairs, minlength=len(kept))
+    pairs = np.unique((text_of * np.int64(max(1, len(kept))) + same)[toxic[text_of]]) % max(1, len(kept))
+    toxic_by = np.bincount(pairs, minlength=len(kept))
+    del whole, text_of, pairs
+    rank = np.argsort(kept)  # distinct words in the order they first stand
+    kept = kept[rank]
+    number = np.empty(len(rank), np.int64)
+    number[rank] = np.arange(len(rank))
+    same, held_by, toxic_by = number[same].astype(np.int32), held_by[rank], toxic_by[rank]
+    ids, sizes, before = [], [], 0
+    for part, at in parts:
+        w = words_of(part, at)
+        mine = kept[np.searchsorted(kept, before):np.searchsorted(kept, before + len(w.starts))] - before
+        before += len(w.starts)
+        if len(mine) == 0:
+            continue
+        size = w.ends[mine] - w.starts[mine] + 1
+        start = np.concatenate([[0], np.cumsum(size)])
+        source = np.repeat(w.starts[mine] - start[:-1], size) + np.arange(start[-1])
+        source[start[1:] - 1] = -1
+        once = words_of(np.where(source < 0, 32, part[source]).astype(np.uint8), start[[0, -1]])
+        grams = subwords(once, s.buckets)
+        position = np.concatenate([g[0] for g in grams])
+        order = np.argsort(position, kind="stable")
+        ids.append(np.concatenate([g[1] for g in grams]).astype(np.int32)[order])
+        sizes.append(np.diff(np.searchsorted(position[order], np.append(once.starts, start[-1]))))
+    ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+    bag_at = np.concatenate([[0], *sizes]).cumsum()
+    held, bad = (np.bincount(ids, np.repeat(by, np.diff(bag_at)), s.buckets) for by in (held_by, toxic_by))
+    base = s.smooth * toxic.mean()
+    lean = np.log((bad + base) / (held * toxic.mean() + base))
+    enough = held >= max(s.min_texts, s.min_share * len(texts))
+    use = enough[ids]
+    bag_at = np.concatenate([[0], np.cumsum(use)])[bag_at]
+    return first, same, bag_at, ids[use], enough, lean
+
+
+def fit(texts: pa.Array, toxic: np.ndarray, settings: Settings = Settings()) -> Model:
     """Embeddings and softmax from labelled texts.
 
     The first round takes every passage of a toxic text as toxic; later ones
@@ -164,40 +225,19 @@ def fit(texts: list[str], toxic: np.ndarray, settings: Settings = Settings()) ->
     toxic = np.asarray(toxic, bool)
     if len(texts) == 0 or toxic.all() or not toxic.any():
         return Model(weights, enough, 6.0 if len(texts) and toxic.all() else -6.0, s)
-    data, offsets = utf8(pa.array(texts, pa.large_string()))
-    w = words_of(data, offsets)
-    # equal words share one bag: ids[bag_at[k]:bag_at[k + 1]]
-    _, kept, same = np.unique(w.whole, return_index=True, return_inverse=True)
-    if len(kept) == 0:
+    seen = rng.random(len(texts)) >= s.check_share
+    first, same, bag_at, ids, enough, lean = _bags(texts, toxic & seen, s)
+    if len(same) == 0:
         return Model(weights, enough, -6.0, s)
-    size = w.ends[kept] - w.starts[kept] + 1
-    start = np.concatenate([[0], np.cumsum(size)])
-    source = np.repeat(w.starts[kept] - start[:-1], size) + np.arange(start[-1])
-    source[start[1:] - 1] = -1
-    once = words_of(np.where(source < 0, 32, data[source]).astype(np.uint8), start[[0, -1]])
-    grams = subwords(once, s.buckets)
-    position = np.concatenate([g[0] for g in grams])
-    order = np.argsort(position, kind="stable")
-    ids = np.concatenate([g[1] for g in grams]).astype(np.int32)[order]
-    bag_at = np.searchsorted(position[order], np.append(once.starts, start[-1]))
-    del position, order, grams, source, data
-    # n-grams of words of enough texts; the rest would only be learned by heart
-    text_of_word = np.repeat(np.arange(len(texts)), np.diff(w.first))
-    pairs = np.unique(text_of_word * np.int64(len(kept)) + same) % len(kept)
-    held_by = np.bincount(pairs, minlength=len(kept))
-    enough = np.bincount(ids, np.repeat(held_by, np.diff(bag_at)), s.buckets) >= s.min_texts
-    use = enough[ids]
-    bag_at = np.concatenate([[0], np.cumsum(use)])[bag_at]
-    ids = ids[use]
-    p_at, of_text = passages(w.first, s.passage)
+    p_at, of_text = passages(first, s.passage)
     text_of = np.repeat(np.arange(len(texts)), np.diff(of_text))
     table = rng.normal(0, 0.1, (s.buckets, s.width)).astype(np.float32)
     soft = rng.normal(0, 0.3, (s.width, 2)).astype(np.float32)
+    table[:, 0], soft[0] = lean, (-s.lean, s.lean)  # where training starts: what counts alone tell
     base = np.zeros(2, np.float32)
     grown_t, grown_s, grown_b = np.full(s.buckets, 1e-6, np.float32), np.full(soft.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
     total = len(text_of)
     target = toxic[text_of].copy()
-    seen = rng.random(len(texts)) >= s.check_share
     used = seen[text_of]
     for turn in range(s.rounds):
         chosen = np.flatnonzero(used)
@@ -205,8 +245,9 @@ def fit(texts: list[str], toxic: np.ndarray, settings: Settings = Settings()) ->
         positive = max(1, int(target[chosen].sum()))
         weight = np.where(target, 0.5 * len(chosen) / positive, 0.5 * len(chosen) / max(1, len(chosen) - positive))
         weight = (np.minimum(weight, 20.0) if turn == 0 else np.ones(total)).astype(np.float32)
-        for k in range(0, len(chosen), s.batch):
-            part = chosen[k:k + s.batch]
+        batch = min(s.batch, max(32, len(chosen) // s.steps))
+        for k in range(0, len(chosen), batch):
+            part = chosen[k:k + batch]
             sizes = p_at[part + 1] - p_at[part]
             w_at = np.concatenate([[0], np.cumsum(sizes)])
             word = same[np.repeat(p_at[part] - w_at[:-1], sizes) + np.arange(w_at[-1])]
@@ -232,7 +273,7 @@ def fit(texts: list[str], toxic: np.ndarray, settings: Settings = Settings()) ->
             slots, back = np.unique(found, return_inverse=True)
             d_gram = np.repeat(d_kind, n, axis=0)
             d_slot = np.stack([np.bincount(back, d_gram[:, j], len(slots)) for j in range(s.width)], axis=1).astype(np.float32)
-            d_slot += s.decay / s.batch * table[slots]
+            d_slot += s.decay / batch * table[slots]
             grown_t[slots] += (d_slot * d_slot).mean(axis=1)
             table[slots] -= s.rate * d_slot / np.sqrt(grown_t[slots])[:, None]
             grown_s += d_soft * d_soft
@@ -243,7 +284,7 @@ def fit(texts: list[str], toxic: np.ndarray, settings: Settings = Settings()) ->
         bias = float(base[1] - base[0])
         # which passages of the toxic texts are it, and which clean ones are not clear yet
         n = np.diff(bag_at)
-        word_score, some = np.zeros(len(kept)), np.flatnonzero(n > 0)
+        word_score, some = np.zeros(len(n)), np.flatnonzero(n > 0)
         if len(some):
             word_score[some] = np.add.reduceat(weights[ids], bag_at[:-1][some]) / n[some]
         logit = np.add.reduceat(word_score[same], p_at[:-1]) / np.diff(p_at) + bias
@@ -283,7 +324,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     rows = texts.join(picked, "key").orderBy("key", "text", "toxic").limit(
         2 * (settings.toxic_rows + settings.clean_rows)).toArrow()
-    return fit(rows["text"].to_pylist(), rows["toxic"].to_numpy(), settings)
+    texts = pa.concat_arrays(rows["text"].cast(pa.large_string()).chunks) if rows.num_rows else pa.array([], pa.large_string())
+    return fit(texts, rows["toxic"].to_numpy(), settings)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
