@@ -3,14 +3,15 @@
 Equal sets are one class, of which one document stands for all. Links between
 different sets are found in two ways that together miss none:
 
-* Sets with one minimum of a hash meet in a block and are compared through the
-  block's index, a probe at a time in order of size. The lists of the index are
-  skipped to the positions whose sizes can match, and a set much like the one
-  before it takes over that set's counts and corrects them by the few shingles
-  in which the two differ.
+* Sets with one of three sketches in common (their two smallest shingle hashes,
+  their two largest, the two smallest of another hash) meet in a block and are
+  compared through the block's index, a probe at a time in order of size. The
+  lists of the index are skipped to the positions whose sizes can match, and a
+  set much like the one before it takes over that set's counts and corrects
+  them by the few shingles in which the two differ.
 * Sets that share a shingle of their prefixes (the rarest shingles that any
-  partner must hold one of) and have no such minimum in common are compared
-  pair by pair.
+  partner must hold one of) and have no sketch in common are compared pair by
+  pair.
 
 Only links that connect something new in a task are passed on.
 """
@@ -31,10 +32,15 @@ from .words import U64, mix, pieces, shingle_hashes, utf8, word_hashes, word_spa
 
 PIECE = 1 << 20
 SKETCH_BITS = 20
+#: Prefix shingles are counted by slot; slots of several sets are marked in a map of so many bits (16 MB).
+SLOT_BITS, MAP_BITS = 31, 27
 #: A shingle counts as frequent from this many documents of a task's batch on.
 OFTEN = 4
-SEEDS = (U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB))
-SETS = "key long, version long, n long, f long, m1 long, m2 long"
+SEED, FACTOR = U64(0xA0761D6478BD642F), U64(0x9E3779B97F4A7C15)
+SKETCHES = ("m1", "m2", "m3")
+SETS = "key long, version long, n long, f long, m1 long, m2 long, m3 long"
+#: Rows (block, set) that are broadcast to find their texts, at about 100 bytes each; beyond it both sides are dealt.
+BROADCAST_ROWS = 400_000
 
 
 @dataclass(frozen=True)
@@ -79,8 +85,19 @@ class Sets:
     def fingerprint(self) -> np.ndarray:
         return signed(mix(self.reduced(np.add, mix(self.shingles)) + self.n.astype(U64)))
 
-    def minimum(self, seed: np.uint64) -> np.ndarray:
-        return signed(self.reduced(np.minimum, mix(self.shingles ^ seed)))
+    def sketches(self) -> list[np.ndarray]:
+        """Three numbers that sets much alike are likely to share."""
+        out, full = [], np.flatnonzero(self.n)
+        first, last, more = self.at[:-1][full], self.at[1:][full] - 1, self.n[full] > 1
+        other = mix(self.shingles ^ SEED)
+        low = self.reduced(np.minimum, other)[full]
+        rest = np.where(other == np.repeat(low, self.n[full]), U64(0xFFFFFFFFFFFFFFFF), other)
+        next_low = np.minimum.reduceat(rest, first) if len(full) else low
+        for a, b in ((self.shingles[first], self.shingles[first + more]), (self.shingles[last], self.shingles[last - more]), (low, next_low)):
+            made = np.zeros(len(self.n), U64)
+            made[full] = mix(a * FACTOR + b)
+            out.append(signed(made))
+        return out
 
 
 def _bucket(shingles: np.ndarray) -> np.ndarray:
@@ -98,7 +115,7 @@ def describe(rows: DataFrame, settings: Settings) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["kind", "key", "version", "n", "f", "m1", "m2"]
+        names = ["kind", "key", "version", "n", "f", *SKETCHES]
         for batch in batches:
             seen, unlike = [], set()
             for a, b, sets in _batch_sets(batch.column(2), settings.words):
@@ -109,7 +126,7 @@ def describe(rows: DataFrame, settings: Settings) -> DataFrame:
                         seen.append(sets.shingles[sets.at[i]:sets.at[i + 1]])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(b - a, np.int32)), batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
-                     pa.array(sets.n), pa.array(f), pa.array(sets.minimum(SEEDS[0])), pa.array(sets.minimum(SEEDS[1]))], names)
+                     pa.array(sets.n), pa.array(f), *map(pa.array, sets.sketches())], names)
             if seen:
                 kinds, count = np.unique(np.concatenate(seen), return_counts=True)
                 some = count >= OFTEN
@@ -117,7 +134,7 @@ def describe(rows: DataFrame, settings: Settings) -> DataFrame:
         some = np.flatnonzero(often)
         none = pa.array([None] * len(some), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int32)), none, none, pa.array(often[some]),
-                                          pa.array(some), none, none], names)
+                                          pa.array(some), none, none, none], names)
 
     return rows.select("key", "version", "text").mapInArrow(make, "kind int, " + SETS)
 
@@ -244,15 +261,14 @@ def compared(rows: DataFrame, settings: Settings) -> DataFrame:
 
 
 def blocks_of(reps: DataFrame, settings: Settings) -> DataFrame:
-    """(block, f, key, version): every group of sets with one minimum, in blocks of bounded size.
+    """(block, f, key, version): every group of sets with one sketch, in blocks of bounded size.
 
     A group of more than ``block_shingles`` is cut into parts and every two
     parts are a block, so that any two sets of a group meet.
     """
     each = reps.where(F.col("n") > 0).select("f", "key", "version", "n", F.stack(
-        F.lit(2), F.lit(0), F.col("m1"), F.lit(1), F.col("m2")).alias("turn", "m"))
-    groups = each.groupBy("turn", "m").agg(F.count("*").alias("members"), F.sum("n").alias("total"), F.min("n").alias("least"),
-                                           F.max("n").alias("most")).where(F.col("members") > 1)
+        F.lit(3), F.lit(0), F.col("m1"), F.lit(1), F.col("m2"), F.lit(2), F.col("m3")).alias("turn", "m"))
+    groups = each.groupBy("turn", "m").agg(F.count("*").alias("members"), F.sum("n").alias("total")).where(F.col("members") > 1)
     parts = F.greatest(F.lit(1), F.ceil(F.col("total") / settings.block_shingles)).cast("long")
     groups = stored(groups.withColumn("parts", parts), "block-groups")
     each = each.join(groups, ["turn", "m"])
@@ -262,41 +278,82 @@ def blocks_of(reps: DataFrame, settings: Settings) -> DataFrame:
     return each.select(block.alias("block"), "f", "key", "version")
 
 
-def postings(rows: DataFrame, sketch, settings: Settings) -> DataFrame:
-    """(shingle, f, n, pos, m1, m2) of the prefix of every text's set, frequent shingles last."""
-    percent, size = settings.percent, settings.words
+def _prefixes(column: pa.Array, rank: np.ndarray, settings: Settings) -> Iterator[tuple[Sets, np.ndarray, np.ndarray, np.ndarray]]:
+    """(sets, set, shingle, position) of the prefix of every text's set, frequent shingles last."""
+    for _, _, sets in _batch_sets(column, settings.words):
+        owner = np.repeat(np.arange(len(sets.n)), sets.n)
+        order = np.lexsort((sets.shingles, rank[_bucket(sets.shingles)], owner))
+        length = sets.n - (settings.percent * sets.n + 99) // 100 + 1
+        pos = np.arange(len(owner)) - sets.at[:-1][owner]
+        kept = pos < length[owner]
+        yield sets, owner[kept], sets.shingles[order][kept], pos[kept]
+
+
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    """A shingle's slot when prefixes are counted."""
+    return (mix(shingles) >> U64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _bit(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bit) of a slot in the map of shared slots."""
+    at = mix(slots.astype(U64) * FACTOR) >> U64(64 - MAP_BITS)
+    return (at >> U64(6)).astype(np.int64), at & U64(63)
+
+
+def shared_slots(rows: DataFrame, rank, settings: Settings) -> np.ndarray:
+    """A map of fixed size with a bit for every slot that shingles of several different sets' prefixes fall in.
+
+    A shingle whose bit is not set is in one prefix only and brings no partner.
+    """
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sets, owner, shingles, _ in _prefixes(batch.column(0), rank.value, settings):
+                yield pa.RecordBatch.from_arrays([pa.array(_slot(shingles).astype(np.int32)),
+                                                  pa.array(sets.fingerprint()[owner].astype(np.int32))], ["slot", "of"])
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, bit = _bit(batch.column(0).to_numpy().astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(signed(U64(1) << bit))], ["word", "bits"])
+
+    held = rows.select("text").mapInArrow(slots, "slot int, of int").groupBy("slot").agg(
+        F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("slot")
+    found = held.mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), U64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(U64)
+    return out
+
+
+def postings(rows: DataFrame, rank, shared, settings: Settings) -> DataFrame:
+    """(shingle, f, n, pos, m1, m2, m3) of the prefix of every text's set, without shingles of one prefix only."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = sketch.value
         for batch in batches:
-            for _, _, sets in _batch_sets(batch.column(0), size):
-                texts = len(sets.n)
-                owner = np.repeat(np.arange(texts), sets.n)
-                order = np.lexsort((sets.shingles, rank[_bucket(sets.shingles)], owner))
-                length = sets.n - (percent * sets.n + 99) // 100 + 1
-                pos = np.arange(len(owner)) - sets.at[:-1][owner]
-                kept = pos < length[owner]
-                owner, pos = owner[kept], pos[kept]
-                f, m1, m2 = sets.fingerprint(), sets.minimum(SEEDS[0]), sets.minimum(SEEDS[1])
+            for sets, owner, shingles, pos in _prefixes(batch.column(0), rank.value, settings):
+                word, bit = _bit(_slot(shingles))
+                kept = (shared.value[word] >> bit) & U64(1) > 0
+                owner, shingles, pos = owner[kept], shingles[kept], pos[kept]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(sets.shingles[order][kept])), pa.array(f[owner]), pa.array(sets.n[owner].astype(np.int32)),
-                     pa.array(pos.astype(np.int32)), pa.array(m1[owner]), pa.array(m2[owner])],
-                    ["shingle", "f", "n", "pos", "m1", "m2"])
+                    [pa.array(signed(shingles)), pa.array(sets.fingerprint()[owner]), pa.array(sets.n[owner].astype(np.int32)),
+                     pa.array(pos.astype(np.int32)), *(pa.array(m[owner]) for m in sets.sketches())],
+                    ["shingle", "f", "n", "pos", *SKETCHES])
 
-    return rows.select("text").mapInArrow(make, "shingle long, f long, n int, pos int, m1 long, m2 long")
+    return rows.select("text").mapInArrow(make, "shingle long, f long, n int, pos int, m1 long, m2 long, m3 long")
 
 
 def candidates(listed: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (a, b) that share a prefix shingle, can match by size and position, and have no minimum in common."""
+    """Pairs (a, b) that share a prefix shingle, can match by size and position, and have no sketch in common."""
     percent = settings.percent
 
     def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        shingle, f, n, pos, m1, m2 = (t[c].to_numpy() for c in ("shingle", "f", "n", "pos", "m1", "m2"))
+        shingle, f, n, pos, *sketches = (t[c].to_numpy() for c in ("shingle", "f", "n", "pos", *SKETCHES))
         order = np.lexsort((f, n, shingle))
-        shingle, f, n, pos, m1, m2 = (x[order] for x in (shingle, f, n.astype(np.int64), pos.astype(np.int64), m1, m2))
         once = np.ones(len(f), bool)
-        once[1:] = (f[1:] != f[:-1]) | (shingle[1:] != shingle[:-1])
-        shingle, f, n, pos, m1, m2 = (x[once] for x in (shingle, f, n, pos, m1, m2))
+        once[1:] = (f[order][1:] != f[order][:-1]) | (shingle[order][1:] != shingle[order][:-1])
+        order = order[once]
+        shingle, f, n, pos = shingle[order], f[order], n[order].astype(np.int64), pos[order].astype(np.int64)
+        sketches = [m[order] for m in sketches]
         out_a, out_b = [], []
         end = np.searchsorted(shingle, shingle, "right")
         step = 1
@@ -309,7 +366,9 @@ def candidates(listed: DataFrame, settings: Settings) -> DataFrame:
             a, b = alive, alive + step
             need = -(-percent * (n[a] + n[b]) // (100 + percent))
             can = np.minimum(n[a] - pos[a], n[b] - pos[b]) + np.minimum(pos[a], pos[b]) >= need
-            good = can & (m1[a] != m1[b]) & (m2[a] != m2[b])
+            good = can
+            for m in sketches:
+                good &= m[a] != m[b]
             out_a.append(f[a[good]])
             out_b.append(f[b[good]])
             step += 1
@@ -361,15 +420,18 @@ def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     sketch = spark.sparkContext.broadcast(rank)
     reps = stored(sets.where(F.col("n") > 0).groupBy("f").agg(
         F.min(F.struct(F.col("key").isNull().alias("none"), "key", "version")).alias("rep"), F.max("n").alias("n"),
-        F.max("m1").alias("m1"), F.max("m2").alias("m2")).select("f", "rep.key", "rep.version", "n", "m1", "m2"), "classes")
+        *(F.max(m).alias(m) for m in SKETCHES)).select("f", "rep.key", "rep.version", "n", *SKETCHES), "classes")
 
     def texts(picked: DataFrame) -> DataFrame:
         """With the text of each (key, version)."""
-        p, r = picked.alias("p"), rows.alias("r")
+        picked = stored(picked, "picked")
+        few = picked.count() <= BROADCAST_ROWS
+        p, r = (F.broadcast(picked) if few else picked).alias("p"), rows.alias("r")
         return p.join(r, F.col("p.key").eqNullSafe(F.col("r.key")) & (F.col("p.version") == F.col("r.version"))).select("p.*", "r.text")
 
     near = stored(compared(texts(blocks_of(reps, settings)), settings), "links-blocks")
-    pairs = stored(candidates(postings(rows, sketch, settings), settings), "candidates")
+    shared = spark.sparkContext.broadcast(shared_slots(rows, sketch, settings))
+    pairs = stored(candidates(postings(rows, sketch, shared, settings), settings), "candidates")
     ends = pairs.select(F.xxhash64("a", "b").alias("block"), F.explode(F.array("a", "b")).alias("f"))
     ends = ends.join(reps.select("f", "key", "version"), "f")
     far = stored(compared(texts(ends.select("block", "f", "key", "version")), settings), "links-pairs")
