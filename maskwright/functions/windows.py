@@ -2,23 +2,24 @@
 
 A plain window sorts all rows of a key in one task. Here every key is cut into
 buckets; each bucket is windowed on its own, and what must cross a bucket
-border is carried by one row per key and bucket.
+border is carried by one row per key and bucket. Those rows are cut into
+coarser buckets in turn, as often as ``coarser`` says, so that an order over
+all rows meets in one window only with as many rows as there are buckets of
+the coarsest kind.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
-
-
-def _summaries(df: DataFrame, keys, aggs: dict[str, Column]) -> DataFrame:
-    return df.groupBy(*keys, BUCKET).agg(*[c.alias(n) for n, c in aggs.items()])
+Coarser = Sequence[Callable[[Column], Column]]
 
 
 def _outer(keys):
-    # Without keys all buckets meet in one small window: one row per bucket.
     return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BUCKET)
 
 
@@ -31,6 +32,28 @@ def _join(df: DataFrame, small: DataFrame, keys) -> DataFrame:
     return df.join(s, on, "left").drop("_k_bucket", *[f"_k_{k}" for k in keys])
 
 
+def _carried(rows: DataFrame, keys: list[str], coarser: Coarser, pick: Callable, reduce: Callable,
+             join: Callable, backward: bool = False) -> DataFrame:
+    """``rows(*keys, BUCKET, _edge)`` with ``_edge`` replaced by what the buckets before it carry.
+
+    ``pick(column)`` reads the rows before one in order (after, if
+    ``backward``), ``reduce`` sums up a coarser bucket, ``join(inner, outer)``
+    puts both together.
+    """
+    def ahead(by: list, column: str):
+        order = F.desc(column) if backward else F.asc(column)
+        return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    if not coarser:
+        return rows.withColumn("_edge", pick("_edge").over(ahead(keys or [F.lit(0)], BUCKET)))
+    cut = rows.withColumnRenamed(BUCKET, "_fine").withColumn(BUCKET, coarser[0](F.col("_fine")))
+    inner = ahead([*keys, BUCKET], "_fine")
+    totals = cut.groupBy(*keys, BUCKET).agg(reduce("_edge", "_fine").alias("_edge"))
+    above = _carried(totals, keys, coarser[1:], pick, reduce, join, backward).withColumnRenamed("_edge", "_above")
+    out = _join(cut.withColumn("_in", pick("_edge").over(inner)), above, keys)
+    return out.withColumn("_edge", join(F.col("_in"), F.col("_above"))).drop("_in", "_above", BUCKET) \
+        .withColumnRenamed("_fine", BUCKET)
+
+
 def previous(df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: Column,
              name: str, backward: bool = False) -> DataFrame:
     """``value`` of the row before (after, if ``backward``) in ``order``, within ``keys``."""
@@ -39,7 +62,7 @@ def previous(df: DataFrame, keys: list[str], bucket: Column, order: list[str], v
     pick = F.min_by if backward else F.max_by
     step = F.lead if backward else F.lag
     inner = Window.partitionBy(*keys, BUCKET).orderBy(*order)
-    edge = _summaries(cut, keys, {"_edge": pick(F.col("_v"), at)}).withColumn(
+    edge = cut.groupBy(*keys, BUCKET).agg(pick(F.col("_v"), at).alias("_edge")).withColumn(
         "_edge", step("_edge").over(_outer(keys)))
     with_inner = cut.withColumn("_in", step("_v").over(inner))
     return _join(with_inner, edge, keys).withColumn(
@@ -47,36 +70,40 @@ def previous(df: DataFrame, keys: list[str], bucket: Column, order: list[str], v
 
 
 def running_sum(df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: Column,
-                name: str) -> DataFrame:
+                name: str, coarser: Coarser = ()) -> DataFrame:
     """Sum of ``value`` up to and including each row."""
     cut = df.withColumn(BUCKET, bucket).withColumn("_v", value)
     inner = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    before = _outer(keys).rowsBetween(Window.unboundedPreceding, -1)
-    total = _summaries(cut, keys, {"_total": F.sum("_v")}).withColumn(
-        "_before", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
+    totals = cut.groupBy(*keys, BUCKET).agg(F.sum("_v").alias("_edge"))
+    edge = _carried(totals, keys, coarser, F.sum, lambda e, _: F.sum(e),
+                    lambda i, o: F.coalesce(i, F.lit(0)) + F.coalesce(o, F.lit(0)))
     with_inner = cut.withColumn("_in", F.sum("_v").over(inner))
-    return _join(with_inner, total, keys).withColumn(
-        name, F.col("_in") + F.col("_before")).drop("_v", "_in", "_before", BUCKET)
+    return _join(with_inner, edge, keys).withColumn(
+        name, F.col("_in") + F.coalesce(F.col("_edge"), F.lit(0))).drop("_v", "_in", "_edge", BUCKET)
 
 
 def latest(df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: Column,
-           name: str, following: bool = False) -> DataFrame:
-    """Last non-null ``value`` up to each row, or with ``following`` the next one after it."""
+           name: str, following: bool = False, coarser: Coarser = ()) -> DataFrame:
+    """Last non-null ``value`` up to each row, or with ``following`` the next one after it.
+
+    Both read running frames; for the next one the order is turned round.
+    """
     cut = df.withColumn(BUCKET, bucket).withColumn("_v", F.when(value.isNotNull(), F.struct(value.alias("v"))))
     at = F.struct(*order)
-    inner = Window.partitionBy(*keys, BUCKET).orderBy(*order)
-    if following:
-        inner, outer = inner.rowsBetween(1, Window.unboundedFollowing), \
-            _outer(keys).rowsBetween(1, Window.unboundedFollowing)
-        edge_value, pick = F.min_by("_v", F.when(F.col("_v").isNotNull(), at)), F.first
-    else:
-        inner, outer = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow), \
-            _outer(keys).rowsBetween(Window.unboundedPreceding, -1)
-        edge_value, pick = F.max_by("_v", F.when(F.col("_v").isNotNull(), at)), F.last
-    edge = _summaries(cut, keys, {"_edge": edge_value}).withColumn(
-        "_edge", pick("_edge", ignorenulls=True).over(outer))
-    with_inner = cut.withColumn("_in", pick("_v", ignorenulls=True).over(inner))
+    turn = (lambda c: F.col(c).desc()) if following else F.col
+    inner = Window.partitionBy(*keys, BUCKET).orderBy(*[turn(c) for c in order]).rowsBetween(
+        Window.unboundedPreceding, -1 if following else Window.currentRow)
+    edge_value = (F.min_by if following else F.max_by)("_v", F.when(F.col("_v").isNotNull(), at))
+
+    def last(column):
+        return F.last(column, ignorenulls=True)
+
+    def reduce(edge, fine):
+        return (F.min_by if following else F.max_by)(edge, F.when(F.col(edge).isNotNull(), F.col(fine)))
+    edges = cut.groupBy(*keys, BUCKET).agg(edge_value.alias("_edge"))
+    edge = _carried(edges, keys, coarser, last, reduce, F.coalesce, following)
+    with_inner = cut.withColumn("_in", last("_v").over(inner))
     return _join(with_inner, edge, keys).withColumn(
         name, F.coalesce(F.col("_in"), F.col("_edge"))["v"]).drop("_v", "_in", "_edge", BUCKET)
 

@@ -1,8 +1,9 @@
 """Idle, tab and screen-share state folded from control events.
 
 Input ``events(event_id, ts, tab_id, host, kind, stream_id, trigger)``. Order
-is by ``(ts, event_id)``. Ordered steps run per tab and minute, so a busy tab
-is spread over many tasks.
+is by ``(ts, event_id)``. Ordered steps run per tab and minute, and over all
+tabs per second, so that neither a busy tab nor the whole stream meets in one
+task.
 """
 
 from __future__ import annotations
@@ -21,6 +22,15 @@ def slot(ts: str = "ts") -> Column:
     return F.date_trunc("minute", ts)
 
 
+#: An order over all tabs: put in order by the second, carried by the hour and the month.
+ACROSS = (lambda b: F.date_trunc("hour", b), lambda b: F.date_trunc("month", b))
+
+
+def instant(ts: str = "ts") -> Column:
+    """The piece of time of all tabs that is put in order as one."""
+    return F.date_trunc("second", ts)
+
+
 def last_of(value, when: Column | None = None) -> Column:
     at = F.struct(*ORDER)
     return F.max_by(value, at if when is None else F.when(when, at))
@@ -95,8 +105,8 @@ def cleared_ignores(events: DataFrame) -> DataFrame:
     relevant = events.where(
         (F.col("kind") == "share_open")
         | ((F.col("kind") == "ignore_tab") & (F.col("trigger") == "screen_share")))
-    nexted = W.latest(relevant, [], slot(), ORDER,
-                      F.when(F.col("kind") == "share_open", F.col("ts")), "cleared_at", following=True)
+    nexted = W.latest(relevant, [], instant(), ORDER, F.when(F.col("kind") == "share_open", F.col("ts")),
+                      "cleared_at", following=True, coarser=ACROSS)
     return nexted.where(F.col("kind") == "ignore_tab").select("event_id", "tab_id", "ts", "cleared_at")
 
 
@@ -122,7 +132,7 @@ def suspend_flags(events: DataFrame) -> DataFrame:
     flags = events.where(F.col("kind").isin("suspend", "resume")).groupBy("trigger").agg(
         last_of(F.col("kind")).alias("op"), F.max(F.struct(*ORDER)).alias("at"))
     steps = share_steps(events).where(F.col("step") != 0)
-    open_now = W.running_sum(steps, [], slot(), ORDER, F.col("step"), "n_open")
+    open_now = W.running_sum(steps, [], instant(), ORDER, F.col("step"), "n_open", coarser=ACROSS)
     quiet = open_now.where(F.col("n_open") == 0).agg(F.max(F.struct(*ORDER))).scalar()
     return flags.withColumn("quiet", quiet).select("trigger", F.when(
         F.col("op") == "resume", False).otherwise(

@@ -51,6 +51,20 @@ def test_latest(data):
     same(W.latest(data, ["k"], F.floor(c("t") / 9), ["t", "i"], v, "l", following=True), plain, "i", "k", "l")
 
 
+def test_order_over_all_rows_in_levels(data):
+    every = Window.partitionBy(F.lit(1)).orderBy("t", "i")
+    levels = (lambda b: F.floor(b / 5), lambda b: F.floor(b / 4))
+    bucket, v = F.floor(c("t") / 3), F.when(c("v") == 2, c("i"))
+    plain = data.withColumn("s", F.sum(F.coalesce("v", F.lit(0))).over(every.rowsBetween(Window.unboundedPreceding, 0)))
+    same(W.running_sum(data, [], bucket, ["t", "i"], F.coalesce("v", F.lit(0)), "s", coarser=levels), plain, "i", "s")
+    plain = data.withColumn("l", F.first(v, True).over(every.rowsBetween(1, Window.unboundedFollowing)))
+    same(W.latest(data, [], bucket, ["t", "i"], v, "l", following=True, coarser=levels), plain, "i", "l")
+    plain = data.withColumn("l", F.last(v, True).over(every.rowsBetween(Window.unboundedPreceding, 0)))
+    same(W.latest(data, ["k"], bucket, ["t", "i"], v, "l", coarser=levels), data.withColumn(
+        "l", F.last(v, True).over(key().rowsBetween(Window.unboundedPreceding, 0))), "i", "k", "l")
+    same(W.latest(data, [], bucket, ["t", "i"], v, "l", coarser=levels), plain, "i", "l")
+
+
 def test_nearest_rank_is_exact(spark):
     rnd = random.Random(3)
     rows = [("hot", rnd.choice([1.0, 1.0, 5.5, rnd.random() * 1e6])) for _ in range(5000)] + [("one", 7.0)] \
