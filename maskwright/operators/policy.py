@@ -163,6 +163,36 @@ SNAPSHOT_FIELDS = ("blur_mode", *(f"cat_{c}" for c in CATEGORIES), "pick_blur_en
                    "share_enabled", "idle_value", "idle_unit", "idle_enabled", "tab_switch_enabled")
 
 
+#: Where a snapshot holds each setting.
+SNAPSHOT_PATHS = {
+    "blur_all_status": "blur_all.status", "blur_mode": "blur_all.settings.blur_mode",
+    **{f"cat_{c}": f"blur_all.settings.blur_categories.{c}" for c in CATEGORIES},
+    "pick_blur_enabled": "pick_and_blur.status", "picker_mode": "pick_and_blur.settings.picker_mode",
+    "pick_blur_type": "pick_and_blur.settings.blur_type", "pick_color_hex": "pick_and_blur.settings.blur_color.hex",
+    "pick_color_opacity": "pick_and_blur.settings.blur_color.opacity", "pii_email": "auto_detect_pii.settings.email",
+    "pii_numeric": "auto_detect_pii.settings.numeric", "pii_mode": "auto_detect_pii.settings.pii_mode",
+    "pii_redaction_color": "auto_detect_pii.settings.pii_redaction_color",
+    "share_enabled": "automate.settings.screen_share.enabled", "idle_value": "automate.settings.idle.value",
+    "idle_unit": "automate.settings.idle.unit", "idle_enabled": "automate.settings.idle.enabled",
+    "tab_switch_enabled": "automate.settings.tab_switch.enabled",
+}
+
+
+def merge_snapshot(snapshot_json: Column, base: dict[str, Column]) -> Column:
+    """Struct of all settings: what the snapshot itself holds laid over ``base``, the rest as it is there.
+
+    Nothing is filled in or repaired: a rule that sets one field leaves the others to the globals.
+    """
+    def laid(raw: Column) -> Column:
+        def held(name: str) -> Column:
+            at = raw
+            for part in SNAPSHOT_PATHS[name].split("."):
+                at = at[part]
+            return at
+        return F.struct(*[(F.coalesce(held(n), base[n]) if n in SNAPSHOT_PATHS else base[n]).alias(n) for n in base])
+    return let(F.from_json(snapshot_json, RAW_SNAPSHOT), laid)
+
+
 def complete_snapshot(snapshot_json: Column) -> Column:
     """Null for an empty snapshot, else all settings a rule pins, filled from the defaults.
 
@@ -251,8 +281,8 @@ class RuleBook:
         parsed = rules.select(
             "rule_ord", "hostname_value", "hostname_type",
             U.parse_pattern(F.col("hostname_value")).alias("p"),
-            complete_snapshot(F.col("snapshot")).alias("snap"))
-        kept = parsed.select("rule_ord", "hostname_value", "hostname_type", "p.*",
+            complete_snapshot(F.col("snapshot")).alias("snap"), F.col("snapshot").alias("raw"))
+        kept = parsed.select("rule_ord", "hostname_value", "hostname_type", "p.*", "raw",
                              F.to_json("snap", {"ignoreNullFields": "false"}).alias("snap"))
         rows = [r.asDict() for r in kept.orderBy("rule_ord").collect()]
         return cls(rows, parsed.schema["snap"].dataType.simpleString())

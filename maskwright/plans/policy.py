@@ -142,14 +142,15 @@ def engage_flag(spark, sf_dir):
 
 @query("resolve_merge")
 def resolve_merge(spark, sf_dir):
-    """The older resolver: first rule of any kind, its settings laid over the globals."""
+    """The older resolver: what the first rule of any kind holds, laid over each page's globals."""
     book = _book(spark, sf_dir)
+    odd = c("page_id") % 2 == 1
+    base = {n: policy._default(n) for n in policy.DEFAULTS} | {
+        "blur_radius": (c("page_id") % 25).cast("double"), "pii_mode": F.when(odd, "starred").otherwise("blur"), "cat_form": odd,
+        "pii_email": ~odd, "idle_unit": F.when(odd, "sec").otherwise("min"), "blur_mode": F.when(odd, "masked").otherwise("blur")}
     found = with_once(pages(spark, sf_dir).select("page_id", "url"), rule_ord=book.first_any(c("url")))
-    snap = book.snapshot(c("rule_ord"))
-    return with_once(found, s=snap).select(
-        "page_id", "rule_ord",
-        *[F.when(c("s").isNotNull(), c("s")[f]).otherwise(policy._default(f)).alias(f)
-          for f in ("blur_mode", "pii_email", "pii_mode", "cat_text", "cat_form", "idle_unit")])
+    merged = policy.merge_snapshot(book.describe(c("rule_ord"), "raw"), base)
+    return with_once(found, s=merged).select("page_id", "rule_ord", "s.*")
 
 
 @query("snapshot_complete")

@@ -245,11 +245,40 @@ SQL["items_replace"] = f"SELECT page_id, items FROM {FOLD}"
 SQL["engage_flag"] = (f"SELECT enabled, blur_all_status, enabled AND blur_all_status AS engage, count(*) AS n "
                       f"FROM {FOLD} GROUP BY 1, 2")
 _any = f"(SELECT w.page_id, least(w.rule_ord, x.rule_ord) AS rule_ord FROM {_wild(repr('wildcard') + ', ' + repr('exact'))} w JOIN {REGEX} x ON x.page_id = w.page_id)"
+#: Settings in a rule, written out: path and type; the rest are the page's globals.
+_held = {
+    "blur_all_status": ("blur_all.status", "BOOLEAN"), "blur_mode": ("blur_all.settings.blur_mode", "VARCHAR"),
+    "cat_text": ("blur_all.settings.blur_categories.text", "BOOLEAN"), "cat_media": ("blur_all.settings.blur_categories.media", "BOOLEAN"),
+    "cat_form": ("blur_all.settings.blur_categories.form", "BOOLEAN"), "cat_table": ("blur_all.settings.blur_categories.table", "BOOLEAN"),
+    "cat_structure": ("blur_all.settings.blur_categories.structure", "BOOLEAN"), "pick_blur_enabled": ("pick_and_blur.status", "BOOLEAN"),
+    "picker_mode": ("pick_and_blur.settings.picker_mode", "VARCHAR"), "pick_blur_type": ("pick_and_blur.settings.blur_type", "VARCHAR"),
+    "pick_color_hex": ("pick_and_blur.settings.blur_color.hex", "VARCHAR"),
+    "pick_color_opacity": ("pick_and_blur.settings.blur_color.opacity", "DOUBLE"), "pii_email": ("auto_detect_pii.settings.email", "BOOLEAN"),
+    "pii_numeric": ("auto_detect_pii.settings.numeric", "BOOLEAN"), "pii_mode": ("auto_detect_pii.settings.pii_mode", "VARCHAR"),
+    "pii_redaction_color": ("auto_detect_pii.settings.pii_redaction_color", "VARCHAR"),
+    "share_enabled": ("automate.settings.screen_share.enabled", "BOOLEAN"), "idle_value": ("automate.settings.idle.value", "DOUBLE"),
+    "idle_unit": ("automate.settings.idle.unit", "VARCHAR"), "idle_enabled": ("automate.settings.idle.enabled", "BOOLEAN"),
+    "tab_switch_enabled": ("automate.settings.tab_switch.enabled", "BOOLEAN"),
+}
+_odd = "(a.page_id % 2 = 1)"
+_globals = {
+    "blur_radius": "CAST(a.page_id % 25 AS DOUBLE)", "pii_mode": f"CASE WHEN {_odd} THEN 'starred' ELSE 'blur' END", "cat_form": _odd,
+    "pii_email": f"(NOT {_odd})", "idle_unit": f"CASE WHEN {_odd} THEN 'sec' ELSE 'min' END",
+    "blur_mode": f"CASE WHEN {_odd} THEN 'masked' ELSE 'blur' END",
+}
+
+
+def _laid(field: str) -> str:
+    own = _globals.get(field, dflt(field))
+    if field not in _held:
+        return f"{own} AS {field}"
+    path, kind = _held[field]
+    return f"coalesce(CAST(json_extract_string(s.j, '$.{path}') AS {kind}), {own}) AS {field}"
+
+
 SQL["resolve_merge"] = (
-    "SELECT a.page_id, a.rule_ord, " + ", ".join(
-        f"CASE WHEN s.rule_ord IS NOT NULL AND NOT s.is_empty THEN s.{f} ELSE {dflt(f)} END AS {f}"
-        for f in ("blur_mode", "pii_email", "pii_mode", "cat_text", "cat_form", "idle_unit"))
-    + f" FROM {_any} a LEFT JOIN {snaps(RULES)} s ON s.rule_ord = a.rule_ord")
+    f"SELECT a.page_id, a.rule_ord, {', '.join(_laid(f) for f in FIELDS)} FROM {_any} a "
+    f"LEFT JOIN (SELECT rule_ord, CAST(snapshot AS JSON) AS j FROM {RULES}) s ON s.rule_ord = a.rule_ord")
 
 _flags = f"pol AS MATERIALIZED (SELECT page_id, pii_email, pii_numeric FROM {folded({'pii_email': '(g.page_id % 3 = 0)'})})"
 _of = f"(SELECT {{}} FROM pol WHERE pol.page_id = id // {QP.NODE})"

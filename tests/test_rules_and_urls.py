@@ -65,3 +65,12 @@ def test_a_detector_registered_anew_is_not_served_from_the_old_one(spark):
         finally:
             detect.unregister_detector("mine")
     assert found == [["QQ12"], ["ZZ34"]]
+
+
+def test_a_rule_that_sets_one_field_leaves_the_others_to_the_globals(spark):
+    base = {n: policy._default(n) for n in policy.DEFAULTS} | {"blur_radius": F.lit(10.0), "reveal_mode": F.lit("tap"), "pii_mode": F.lit("starred")}
+    one = '{"auto_detect_pii": {"settings": {"email": true}}}'
+    df = spark.createDataFrame([(one,), ("{}",), (None,)], "snapshot string")
+    got = [r[0] for r in df.select(policy.merge_snapshot(F.col("snapshot"), base)).collect()]
+    assert [(r.pii_email, r.pii_mode, r.blur_radius, r.reveal_mode) for r in got] == [
+        (True, "starred", 10.0, "tap"), (False, "starred", 10.0, "tap"), (False, "starred", 10.0, "tap")]
