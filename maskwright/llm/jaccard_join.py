@@ -11,7 +11,8 @@ different sets are found in two ways that together miss none:
   them by the few shingles in which the two differ.
 * Sets that share a shingle of their prefixes (the rarest shingles that any
   partner must hold one of) and have no sketch in common are compared pair by
-  pair.
+  pair, if what they hold of a fixed part of all hashes does not already differ
+  by more shingles than a link allows.
 
 Only links that connect something new in a task are passed on.
 """
@@ -38,7 +39,9 @@ SLOT_BITS, MAP_BITS = 31, 27
 OFTEN = 4
 SEED, FACTOR = U64(0xA0761D6478BD642F), U64(0x9E3779B97F4A7C15)
 SKETCHES = ("m1", "m2", "m3")
-SETS = "key long, version long, n long, f long, m1 long, m2 long, m3 long"
+SETS = "key long, version long, n long, f long, m1 long, m2 long, m3 long, part array<int>"
+#: One of so many parts of all hashes (as a power of two) is kept with every set.
+PART_BITS = 4
 #: Rows (block, set) that are broadcast to find their texts, at about 100 bytes each; beyond it both sides are dealt.
 BROADCAST_ROWS = 400_000
 
@@ -85,6 +88,13 @@ class Sets:
     def fingerprint(self) -> np.ndarray:
         return signed(mix(self.reduced(np.add, mix(self.shingles)) + self.n.astype(U64)))
 
+    def parts(self) -> pa.ListArray:
+        """Of every set the shingles of one part of all hashes, cut to 32 bits."""
+        mine = (self.shingles >> U64(64 - PART_BITS)) == 0
+        ends = np.concatenate([[0], np.cumsum(mine)])[self.at]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(
+            (self.shingles[mine] & U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
+
     def sketches(self) -> list[np.ndarray]:
         """Three numbers that sets much alike are likely to share."""
         out, full = [], np.flatnonzero(self.n)
@@ -115,7 +125,7 @@ def describe(rows: DataFrame, settings: Settings) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["kind", "key", "version", "n", "f", *SKETCHES]
+        names = ["kind", "key", "version", "n", "f", *SKETCHES, "part"]
         for batch in batches:
             seen, unlike = [], set()
             for a, b, sets in _batch_sets(batch.column(2), settings.words):
@@ -126,7 +136,7 @@ def describe(rows: DataFrame, settings: Settings) -> DataFrame:
                         seen.append(sets.shingles[sets.at[i]:sets.at[i + 1]])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(b - a, np.int32)), batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
-                     pa.array(sets.n), pa.array(f), *map(pa.array, sets.sketches())], names)
+                     pa.array(sets.n), pa.array(f), *map(pa.array, sets.sketches()), sets.parts()], names)
             if seen:
                 kinds, count = np.unique(np.concatenate(seen), return_counts=True)
                 some = count >= OFTEN
@@ -134,7 +144,7 @@ def describe(rows: DataFrame, settings: Settings) -> DataFrame:
         some = np.flatnonzero(often)
         none = pa.array([None] * len(some), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int32)), none, none, pa.array(often[some]),
-                                          pa.array(some), none, none, none], names)
+                                          pa.array(some), none, none, none, pa.array([None] * len(some), pa.list_(pa.int32()))], names)
 
     return rows.select("key", "version", "text").mapInArrow(make, "kind int, " + SETS)
 
@@ -398,6 +408,16 @@ def candidates(listed: DataFrame, settings: Settings) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def not_apart(pairs: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs whose sets do not differ, in the part of the hashes kept with them, by more than a link allows."""
+    a, b = (reps.select(F.col("f").alias(x), F.col("n").alias(f"n_{x}"), F.col("part").alias(f"part_{x}")) for x in "ab")
+    both = F.col("n_a") + F.col("n_b")
+    allowed = both - 2 * F.ceil(settings.percent * both / (100 + settings.percent))
+    shared = F.size(F.array_intersect("part_a", "part_b"))
+    apart = F.size(F.array_distinct("part_a")) + F.size(F.array_distinct("part_b")) - 2 * shared
+    return pairs.join(a, "a").join(b, "b").where(apart <= allowed).select("a", "b")
+
+
 def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """(key, version, n_shingles, class_id, component_id, root) of every row.
 
@@ -420,7 +440,8 @@ def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     sketch = spark.sparkContext.broadcast(rank)
     reps = stored(sets.where(F.col("n") > 0).groupBy("f").agg(
         F.min(F.struct(F.col("key").isNull().alias("none"), "key", "version")).alias("rep"), F.max("n").alias("n"),
-        *(F.max(m).alias(m) for m in SKETCHES)).select("f", "rep.key", "rep.version", "n", *SKETCHES), "classes")
+        *(F.max(m).alias(m) for m in SKETCHES), F.first("part").alias("part")).select(
+        "f", "rep.key", "rep.version", "n", *SKETCHES, "part"), "classes")
 
     def texts(picked: DataFrame) -> DataFrame:
         """With the text of each (key, version)."""
@@ -432,6 +453,7 @@ def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     near = stored(compared(texts(blocks_of(reps, settings)), settings), "links-blocks")
     shared = spark.sparkContext.broadcast(shared_slots(rows, sketch, settings))
     pairs = stored(candidates(postings(rows, sketch, shared, settings), settings), "candidates")
+    pairs = stored(not_apart(pairs, reps, settings), "pairs")
     ends = pairs.select(F.xxhash64("a", "b").alias("block"), F.explode(F.array("a", "b")).alias("f"))
     ends = ends.join(reps.select("f", "key", "version"), "f")
     far = stored(compared(texts(ends.select("block", "f", "key", "version")), settings), "links-pairs")
