@@ -127,7 +127,7 @@ def element_rows(pages: DataFrame) -> DataFrame:
         "page_id", "pos", "tag", "parent", "ancestors", "steps", at("id").alias("id"),
         at("aria-label").alias("aria"), classes.alias("classes"),
         F.array_compact(F.array(*[F.when(_filled(at(a)).isNotNull(), F.struct(
-            F.lit(i).alias("ord"), F.lit(a).alias("name"), F.trim(at(a)).alias("value")))
+            F.lit(i).alias("ord"), F.lit(a).alias("name"), F.trim(at(a)).alias("value"), at(a).alias("raw")))
             for i, a in enumerate(V.STABLE_ATTRIBUTES)])).alias("stable"),
     ).repartition("page_id")
 
@@ -143,82 +143,101 @@ def path_selector() -> Column:
                   F.concat(F.lit("body > "), F.array_join(below, " > ")))
 
 
+def _counted(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """``rows`` with how many share each value of ``by``; rows without one are counted with none."""
+    n = rows.where(F.col(by[-1]).isNotNull()).groupBy("page_id", *by).agg(F.count("*").alias(name))
+    return rows.join(n, ["page_id", *by], "left")
+
+
 def id_selector(rows: DataFrame) -> DataFrame:
-    n = F.count("*").over(Window.partitionBy("page_id", "id"))
     unique = (F.col("_n") == 1) & (F.trim("id") == F.col("id")) & (F.col("id") != "")
-    return rows.withColumn("_n", n).withColumn("by_id", F.when(
+    return _counted(rows, ["id"], "_n").withColumn("by_id", F.when(
         unique, F.concat(F.lit("#"), css_escape(F.col("id"))))).drop("_n")
 
 
 def aria_selector(rows: DataFrame) -> DataFrame:
-    n = F.count("*").over(Window.partitionBy("page_id", "tag", "aria"))
     unique = (F.col("_n") == 1) & (F.trim("aria") == F.col("aria")) & (F.col("aria") != "") \
         & (F.length("aria") <= V.ARIA_LABEL_LIMIT)
-    return rows.withColumn("_n", n).withColumn("by_aria", F.when(
+    return _counted(rows, ["tag", "aria"], "_n").withColumn("by_aria", F.when(
         unique, F.concat(F.col("tag"), F.lit("[aria-label="), quoted(F.col("aria")), F.lit("]")))).drop("_n")
 
 
+def attribute_selector(name: Column, value: Column) -> Column:
+    return F.concat(F.lit("["), name, F.lit("="), quoted(value), F.lit("]"))
+
+
 def data_selector(rows: DataFrame) -> DataFrame:
-    """First stable attribute that is unique in the page, alone or with the tag."""
+    """First stable attribute that is unique in the page, alone or with the tag.
+
+    A selector names the trimmed value, so an attribute with outer spaces, which it would not match, gives none.
+    """
     flat = rows.select("page_id", "pos", "tag", F.inline("stable"))
-    alone = F.count("*").over(Window.partitionBy("page_id", "name", "value"))
-    tagged = F.count("*").over(Window.partitionBy("page_id", "name", "value", "tag"))
-    sel = F.concat(F.lit("["), F.col("name"), F.lit("="), quoted(F.col("value")), F.lit("]"))
-    best = flat.withColumn("_a", alone).withColumn("_t", tagged).withColumn(
+    exact = _counted(_counted(flat, ["name", "raw"], "_a"), ["tag", "name", "raw"], "_t")
+    sel = attribute_selector(F.col("name"), F.col("value"))
+    best = exact.where("raw = value").withColumn(
         "sel", F.when(F.col("_a") == 1, sel).when(F.col("_t") == 1, F.concat(F.col("tag"), sel))) \
         .where("sel is not null").groupBy("page_id", "pos").agg(F.min_by("sel", "ord").alias("by_data"))
     return rows.join(best, ["page_id", "pos"], "left")
 
 
+def matching_classes(wanted: DataFrame, held: DataFrame, scope: list[str]) -> DataFrame:
+    """``wanted(*scope, set)`` with ``n``: in how many rows of ``held(*scope, set, n, ..)`` all its classes stand.
+
+    The sets meet on one class, so no list of sets is carried along.
+    """
+    one = wanted.withColumn("_key", F.array_min("set"))
+    more = held.select(*scope, F.col("set").alias("_held"), "n", F.explode("set").alias("_key"))
+    met = one.join(more, [*scope, "_key"]).where(F.size(F.array_except("set", "_held")) == 0)
+    return met.groupBy(*scope, "set").agg(F.sum("n").alias("n"))
+
+
 def class_selector(rows: DataFrame) -> DataFrame:
     """Tag and classes, below the parent's id when that is unique; kept even when not unique."""
     named = rows.where("id is not null and id <> ''").select(
         "page_id", F.col("pos").alias("parent"), F.col("id").alias("parent_id"))
     own = F.concat(F.col("tag"), F.lit("."), F.array_join(F.transform("classes", css_escape), "."))
     classed = rows.where(F.size("classes") > 0).select(
-        "page_id", "pos", "tag", "parent", "classes", own.alias("own")) \
+        "page_id", "pos", "tag", "parent", F.array_sort(F.array_distinct("classes")).alias("set"), own.alias("own")) \
         .join(named, ["page_id", "parent"], "left")
-    # Elements that would match too: same tag under that id with at least these classes. Equal
-    # class sets are counted first, so a page contributes its distinct sets, not its pairs.
-    sets = classed.where("parent_id is not null").groupBy(
-        "page_id", "parent_id", "tag", F.array_sort(F.array_distinct("classes")).alias("set")) \
-        .agg(F.count("*").alias("n")).groupBy("page_id", "parent_id", "tag").agg(
-        F.collect_list(F.struct("set", "n")).alias("sets"))
-    scoped = classed.join(sets, ["page_id", "parent_id", "tag"], "left")
-    matching = F.aggregate(
-        F.filter("sets", lambda s: F.size(F.array_except("classes", s["set"])) == 0),
-        F.lit(0).cast("bigint"), lambda a, s: a + s["n"])
-    by_class = F.when(matching == 1, F.concat(
+    # Elements that would match too: same tag under that id with at least these classes.
+    scope = ["page_id", "parent_id", "tag"]
+    sets = classed.where("parent_id is not null").groupBy(*scope, "set").agg(F.count("*").alias("n"))
+    scoped = classed.join(matching_classes(sets.drop("n"), sets, scope), [*scope, "set"], "left")
+    by_class = F.when(F.col("n") == 1, F.concat(
         F.lit("#"), css_escape(F.col("parent_id")), F.lit(" > "), F.col("own"))).otherwise(F.col("own"))
     return rows.join(scoped.select("page_id", "pos", by_class.alias("by_class")), ["page_id", "pos"], "left")
 
 
+def anchor_paths(rows: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``anchors(page_id, pos, ..)`` met by every element below them: (page_id, pos, anc, path, ..)."""
+    below = rows.where(~F.col("tag").isin("body", "html")).select(
+        "page_id", "pos", "steps", F.posexplode("ancestors").alias("depth", "anc"))
+    path = F.array_join(F.slice("steps", F.col("depth") + 2, F.size("steps")), " > ")
+    return below.select("page_id", "pos", "anc", path.alias("path")).join(
+        anchors.withColumnRenamed("pos", "anc"), ["page_id", "anc"])
+
+
 def anchored_selector(rows: DataFrame) -> DataFrame:
     """Path from the nearest ancestor with an id or stable attribute, if that anchor is unique."""
     first = F.get(F.col("stable"), F.lit(0))
     anchor_id = F.when(F.col("tag") != "body", _filled(F.col("id")))
     anchors = rows.select(
-        "page_id", "pos", "tag", "id", "stable", anchor_id.alias("aid"),
+        "page_id", "pos", anchor_id.alias("aid"),
         F.when(anchor_id.isNull(), first["name"]).alias("aname"),
         F.when(anchor_id.isNull(), first["value"]).alias("avalue")).where("aid is not null or aname is not null")
     id_counts = rows.where("id is not null").groupBy("page_id", F.col("id").alias("aid")).agg(F.count("*").alias("id_n"))
     attr_counts = rows.select("page_id", F.inline("stable")).groupBy(
-        "page_id", F.col("name").alias("aname"), F.col("value").alias("avalue")).agg(F.count("*").alias("attr_n"))
+        "page_id", F.col("name").alias("aname"), F.col("raw").alias("avalue")).agg(F.count("*").alias("attr_n"))
     rated = anchors.join(id_counts, ["page_id", "aid"], "left").join(
         attr_counts, ["page_id", "aname", "avalue"], "left")
     text = F.when(F.col("aid").isNotNull(), F.concat(F.lit("#"), css_escape(F.col("aid")))).otherwise(
-        F.concat(F.lit("["), F.col("aname"), F.lit("="), quoted(F.col("avalue")), F.lit("]")))
+        attribute_selector(F.col("aname"), F.col("avalue")))
     unique = F.when(F.col("aid").isNotNull(), F.col("id_n") == 1).otherwise(F.col("attr_n") == 1)
-    per_page = rated.groupBy("page_id").agg(F.collect_list(F.struct(
-        F.col("pos"), F.when(unique, text).alias("anchor"))).alias("anchors"))
-    joined = rows.join(per_page, "page_id", "left")
-    near = F.array_max(F.array_intersect("ancestors", F.transform("anchors", lambda a: a["pos"])))
-    anchor = F.get(F.filter("anchors", lambda a: a["pos"] == F.col("_near")), F.lit(0))["anchor"]
-    depth = F.array_position("ancestors", F.col("_near")).cast("int")
-    below = F.slice(F.col("steps"), depth + 1, F.size("steps"))
-    ok = F.col("_near").isNotNull() & ~F.col("tag").isin("body", "html")
-    return joined.withColumn("_near", near).withColumn("by_anchor", F.when(
-        ok, F.concat(anchor, F.lit(" > "), F.array_join(below, " > ")))).drop("_near", "anchors")
+    rated = rated.select("page_id", "pos", F.when(unique, text).alias("anchor"))
+    near = anchor_paths(rows, rated).groupBy("page_id", "pos").agg(
+        F.max(F.struct("anc", "anchor", "path")).alias("near"))
+    by = near.select("page_id", "pos", F.concat("near.anchor", F.lit(" > "), F.col("near.path")).alias("by_anchor"))
+    return rows.join(by, ["page_id", "pos"], "left")
 
 
 def selector_lists(rows: DataFrame) -> DataFrame:
@@ -230,16 +249,55 @@ def selector_lists(rows: DataFrame) -> DataFrame:
                        .otherwise(picked).alias("selectors"))
 
 
+_NAME = r"(?:\\3[0-9] |\\.|[^\s.#>\[\\])+"
+CLASSED = rf"\A(?:#({_NAME}) > )?([a-z][a-z0-9-]*)((?:\.{_NAME})+)\z"
+
+
+def css_plain(x: Column) -> Column:
+    """The name that :func:`css_escape` wrote."""
+    return F.regexp_replace(F.regexp_replace(x, r"\\3([0-9]) ", "$1"), r"\\([^0-9])", "$1")
+
+
 def restore(stored: DataFrame, target: DataFrame) -> DataFrame:
-    """First stored selector that names exactly one element of the target page.
+    """First stored selector that matches exactly one element of the target page, read as CSS does.
 
     ``stored(page_id, item, selectors)``, ``target`` as given by
-    :func:`selector_lists`. Selectors meet by equality of their text.
+    :func:`element_rows`. Paths and attributes meet by the exact text an element
+    answers to, whether or not it is unique there; classes by their set, so an
+    element with more classes matches too.
     """
-    known = target.select("page_id", "pos", F.explode("selectors").alias("sel")).groupBy("page_id", "sel").agg(
-        F.count("*").alias("n"), F.min("pos").alias("found")).where("n = 1")
     wanted = stored.select("page_id", "item", F.posexplode("selectors").alias("ord", "sel"))
-    return wanted.join(known, ["page_id", "sel"]).groupBy("page_id", "item").agg(
+    inner = target.select("page_id", "pos", "tag", F.inline("stable"))
+    by_attribute = attribute_selector(F.col("name"), F.col("raw"))
+    by_id = F.concat(F.lit("#"), css_escape(F.col("id")))
+    named = target.where("id <> ''").select("page_id", "pos", by_id.alias("anchor")).unionByName(
+        inner.select("page_id", "pos", by_attribute.alias("anchor")))
+    answers = [
+        target.select("page_id", "pos", path_selector().alias("sel")),
+        anchor_paths(target, named).select("page_id", "pos", F.concat("anchor", F.lit(" > "), F.col("path")).alias("sel")),
+        target.select("page_id", "pos", F.concat(F.col("tag"), F.lit("[aria-label="), quoted(F.col("aria")), F.lit("]")).alias("sel")),
+        named.select("page_id", "pos", F.col("anchor").alias("sel")),
+        inner.select("page_id", "pos", F.concat(F.col("tag"), by_attribute).alias("sel")),
+    ]
+    plain = answers[0]
+    for more in answers[1:]:
+        plain = plain.unionByName(more)
+    known = plain.where("sel is not null").groupBy("page_id", "sel").agg(
+        F.count("*").alias("n"), F.min("pos").alias("found"))
+    exact = wanted.join(known, ["page_id", "sel"]).select("page_id", "item", "ord", "n", "found")
+
+    parts = wanted.where(F.col("sel").rlike(CLASSED)).select(
+        "page_id", "item", "ord", css_plain(F.regexp_extract("sel", CLASSED, 1)).alias("under"),
+        F.regexp_extract("sel", CLASSED, 2).alias("tag"),
+        F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(
+            F.regexp_extract("sel", CLASSED, 3), F.lit(rf"\.({_NAME})"), F.lit(1)), css_plain))).alias("set"))
+    parents = target.select("page_id", F.col("pos").alias("parent"), F.col("id").alias("parent_id"))
+    classed = target.where(F.size("classes") > 0).join(parents, ["page_id", "parent"], "left").select(
+        "page_id", "pos", "tag", "parent_id", F.col("classes").alias("held"), F.explode(F.array_distinct("classes")).alias("_key"))
+    met = parts.withColumn("_key", F.array_min("set")).join(classed, ["page_id", "tag", "_key"]).where(
+        (F.size(F.array_except("set", "held")) == 0) & ((F.col("under") == "") | (F.col("under") == F.col("parent_id"))))
+    by_class = met.groupBy("page_id", "item", "ord").agg(F.count("*").alias("n"), F.min("pos").alias("found"))
+    return exact.unionByName(by_class).where("n = 1").groupBy("page_id", "item").agg(
         F.min_by("found", "ord").alias("found"), F.min("ord").alias("by_selector"))
 
 

@@ -159,7 +159,7 @@ def selector_restore(spark, sf_dir):
     moved = F.replace(F.replace("html", F.lit("<article>"), F.lit("<main><article>")),
                       F.lit("<section id"), F.lit("<div><section id"))
     changed = pages(spark, sf_dir).withColumn("html", F.regexp_replace(moved, r"(?s)<nav\b.*?</nav>", "<p>gone</p>"))
-    return E.restore(stored, E.selector_lists(_kept(changed))).groupBy("by_selector").agg(
+    return E.restore(stored, _kept(changed)).groupBy("by_selector").agg(
         F.count("*").alias("items"), F.sum("found").alias("checksum"))
 
 

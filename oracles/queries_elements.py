@@ -93,7 +93,7 @@ def rows(src: str) -> str:
     """CTEs up to ``el`` (attributes) and ``steps`` (step of every element)."""
     head = "regexp_extract(token, '^<[^>]*>')"
     stable = ", ".join(
-        f"CASE WHEN trim({P.attribute(head, a)}) <> '' THEN struct_pack(ord := {i}, name := {q(a)}, value := trim({P.attribute(head, a)})) END"
+        f"CASE WHEN trim({P.attribute(head, a)}) <> '' THEN struct_pack(ord := {i}, name := {q(a)}, value := trim({P.attribute(head, a)}), raw := {P.attribute(head, a)}) END"
         for i, a in enumerate(V.STABLE_ATTRIBUTES))
     return P.with_tree(src) + f""",
 el AS MATERIALIZED (SELECT page_id, pos, tag, parent, ancestors, {P.attribute(head, 'id')} AS id, {P.attribute(head, 'aria-label')} AS aria,
@@ -105,10 +105,10 @@ chain AS MATERIALIZED (SELECT e.page_id, e.pos, a.anc, s.step, s.tag FROM (SELEC
 tops AS (SELECT page_id, pos, coalesce(max(anc) FILTER (tag = 'body'), max(anc) FILTER (tag = 'html'), -1) AS top FROM chain GROUP BY 1, 2),
 by_path AS (SELECT c.page_id, c.pos, 'body > ' || string_agg(c.step, ' > ' ORDER BY c.anc) AS sel FROM chain c
   JOIN tops t ON t.page_id = c.page_id AND t.pos = c.pos WHERE c.anc > t.top GROUP BY 1, 2),
-flat AS (SELECT page_id, pos, tag, s.ord AS ord, s.name AS name, s.value AS value FROM (SELECT page_id, pos, tag, unnest(stable) AS s FROM el)),
+flat AS (SELECT page_id, pos, tag, s.ord AS ord, s.name AS name, s.value AS value, s.raw AS raw FROM (SELECT page_id, pos, tag, unnest(stable) AS s FROM el)),
 by_data AS (SELECT page_id, pos, arg_min(sel, ord) AS sel FROM (SELECT page_id, pos, ord, CASE WHEN a = 1 THEN b WHEN t = 1 THEN tag || b END AS sel FROM (
-  SELECT *, '[' || name || '=' || {quo('value')} || ']' AS b, count(*) OVER (PARTITION BY page_id, name, value) AS a,
-  count(*) OVER (PARTITION BY page_id, name, value, tag) AS t FROM flat)) WHERE sel IS NOT NULL GROUP BY 1, 2),
+  SELECT *, '[' || name || '=' || {quo('value')} || ']' AS b, count(*) OVER (PARTITION BY page_id, name, raw) AS a,
+  count(*) OVER (PARTITION BY page_id, name, raw, tag) AS t FROM flat) WHERE raw = value) WHERE sel IS NOT NULL GROUP BY 1, 2),
 by_id AS (SELECT page_id, pos, '#' || {esc('id')} AS sel FROM (SELECT *, count(*) OVER (PARTITION BY page_id, id) AS n FROM el WHERE id <> '')
   WHERE n = 1 AND id = trim(id)),
 by_aria AS (SELECT page_id, pos, tag || '[aria-label=' || {quo('aria')} || ']' AS sel FROM (SELECT *, count(*) OVER (PARTITION BY page_id, tag, aria) AS n
@@ -120,7 +120,7 @@ by_class AS (SELECT c.page_id, c.pos, CASE WHEN c.pid IS NOT NULL AND (SELECT co
 anch AS (SELECT page_id, pos, CASE WHEN aid IS NOT NULL THEN CASE WHEN id_n = 1 THEN '#' || {esc('aid')} END
     WHEN attr_n = 1 THEN '[' || stable[1].name || '=' || {quo('stable[1].value')} || ']' END AS anchor FROM (
   SELECT *, (SELECT count(*) FROM el o WHERE o.page_id = x.page_id AND o.id = x.aid) AS id_n,
-    (SELECT count(*) FROM flat f WHERE f.page_id = x.page_id AND f.name = x.stable[1].name AND f.value = x.stable[1].value) AS attr_n
+    (SELECT count(*) FROM flat f WHERE f.page_id = x.page_id AND f.name = x.stable[1].name AND f.raw = x.stable[1].value) AS attr_n
   FROM (SELECT *, CASE WHEN tag <> 'body' AND trim(id) <> '' THEN trim(id) END AS aid FROM el) x WHERE aid IS NOT NULL OR len(stable) > 0)),
 nearest AS (SELECT c.page_id, c.pos, max(c.anc) AS near FROM chain c JOIN anch a ON a.page_id = c.page_id AND a.pos = c.anc WHERE c.anc <> c.pos GROUP BY 1, 2),
 by_anchor AS (SELECT n.page_id, n.pos, any_value(a.anchor) || ' > ' || string_agg(c.step, ' > ' ORDER BY c.anc) AS sel FROM nearest n
@@ -143,14 +143,36 @@ SQL["selector_stable"] = ROWS + (
 CHANGED = f"(SELECT page_id, url, regexp_replace(replace(replace(html, '<article>', '<main><article>'), '<section id', '<div><section id'), '(?s)<nav\\b.*?</nav>', '<p>gone</p>', 'g') AS html FROM {RICH})"
 
 
-def _body(src: str) -> str:
-    return rows(src) + " SELECT page_id, pos, sels FROM lists"
+_NAME = r"(?:\\3[0-9] |\\.|[^\s.#>\[\\])+"
+_CLASSED = rf"^(?:#({_NAME}) > )?([a-z][a-z0-9-]*)((?:\.{_NAME})+)$"
 
 
+def _plain(x: str) -> str:
+    return rf"regexp_replace(regexp_replace({x}, '\\3([0-9]) ', '\1', 'g'), '\\([^0-9])', '\1', 'g')"
+
+
+# What every element of the changed page answers to, unique or not; classes are matched by their sets.
 SQL["selector_restore"] = f"""
-WITH a AS MATERIALIZED (SELECT * FROM ({_body(RICH)})), b AS MATERIALIZED (SELECT * FROM ({_body(CHANGED)})),
-known AS (SELECT page_id, sel, count(*) AS n, min(pos) AS found FROM (SELECT page_id, pos, unnest(sels) AS sel FROM b) GROUP BY 1, 2 HAVING count(*) = 1),
-wanted AS (SELECT page_id, pos AS item, unnest(sels) AS sel, unnest(range(0, len(sels))) AS ord FROM a),
-got AS (SELECT w.page_id, w.item, arg_min(k.found, w.ord) AS found, min(w.ord) AS by_selector FROM wanted w
-  JOIN known k ON k.page_id = w.page_id AND k.sel = w.sel GROUP BY 1, 2)
+WITH a AS MATERIALIZED (SELECT * FROM ({rows(RICH)} SELECT page_id, pos, sels FROM lists)),
+b AS MATERIALIZED (SELECT * FROM ({rows(CHANGED)},
+  named AS (SELECT page_id, pos, '#' || {esc('id')} AS anchor FROM el WHERE id <> '' UNION ALL
+    SELECT page_id, pos, '[' || name || '=' || {quo('raw')} || ']' FROM flat),
+  tails AS (SELECT c.page_id, c.pos, a.anc, string_agg(c.step, ' > ' ORDER BY c.anc) AS path FROM chain c
+    JOIN (SELECT page_id, pos, unnest(ancestors) AS anc FROM el WHERE tag NOT IN ('body', 'html')) a
+    ON a.page_id = c.page_id AND a.pos = c.pos AND c.anc > a.anc GROUP BY 1, 2, 3),
+  answers AS (SELECT page_id, pos, sel FROM by_path JOIN el USING (page_id, pos) WHERE tag NOT IN ('body', 'html') UNION ALL
+    SELECT t.page_id, t.pos, n.anchor || ' > ' || t.path FROM tails t JOIN named n ON n.page_id = t.page_id AND n.pos = t.anc UNION ALL
+    SELECT page_id, pos, tag || '[aria-label=' || {quo('aria')} || ']' FROM el WHERE aria IS NOT NULL UNION ALL
+    SELECT page_id, pos, anchor FROM named UNION ALL SELECT page_id, pos, tag || '[' || name || '=' || {quo('raw')} || ']' FROM flat)
+  SELECT 'text' AS what, page_id, pos, sel, CAST(NULL AS VARCHAR) AS tag, CAST(NULL AS VARCHAR[]) AS classes, CAST(NULL AS VARCHAR) AS pid FROM answers
+  UNION ALL SELECT 'classes', c.page_id, c.pos, NULL, c.tag, c.classes, c.pid FROM classed c)),
+wanted AS MATERIALIZED (SELECT page_id, pos AS item, unnest(sels) AS sel, unnest(range(0, len(sels))) AS ord FROM a),
+asked AS (SELECT page_id, item, ord, {_plain(f"regexp_extract(sel, {q(_CLASSED)}, 1)")} AS under, regexp_extract(sel, {q(_CLASSED)}, 2) AS tag,
+  list_transform(regexp_extract_all(regexp_extract(sel, {q(_CLASSED)}, 3), {q(rf"[.]({_NAME})")}, 1), lambda x: {_plain('x')}) AS cs
+  FROM wanted WHERE regexp_matches(sel, {q(_CLASSED)})),
+hits AS (SELECT w.page_id, w.item, w.ord, b.pos FROM wanted w JOIN b ON b.what = 'text' AND b.page_id = w.page_id AND b.sel = w.sel UNION ALL
+  SELECT k.page_id, k.item, k.ord, b.pos FROM asked k JOIN b ON b.what = 'classes' AND b.page_id = k.page_id AND b.tag = k.tag
+    AND (k.under = '' OR k.under = b.pid) AND len(list_filter(k.cs, lambda x: NOT list_contains(b.classes, x))) = 0),
+once AS (SELECT page_id, item, ord, min(pos) AS found FROM hits GROUP BY 1, 2, 3 HAVING count(*) = 1),
+got AS (SELECT page_id, item, arg_min(found, ord) AS found, min(ord) AS by_selector FROM once GROUP BY 1, 2)
 SELECT CAST(by_selector AS INT) AS by_selector, count(*) AS items, CAST(sum(found) AS BIGINT) AS checksum FROM got GROUP BY by_selector"""
