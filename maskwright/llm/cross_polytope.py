@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import arrow_map, stored
 
 
 @dataclass(frozen=True)
@@ -102,7 +102,7 @@ def build_index(vectors: DataFrame, id_col: str, vector_col: str, tables: Tables
                     ["id", "vector", "hashes"])
 
     picked = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    return stored(picked.mapInArrow(rows, "id long, vector array<double>, hashes array<int>"), "vector-index")
+    return stored(arrow_map(picked, rows, "id long, vector array<double>, hashes array<int>"), "vector-index")
 
 
 def _probes(x: np.ndarray, tables: Tables) -> np.ndarray:
@@ -182,7 +182,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
                         yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())],
                                                          ["query_id", "vec_id", "score"])
 
-        part = stored(index.mapInArrow(rows, "query_id long, vec_id long, score double"), "vector-found")
+        part = stored(arrow_map(index, rows, "query_id long, vec_id long, score double"), "vector-found")
         spread.unpersist()
         found = part if found is None else found.unionByName(part)
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

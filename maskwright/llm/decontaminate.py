@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored, whole_rows
+from .shared import arrow_map, stored, whole_rows
 from .words import BYTE_LOWER, BYTE_VALUE, U64, mix, pieces, powers, shingle_hashes, utf8
 
 PIECE = 2 << 20
@@ -200,7 +200,7 @@ def find_items(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
             some = np.flatnonzero(number)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(number[some])], ["place", "n"])
 
-        partial = rows.select("text").mapInArrow(counts, "place long, n long")
+        partial = arrow_map(rows.select("text"), counts, "place long, n long")
         met = partial.groupBy("place").agg(F.sum("n").alias("n")).toArrow()
         number = np.zeros(len(items.seeds), np.int64)
         number[met["place"].to_numpy()] = met["n"].to_numpy()
@@ -230,7 +230,7 @@ def find_items(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
                                                  [x.split()[0] for x in HITS.split(", ")])
 
-        part = rows.mapInArrow(hits, HITS)
+        part = arrow_map(rows, hits, HITS)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], HITS)

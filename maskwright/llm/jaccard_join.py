@@ -3,9 +3,9 @@
 Equal sets are one class, of which one document stands for all. Links between
 different sets are found in two ways that together miss none:
 
-* Sets with one of three sketches in common (their two smallest shingle hashes,
-  their two largest, the two smallest of another hash) meet in a block and are
-  compared through the block's index, a probe at a time in order of size. The
+* Sets with one of six sketches in common (the two smallest and the two largest
+  of three hashes of their shingles) meet in a block and are compared through
+  the block's index, a probe at a time in order of size. The
   lists of the index are skipped to the positions whose sizes can match, and a
   set much like the one before it takes over that set's counts and corrects
   them by the few shingles in which the two differ.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored, whole_rows
+from .shared import arrow_map, stored, whole_rows
 from .words import U64, mix, pieces, shingle_hashes, utf8, word_hashes, word_spans
 
 PIECE = 1 << 20
@@ -37,9 +37,10 @@ SKETCH_BITS = 20
 SLOT_BITS, MAP_BITS = 31, 27
 #: A shingle counts as frequent from this many documents of a task's batch on.
 OFTEN = 4
-SEED, FACTOR = U64(0xA0761D6478BD642F), U64(0x9E3779B97F4A7C15)
-SKETCHES = ("m1", "m2", "m3")
-SETS = "key long, version long, n long, f long, m1 long, m2 long, m3 long, part array<int>"
+SEEDS, FACTOR = (U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)), U64(0x9E3779B97F4A7C15)
+SKETCHES = tuple(f"m{k}" for k in range(1, 2 * len(SEEDS) + 3))
+SKETCH_FIELDS = ", ".join(f"{m} long" for m in SKETCHES)
+SETS = f"key long, version long, n long, f long, {SKETCH_FIELDS}, part array<int>"
 #: One of so many parts of all hashes (as a power of two) is kept with every set.
 PART_BITS = 4
 #: Rows (block, set) that are broadcast to find their texts, at about 100 bytes each; beyond it both sides are dealt.
@@ -96,16 +97,20 @@ class Sets:
             (self.shingles[mine] & U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
 
     def sketches(self) -> list[np.ndarray]:
-        """Three numbers that sets much alike are likely to share."""
+        """Numbers that sets much alike are likely to share: of each hash the two smallest and the two largest."""
         out, full = [], np.flatnonzero(self.n)
         first, last, more = self.at[:-1][full], self.at[1:][full] - 1, self.n[full] > 1
-        other = mix(self.shingles ^ SEED)
-        low = self.reduced(np.minimum, other)[full]
-        rest = np.where(other == np.repeat(low, self.n[full]), U64(0xFFFFFFFFFFFFFFFF), other)
-        next_low = np.minimum.reduceat(rest, first) if len(full) else low
-        for a, b in ((self.shingles[first], self.shingles[first + more]), (self.shingles[last], self.shingles[last - more]), (low, next_low)):
+        ends = [(self.shingles[first], self.shingles[first + more]), (self.shingles[last], self.shingles[last - more])]
+        for seed in SEEDS if len(full) else ():
+            other = mix(self.shingles ^ seed)
+            for function, none in ((np.minimum, U64(0xFFFFFFFFFFFFFFFF)), (np.maximum, U64(0))):
+                end = function.reduceat(other, first)
+                rest = np.where(other == np.repeat(end, self.n[full]), none, other)
+                ends.append((end, function.reduceat(rest, first)))
+        for k in range(len(SKETCHES)):
             made = np.zeros(len(self.n), U64)
-            made[full] = mix(a * FACTOR + b)
+            if len(full):
+                made[full] = mix(ends[k][0] * FACTOR + ends[k][1])
             out.append(signed(made))
         return out
 
@@ -144,9 +149,9 @@ def describe(rows: DataFrame, settings: Settings) -> DataFrame:
         some = np.flatnonzero(often)
         none = pa.array([None] * len(some), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int32)), none, none, pa.array(often[some]),
-                                          pa.array(some), none, none, none, pa.array([None] * len(some), pa.list_(pa.int32()))], names)
+                                          pa.array(some), *[none] * len(SKETCHES), pa.array([None] * len(some), pa.list_(pa.int32()))], names)
 
-    return rows.select("key", "version", "text").mapInArrow(make, "kind int, " + SETS)
+    return arrow_map(rows.select("key", "version", "text"), make, "kind int, " + SETS)
 
 
 def links(n: np.ndarray, at: np.ndarray, shingles: np.ndarray, block: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
@@ -267,18 +272,21 @@ def _dense(block: np.ndarray) -> np.ndarray:
 def compared(rows: DataFrame, settings: Settings) -> DataFrame:
     """Links (a, b) within the blocks of rows (block, f, text)."""
     dealt = rows.select("block", "f", "text").repartition("block").sortWithinPartitions("block")
-    return dealt.mapInArrow(_compare(settings.percent, settings.words, 8 << 20), "a long, b long")
+    return arrow_map(dealt, _compare(settings.percent, settings.words, 8 << 20), "a long, b long")
 
 
 def blocks_of(reps: DataFrame, settings: Settings) -> DataFrame:
     """(block, f, key, version): every group of sets with one sketch, in blocks of bounded size.
 
     A group of more than ``block_shingles`` is cut into parts and every two
-    parts are a block, so that any two sets of a group meet.
+    parts are a block, so that any two sets of a group meet. Groups of the same
+    sets, by the count, the sizes and a hash of all, are compared once.
     """
-    each = reps.where(F.col("n") > 0).select("f", "key", "version", "n", F.stack(
-        F.lit(3), F.lit(0), F.col("m1"), F.lit(1), F.col("m2"), F.lit(2), F.col("m3")).alias("turn", "m"))
-    groups = each.groupBy("turn", "m").agg(F.count("*").alias("members"), F.sum("n").alias("total")).where(F.col("members") > 1)
+    turns = [x for k, m in enumerate(SKETCHES) for x in (F.lit(k), F.col(m))]
+    each = reps.where(F.col("n") > 0).select("f", "key", "version", "n", F.stack(F.lit(len(SKETCHES)), *turns).alias("turn", "m"))
+    groups = each.groupBy("turn", "m").agg(
+        F.count("*").alias("members"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("f")).alias("who")).where(F.col("members") > 1)
+    groups = groups.groupBy("members", "total", "who").agg(F.min(F.struct("turn", "m")).alias("at")).select("total", "at.turn", "at.m")
     parts = F.greatest(F.lit(1), F.ceil(F.col("total") / settings.block_shingles)).cast("long")
     groups = stored(groups.withColumn("parts", parts), "block-groups")
     each = each.join(groups, ["turn", "m"])
@@ -327,16 +335,16 @@ def shared_slots(rows: DataFrame, rank, settings: Settings) -> np.ndarray:
             word, bit = _bit(batch.column(0).to_numpy().astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(signed(U64(1) << bit))], ["word", "bits"])
 
-    held = rows.select("text").mapInArrow(slots, "slot int, of int").groupBy("slot").agg(
+    held = arrow_map(rows.select("text"), slots, "slot int, of int").groupBy("slot").agg(
         F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("slot")
-    found = held.mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = arrow_map(held, bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(1 << (MAP_BITS - 6), U64)
     out[found["word"].to_numpy()] = found["bits"].to_numpy().view(U64)
     return out
 
 
 def postings(rows: DataFrame, rank, shared, settings: Settings) -> DataFrame:
-    """(shingle, f, n, pos, m1, m2, m3) of the prefix of every text's set, without shingles of one prefix only."""
+    """(shingle, f, n, pos and sketches) of the prefix of every text's set, without shingles of one prefix only."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,7 +357,7 @@ def postings(rows: DataFrame, rank, shared, settings: Settings) -> DataFrame:
                      pa.array(pos.astype(np.int32)), *(pa.array(m[owner]) for m in sets.sketches())],
                     ["shingle", "f", "n", "pos", *SKETCHES])
 
-    return rows.select("text").mapInArrow(make, "shingle long, f long, n int, pos int, m1 long, m2 long, m3 long")
+    return arrow_map(rows.select("text"), make, f"shingle long, f long, n int, pos int, {SKETCH_FIELDS}")
 
 
 def candidates(listed: DataFrame, settings: Settings) -> DataFrame:
@@ -405,7 +413,7 @@ def candidates(listed: DataFrame, settings: Settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs(pa.Table.from_batches(held))], ["a", "b"])
 
     dealt = listed.repartition("shingle").sortWithinPartitions("shingle")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return arrow_map(dealt, run, "a long, b long").distinct()
 
 
 def not_apart(pairs: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:

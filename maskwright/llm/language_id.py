@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored, whole_rows, with_fields
+from .shared import arrow_map, stored, whole_rows, with_fields
 from .words import characters, pieces, utf8
 
 ORDER = 4
@@ -182,7 +182,7 @@ def train(texts: DataFrame, text_col: str, lang_col: str) -> Model:
     """Models of all texts with a language; the arrays, of bounded size, come to the driver."""
     rows = texts.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    partial = rows.mapInArrow(_count_rows, "lang string, code long, n long")
+    partial = arrow_map(rows, _count_rows, "lang string, code long, n long")
     counts = stored(partial.groupBy("lang", "code").agg(F.sum("n").alias("n")), "ngrams")
     made = _tables(counts).toArrow()
     if made.num_rows == 0:
@@ -208,7 +208,7 @@ def train(texts: DataFrame, text_col: str, lang_col: str) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n.astype(np.float64)),
                                               pa.array(n * own), pa.array(n * own * own)], ["lang", "n", "s1", "s2"])
 
-    sums = counts.mapInArrow(moments, "lang string, n double, s1 double, s2 double").groupBy("lang").agg(
+    sums = arrow_map(counts, moments, "lang string, n double, s1 double, s2 double").groupBy("lang").agg(
         F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2")).collect()
     for r in sums:
         mean = r.s1 / r.n
@@ -265,7 +265,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", evidence: fl
                  pa.array(accepted)], ["row", "lang_pred", "score", "bits", "accepted"])
 
     whole = whole_rows(docs)
-    return whole.mapInArrow(rows, with_fields(
+    return arrow_map(whole, rows, with_fields(
         whole, lang_pred="string", score="double", bits="double", accepted="boolean"))
 
 

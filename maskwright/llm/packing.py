@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, ascii_lower
+from .shared import BLANKS, ascii_lower, ship
 
 PLACED = "key long, piece int, start long, length long, bin_id long, bin_offset long"
 
@@ -96,4 +96,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         names = [x.split()[0] for x in PLACED.split(", ")]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
+    ship(docs.sparkSession)
     return rows.groupBy("shard").applyInArrow(place, PLACED)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +47,29 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once per application, wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_maskwright_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="maskwright-"), "maskwright.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        out.writestr("maskwright/__init__.py", "")  # a package without one is not found in an archive
+        for folder, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                out.write(full, os.path.join("maskwright", os.path.relpath(full, package)))
+    sc.addPyFile(path)
+    sc._maskwright_shipped = True
+
+
+def arrow_map(df: DataFrame, function: Callable, schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` by workers that have the package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z to a-z, every other character as it is."""
     return F.translate(col, UPPER, LOWER)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .link_trust import host_path
-from .shared import stored
+from .shared import arrow_map, stored
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
@@ -276,8 +276,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
                         F.col(html_col).alias("html"))
     version, host = F.xxhash64("url", "html"), host_path(F.col("url"))[0]
     keyed = rows.select("key", version.alias("version"), host.alias("host"), "html")
-    subtrees = stored(keyed.mapInArrow(
-        _subtree_rows, "key long, version long, host string, made long, parent long"), "subtrees")
+    subtrees = stored(arrow_map(
+        keyed, _subtree_rows, "key long, version long, host string, made long, parent long"), "subtrees")
     pages_of = rows.groupBy(host.alias("host")).agg(F.count("*").alias("pages"))
     templates = site_templates(subtrees, pages_of, min_pages, share)
     found = subtrees.join(templates, ["host", "made"]).groupBy("key", "version").agg(
@@ -285,5 +285,5 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     found = found.select(F.col("key").alias("found_key"), F.col("version").alias("found_version"), "templates")
     joined = rows.join(found, F.col("key").eqNullSafe(F.col("found_key"))
                        & (version == F.col("found_version")), "left")
-    return joined.select("key", "url", "html", "templates").mapInArrow(
-        _text_rows, "key long, url string, text string").withColumnRenamed("key", "page_id")
+    return arrow_map(joined.select("key", "url", "html", "templates"),
+                     _text_rows, "key long, url string, text string").withColumnRenamed("key", "page_id")

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import whole_rows, with_fields
+from .shared import arrow_map, whole_rows, with_fields
 from .words import BYTE_LOWER, BYTE_VALUE, U64, mix, pieces, powers, utf8
 
 SIZES = (3, 4, 5)
@@ -342,7 +342,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
                                              ["row", "score", "predicted"])
 
     whole = whole_rows(docs)
-    return whole.mapInArrow(rows, with_fields(whole, score="double", predicted="int"))
+    return arrow_map(whole, rows, with_fields(whole, score="double", predicted="int"))
 
 
 def score_held_out(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

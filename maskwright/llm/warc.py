@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_folder, stored
+from .shared import arrow_map, shared_folder, stored
 
 #: Fixed values of the format: first skippable frame that holds a dictionary, Zstandard's own frame mark.
 DICTIONARY_MARK = (0x184D2A5D).to_bytes(4, "little")
@@ -220,7 +220,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
                                               pa.array(sizes, pa.int64())], ["path", "records", "bytes"])
 
     rows = _with_revisits(pages, id_col, url_col, html_col, min_bytes)
-    return stored(rows.mapInArrow(write, MANIFEST), "warc-manifest")
+    return stored(arrow_map(rows, write, MANIFEST), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, payloads: bool = True, rows_at_once: int = 256) -> DataFrame:
@@ -244,4 +244,4 @@ def read_archives(manifest: DataFrame, payloads: bool = True, rows_at_once: int
         if rows:
             yield batch_of(rows)
 
-    return manifest.select("path").repartition(max(1, manifest.count())).mapInArrow(read, RECORDS)
+    return arrow_map(manifest.select("path").repartition(max(1, manifest.count())), read, RECORDS)
