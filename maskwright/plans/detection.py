@@ -85,9 +85,10 @@ def has_at(spark, sf_dir):
 @query("detectors")
 def detectors(spark, sf_dir):
     """The catalogue next to the number of units whose country each detector trusts."""
-    seen = units(spark, sf_dir).groupBy("country").count()
-    cat = detect.detectors_table(spark)
-    joined = cat.join(F.broadcast(seen), F.array_contains("countries", c("country")), "left")
+    known = sorted({code for d in detect.catalogue() for code in d.countries})
+    seen = units(spark, sf_dir).where(c("country").isin(*known)).groupBy("country").count()
+    cat = detect.detectors_table(spark).withColumn("country", F.explode_outer("countries"))
+    joined = cat.join(F.broadcast(seen), "country", "left")
     return joined.groupBy("rank", "detector", "stage", "action", "validator").agg(
         F.coalesce(F.sum("count"), F.lit(0)).alias("trusted_units"))
 

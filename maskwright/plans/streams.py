@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import with_once
 from ..operators import resolve
-from ..sources import control, probes, tables
+from ..sources import control, probes, rich_pages, tables
 from ..streaming import scan as stream_scan_ops
 from ..streaming import sessions as stream_sessions
+from .pages import scan_pages
 from .registry import query
 
 c = F.col
@@ -29,6 +30,13 @@ def stream_scan(spark, sf_dir):
     return _finished(spark, stream_scan_ops.scan_stream(units), "stream-scan")
 
 
+@query("stream_page_scan")
+def stream_page_scan(spark, sf_dir):
+    """Pages scanned node by node as a stream of files, each under its own country."""
+    pages = rich_pages.enriched(stream_scan_ops.source(spark, sf_dir, "pages"))
+    return _finished(spark, scan_pages(pages), "stream-pages")
+
+
 @query("stream_text_changes")
 def stream_text_changes(spark, sf_dir):
     """Changes of text in a stream, each delivered once; other changes are ignored."""

@@ -55,6 +55,10 @@ URL_SQL = (
 SELECT_SQL = f"SELECT page_id, {URL_SQL} AS url, {HTML_SQL} AS html FROM pages"
 
 
-def rich_pages(spark, sf_dir: str):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+def enriched(pages):
+    """Any ``pages`` DataFrame, streaming or not."""
     return pages.selectExpr("page_id", f"{URL_SQL} AS url", f"{HTML_SQL} AS html")
+
+
+def rich_pages(spark, sf_dir: str):
+    return enriched(spark.read.parquet(f"{sf_dir}/pages.parquet"))

@@ -330,10 +330,7 @@ STORE_HOST = "chromewebstore.google.com"
 STORE_PATH_HOST = "chrome.google.com"
 STORE_PATH = "/webstore"
 REPLACEMENT_TITLE = "Tab"
-BLANK_ICON = (
-    "data:image/png;base64,iVBORw0KGgoAAAANSUhEUgAAAAEAAAABCAYAAAAfFcSJAAAAC0lEQVQI12NgAAIABQ"
-    "ABNjN9GQAAAAlwSFlzAAAWJQAAFiUBSVIk8AAAAA0lEQVQI12P4z8BQDwAEgAF/QualIQAAAABJRU5ErkJggg=="
-)
+BLANK_ICON = "data:image/png;base64,iVBORw0KGgoAAAANSUhEUgAAAAEAAAABCAYAAAAfFcSJAAAAC0lEQVQI12NgAAIABQABNjN9GQAAAAlwSFlzAAAWJQAAFiUBSVIk8AAAAA0lEQVQI12P4z8BQDwAEgAF/QualIQAAAABJRU5ErkJggg=="
 
 CATEGORY_ORDER = ("text", "media", "structure", "form", "table")
 CATEGORY_TAGS = {

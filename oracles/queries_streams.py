@@ -6,10 +6,12 @@ from maskwright.sources import control
 
 from . import detection as D
 from . import queries_detection as QD
+from . import queries_pages as QP
 from . import queries_sessions as QS
 
 SQL: dict[str, str] = {}
 SQL["stream_scan"] = QD.SQL["scan_probes"]
+SQL["stream_page_scan"] = QP.SQL["page_scan"]
 SQL["stream_text_changes"] = (
     "SELECT user_id % 10 AS page_id, user_id AS node_id, CASE event_type WHEN 'click' THEN 'childList' ELSE 'characterData' END AS op, "
     "'item ' || event_id AS text FROM events WHERE event_type IN ('click', 'view')")
