@@ -77,8 +77,14 @@ def stream_findings_per_window(spark, sf_dir):
 
 @query("buffer_replay")
 def buffer_replay(spark, sf_dir):
-    """A first scan of the early turns, the later ones replayed on top, newest per speaker kept."""
-    turns = tables.read(spark, sf_dir, "conversations").select(
-        c("conv_id").alias("id"), "role", "turn", "text", F.lit(None).cast("string").alias("country"))
-    merged = stream_scan_ops.replay(turns.where("turn < 2"), turns.where("turn >= 2"), ["id", "role"], "turn")
+    """A first scan of the early turns; the later ones arrive as a stream and are replayed on top, newest per speaker kept."""
+    def turns(df):
+        return df.select(c("conv_id").alias("id"), "role", "turn", "text", F.lit(None).cast("string").alias("country"))
+    late = turns(stream_scan_ops.source(spark, sf_dir, "conversations", per_trigger=1)).where("turn >= 2")
+    newest = stream_scan_ops.newest(late, ["id", "role"], "turn")
+    base = tables.scratch(spark, f"replay-{uuid.uuid4().hex}")
+    stream_scan_ops.run_to_end_whole(newest, f"{base}/out", f"{base}/checkpoint")
+    changes = spark.read.schema(newest.schema).parquet(f"{base}/out")
+    early = turns(tables.read(spark, sf_dir, "conversations")).where("turn < 2")
+    merged = stream_scan_ops.replay(early, changes, ["id", "role"], "turn")
     return resolve.with_matches(merged).select("id", "role", "turn", F.md5("text").alias("text_md5"), F.size("m").alias("n"))

@@ -46,11 +46,23 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def newest(changes: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """Newest version of each node; on a stream the state is one row per node that changed."""
+    rest = [x for x in changes.columns if x not in keys]
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(version)).alias("n")).select(*keys, "n.*")
+
+
+def run_to_end_whole(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Process everything available; ``path`` holds the whole result after every batch."""
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+    stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint) \
+        .trigger(availableNow=True).start().awaitTermination()
+
+
 def replay(backfill: DataFrame, changes: DataFrame, keys: list[str], version: str) -> DataFrame:
     """First scan plus the changes that arrived during it: newest version of each node, once.
 
     Both sides carry ``version``; versions of a node are compared, never collected.
     """
-    both = backfill.unionByName(changes.select(*backfill.columns))
-    rest = [x for x in backfill.columns if x not in keys]
-    return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(version)).alias("n")).select(*keys, "n.*")
+    return newest(backfill.unionByName(changes.select(*backfill.columns)), keys, version)

@@ -119,3 +119,14 @@ def test_share_end_resumes_only_when_nobody_shares(spark):
         return sessions.suspend_flags(df).first()["suspended"]
     assert flags(rows) is True
     assert flags(rows + [(5, "2024-01-01 00:00:05", 2, "h", "share_close", "s", None)]) is False
+
+
+def test_replay_over_several_batches(spark, tmp_path):
+    source = str(tmp_path / "in")
+    for part in ([(1, "a", 2, "x"), (2, "b", 2, "y")], [(1, "a", 4, "z")], [(1, "a", 3, "old"), (3, "c", 2, "w")]):
+        spark.createDataFrame(part, "id long, role string, turn long, text string").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("id long, role string, turn long, text string").option("maxFilesPerTrigger", 1).parquet(source)
+    stream_ops.run_to_end_whole(stream_ops.newest(stream, ["id", "role"], "turn"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    early = spark.createDataFrame([(1, "a", 1, "p"), (4, "d", 1, "q")], "id long, role string, turn long, text string")
+    got = stream_ops.replay(early, spark.read.parquet(str(tmp_path / "out")), ["id", "role"], "turn")
+    assert sorted((r.id, r.turn, r.text) for r in got.collect()) == [(1, 4, "z"), (2, 2, "y"), (3, 2, "w"), (4, 1, "q")]
