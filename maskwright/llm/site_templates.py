@@ -37,11 +37,12 @@ BORDER = frozenset("ul ol dl table menu select html body article main section di
 FRAME = frozenset("head nav aside footer form button select menu dialog object".split())
 FRAME_ROLE = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar".split())
 FRAME_NAME = frozenset("""ad ads advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs
-bio byline captcha comment comments commentlist consent cookie cookies copyright discussion disqus donate footer gdpr
-header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination
-paywall popup privacy promo promotion promoted reactions recommended recommendations related replies reply respond
-search share sharing sidebar signin signup skip social sponsor sponsored sponsors subscribe subscription tags toolbar
-topbar widget widgets""".split())
+captcha comment comments commentlist consent cookie cookies copyright discussion disqus donate footer gdpr login
+masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup
+promo promotion promoted recommended recommendations related replies reply respond search share sharing sidebar signin
+signup skip social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets""".split())
+#: Whole names of a site's header; other names with the word often hold an article's title.
+HEADER_NAME = frozenset("header site-header siteheader main-header top-header global-header page-top".split())
 #: Class names of an article element that is not the page's own.
 OTHER_ARTICLE = frozenset("comment comment-body related teaser ad advert promo sponsored widget".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -83,7 +84,8 @@ class Page:
             frame = any(w.lower() in OTHER_ARTICLE for value in names for w in value.split())
         elif names and not frame and tag not in ("html", "body", "main"):
             frame = any(w.lower() in FRAME_NAME for value in names for name in value.split()
-                        if not STATE.search(name) for w in WORDS.findall(name))
+                        if not STATE.search(name) for w in WORDS.findall(name)) \
+                or any(name.lower() in HEADER_NAME for value in names for name in value.split())
         self.tag.append("main" if role == "main" else tag)
         self.parent.append(at)
         self.name.append("|".join(names))

@@ -22,6 +22,8 @@ from maskwright.llm.site_templates import Page, extract_main_text
     ("<p>&#x41;&eacute;&nbsp;&lt;b&gt; &am</p>", "Aé <b> &am"),
     ("<title>no</title><textarea><p>no</p></textarea><p hidden>no</p><p>yes</p>", "yes"),
     ("<nav>only</nav>", ""),
+    ("<div id='header'>Site</div><div class='entry-header'><h1>T</h1></div><p>x</p><div class='author-bio'>by</div>", "T\nx\nby"),
+    ("<div class='sideBar'>no</div><div class='ad-slot'>no</div><div class='leads'>x</div>", "x"),
     ("</p></div>x</article>", "x"),
 ])
 def test_text_of_a_page(html, text):
