@@ -85,7 +85,8 @@ class Page:
         elif names and not frame and tag not in ("html", "body", "main"):
             frame = any(w.lower() in FRAME_NAME for value in names for name in value.split()
                         if not STATE.search(name) for w in WORDS.findall(name)) \
-                or any(name.lower() in HEADER_NAME for value in names for name in value.split())
+                or any(name in HEADER_NAME or name.replace("-", "").replace("_", "") in FRAME_NAME
+                       for value in names for name in value.lower().split())
         self.tag.append("main" if role == "main" else tag)
         self.parent.append(at)
         self.name.append("|".join(names))
