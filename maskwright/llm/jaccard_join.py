@@ -416,6 +416,11 @@ def candidates(listed: DataFrame, settings: Settings) -> DataFrame:
     return arrow_map(dealt, run, "a long, b long").distinct()
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if it is small enough."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def not_apart(pairs: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:
     """Pairs whose sets do not differ, in the part of the hashes kept with them, by more than a link allows."""
     a, b = (reps.select(F.col("f").alias(x), F.col("n").alias(f"n_{x}"), F.col("part").alias(f"part_{x}")) for x in "ab")
@@ -453,9 +458,7 @@ def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     def texts(picked: DataFrame) -> DataFrame:
         """With the text of each (key, version)."""
-        picked = stored(picked, "picked")
-        few = picked.count() <= BROADCAST_ROWS
-        p, r = (F.broadcast(picked) if few else picked).alias("p"), rows.alias("r")
+        p, r = _small(stored(picked, "picked")).alias("p"), rows.alias("r")
         return p.join(r, F.col("p.key").eqNullSafe(F.col("r.key")) & (F.col("p.version") == F.col("r.version"))).select("p.*", "r.text")
 
     near = stored(compared(texts(blocks_of(reps, settings)), settings), "links-blocks")
@@ -488,7 +491,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
     group = F.when(F.col("n_shingles") > 0, F.struct(F.lit(0).alias("kind"), F.col("root").alias("a"), F.lit(0).cast("long").alias("b"))).otherwise(
         F.struct(F.lit(1).alias("kind"), F.col("key").alias("a"), F.col("version").alias("b")))
     best = found.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "version")).alias("best"))
-    best = best.select(F.col("best.key").alias("kept_key"), F.col("best.version").alias("kept_version")).distinct()
+    best = _small(stored(best.select(F.col("best.key").alias("kept_key"), F.col("best.version").alias("kept_version")).distinct(), "kept"))
     rows = whole_rows(docs)
     key, version = F.col(f"row.`{id_col}`").cast("long"), F.xxhash64(F.col(f"row.`{text_col}`"))
     kept = rows.join(best, key.eqNullSafe(F.col("kept_key")) & (version == F.col("kept_version")))
