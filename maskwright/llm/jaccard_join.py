@@ -58,6 +58,8 @@ class Settings:
     words: int = 3
     percent: int = 90
     block_shingles: int = 1 << 20
+    #: A list of the prefix index is dealt in parts of about so many sets, every two parts together.
+    list_sets: int = 512
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -343,8 +345,28 @@ def shared_slots(rows: DataFrame, rank, settings: Settings) -> np.ndarray:
     return out
 
 
+def _dealt(shingles: np.ndarray, f: np.ndarray, rank: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, list, own): which list each posting goes to.
+
+    The list of a shingle that is counted more often than ``size`` is cut into
+    parts by the set; a set goes to the lists of its part with every part.
+    ``own`` is its part where two different parts meet, else -1: there sets of
+    one part have nothing to do with each other.
+    """
+    parts = np.int64(1) << np.maximum(0, rank.astype(np.int64) - int(np.log2(size)))
+    rows = np.repeat(np.arange(len(shingles)), parts)
+    other = np.arange(len(rows)) - np.repeat(np.cumsum(parts) - parts, parts)
+    mine = (f[rows] & (parts[rows] - 1))
+    low, high = np.minimum(mine, other), np.maximum(mine, other)
+    route = shingles[rows] ^ np.where(parts[rows] > 1, mix((low.astype(U64) << U64(32)) + high.astype(U64) + U64(1)), U64(0))
+    return rows, route, np.where(low < high, mine, -1)
+
+
 def postings(rows: DataFrame, rank, shared, settings: Settings) -> DataFrame:
-    """(shingle, f, n, pos and sketches) of the prefix of every text's set, without shingles of one prefix only."""
+    """(shingle, own, f, n, pos and sketches) of the prefix of every text's set, without shingles of one prefix only.
+
+    ``shingle`` names the list, see ``_dealt``.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,12 +374,15 @@ def postings(rows: DataFrame, rank, shared, settings: Settings) -> DataFrame:
                 word, bit = _bit(_slot(shingles))
                 kept = (shared.value[word] >> bit) & U64(1) > 0
                 owner, shingles, pos = owner[kept], shingles[kept], pos[kept]
+                f = sets.fingerprint()
+                at, route, own = _dealt(shingles, f[owner], rank.value[_bucket(shingles)], settings.list_sets)
+                owner = owner[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(shingles)), pa.array(sets.fingerprint()[owner]), pa.array(sets.n[owner].astype(np.int32)),
-                     pa.array(pos.astype(np.int32)), *(pa.array(m[owner]) for m in sets.sketches())],
-                    ["shingle", "f", "n", "pos", *SKETCHES])
+                    [pa.array(signed(route)), pa.array(own.astype(np.int32)), pa.array(f[owner]), pa.array(sets.n[owner].astype(np.int32)),
+                     pa.array(pos[at].astype(np.int32)), *(pa.array(m[owner]) for m in sets.sketches())],
+                    ["shingle", "own", "f", "n", "pos", *SKETCHES])
 
-    return arrow_map(rows.select("text"), make, f"shingle long, f long, n int, pos int, {SKETCH_FIELDS}")
+    return arrow_map(rows.select("text"), make, f"shingle long, own int, f long, n int, pos int, {SKETCH_FIELDS}")
 
 
 def candidates(listed: DataFrame, settings: Settings) -> DataFrame:
@@ -365,12 +390,12 @@ def candidates(listed: DataFrame, settings: Settings) -> DataFrame:
     percent = settings.percent
 
     def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        shingle, f, n, pos, *sketches = (t[c].to_numpy() for c in ("shingle", "f", "n", "pos", *SKETCHES))
+        shingle, own, f, n, pos, *sketches = (t[c].to_numpy() for c in ("shingle", "own", "f", "n", "pos", *SKETCHES))
         order = np.lexsort((f, n, shingle))
         once = np.ones(len(f), bool)
         once[1:] = (f[order][1:] != f[order][:-1]) | (shingle[order][1:] != shingle[order][:-1])
         order = order[once]
-        shingle, f, n, pos = shingle[order], f[order], n[order].astype(np.int64), pos[order].astype(np.int64)
+        shingle, own, f, n, pos = shingle[order], own[order], f[order], n[order].astype(np.int64), pos[order].astype(np.int64)
         sketches = [m[order] for m in sketches]
         out_a, out_b = [], []
         end = np.searchsorted(shingle, shingle, "right")
@@ -384,7 +409,7 @@ def candidates(listed: DataFrame, settings: Settings) -> DataFrame:
             a, b = alive, alive + step
             need = -(-percent * (n[a] + n[b]) // (100 + percent))
             can = np.minimum(n[a] - pos[a], n[b] - pos[b]) + np.minimum(pos[a], pos[b]) >= need
-            good = can
+            good = can & ((own[a] < 0) | (own[a] != own[b]))
             for m in sketches:
                 good &= m[a] != m[b]
             out_a.append(f[a[good]])

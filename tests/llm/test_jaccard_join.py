@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from maskwright.llm import jaccard_join as J
@@ -58,13 +59,50 @@ def texts(seed, groups=12, copies=14):
     return rows
 
 
-@pytest.mark.parametrize("seed, size, percent, block", [(1, 3, 90, 1 << 20), (2, 5, 80, 1 << 20), (3, 3, 80, 300), (4, 2, 70, 50)])
-def test_components_equal_all_pairs(spark, seed, size, percent, block):
+@pytest.mark.parametrize("seed, size, percent, block, lists", [
+    (1, 3, 90, 1 << 20, 512), (2, 5, 80, 1 << 20, 2), (3, 3, 80, 300, 1), (4, 2, 70, 50, 4)])
+def test_components_equal_all_pairs(spark, seed, size, percent, block, lists):
     rows = texts(seed)
-    got = J.join_sets(spark.createDataFrame(rows, SCHEMA).repartition(3), settings=J.Settings(size, percent, block))
+    got = J.join_sets(spark.createDataFrame(rows, SCHEMA).repartition(2), settings=J.Settings(size, percent, block, lists))
     assert sorted(((r.key, r.n_shingles, r.component_id) for r in got.collect()), key=str) == plain(rows, size, percent)
 
 
+@pytest.mark.parametrize("rank", [0, 3, 4, 6])
+def test_every_two_sets_of_a_long_list_meet_once(rank):
+    rng = np.random.default_rng(rank)
+    f = rng.integers(-2**62, 2**62, 60)
+    shingles = np.repeat(rng.integers(0, 2**63, 2, dtype=np.uint64), 30)
+    at, route, own = J._dealt(shingles, f, np.full(60, rank, np.int8), 8)
+    met = {}
+    for key in set(route.tolist()):
+        inside = [(int(at[k]), int(own[k])) for k in np.flatnonzero(route == key)]
+        for x, (a, p) in enumerate(inside):
+            for b, q in inside[:x]:
+                if p < 0 or p != q:
+                    met[min(a, b), max(a, b)] = met.get((min(a, b), max(a, b)), 0) + 1
+    assert met == {(a, b): 1 for b in range(60) for a in range(b) if shingles[a] == shingles[b]}
+
+
+def test_candidates_hold_every_pair_that_can_match(spark):
+    rng = np.random.default_rng(8)
+    settings = J.Settings(3, 80, list_sets=2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(5, 30)).astype(np.uint64)) for _ in range(40)]
+    rows = []
+    for k, s in enumerate(sets):
+        length = len(s) - (80 * len(s) + 99) // 100 + 1
+        prefix = s[:length]
+        at, route, own = J._dealt(prefix, np.full(length, k), np.full(length, 3, np.int8), settings.list_sets)
+        for i, r, o in zip(at, route, own):
+            rows.append((int(np.int64(np.uint64(r).view(np.int64))), int(o), k, len(s), int(i), *(1000 * k + j for j in range(len(J.SKETCHES)))))
+    listed = spark.createDataFrame(rows, f"shingle long, own int, f long, n int, pos int, {J.SKETCH_FIELDS}").repartition(3)
+    found = {(r.a, r.b) for r in J.candidates(listed, settings).collect()}
+    for b in range(40):
+        for a in range(b):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                assert (a, b) in found
+
+
 def test_nulls_ties_repeats_long_texts_and_clashes(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "a b"), (5, "A  B"), (5, "A  B"), (6, "a b c"), (None, "a b"), (None, "only null"), (None, "only null"),
             (7, "x " * 100_000), (8, "X " * 90_000), (9, "a b"), (9, "p q r s")]
