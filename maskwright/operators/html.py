@@ -73,9 +73,9 @@ def token_struct(token: Column, pos: Column) -> Column:
         token.alias("token"))
 
 
-def page_nodes(html: Column) -> Column:
-    """Ordered tokens ``array<struct<pos,kind,tag,token>>``."""
-    return F.transform(tokens(html), token_struct)
+def page_nodes(html: Column, found: Column | None = None) -> Column:
+    """Ordered tokens ``array<struct<pos,kind,tag,token>>``, from ``found`` where the page is cut already."""
+    return F.transform(tokens(html) if found is None else found, token_struct)
 
 
 def _last(stack: Column, wanted) -> Column:
@@ -104,7 +104,7 @@ def _open_before(stack: Column, t: Column) -> Column:
         .otherwise(stack)
 
 
-def tree(html: Column) -> Column:
+def tree(html: Column, found: Column | None = None) -> Column:
     """Nodes with parent, ancestors (outermost first) and block segment."""
     def step(state: Column, t: Column) -> Column:
         stack = _open_before(state["stack"], t)
@@ -125,7 +125,7 @@ def tree(html: Column) -> Column:
             up.alias("ancestors"), state["seg"].alias("seg")).cast(NODE))
 
     start = F.struct(empty(_FRAME).alias("stack"), F.lit(0).alias("seg"), F.lit(0).alias("next"))
-    return scan_fold(page_nodes(html), start, step, emit, NODE, emit_after=True)
+    return scan_fold(page_nodes(html, found), start, step, emit, NODE, emit_after=True)
 
 
 def attribute(token: Column, name: str) -> Column:
@@ -259,22 +259,22 @@ def cross_node_match(text: Column, preceding: Column) -> Column:
 META = "struct<name:string,property:string,http_equiv:string,content:string>"
 
 
-def metas(html: Column) -> Column:
+def metas(html: Column, found: Column | None = None) -> Column:
     """Meta tags in document order; none from comments, scripts or other raw text."""
-    found = F.filter(tokens(html), lambda t: t.rlike(r"(?i)\A<meta[\s/>]"))
+    found = F.filter(tokens(html) if found is None else found, lambda t: t.rlike(r"(?i)\A<meta[\s/>]"))
     field = lambda m, name: F.coalesce(attribute(m, name), F.lit(""))
     return F.transform(found, lambda m: F.struct(
         field(m, "name").alias("name"), field(m, "property").alias("property"),
         field(m, "http-equiv").alias("http_equiv"), field(m, "content").alias("content")).cast(META))
 
 
-def html_lang(html: Column) -> Column:
+def html_lang(html: Column, found: Column | None = None) -> Column:
     """The language the page's own html tag names."""
-    tag = F.get(F.filter(tokens(html), lambda t: t.rlike(r"(?i)\A<html[\s/>]")), F.lit(0))
+    tag = F.get(F.filter(tokens(html) if found is None else found, lambda t: t.rlike(r"(?i)\A<html[\s/>]")), F.lit(0))
     return F.coalesce(attribute(tag, "lang"), F.lit(""))
 
 
-def body_sample(html: Column) -> Column:
+def body_sample(html: Column, found: Column | None = None) -> Column:
     """First characters of all text below the body, scripts and styles included, comments not."""
     def sample(ts: Column) -> Column:
         body = F.coalesce(F.array_min(F.transform(ts, lambda t, i: F.when(t.rlike(r"(?i)\A<body[\s/>]"), i))), F.size(ts))
@@ -285,7 +285,7 @@ def body_sample(html: Column) -> Column:
             return F.when(kind(t) == "raw", F.when(t.rlike(r"(?i)\A<(?:textarea|title)\b"), decode_entities(held)).otherwise(held)) \
                 .when(kind(t) == "text", decode_entities(t)).otherwise("")
         return F.substring(F.array_join(F.transform(inside, text), ""), 1, V.CURRENCY_SAMPLE)
-    return let(tokens(html), sample)
+    return let(tokens(html) if found is None else found, sample)
 
 
 STEP_NODE = ("struct<pos:int,kind:string,tag:string,token:string,parent:int,"

@@ -77,9 +77,10 @@ def metas(spark, sf_dir):
 
 
 def _signals(spark, sf_dir):
-    return pages(spark, sf_dir).select(
-        "page_id", html.metas(c("html")).alias("metas"), html.html_lang(c("html")).alias("lang"),
-        U.url_parts(c("url"))["host"].alias("host"), html.body_sample(c("html")).alias("sample"))
+    cut = with_once(pages(spark, sf_dir), ts=html.tokens(c("html")))
+    return cut.select(
+        "page_id", html.metas(c("html"), c("ts")).alias("metas"), html.html_lang(c("html"), c("ts")).alias("lang"),
+        U.url_parts(c("url"))["host"].alias("host"), html.body_sample(c("html"), c("ts")).alias("sample"))
 
 
 @query("country_meta")
@@ -152,12 +153,13 @@ def scan_pages(df, country_col=None, email=True, numeric=True):
     The country and the policy columns are settled per page before its nodes
     are exploded; the html itself is dropped there.
     """
-    here = country.page_country(html.metas(c("html")), html.html_lang(c("html")),
-                                U.url_parts(c("url"))["host"], html.body_sample(c("html")))
+    ts = c("ts")
+    here = country.page_country(html.metas(c("html"), ts), html.html_lang(c("html"), ts),
+                                U.url_parts(c("url"))["host"], html.body_sample(c("html"), ts))
     flags = {"email_on": email if not isinstance(email, bool) else F.lit(email),
              "numeric_on": numeric if not isinstance(numeric, bool) else F.lit(numeric)}
-    nodes = with_once(df, country=here if country_col is None else country_col,
-                      units=html.text_nodes(html.tree(c("html"))), **flags).select(
+    nodes = with_once(with_once(df, ts=html.tokens(c("html"))), country=here if country_col is None else country_col,
+                      units=html.text_nodes(html.tree(c("html"), ts)), **flags).select(
         "page_id", "country", "email_on", "numeric_on", F.inline("units"))
     scanned = resolve.with_matches(nodes, email="email_on", numeric="numeric_on")
     rescue = F.when((F.size("m") == 0) & c("numeric_on") & (F.length("text") >= 4),
