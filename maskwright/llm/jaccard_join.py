@@ -41,8 +41,8 @@ SEEDS, FACTOR = (U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)), U64(0x9E3779
 SKETCHES = tuple(f"m{k}" for k in range(1, 2 * len(SEEDS) + 3))
 SKETCH_FIELDS = ", ".join(f"{m} long" for m in SKETCHES)
 SETS = f"key long, version long, n long, f long, {SKETCH_FIELDS}, part array<int>"
-#: One of so many parts of all hashes (as a power of two) is kept with every set.
-PART_BITS = 4
+#: Sixteenths of all hashes that are kept with every set: enough that unlike sets differ there by more than links of 0.8 allow.
+PART = 3
 #: Rows (block, set) that are broadcast to find their texts, at about 100 bytes each; beyond it both sides are dealt.
 BROADCAST_ROWS = 400_000
 
@@ -92,8 +92,8 @@ class Sets:
         return signed(mix(self.reduced(np.add, mix(self.shingles)) + self.n.astype(U64)))
 
     def parts(self) -> pa.ListArray:
-        """Of every set the shingles of one part of all hashes, cut to 32 bits."""
-        mine = (self.shingles >> U64(64 - PART_BITS)) == 0
+        """Of every set the shingles of a fixed part of all hashes, cut to 32 bits."""
+        mine = (self.shingles >> U64(60)) < U64(PART)
         ends = np.concatenate([[0], np.cumsum(mine)])[self.at]
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(
             (self.shingles[mine] & U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
