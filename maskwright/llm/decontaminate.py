@@ -3,14 +3,15 @@
 Word n-grams of the test items that are rare in the corpus are looked up in
 every text. Where several of them meet at about one place, the text there and
 the item are aligned word by word (Smith-Waterman), so copies with words
-changed, added or left out score as what they still share. Items go to the
-texts in blocks of bounded size.
+changed, added or left out score as what they still share. Where frequent
+n-grams meet, it is aligned if the words there can reach the threshold at all.
+Items go to the texts in blocks of bounded size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ IN_WORD[48:58] = IN_WORD[65:91] = IN_WORD[97:123] = IN_WORD[128:] = True
 
 @dataclass(frozen=True)
 class Settings:
-    """``seed`` words make a seed; ``rare`` times the item's median frequency is the most a seed may have.
+    """``seed`` words make a seed; one is rare up to ``rare`` times the median frequency of the item's seeds that occur.
 
     Alignment gives 2 for a word shared, and takes 1 for a word changed, added
     or left out; a hit has at least ``threshold`` of what the item itself has.
@@ -83,13 +84,15 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
 
 @dataclass
 class Items:
-    """A block of test items: their words, and their seeds by hash."""
+    """A block of test items: their words, and their seeds by hash; all count as rare until they are counted."""
 
     ids: list
     words: list[np.ndarray]
     seeds: np.ndarray
     seed_item: np.ndarray
     seed_at: np.ndarray
+    rare: np.ndarray
+    sizes: np.ndarray
 
     @staticmethod
     def of(ids: list, texts: pa.Array, size: int) -> Items:
@@ -102,10 +105,19 @@ class Items:
         at = np.arange(len(owner)) - begin[owner]
         at[np.diff(first)[owner] < size] = 0
         order = np.argsort(hashes, kind="stable")
-        return Items(ids, [words[first[i]:first[i + 1]] for i in range(len(ids))], hashes[order], owner[order], at[order])
+        return Items(ids, [words[first[i]:first[i + 1]] for i in range(len(ids))], hashes[order], owner[order], at[order],
+                     np.ones(len(order), bool), np.diff(first))
 
-    def kept(self, mask: np.ndarray) -> Items:
-        return Items(self.ids, self.words, self.seeds[mask], self.seed_item[mask], self.seed_at[mask])
+    def judged(self, number: np.ndarray, rare: float) -> Items:
+        """With the seeds that are rare by ``number``: against their item's median of those that occur, and its rarest."""
+        order = np.lexsort((number, self.seed_item))
+        order = order[number[order] > 0]
+        bound = np.zeros(len(self.ids))
+        begin = np.searchsorted(self.seed_item[order], np.arange(len(self.ids) + 1))
+        for k in np.flatnonzero(np.diff(begin)):
+            own = number[order[begin[k]:begin[k + 1]]]
+            bound[k] = max(own[0], rare * np.median(own))
+        return replace(self, rare=number <= np.maximum(1, bound[self.seed_item]))
 
 
 def _text_seeds(words: np.ndarray, first: np.ndarray, items: Items, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,27 +147,39 @@ def _windows(text: int, words: np.ndarray, first: np.ndarray, at: np.ndarray, pl
     last = np.searchsorted(items.seeds, items.seeds[place], "right")
     count = last - place
     rows = np.repeat(place - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    where, item, begins = np.repeat(at, count), items.seed_item[rows], items.seed_at[rows]
-    for k in np.unique(item):
-        own = item == k
-        words_k = items.words[k]
-        size, guess, seed = len(words_k), where[own] - begins[own], begins[own]
-        order = np.argsort(guess, kind="stable")
-        guess, seed = guess[order], seed[order]
-        cuts = np.flatnonzero(np.diff(guess) > size // 2 + 8) + 1
-        best = None
-        for group, kinds in zip(np.split(guess, cuts), np.split(seed, cuts)):
-            if len(np.unique(kinds)) < min(2, max(1, size - settings.seed + 1)):
-                continue
-            pad = size // 4 + 4
-            low = max(int(first[text]), int(group[0]) - pad)
-            high = min(int(first[text + 1]), int(group[-1]) + size + pad)
-            score, start, end = align(words_k, words[low:high])
-            share = score / (2 * size)
-            if share >= settings.threshold and (best is None or share > best[1]):
-                best = (int(k), share, low + start - int(first[text]), low + end - 1 - int(first[text]))
-        if best is not None:
+    item, begins, rare = items.seed_item[rows], items.seed_at[rows], items.rare[rows]
+    guess = np.repeat(at, count) - begins
+    order = np.lexsort((guess, item))
+    item, begins, rare, guess = item[order], begins[order], rare[order], guess[order]
+    # seeds of an item on about one diagonal are a group
+    size = items.sizes[item]
+    new = np.ones(len(item), bool)
+    new[1:] = (item[1:] != item[:-1]) | (np.diff(guess) > size[1:] // 2 + 8)
+    start, group = np.flatnonzero(new), np.cumsum(new) - 1
+    order = np.lexsort((begins, group))
+    once = np.ones(len(item), bool)
+    once[1:] = (group[order][1:] != group[order][:-1]) | (begins[order][1:] != begins[order][:-1])
+    once = order[once]
+    kinds, few = np.bincount(group[once], minlength=len(start)), np.bincount(group[once], rare[once], len(start))
+    need = np.minimum(2, np.maximum(1, size[start] - settings.seed + 1))
+    stop = np.append(start[1:], len(item)) - 1
+    best = None
+    for g in np.flatnonzero(kinds >= need):
+        k, words_k = int(item[start[g]]), items.words[item[start[g]]]
+        size_k, pad = len(words_k), len(words_k) // 4 + 4
+        low = max(int(first[text]), int(guess[start[g]]) - pad)
+        high = min(int(first[text + 1]), int(guess[stop[g]]) + size_k + pad)
+        if few[g] < need[g] and np.isin(words_k, words[low:high]).sum() < settings.threshold * size_k:
+            continue  # no alignment shares more words than occur there
+        score, begin, end = align(words_k, words[low:high])
+        share = score / (2 * size_k)
+        if best is not None and best[0] != k:
             yield best
+            best = None
+        if share >= settings.threshold and (best is None or share > best[1]):
+            best = (k, share, low + begin - int(first[text]), low + end - 1 - int(first[text]))
+    if best is not None:
+        yield best
 
 
 def _blocks(bench: DataFrame, id_col: str, text_col: str, settings: Settings) -> Iterator[Items]:
@@ -176,10 +200,10 @@ def find_items(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
 
     ``version`` is the xxhash64 of the text: with the id it tells the row. One
     row per text and item, with the best place; words are counted from 0
-    without punctuation. Seeds are counted over all documents, by document; an
-    item keeps those of at most ``rare`` times its median count, so an item
-    that was copied a thousand times keeps its seeds. Two different seeds must
-    meet, or one if the item has no more. Null and empty texts and items
+    without punctuation. Two different seeds must meet, or one if the item has
+    no more. Seeds are counted over all documents, by document; where fewer
+    rare ones meet, the place is aligned all the same unless too few of the
+    item's words occur there, so rarity decides the cost only. Null and empty texts and items
     without a word give nothing; equal rows give equal hits once.
     """
     sc = docs.sparkSession.sparkContext
@@ -205,26 +229,23 @@ def find_items(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
         number = np.zeros(len(items.seeds), np.int64)
         number[met["place"].to_numpy()] = met["n"].to_numpy()
         number = number[np.searchsorted(items.seeds, items.seeds)]  # equal seeds are counted at their first place
-        by_item = np.argsort(items.seed_item, kind="stable")
-        cuts = np.searchsorted(items.seed_item[by_item], np.arange(1, len(items.ids)))
-        median = np.array([np.median(x) if len(x) else 0.0 for x in np.split(number[by_item], cuts)])
-        rare = sc.broadcast(items.kept(number <= np.maximum(1, settings.rare * median[items.seed_item])))
+        judged = sc.broadcast(items.judged(number, settings.rare))
         every.unpersist()
 
-        def hits(batches: Iterator[pa.RecordBatch], rare=rare) -> Iterator[pa.RecordBatch]:
+        def hits(batches: Iterator[pa.RecordBatch], judged=judged) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keys, versions = batch.column(0), batch.column(1)
                 data, offsets = utf8(batch.column(2))
                 out = []
                 for a, b in pieces(offsets, PIECE):
                     words, first = plain_words(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-                    text, at, place = _text_seeds(words, first, rare.value, settings.seed)
+                    text, at, place = _text_seeds(words, first, judged.value, settings.seed)
                     order = np.argsort(text, kind="stable")
                     text, at, place = text[order], at[order], place[order]
                     cuts = np.flatnonzero(np.diff(text)) + 1
                     for t, w, p in zip(text[np.r_[0, cuts]] if len(text) else (), np.split(at, cuts), np.split(place, cuts)):
-                        for k, score, low, high in _windows(int(t), words, first, w, p, rare.value, settings):
-                            out.append((keys[a + int(t)].as_py(), versions[a + int(t)].as_py(), rare.value.ids[k], score, low, high))
+                        for k, score, low, high in _windows(int(t), words, first, w, p, judged.value, settings):
+                            out.append((keys[a + int(t)].as_py(), versions[a + int(t)].as_py(), judged.value.ids[k], score, low, high))
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                 columns = list(zip(*out)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],

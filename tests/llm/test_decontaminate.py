@@ -89,3 +89,17 @@ def test_nulls_short_items_repeats_long_texts_and_clashes(spark):
     assert sorted((r.row.doc_id for r in kept.collect()), key=str) == [1, 2, 4]
     assert D.find_items(d.limit(0), b).count() == 0 and D.find_items(d, b.limit(0)).count() == 0
     assert D.drop_contaminated(d, b.limit(0)).count() == len(docs)
+
+
+def test_copies_in_several_documents_are_found_as_one_alone_is(spark):
+    item = [f"word{k}" for k in range(40)]
+    edited = " ".join(f"other{k}" if k % 5 == 2 else w for k, w in enumerate(item))
+    half, rest = " ".join(item[:20]), " ".join(item[20:])
+    for copies in (1, 3, 60):
+        for copy in (edited, half):
+            docs = [(k, f"text {k} begins {copy} and ends {k}") for k in range(copies)] + [(900, "nothing of it")]
+            got = D.find_items(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(1, " ".join(item))], ITEMS))
+            assert {r.key for r in got.collect()} == set(range(copies))
+    docs = [(k, half) for k in range(60)] + [(100, f"{half} {rest}"), (101, f"some {rest}")]  # frequent seeds only in most copies
+    got = D.find_items(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(1, " ".join(item))], ITEMS))
+    assert {r.key for r in got.collect()} == {*range(60), 100, 101}
