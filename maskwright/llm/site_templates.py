@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from .link_trust import host_path
 from .shared import arrow_map, stored
 
+#: A quote opens a value after ``=`` only, and one that is never closed stands for itself.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]{0,64})(?P<attrs>(?:[^>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+)>", re.S)
+    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]{0,64})(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|(?P<open>\Z))", re.S)
 ATTR = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 RAW = re.compile(r"script|style|noscript|template|iframe|noembed|noframes|title|textarea|svg|math|xmp")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -100,10 +101,10 @@ class Page:
         text = self._text
         while pos < size:
             m = TOKEN.search(source, pos)
-            if not m:
+            if not m or m["open"] is not None:
                 rest = source[pos:]
-                cut = re.search(r"<[!/?A-Za-z][^<]*\Z", rest)
-                text(stack[-1], rest[:cut.start()] if cut else rest)
+                cut = m if m and ">" in m[0] else re.compile(r"<[!/?A-Za-z][^<]*\Z").search(source, pos)
+                text(stack[-1], rest[:cut.start() - pos] if cut else rest)
                 break
             if m.start() > pos:
                 text(stack[-1], source[pos:m.start()])

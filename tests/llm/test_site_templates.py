@@ -70,3 +70,15 @@ def test_nulls_repeats_long_and_clashing_columns(spark):
 def test_deep_nesting_and_many_quotes():
     assert Page("<div>" * 20_000 + "x").text(frozenset()) == "x"
     assert Page('<a "' * 3000 + ">x").text(frozenset()) is not None
+
+
+def test_long_attributes_are_markup():
+    long = "data:image/png;base64," + "QUJD>" * 20_000
+    for q in "\"'":
+        assert Page(f"<p>a<img src={q}{long}{q}>b</p>").text(frozenset()) == "ab"
+        assert Page(f"<p>menu</p><article data-x = {q}{long}{q}><p>x</p></article>").text(frozenset()) == "x"
+        assert Page(f"<nav data-x={q}{long}{q}>menu</nav><p>x</p>").text(frozenset()) == "x"
+        assert Page(f"<p title={q}open>x</p><p>y</p>").text(frozenset()) == "x\ny"
+    assert Page("<p>x</p><a title='<b>y</b>' ").text(frozenset()) == "x"
+    assert Page("<a b='" * 20_001).text(frozenset()) is not None
+    assert Page("<p title=it's>x</p><p>y's</p>").text(frozenset()) == "x\ny's"
