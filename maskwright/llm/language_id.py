@@ -3,7 +3,7 @@
 A model predicts each letter of a word, and the word's end, from the three
 symbols before it in the word. Counts and continuation counts of all training
 texts are made and discounted in Spark; the probabilities and back-off weights
-land in sorted arrays of hashed n-grams. A text goes to the language of the
+land in sorted arrays of n-gram codes, which are exact. A text goes to the language of the
 lowest cross-entropy per symbol, and is rejected if even that is far above
 what the language's training texts have.
 """
@@ -24,8 +24,6 @@ from .shared import arrow_map, stored, whole_rows, with_fields
 from .words import characters, pieces, utf8
 
 ORDER = 4
-#: Hashes are n-gram codes modulo this prime, so no array has more entries than it.
-HASH_PRIME = 1_048_573
 #: Bytes of text that are turned into arrays at once.
 PIECE = 4 << 20
 #: Distinct n-grams a task holds before it passes its counts on.
@@ -85,11 +83,11 @@ def ngram_codes(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 @dataclass
 class Model:
-    """Sorted hash arrays per language and order."""
+    """Sorted arrays of n-gram codes per language and order; 12 bytes an n-gram or context."""
 
     languages: list[str]
-    grams: dict = field(default_factory=dict)     # (language, order) -> (hashes, probability above back-off)
-    contexts: dict = field(default_factory=dict)  # (language, order) -> (hashes, back-off weight)
+    grams: dict = field(default_factory=dict)     # (language, order) -> (codes, probability above back-off)
+    contexts: dict = field(default_factory=dict)  # (language, order) -> (codes, back-off weight)
     limits: dict = field(default_factory=dict)    # language -> (mean, deviation) of bits per symbol in training
     alphabet: int = 1 << 16
 
@@ -111,9 +109,8 @@ def _find(table, codes: np.ndarray, missing: float) -> np.ndarray:
     if table is None or len(table[0]) == 0:
         return np.full(len(codes), missing)
     keys, values = table
-    hashes = codes % HASH_PRIME
-    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-    return np.where(keys[at] == hashes, values[at], missing)
+    at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+    return np.where(keys[at] == codes, values[at], missing)
 
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +145,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tables(counts: DataFrame) -> DataFrame:
-    """(lang, ord, kind, hash, value) of all orders from (lang, code, n).
+    """(lang, ord, kind, code, value) of all orders from (lang, code, n).
 
     ``kind`` 0: discounted probability of an n-gram, 1: back-off weight of a
     context, 2: the discount's language row is folded in already.
@@ -165,21 +162,21 @@ def _tables(counts: DataFrame) -> DataFrame:
         sums = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
         sums = sums.join(off, "lang")
         grams = rows.join(sums, ["lang", "context"]).select(
-            "lang", F.lit(order).alias("ord"), F.lit(0).alias("kind"), F.pmod("code", F.lit(HASH_PRIME)).alias("hash"),
-            ((F.col("n") - F.col("off")) / F.col("total")).alias("value"))
+            "lang", F.lit(order).alias("ord"), F.lit(0).alias("kind"), "code",
+            ((F.col("n") - F.col("off")) / F.col("total")).cast("float").alias("value"))
         weights = sums.select("lang", F.lit(order).alias("ord"), F.lit(1).alias("kind"),
-                              F.pmod("context", F.lit(HASH_PRIME)).alias("hash"),
-                              (F.col("off") * F.col("kinds") / F.col("total")).alias("value"))
+                              F.col("context").alias("code"),
+                              (F.col("off") * F.col("kinds") / F.col("total")).cast("float").alias("value"))
         both = grams.unionByName(weights)
         out = both if out is None else out.unionByName(both)
         if order > 1:  # continuation counts: in how many contexts the shorter n-gram occurs
             level = level.groupBy("lang", F.col("code").bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1)).alias("next")).agg(
                 F.count("*").alias("n")).withColumnRenamed("next", "code")
-    return out.groupBy("lang", "ord", "kind", "hash").agg(F.max("value").cast("float").alias("value"))
+    return out
 
 
 def train(texts: DataFrame, text_col: str, lang_col: str) -> Model:
-    """Models of all texts with a language; the arrays, of bounded size, come to the driver."""
+    """Models of all texts with a language; the arrays, as long as there are different n-grams, come to the driver."""
     rows = texts.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     partial = arrow_map(rows, _count_rows, "lang string, code long, n long")
@@ -190,13 +187,13 @@ def train(texts: DataFrame, text_col: str, lang_col: str) -> Model:
     names = pc.unique(made["lang"]).to_pylist()
     model = Model(sorted(names))
     lang = pc.index_in(made["lang"], pa.array(model.languages)).to_numpy()
-    order, kind, keys, values = (made[c].to_numpy() for c in ("ord", "kind", "hash", "value"))
+    order, kind, keys, values = (made[c].to_numpy() for c in ("ord", "kind", "code", "value"))
     for i, name in enumerate(model.languages):
         for o in range(1, ORDER + 1):
             for k, into in ((0, model.grams), (1, model.contexts)):
                 mine = np.flatnonzero((lang == i) & (order == o) & (kind == k))
                 mine = mine[np.argsort(keys[mine], kind="stable")]
-                into[name, o] = (keys[mine].astype(np.int32), values[mine])
+                into[name, o] = (keys[mine], values[mine])
     spread = counts.sparkSession.sparkContext.broadcast(model)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

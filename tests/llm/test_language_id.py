@@ -77,3 +77,18 @@ def test_repeats_ties_clashes_and_empty_tables(spark, docs):
     same = spark.createDataFrame([(1, "ab ab", "x"), (3, "ab ab", "y"), (5, "ab", None)], docs.schema)
     kept = L.train(same, "text", "lang")
     assert L.identify(same, kept).where("row.doc_id = 5").first().lang_pred == "x"
+
+
+def test_every_ngram_has_its_own_entry(spark):
+    letters = [chr(0x4E00 + k) for k in range(3000)]
+    rng = np.random.default_rng(8)
+    rows = [(k, " ".join("".join(rng.choice(letters, 3)) for _ in range(60)), "cc") for k in range(300)]
+    rows += [(1000 + k, "nolo milo sano tano", "aa") for k in range(20)]
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang")
+    seen = np.unique(np.concatenate(codes(*(t for _, t, lang in rows if lang == "cc"))))
+    assert np.array_equal(model.grams["cc", L.ORDER][0], seen)
+    for order in range(1, L.ORDER + 1):  # n-grams that were never seen have no probability of their own
+        keys, values = model.grams["cc", order]
+        other = np.setdiff1d(keys + 1_048_573, keys)
+        assert (L._find((keys, values), other, 0.0) == 0).all()
+        assert np.isclose(values.sum() if order == 1 else 0, 1 - model.contexts["cc", 1][1][0] if order == 1 else 0, atol=1e-3)
