@@ -4,7 +4,8 @@ A pseudo-rotation (three rounds of random signs and a fast Hadamard transform)
 turns a unit vector; its hash is the nearest signed axis. The index keeps the
 hashes of many rotations with every vector. Queries go to the index in blocks
 of bounded size: each index batch looks its rows up in the buckets of a query's
-nearest axes, ranks the candidates exactly and passes on only the best.
+nearest axes, ranks the candidates exactly and passes on only the best. Queries
+that find too few are compared with every vector of the index.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 from .shared import arrow_map, stored
 
 
+FOUND = "query_id long, vec_id long, score double"
+
+
 @dataclass(frozen=True)
 class Tables:
     """``count`` rotations, ``probes`` axes looked up per rotation; more of either raises recall and work."""
@@ -115,16 +119,19 @@ def _probes(x: np.ndarray, tables: Tables) -> np.ndarray:
 
 
 def _best(query_ids, queries, probes, ids, x, codes, k: int):
-    """The best ``k`` candidates of this batch for every query: (query id, id, score)."""
+    """The best ``k`` ids of this batch for every query, from all rows without ``probes``: (query id, id, score)."""
+    by_id = np.argsort(ids, kind="stable")
+    ids, x, codes = ids[by_id], x[by_id], codes[by_id]
     n, count = len(ids), codes.shape[1]
-    order = np.argsort(codes, axis=0, kind="stable")
-    sides = int(codes.max()) + 2
-    starts = np.stack([np.searchsorted(codes[order[:, t], t], np.arange(sides)) for t in range(count)])
+    if probes is not None:
+        order = np.argsort(codes, axis=0, kind="stable")
+        sides = int(codes.max()) + 2
+        starts = np.stack([np.searchsorted(codes[order[:, t], t], np.arange(sides)) for t in range(count)])
     norms, q_norms = (np.sqrt(np.einsum("ij,ij->i", m, m)) for m in (x, queries))
     found = ([], [], [])
     for q in range(len(query_ids)):
-        hit = np.zeros(n, bool)
-        for t in range(count):
+        hit = np.full(n, probes is None)
+        for t in range(count if probes is not None else 0):
             row, at = order[:, t], starts[t]
             for side in probes[q, t]:
                 if side + 1 < sides:
@@ -134,43 +141,32 @@ def _best(query_ids, queries, probes, ids, x, codes, k: int):
         if len(rows) == 0:
             continue
         score = np.einsum("ij,j->i", x[rows], queries[q]) / (norms[rows] * q_norms[q])
-        if len(rows) > k:  # all that tie with the k-th stay in
-            rows_kept = score >= np.partition(score, len(score) - k)[len(score) - k]
-            rows, score = rows[rows_kept], score[rows_kept]
-        best = np.lexsort((ids[rows], -score))
-        taken, last = 0, set()
-        for b in best:
-            if ids[rows[b]] not in last:
-                last.add(ids[rows[b]])
-                for column, value in zip(found, (query_ids[q], ids[rows[b]], score[b])):
-                    column.append(value)
-                taken += 1
-                if taken == k:
-                    break
+        # rows of one id lie together: the best of each, before the cut to ``k``
+        own = ids[rows]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        own, score = own[first], np.maximum.reduceat(score, first)
+        if len(own) > k:  # all that tie with the k-th stay in
+            kept = score >= np.partition(score, len(score) - k)[len(score) - k]
+            own, score = own[kept], score[kept]
+        best = np.lexsort((own, -score))[:k]
+        for column, values in zip(found, (np.full(len(best), query_ids[q]), own[best], score[best])):
+            column.extend(values.tolist())
     return found
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5,
-            tables: Tables = Tables(), block: int = 4096) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest found of every query by cosine, ties to the smaller id.
-
-    Vectors that are null, zero, empty, or hold null or non-finite components
-    take no part, nor do rows without an id; vectors of different lengths are
-    not compared. Candidates are all rows but those with the query's id; rows
-    that repeat an id count once, with their best score. Equal vectors share
-    all hashes, so none of them is lost. Queries are searched in blocks of
-    about ``block``, each a pass over the index.
-    """
-    spark = vectors.sparkSession
-    index = build_index(vectors, id_col, vector_col, tables)
-    picked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    blocks = max(1, -(-picked.count() // block))
-    asked = stored(picked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), "vector-queries", "block")
-    found = None
+def search(index: DataFrame, asked: DataFrame, k: int, tables: Tables, block: int, exact: bool = False) -> DataFrame:
+    """(query_id, vec_id, score): the best ``k`` of every index batch for each query (id, vector), from its buckets or from all rows."""
+    spark = index.sparkSession
+    blocks = -(-asked.count() // block)
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, blocks))).cast("int"))
+    asked = stored(asked, "vector-blocks", "block") if blocks > 1 else asked
+    found = spark.createDataFrame([], FOUND)
     for b in range(blocks):
         held = asked.where(F.col("block") == b).select("id", "vector").toArrow().combine_chunks()
         columns = [held.column(i).combine_chunks() if held.num_rows else pa.array([], held.schema.field(i).type) for i in (0, 1)]
-        by_width = {x.shape[1]: (ids, x, _probes(x, tables)) for _, ids, x in matrices(*columns)}
+        by_width = {x.shape[1]: (ids, x, None if exact else _probes(x, tables)) for _, ids, x in matrices(*columns)}
+        if not by_width:
+            continue
         spread = spark.sparkContext.broadcast(by_width)
 
         def rows(batches: Iterator[pa.RecordBatch], spread=spread) -> Iterator[pa.RecordBatch]:
@@ -182,9 +178,31 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
                         yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())],
                                                          ["query_id", "vec_id", "score"])
 
-        part = stored(arrow_map(index, rows, "query_id long, vec_id long, score double"), "vector-found")
+        found = found.unionByName(stored(arrow_map(index, rows, FOUND), "vector-found"))
         spread.unpersist()
-        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5,
+            tables: Tables = Tables(), block: int = 4096) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest found of every query by cosine, ties to the smaller id.
+
+    Vectors that are null, zero, empty, or hold null or non-finite components
+    take no part, nor do rows without an id; vectors of different lengths are
+    not compared. Candidates are all rows but those with the query's id; rows
+    that repeat an id count once, with their best score. Equal vectors share
+    all hashes, so none of them is lost. Queries are searched in blocks of
+    about ``block``, each a pass over the index; those with fewer than ``k``
+    found are searched once more among all vectors, so that they have fewer
+    only where there are no more.
+    """
+    index = build_index(vectors, id_col, vector_col, tables)
+    picked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    asked = stored(picked, "vector-queries")
+    found = search(index, asked, k, tables, block)
+    full = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= k)
+    short = stored(asked.join(full, F.col("id") == F.col("query_id"), "left_anti"), "vector-short")
+    found = found.unionByName(search(index, short, k, tables, block, exact=True))
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -66,3 +66,22 @@ def test_rows_that_take_no_part(spark):
     assert set(got) == {0, 100, 150}
     assert [i for _, i in got[0]][:2] == [1, 150] and len(got[0]) == len({i for _, i in got[0]})
     assert C.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_repeats_do_not_push_out_other_neighbours(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=16)
+    rows = [(k, (base + 0.05 * k * rng.normal(size=16)).astype(np.float32).tolist()) for k in range(12)]
+    for more in ([rows[1]] * 20, rows * 2):  # one row many times, every row three times
+        df = spark.createDataFrame(rows + list(more), SCHEMA).coalesce(1)
+        assert found(C.nearest(df, df.where("vec_id % 50 = 0"))) == brute(rows)
+
+
+def test_queries_have_all_candidates_where_there_are_few(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=64).astype(np.float32).tolist()
+    rows = [(0, base), (1, [-x for x in base]), *((k, [-x * k for x in base]) for k in (2, 4)), (5, [1.0, 2.0, 3.0]), (50, [-1.0, -2.0, -3.0])]
+    rows += [(100 + 50 * k, rng.normal(size=128).astype(np.float32).tolist()) for k in range(6)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got, want = found(C.nearest(df, df.where("vec_id % 50 = 0"), block=4)), brute(rows)
+    assert {q: [i for _, i in v] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
