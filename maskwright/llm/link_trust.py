@@ -46,14 +46,14 @@ def host_edges(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
         F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12,
-              tolerance: float = 1e-9) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 200,
+              tolerance: float = 1e-5) -> DataFrame:
     """(kind, host, score) from seeds (kind, host, mass) over edges (src, dst, n).
 
     ``kind`` trust follows links, ``kind`` distrust follows them backwards. A
     host passes on ``damping`` of its score in proportion to its links; hosts
-    without a link pass on nothing. Stops after ``rounds`` or when the scores
-    move by less than ``tolerance`` in all.
+    without a link pass on nothing. Stops when the scores move by at most
+    ``tolerance`` in all; ``rounds`` only bounds walks that never settle.
     """
     ways = edges.select(F.explode(F.array(
         F.struct(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "n"),
@@ -77,7 +77,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES,
-               seed_share: float = 0.5, damping: float = 0.85, rounds: int = 12, block_share: float = 0.5,
+               seed_share: float = 0.5, damping: float = 0.85, rounds: int = 200, block_share: float = 0.5,
                block_score: float = 0.01) -> DataFrame:
     """(id, host, path, rule, verdict, by_rule) for every row.
 
@@ -100,7 +100,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                           .alias("kind", "share")).where(F.col("share") >= seed_share)
     seeds = seeds.select("kind", "host", F.lit(1.0).alias("mass"))
     linked = pages.select(host.alias("host"), F.col(html_col).alias("html"))
-    scores = propagate(host_edges(linked, "host", "html"), seeds, damping, rounds)
+    scores = propagate(host_edges(linked, "host", "html"), seeds, damping, rounds, block_score / 1000)
     by_host = scores.groupBy("host").agg(
         F.coalesce(F.sum(F.when(F.col("kind") == "distrust", F.col("score"))), F.lit(0.0)).alias("d"),
         F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("score"))), F.lit(0.0)).alias("t"))

@@ -62,3 +62,10 @@ def test_no_python_and_no_rows(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert T.judge_urls(df.limit(0)).count() == 0
+
+
+def test_distrust_reaches_the_far_end_of_a_chain(spark):
+    rows = [(0, "http://bad.net/es/", None), (1, "http://h1.org/", "<a href=http://bad.net/>")]
+    rows += [(k, f"http://h{k}.org/", f"<a href=http://h{k - 1}.org/>") for k in range(2, 19)]
+    got = judged(spark, rows)
+    assert [k for k in range(19) if got[k].verdict == "block"] == list(range(17))  # 0.15 * 0.85 ** 16 is above 0.01
