@@ -363,9 +363,10 @@ def _dealt(shingles: np.ndarray, f: np.ndarray, rank: np.ndarray, size: int) ->
 
 
 def postings(rows: DataFrame, rank, shared, settings: Settings) -> DataFrame:
-    """(shingle, own, f, n, pos and sketches) of the prefix of every text's set, without shingles of one prefix only.
+    """(shingle, own, f, n, pos and sketches) of the prefix of every set, without shingles of one prefix only.
 
-    ``shingle`` names the list, see ``_dealt``.
+    ``shingle`` names the list, see ``_dealt``. Texts of equal sets give one
+    posting a list, however many they are, before the lists are dealt.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,7 +383,8 @@ def postings(rows: DataFrame, rank, shared, settings: Settings) -> DataFrame:
                      pa.array(pos[at].astype(np.int32)), *(pa.array(m[owner]) for m in sets.sketches())],
                     ["shingle", "own", "f", "n", "pos", *SKETCHES])
 
-    return arrow_map(rows.select("text"), make, f"shingle long, own int, f long, n int, pos int, {SKETCH_FIELDS}")
+    every = arrow_map(rows.select("text"), make, f"shingle long, own int, f long, n int, pos int, {SKETCH_FIELDS}")
+    return every.dropDuplicates(["shingle", "f"])
 
 
 def candidates(listed: DataFrame, settings: Settings) -> DataFrame:

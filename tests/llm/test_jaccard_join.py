@@ -127,3 +127,12 @@ def test_stars_of_long_chains(spark):
     for part in (nodes[:51], nodes[51:121], nodes[121:], [301, 302]):
         assert {got[x] for x in part} == {min(part)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_equal_sets_give_one_posting_a_list(spark):
+    sc, settings = spark.sparkContext, J.Settings()
+    rank, every = sc.broadcast(np.zeros(1 << J.SKETCH_BITS, np.int8)), sc.broadcast(np.full(1 << (J.MAP_BITS - 6), 0xFFFFFFFFFFFFFFFF, np.uint64))
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = spark.createDataFrame([(text,)] * 90 + [(text.upper(),)] * 10 + [(text + " more",)], "text string").repartition(4)
+    made = J.postings(rows, rank, every, settings)
+    assert made.count() == made.select("shingle", "f").distinct().count() and made.select("f").distinct().count() == 2
