@@ -257,15 +257,16 @@ def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(texts, pa.string())], ["key", "url", "text"])
 
 
-def site_templates(subtrees: DataFrame, pages_of: DataFrame, min_pages: int, share: float) -> DataFrame:
-    """(host, made): subtrees under at least ``min_pages`` different parents and ``share`` of the host's pages."""
+def site_templates(subtrees: DataFrame, pages_of: DataFrame, min_pages: int, share: float, enough: int) -> DataFrame:
+    """(host, made): subtrees under at least ``min_pages`` different parents and ``share`` of the host's pages, or ``enough``."""
     counts = subtrees.select("host", "made", "parent").distinct().groupBy("host", "made").agg(F.count("*").alias("n"))
     counts = counts.where(F.col("n") >= min_pages)
-    return counts.join(pages_of, "host").where(F.col("n") >= share * F.col("pages")).select("host", "made")
+    least = F.least(share * F.col("pages"), F.lit(enough))
+    return counts.join(pages_of, "host").where(F.col("n") >= least).select("host", "made")
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                      min_pages: int = 5, share: float = 0.3) -> DataFrame:
+                      min_pages: int = 5, share: float = 0.3, enough: int = 1000) -> DataFrame:
     """(page_id, url, text) for every row.
 
     Character references are decoded, white space inside a block becomes one
@@ -273,8 +274,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     one that holds frame only, gives an empty text. Prose inside a declared
     article stays even where it recurs; pages of a host with fewer than
     ``min_pages`` pages lose only what the mark-up declares as frame. Copies of
-    a page count once, as their subtrees have the same parents. Rows that
-    repeat a page are extracted each; an empty table gives an empty table.
+    a page count once, among the pages of a host as well as where a subtree
+    recurs; on a large host ``enough`` different pages suffice. Rows that repeat a page are extracted each; an empty table gives an empty table.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).alias("url"),
                         F.col(html_col).alias("html"))
@@ -282,8 +283,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     keyed = rows.select("key", version.alias("version"), host.alias("host"), "html")
     subtrees = stored(arrow_map(
         keyed, _subtree_rows, "key long, version long, host string, made long, parent long"), "subtrees")
-    pages_of = rows.groupBy(host.alias("host")).agg(F.count("*").alias("pages"))
-    templates = site_templates(subtrees, pages_of, min_pages, share)
+    kinds = rows.select(host.alias("host"), F.xxhash64("html").alias("content")).distinct()
+    pages_of = kinds.groupBy("host").agg(F.count("*").alias("pages"))
+    templates = site_templates(subtrees, pages_of, min_pages, share, enough)
     found = subtrees.join(templates, ["host", "made"]).groupBy("key", "version").agg(
         F.collect_set("made").alias("templates"))
     found = found.select(F.col("key").alias("found_key"), F.col("version").alias("found_version"), "templates")

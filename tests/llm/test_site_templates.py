@@ -82,3 +82,14 @@ def test_long_attributes_are_markup():
     assert Page("<p>x</p><a title='<b>y</b>' ").text(frozenset()) == "x"
     assert Page("<a b='" * 20_001).text(frozenset()) is not None
     assert Page("<p title=it's>x</p><p>y's</p>").text(frozenset()) == "x\ny's"
+
+
+def test_copies_of_a_page_do_not_hide_a_template(spark):
+    page = "<body><div class=x1>Our offers</div><div>Text {}</div></body>"
+    rows = [(k, "http://a.example/p", page.format(min(k, 7))) for k in range(60)]
+    assert dict(texts(extract_main_text(pages_of(spark, rows)))) == {k: f"Text {min(k, 7)}" for k in range(60)}
+
+
+def test_sections_of_a_large_host_have_templates(spark):
+    rows = [(k, "http://a.example/p", f"<body>{'<div class=x1>Our offers</div>' if k % 4 == 0 else ''}<div>Text {k}</div></body>") for k in range(4000)]
+    assert dict(texts(extract_main_text(pages_of(spark, rows)))) == {k: f"Text {k}" for k in range(4000)}
