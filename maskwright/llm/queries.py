@@ -94,3 +94,26 @@ def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_items
     found = find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "score", "first_word", "last_word")
+
+
+@query("op11_filter_audit")
+def filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove, per source, in each of their 120 orders."""
+    from .filter_audit import audit
+    return audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op12_ranked_search")
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    from .ranked_search import search
+    found = search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+@query("op13_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base numbers of every document and the verdict of rules weighed by their learned accuracies."""
+    from .quality_rules import judge
+    found = judge(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")

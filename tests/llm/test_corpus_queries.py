@@ -25,7 +25,7 @@ def con(sf):
 
 def test_all_are_registered():
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in llm.all_queries()} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in llm.all_queries()} == {f"op{k}" for k in range(1, 14)}
     assert set(llm.all_queries()) <= names and "pipeline" in names and set(SQL) <= set(entry.oracle_sql())
 
 
@@ -39,7 +39,8 @@ def test_equals_sql(spark, sf, con, name):
 
 @pytest.mark.parametrize("name, columns", [
     ("op2_language_id", ["doc_id", "held_out", "lang_pred", "score"]), ("op6_toxicity", ["doc_id", "held_out", "score", "predicted"]),
-    ("op7_cross_polytope", ["query_id", "rank", "vec_id", "score"]), ("op9_packing", ["doc_id"]), ("op10_decontaminate", ["doc_id", "item_id"])])
+    ("op7_cross_polytope", ["query_id", "rank", "vec_id", "score"]), ("op9_packing", ["doc_id"]), ("op10_decontaminate", ["doc_id", "item_id"]),
+    ("op13_quality_rules", ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])])
 def test_columns_of_the_others(spark, sf, name, columns):
     df = llm.all_queries()[name](spark, sf)
     assert df.columns[:len(columns)] == columns
