@@ -8,9 +8,10 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Positions in a text are folded block by block, so that building the result
-# array stays close to linear in the number of matches.
-BLOCK = 128
+# A fold copies its whole accumulator after every item. Results are therefore
+# gathered in blocks of blocks: each is copied some sixteen times a level, and the
+# outermost fold has one item for every BLOCK ** LEVELS.
+BLOCK, LEVELS = 32, 2
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -46,33 +47,57 @@ def scan_fold(items: Column, state: Column, step: Callable[[Column, Column], Col
 
     ``step(state, item)`` gives the next state, ``emit(state, item)`` the
     output for ``item`` given the state before it, or after it when
-    ``emit_after`` is set. Works in blocks: the inner fold appends to a short
-    array, the outer one to the whole result.
+    ``emit_after`` is set.
     """
-    def advance(acc: Column, item: Column) -> Column:
-        def grown(state: Column, seen: Column) -> Column:
-            return F.struct(state.alias("state"), F.concat(
-                acc["out"], F.array(emit(seen, item).cast(emit_type))).alias("out"))
-        if emit_after:
-            return let(step(acc["state"], item), lambda after: grown(after, after))
-        return grown(step(acc["state"], item), acc["state"])
-
-    def run(carry: Column, block: Column) -> Column:
-        inner = F.aggregate(
-            block,
-            F.struct(carry["state"].alias("state"), empty(emit_type).alias("out")),
-            advance,
-        )
-        return let(inner, lambda r: F.struct(
-            r["state"].alias("state"), F.concat(carry["out"], r["out"]).alias("out")))
-
-    def blocks(xs: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")),
-            lambda b: F.slice(xs, b * BLOCK + 1, F.lit(BLOCK)))
-
-    def fold(xs: Column) -> Column:
-        start = F.struct(state.alias("state"), empty(emit_type).alias("out"))
-        return F.when(F.size(xs) > 0, F.aggregate(blocks(xs), start, run)["out"]) \
-            .otherwise(empty(emit_type))
-    return let(items, fold)
+    def cut(xs: Column, size: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / size).cast("int")),
+                           lambda b: F.slice(xs, b * size + 1, F.lit(size)))
+
+    def last(xs: Column) -> Column:
+        return F.element_at(xs, -1)
+
+    def block(xs: Column, first: Column) -> Column:
+        """The states before, between and after a few items, and from them the outputs."""
+        return F.aggregate(
+            xs, F.array(first), lambda states, x: F.concat(states, F.array(step(last(states), x))),
+            lambda states: F.struct(last(states).alias("state"), F.transform(
+                xs, lambda x, i: emit(F.get(states, i + 1 if emit_after else i), x).cast(emit_type)).alias("out")))
+
+    def level(xs: Column, first: Column, depth: int) -> Column:
+        if depth == 0:
+            return block(xs, first)
+        start = F.struct(first.alias("state"), empty(emit_type).alias("out"))
+        return F.aggregate(
+            cut(xs, BLOCK ** depth), F.array(start), lambda done, x: F.concat(done, F.array(level(x, last(done)["state"], depth - 1))),
+            lambda done: F.struct(last(done)["state"].alias("state"), F.flatten(F.transform(done, lambda r: r["out"])).alias("out")))
+
+    return let(items, lambda xs: F.when(F.size(xs) > 0, level(xs, state, LEVELS)["out"]).otherwise(empty(emit_type)))
+
+
+def laid_out(found: Column, size: Column, value: Callable[[Column], Column], value_type: str) -> Column:
+    """An array of ``size`` with ``value(x)`` at ``x.pos`` of every ``x`` in ``found``, null elsewhere.
+
+    ``found`` is in order of ``pos``, each once. Reading a place of the result
+    costs the same however many there are, which testing a list for it does not.
+    """
+    none = F.lit(None).cast(value_type)
+
+    def gap(length: Column) -> Column:
+        return F.array_repeat(none, length.cast("int"))
+
+    def pieces(xs: Column) -> Column:
+        placed = F.transform(xs, lambda x, i: F.concat(
+            F.array(value(x).cast(value_type)), gap(F.coalesce(F.get(xs, i + 1)["pos"], size) - x["pos"] - 1)))
+        return F.flatten(F.concat(F.array(gap(F.coalesce(F.get(xs, F.lit(0))["pos"], size))), placed))
+    return let(found, pieces)
+
+
+def marks(positions: Column, size: Column) -> Column:
+    """An array of ``size`` that is true at ``positions``, which may repeat and come in any order, null elsewhere."""
+    ordered = F.transform(F.sort_array(F.array_distinct(positions)), lambda p: F.struct(p.alias("pos")))
+    return laid_out(ordered, size, lambda x: F.lit(True), "boolean")
+
+
+def marked(flags: Column, position: Column) -> Column:
+    """Is this position one of those given to :func:`marks`?"""
+    return F.coalesce(F.get(flags, position), F.lit(False))

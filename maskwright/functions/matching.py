@@ -37,7 +37,7 @@ def place(hits: Column, pieces: Column) -> Column:
     pieces ``0..i`` and matches ``0..i-1``.
     """
     return scan_fold(
-        F.arrays_zip(hits.alias("hit"), F.slice(pieces, F.lit(1), F.size(hits)).alias("gap")),
+        F.transform(hits, lambda h, i: F.struct(h.alias("hit"), F.get(pieces, i).alias("gap"))),
         F.lit(0),
         lambda pos, x: pos + F.length(x["gap"]) + F.length(x["hit"]),
         lambda pos, x: F.struct(

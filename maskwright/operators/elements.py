@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import values as V
-from ..functions.arrays import empty, let, with_once
+from ..functions.arrays import empty, let, marked, marks, with_once
 from ..functions.rx import SPACE
 from . import html, mask
 
@@ -52,10 +52,10 @@ def covered(nodes: Column, categories: Iterable[str] = V.DEFAULT_CATEGORIES, tho
     custom_on = bool(cats & {"text", "structure"})
 
     def decide(n: Column, texty: Column, slotted: Column) -> Column:
-        has_text = F.array_contains(texty, n["pos"])
+        has_text = marked(texty, n["pos"])
         claimed = html.has_attribute(n["token"], mask.SPAN_ATTRIBUTE)
         by_text = F.when(_one_of(n["tag"], STRUCTURAL), has_text).otherwise(
-            F.lit(thorough) | has_text | F.array_contains(slotted, n["pos"]))
+            F.lit(thorough) | has_text | marked(slotted, n["pos"]))
         stamped = ~claimed & F.when(
             n["tag"].contains("-"), F.lit(custom_on) & (F.lit(thorough) | has_text)
         ).otherwise(_one_of(n["tag"], check) & by_text)
@@ -66,39 +66,55 @@ def covered(nodes: Column, categories: Iterable[str] = V.DEFAULT_CATEGORIES, tho
         return F.struct(n["pos"].alias("pos"), n["tag"].alias("tag"), how.alias("how"))
 
     def run(ns: Column) -> Column:
-        texty = F.array_distinct(F.transform(F.filter(
-            ns, lambda n: (n["kind"] == "text") & html.decode_entities(n["token"]).rlike(NOT_BLANK)),
-            lambda n: n["parent"]))
-        slotted = F.array_distinct(F.flatten(F.transform(F.filter(
+        slotted = marks(F.flatten(F.transform(F.filter(
             ns, lambda n: F.coalesce(n["tag"] == "slot", F.lit(False)) & (n["kind"] != "close")),
-            lambda n: n["ancestors"])))
+            lambda n: n["ancestors"])), F.size(ns))
         elements = F.filter(ns, lambda n: n["kind"].isin("open", "void", "raw"))
-        return let(texty, lambda t: let(slotted, lambda s: F.filter(
+        return let(with_own_text(ns), lambda t: let(slotted, lambda s: F.filter(
             F.transform(elements, lambda n: decide(n, t, s)), lambda d: d["how"].isNotNull())))
     return let(nodes, run)
 
 
-def nearest_covered(ancestors: Column, covered_pos: Column) -> Column:
-    """Innermost covered element on the way up, null when there is none."""
-    return F.array_max(F.array_intersect(ancestors, covered_pos))
+def with_own_text(nodes: Column) -> Column:
+    """Marks of the elements with a text child that is not blank."""
+    return marks(F.transform(F.filter(
+        nodes, lambda n: (n["kind"] == "text") & (n["parent"] >= 0) & html.decode_entities(n["token"]).rlike(NOT_BLANK)),
+        lambda n: n["parent"]), F.size(nodes))
+
+
+def nearest(ancestors: Column, flags: Column) -> Column:
+    """Innermost marked element on the way up, null when there is none."""
+    return F.try_element_at(F.filter(ancestors, lambda a: marked(flags, a)), F.lit(-1))
+
+
+UNDER = "struct<pos:int,under:int,token:string>"
+
+
+def texts_under(nodes: Column, covered_pos: Column) -> Column:
+    """``array<struct<pos,under,token>>`` of all text nodes with their closest covered element."""
+    return let(nodes, lambda ns: let(marks(covered_pos, F.size(ns)), lambda flags: F.transform(
+        F.filter(ns, lambda n: n["kind"] == "text"), lambda n: F.struct(
+            n["pos"].alias("pos"), nearest(n["ancestors"], flags).alias("under"), n["token"].alias("token")).cast(UNDER))))
+
+
+def covered_positions(nodes: Column, categories: Iterable[str] = V.DEFAULT_CATEGORIES) -> Column:
+    return F.transform(covered(nodes, categories), lambda d: d["pos"])
 
 
 def mask_category_text(pages: DataFrame, categories: Iterable[str] = V.DEFAULT_CATEGORIES,
                        glyph: str = mask.DISC) -> DataFrame:
     """Text nodes below covered elements, every character replaced by ``glyph``."""
     rows = with_once(pages, nodes=html.tree(F.col("html")))
-    marked = with_once(rows, covered_pos=F.transform(covered(F.col("nodes"), categories), lambda d: d["pos"]))
-    texts = marked.select("page_id", "covered_pos", F.inline("nodes")).where(F.col("kind") == "text")
-    return texts.select(
-        "page_id", "pos", nearest_covered(F.col("ancestors"), F.col("covered_pos")).alias("under"),
-        F.length(html.decode_entities(F.col("token"))).alias("n_chars")).where("under is not null") \
+    texts = rows.select("page_id", F.inline(texts_under(F.col("nodes"), covered_positions(F.col("nodes"), categories))))
+    return texts.where("under is not null").select(
+        "page_id", "pos", "under", F.length(html.decode_entities(F.col("token"))).alias("n_chars")) \
         .withColumn("masked", F.repeat(F.lit(glyph), F.col("n_chars")))
 
 
 def top_nodes(nodes: Column, changed: Column) -> Column:
     """Changed positions that have no changed ancestor."""
-    return F.transform(F.filter(nodes, lambda n: F.array_contains(changed, n["pos"])
-                                & ~F.arrays_overlap(n["ancestors"], changed)), lambda n: n["pos"])
+    return let(nodes, lambda ns: let(marks(changed, F.size(ns)), lambda flags: F.transform(F.filter(
+        ns, lambda n: marked(flags, n["pos"]) & ~html.below(n, flags)), lambda n: n["pos"])))
 
 
 # ------------------------------------------------------------------ addresses

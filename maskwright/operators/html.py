@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import values as V
-from ..functions.arrays import empty, let, scan_fold
+from ..functions.arrays import empty, laid_out, let, marked, marks, scan_fold
 from ..functions.matching import find_all
 from ..functions.rx import java
 
@@ -35,6 +35,7 @@ ATTRIBUTE = r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?"""
 NODE = ("struct<pos:int,kind:string,tag:string,token:string,parent:int,"
         "ancestors:array<int>,seg:int>")
 _FRAME = "struct<tag:string,pos:int>"
+_PLACE = "struct<parent:int,ancestors:array<int>,seg:int>"
 
 # Which open elements a start tag closes, and what shields them.
 IMPLIED_END = (
@@ -119,13 +120,19 @@ def tree(html: Column, found: Column | None = None) -> Column:
         above = F.transform(state["stack"], lambda s: s["pos"])
         above = F.when(t["kind"] == "open", F.slice(above, F.lit(1), F.size(above) - 1)).otherwise(above)
         return let(above, lambda up: F.struct(
-            t["pos"].alias("pos"), t["kind"].alias("kind"), t["tag"].alias("tag"),
-            t["token"].alias("token"),
             F.coalesce(F.try_element_at(up, F.lit(-1)), F.lit(-1)).alias("parent"),
-            up.alias("ancestors"), state["seg"].alias("seg")).cast(NODE))
+            up.alias("ancestors"), state["seg"].alias("seg")).cast(_PLACE))
 
-    start = F.struct(empty(_FRAME).alias("stack"), F.lit(0).alias("seg"), F.lit(0).alias("next"))
-    return scan_fold(page_nodes(html, found), start, step, emit, NODE, emit_after=True)
+    def run(ns: Column) -> Column:
+        # the text of the tokens stays out of the fold
+        slim = F.transform(ns, lambda n: F.struct(n["pos"].alias("pos"), n["kind"].alias("kind"), n["tag"].alias("tag")))
+        start = F.struct(empty(_FRAME).alias("stack"), F.lit(0).alias("seg"), F.lit(0).alias("next"))
+        places = scan_fold(slim, start, step, emit, _PLACE, emit_after=True)
+        return let(places, lambda ps: F.transform(ns, lambda n, i: F.struct(
+            n["pos"].alias("pos"), n["kind"].alias("kind"), n["tag"].alias("tag"), n["token"].alias("token"),
+            F.get(ps, i)["parent"].alias("parent"), F.get(ps, i)["ancestors"].alias("ancestors"),
+            F.get(ps, i)["seg"].alias("seg")).cast(NODE)))
+    return let(page_nodes(html, found), run)
 
 
 def attribute(token: Column, name: str) -> Column:
@@ -139,40 +146,51 @@ def has_attribute(token: Column, name: str) -> Column:
     return token.rlike(rf"(?is)\s{name}(?=[\s=/>])")
 
 
+def below(node: Column, flags: Column) -> Column:
+    """Is the node below one of the elements that :func:`marks` has marked?"""
+    return F.exists(node["ancestors"], lambda a: marked(flags, a))
+
+
 def skip_roots(nodes: Column) -> Column:
     """Positions of elements whose text is never scanned."""
     is_element = lambda n: n["kind"].isin("open", "raw", "void")
-    coded = F.array_distinct(F.flatten(F.transform(
-        F.filter(nodes, lambda n: is_element(n) & (n["tag"] == "code")), lambda n: n["ancestors"])))
-    framed = F.transform(
-        F.filter(nodes, lambda n: is_element(n) & (n["tag"] == "div")
-                 & F.coalesce(attribute(n["token"], "class").contains("highlight"), F.lit(False))),
-        lambda n: n["pos"])
 
     def is_root(n: Column, coded: Column, framed: Column) -> Column:
         classes = F.coalesce(attribute(n["token"], "class"), F.lit(""))
         code_pre = (n["tag"] == "pre") & (
-            F.array_contains(coded, n["pos"]) | classes.contains("highlight")
+            marked(coded, n["pos"]) | classes.contains("highlight")
             | classes.contains("lang") | has_attribute(n["token"], "data-code")
-            | F.array_contains(framed, n["parent"]))
+            | marked(framed, n["parent"]))
         editor = has_attribute(n["token"], "data-code") | F.arrays_overlap(
             F.split(classes, r"\s+"), F.array(*[F.lit(c) for c in V.EDITOR_CLASSES]))
         return is_element(n) & (n["tag"].isin(*V.SKIP_TAGS) | code_pre | editor)
 
-    return let(coded, lambda c: let(framed, lambda f: F.transform(
-        F.filter(nodes, lambda n: is_root(n, c, f)), lambda n: n["pos"])))
+    def run(ns: Column) -> Column:
+        coded = marks(F.flatten(F.transform(
+            F.filter(ns, lambda n: is_element(n) & (n["tag"] == "code")), lambda n: n["ancestors"])), F.size(ns))
+        framed = marks(F.transform(
+            F.filter(ns, lambda n: is_element(n) & (n["tag"] == "div")
+                     & F.coalesce(attribute(n["token"], "class").contains("highlight"), F.lit(False))),
+            lambda n: n["pos"]), F.size(ns))
+        return let(coded, lambda c: let(framed, lambda f: F.transform(
+            F.filter(ns, lambda n: is_root(n, c, f)), lambda n: n["pos"])))
+    return let(nodes, run)
 
 
 # Named references as the standard library lists them; some stand without a semicolon too.
 _BARE = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
-REFERENCE = rf"&(?:#[0-9]{{1,9}};?|#[xX][0-9A-Fa-f]{{1,8}};?|[A-Za-z][A-Za-z0-9]{{1,31}};|(?:{_BARE}))"
+REFERENCE = rf"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]{{1,31}};|(?:{_BARE}))"
 _REPLACED = {c: bytes([c]).decode("cp1252", "replace") for c in range(128, 160)}
 
 
 def _numbered(ref: Column) -> Column:
     """The character of a numeric reference; numbers that are none give the replacement sign."""
-    hexed = F.regexp_extract(ref, r"\A&#[xX]([0-9A-Fa-f]+)", 1)
-    number = F.when(hexed != "", F.conv(hexed, 16, 10)).otherwise(F.regexp_extract(ref, r"\A&#([0-9]+)", 1)).cast("long")
+    hexed = F.regexp_extract(ref, r"\A&#[xX]0*([0-9A-Fa-f]*)", 1)
+    plain = F.regexp_extract(ref, r"\A&#0*([0-9]*)", 1)
+    # Eight digits without leading zeros are beyond the last character in either base.
+    first = lambda x: F.when(x == "", "0").otherwise(F.left(x, F.lit(8)))
+    number = F.when(ref.rlike(r"\A&#[xX]"), F.conv(first(hexed), 16, 10)).otherwise(first(plain)).cast("long")
+    number = F.when(F.greatest(F.length(hexed), F.length(plain)) > 8, -1).otherwise(number)
     old = F.create_map(*[F.lit(x) for c, v in _REPLACED.items() if v != "\ufffd" for x in (c, v)])
 
     def char(n: Column) -> Column:
@@ -214,10 +232,8 @@ def text_nodes(nodes: Column) -> Column:
         body = F.transform(F.filter(ns, lambda n: (n["kind"] == "open") & (n["tag"] == "body")),
                            lambda n: n["pos"])
 
-        def with_roots(roots: Column, body: Column) -> Column:
-            visible = F.filter(ns, lambda n: (n["kind"] == "text")
-                               & ~F.arrays_overlap(n["ancestors"], roots)
-                               & ((F.size(body) == 0) | F.arrays_overlap(n["ancestors"], body)))
+        def with_roots(roots: Column, body: Column, no_body: Column) -> Column:
+            visible = F.filter(ns, lambda n: (n["kind"] == "text") & ~below(n, roots) & (no_body | below(n, body)))
 
             read = F.transform(visible, lambda n: F.struct(
                 n["pos"].alias("pos"), n["parent"].alias("parent"), n["seg"].alias("seg"),
@@ -236,7 +252,8 @@ def text_nodes(nodes: Column) -> Column:
                                 F.when(short, tail(state, n)).alias("preceding"))
             start = F.struct(F.lit(-1).alias("seg"), F.lit("").alias("tail"))
             return scan_fold(read, start, step, emit, TEXT_NODE)
-        return let(body, lambda b: let(skip_roots(ns), lambda r: with_roots(r, b)))
+        return let(body, lambda b: let(marks(b, F.size(ns)), lambda inside: let(
+            marks(skip_roots(ns), F.size(ns)), lambda roots: with_roots(roots, inside, F.size(b) == 0))))
     return let(nodes, pick)
 
 
@@ -256,12 +273,17 @@ def cross_node_match(text: Column, preceding: Column) -> Column:
             trimmed.alias("text"))))
 
 
+def starts_tag(token: Column, name: str) -> Column:
+    """Is the token a start tag of that name? Looks at its first characters only."""
+    return F.left(token, F.lit(len(name) + 2)).rlike(rf"(?i)\A<{name}[\s/>]")
+
+
 META = "struct<name:string,property:string,http_equiv:string,content:string>"
 
 
 def metas(html: Column, found: Column | None = None) -> Column:
     """Meta tags in document order; none from comments, scripts or other raw text."""
-    found = F.filter(tokens(html) if found is None else found, lambda t: t.rlike(r"(?i)\A<meta[\s/>]"))
+    found = F.filter(tokens(html) if found is None else found, lambda t: starts_tag(t, "meta"))
     field = lambda m, name: F.coalesce(attribute(m, name), F.lit(""))
     return F.transform(found, lambda m: F.struct(
         field(m, "name").alias("name"), field(m, "property").alias("property"),
@@ -270,58 +292,64 @@ def metas(html: Column, found: Column | None = None) -> Column:
 
 def html_lang(html: Column, found: Column | None = None) -> Column:
     """The language the page's own html tag names."""
-    tag = F.get(F.filter(tokens(html) if found is None else found, lambda t: t.rlike(r"(?i)\A<html[\s/>]")), F.lit(0))
+    tag = F.get(F.filter(tokens(html) if found is None else found, lambda t: starts_tag(t, "html")), F.lit(0))
     return F.coalesce(attribute(tag, "lang"), F.lit(""))
 
 
 def body_sample(html: Column, found: Column | None = None) -> Column:
-    """First characters of all text below the body, scripts and styles included, comments not."""
+    """First characters of all text below the body, scripts and styles included, comments not.
+
+    Tokens are read and references decoded until there are enough characters.
+    """
+    def text(t: Column) -> Column:
+        plain = ~t.startswith("<") | (t == "<")
+        raw = t.rlike(r"(?i)\A<(?:" + "|".join(V.RAW_TEXT_TAGS) + r")\b")
+        held = F.when(plain, t).when(raw, F.regexp_extract(t, r"(?is)\A<[a-z]+\b[^>]*>(.*?)(?:</[a-z]+\s*>)?\z", 1)).otherwise("")
+        return F.when((plain | t.rlike(r"(?i)\A<(?:textarea|title)\b")) & t.contains("&"), decode_entities(held)).otherwise(held)
+
     def sample(ts: Column) -> Column:
-        body = F.coalesce(F.array_min(F.transform(ts, lambda t, i: F.when(t.rlike(r"(?i)\A<body[\s/>]"), i))), F.size(ts))
-        inside = F.filter(ts, lambda t, i: i > body)
-
-        def text(t: Column) -> Column:
-            held = F.regexp_extract(t, r"(?is)\A<[a-z]+\b[^>]*>(.*?)(?:</[a-z]+\s*>)?\z", 1)
-            return F.when(kind(t) == "raw", F.when(t.rlike(r"(?i)\A<(?:textarea|title)\b"), decode_entities(held)).otherwise(held)) \
-                .when(kind(t) == "text", decode_entities(t)).otherwise("")
-        return F.substring(F.array_join(F.transform(inside, text), ""), 1, V.CURRENCY_SAMPLE)
+        body = F.coalesce(F.array_min(F.transform(ts, lambda t, i: F.when(starts_tag(t, "body"), i))), F.size(ts))
+        inside = F.slice(ts, body + 2, F.greatest(F.size(ts) - body - 1, F.lit(0)))
+        return F.aggregate(inside, F.lit(""), lambda got, t: F.when(
+            F.length(got) < V.CURRENCY_SAMPLE, F.concat(got, text(t))).otherwise(got), lambda got: F.substring(got, 1, V.CURRENCY_SAMPLE))
     return let(tokens(html) if found is None else found, sample)
 
 
 STEP_NODE = ("struct<pos:int,kind:string,tag:string,token:string,parent:int,"
              "ancestors:array<int>,steps:array<string>>")
-_STEP_FRAME = "struct<tag:string,pos:int,step:string,kids:array<string>>"
+_ORDINAL = "struct<pos:int,nth:int>"
 
 
-def element_tree(html: Column) -> Column:
-    """Like :func:`tree`, with the ``tag:nth-of-type(n)`` step of every element on the way down."""
-    def frame(tag, pos, step, kids) -> Column:
-        return F.struct(tag.alias("tag"), pos.alias("pos"), step.alias("step"), kids.alias("kids")).cast(_STEP_FRAME)
+def ordinals(nodes: Column) -> Column:
+    """(pos, nth) of every element: the how-manieth of its tag below its parent.
 
-    def step(state: Column, t: Column) -> Column:
-        def apply(stack: Column) -> Column:
-            top = F.element_at(stack, -1)
-            nth = F.size(F.filter(top["kids"], lambda k: k == t["tag"])) + 1
-            own = F.concat(t["tag"], F.lit(":nth-of-type("), nth.cast("string"), F.lit(")"))
-            counted = F.concat(F.slice(stack, F.lit(1), F.size(stack) - 1), F.array(
-                frame(top["tag"], top["pos"], top["step"], F.concat(top["kids"], F.array(t["tag"])))))
-            is_element = t["kind"].isin("open", "void", "raw")
-            grown = F.when(t["kind"] == "open", F.concat(counted, F.array(
-                frame(t["tag"], t["pos"], own, empty("string"))))).when(is_element, counted).otherwise(stack)
-            return F.struct(grown.alias("stack"), F.when(is_element, own).alias("own"))
-        return let(_open_before(state["stack"], t), apply)
+    Siblings of one tag meet by sorting, so neither many siblings nor many
+    different tags below one parent are compared with one another.
+    """
+    elements = F.filter(nodes, lambda n: n["kind"].isin("open", "void", "raw"))
+    siblings = F.sort_array(F.transform(elements, lambda n: F.struct(
+        n["parent"].alias("parent"), n["tag"].alias("tag"), n["pos"].alias("pos"))))
 
-    def emit(state: Column, t: Column) -> Column:
-        depth = F.size(state["stack"]) - F.when(t["kind"] == "open", 2).otherwise(1)
-        above = F.slice(state["stack"], F.lit(2), depth)
-        return let(above, lambda up: F.struct(
-            t["pos"].alias("pos"), t["kind"].alias("kind"), t["tag"].alias("tag"), t["token"].alias("token"),
-            F.coalesce(F.try_element_at(up, F.lit(-1))["pos"], F.lit(-1)).alias("parent"),
-            F.transform(up, lambda s: s["pos"]).alias("ancestors"),
-            F.concat(F.transform(up, lambda s: s["step"]),
-                     F.when(state["own"].isNotNull(), F.array(state["own"])).otherwise(empty("string")))
-            .alias("steps")).cast(STEP_NODE))
-
-    root = F.array(frame(F.lit(""), F.lit(-1), F.lit(""), empty("string")))
-    start = F.struct(root.alias("stack"), F.lit(None).cast("string").alias("own"))
-    return scan_fold(page_nodes(html), start, step, emit, STEP_NODE, emit_after=True)
+    def step(state: Column, e: Column) -> Column:
+        same = (state["parent"] == e["parent"]) & (state["tag"] == e["tag"])
+        return F.struct(e["parent"].alias("parent"), e["tag"].alias("tag"), F.when(same, state["nth"] + 1).otherwise(1).alias("nth"))
+
+    start = F.struct(F.lit(-2).alias("parent"), F.lit("").alias("tag"), F.lit(0).alias("nth"))
+    return F.sort_array(scan_fold(siblings, start, step, lambda state, e: F.struct(
+        e["pos"].alias("pos"), state["nth"].alias("nth")), _ORDINAL, emit_after=True))
+
+
+def element_tree(html: Column) -> Column:
+    """Like :func:`tree`, with the ``tag:nth-of-type(n)`` step of every element on the way down."""
+    def with_steps(ns: Column) -> Column:
+        def emit(steps: Column) -> Column:
+            return F.transform(ns, lambda n: F.struct(
+                n["pos"].alias("pos"), n["kind"].alias("kind"), n["tag"].alias("tag"), n["token"].alias("token"),
+                n["parent"].alias("parent"), n["ancestors"].alias("ancestors"),
+                F.array_compact(F.concat(F.transform(n["ancestors"], lambda a: F.get(steps, a)), F.array(F.get(steps, n["pos"]))))
+                .alias("steps")).cast(STEP_NODE))
+
+        def step(x: Column) -> Column:
+            return F.concat(F.get(ns, x["pos"])["tag"], F.lit(":nth-of-type("), x["nth"].cast("string"), F.lit(")"))
+        return let(laid_out(ordinals(ns), F.size(ns), step, "string"), emit)
+    return let(tree(html), with_steps)

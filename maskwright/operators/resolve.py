@@ -98,13 +98,15 @@ def _settle(island: Column) -> Column:
                          lambda taken, c: mark(_hits(taken, c), c), SETTLED)
 
     def merge(items: Column) -> Column:
+        def merged(reach, c):
+            outcome = F.when((c["outcome"] == "emitted") & (c["start"] < reach), "merged").otherwise(c["outcome"])
+            return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["rank"].alias("rank"), c["text"].alias("text"),
+                            c["reason"].alias("reason"), outcome.alias("outcome")).cast(SETTLED)
         return scan_fold(
             _sorted(items, _start, _length_first, _rank), F.lit(-1),
             lambda reach, c: F.when((c["outcome"] == "emitted") & (c["start"] >= reach),
                                     c["end"]).otherwise(reach),
-            lambda reach, c: c.withField("outcome", F.when(
-                (c["outcome"] == "emitted") & (c["start"] < reach), "merged").otherwise(c["outcome"])),
-            SETTLED)
+            merged, SETTLED)
 
     return F.when(F.size(island) == 1, F.transform(island, lambda c: mark(F.lit(False), c))) \
         .otherwise(let(claim(island), merge))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from .. import sql_functions
 from .. import values as V
 from ..functions import validators as C
 from ..functions.arrays import with_once
@@ -322,6 +323,23 @@ def scan(spark, sf_dir):
     return _findings(tables.spread(tables.documents(spark, sf_dir)))
 
 
+@query("pii_scan")
+def pii_scan(spark, sf_dir):
+    """Findings of every document, by the SQL function."""
+    sql_functions.register(spark)
+    return spark.sql("""
+        SELECT id, f.* FROM (SELECT id, pii_scan(text, country) AS m FROM {docs})
+        LATERAL VIEW inline(m) f AS start_pos, end_pos, type, detector, hit""", docs=tables.spread(tables.documents(spark, sf_dir)))
+
+
+@query("pii_mask")
+def pii_mask(spark, sf_dir):
+    """Every document with its findings starred, by the SQL function."""
+    sql_functions.register(spark)
+    return spark.sql("SELECT id, md5(pii_mask(text, 'starred', country)) AS masked_md5 FROM {docs}",
+                     docs=tables.spread(tables.documents(spark, sf_dir)))
+
+
 @query("scan_conversations")
 def scan_conversations(spark, sf_dir):
     return _findings(tables.spread(tables.conversations(spark, sf_dir)))

@@ -84,9 +84,8 @@ def visually_covered(spark, sf_dir):
 @query("nearest_covered_ancestor")
 def nearest_covered_ancestor(spark, sf_dir):
     """Closest covered element above every text node."""
-    marked = with_once(parsed(spark, sf_dir), covered_pos=F.transform(E.covered(c("nodes")), lambda d: d["pos"]))
-    return marked.select("page_id", "covered_pos", F.inline("nodes")).where(c("kind") == "text").select(
-        "page_id", "pos", E.nearest_covered(c("ancestors"), c("covered_pos")).alias("under"))
+    return parsed(spark, sf_dir).select("page_id", F.inline(E.texts_under(c("nodes"), E.covered_positions(c("nodes"))))).select(
+        "page_id", "pos", "under")
 
 
 @query("mask_category_text")

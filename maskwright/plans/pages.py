@@ -6,15 +6,13 @@ from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions import url as U
-from ..functions.arrays import with_once
-from ..functions.rx import SPACE
-from ..operators import country, html, mask, resolve
+from ..functions.arrays import let, marked, marks, with_once
+from ..operators import country, elements, html, mask, resolve
 from ..sources import tables
 from ..sources.rich_pages import rich_pages
 from .registry import query
 
 c = F.col
-NOT_BLANK = f"[^{SPACE}]"
 
 
 def pages(spark, sf_dir, rich=True):
@@ -57,10 +55,11 @@ def page_text_nodes(spark, sf_dir):
 @query("code_pre_skip")
 def code_pre_skip(spark, sf_dir):
     """Which preformatted blocks count as code."""
-    rows = with_once(parsed(spark, sf_dir), roots=html.skip_roots(c("nodes")))
-    return rows.select("page_id", "roots", F.inline("nodes")).where(
-        (c("kind") == "open") & (c("tag") == "pre")).select(
-        "page_id", "pos", F.array_contains("roots", c("pos")).alias("skipped"))
+    def blocks(ns):
+        return let(marks(html.skip_roots(ns), F.size(ns)), lambda roots: F.transform(
+            F.filter(ns, lambda n: (n["kind"] == "open") & (n["tag"] == "pre")),
+            lambda n: F.struct(n["pos"].alias("pos"), marked(roots, n["pos"]).alias("skipped"))))
+    return parsed(spark, sf_dir).select("page_id", F.inline(let(c("nodes"), blocks)))
 
 
 @query("preceding_text")
@@ -127,19 +126,14 @@ def restricted_url(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", U.restricted(c("url")).alias("restricted"))
 
 
-def direct_text(nodes):
-    """Positions of elements with a non-blank text child."""
-    return F.array_distinct(F.transform(F.filter(
-        nodes, lambda n: (n["kind"] == "text") & html.decode_entities(n["token"]).rlike(NOT_BLANK)),
-        lambda n: n["parent"]))
-
-
 @query("meaningful_text")
 def meaningful_text(spark, sf_dir):
     """Elements with text of their own."""
-    rows = with_once(parsed(spark, sf_dir), texty=direct_text(c("nodes")))
-    return rows.select("page_id", "texty", F.inline("nodes")).where(c("kind") == "open").select(
-        "page_id", "pos", "tag", F.array_contains("texty", c("pos")).alias("has_text"))
+    def opened(ns):
+        return let(elements.with_own_text(ns), lambda texty: F.transform(
+            F.filter(ns, lambda n: n["kind"] == "open"),
+            lambda n: F.struct(n["pos"].alias("pos"), n["tag"].alias("tag"), marked(texty, n["pos"]).alias("has_text"))))
+    return parsed(spark, sf_dir).select("page_id", F.inline(let(c("nodes"), opened)))
 
 
 @query("title_redact")

@@ -145,7 +145,7 @@ SQL["scan"] = findings(D.DOCS)
 SQL["scan_aggressive"] = findings(D.DOCS, profile="aggressive")
 SQL["scan_conversations"] = findings(D.CONV)
 SQL["scan_probes"] = findings(PROBES)
-SQL["findings_sink"] = SQL["scan"]
+SQL["findings_sink"] = SQL["pii_scan"] = SQL["scan"]
 SQL["priority_claim"] = (f"SELECT id, CAST(rnk AS INT) AS rank, s AS start_pos, e AS end_pos, hit, reason, outcome "
                          f"FROM ({D.settled(PROBES)})")
 _all = findings(KEYED)
@@ -201,7 +201,7 @@ _outside = (f"SELECT id, unnest(string_split_regex(masked, '<span data-pii=\"[a-
             f"FROM ({rendered(KEYED, SPAN)})")
 SQL["skip_already_masked"] = (f"SELECT {SRC}, CAST(part AS INT) AS part, CAST(length(outside) AS INT) AS n_chars, "
                               f"md5(outside) AS md5 FROM ({_outside})")
-SQL["masked_sink"] = f"SELECT id, md5(masked) AS masked_md5 FROM ({rendered(D.DOCS, _fill('*'), 'true')})"
+SQL["masked_sink"] = SQL["pii_mask"] = f"SELECT id, md5(masked) AS masked_md5 FROM ({rendered(D.DOCS, _fill('*'), 'true')})"
 
 _ranges = ("(SELECT page_id, 'a' AS range_id, 5 AS lo0, 40 AS hi0 FROM k UNION ALL SELECT page_id, 'b', "
            "100 + page_id % 50, 700 + page_id % 90 FROM k UNION ALL SELECT page_id, 'c', 60, 60 FROM k)")

@@ -52,3 +52,8 @@ def test_text_nodes_grow_with_the_page_alone(spark):
         assert df.select(F.size(html.text_nodes(html.tree(F.col("t"))))).first()[0] == n
         took.append(time.time() - start)
     assert took[1] < 12 * max(took[0], 0.5)
+
+
+def test_numeric_references_of_any_length(spark):
+    raw = "&#00000000065;&#x000000041;&#65&#x41;&#0;&#99999999999999999999;&#xFFFFFFFFFFFFFFFFFF;&#x110000;&#128;&#x;&#;"
+    assert value(spark, html.decode_entities, raw) == ["AAAA\ufffd\ufffd\ufffd\ufffd€&#x;&#;"]

@@ -14,7 +14,7 @@ import check
 from maskwright.plans import all_queries
 
 SAMPLE = (
-    "scan", "scan_stats", "priority_claim", "numeric_generic", "detect_iban", "gate_order", "annotate_spans", "mod97_ok",
+    "scan", "pii_scan", "pii_mask", "nearest_covered_ancestor", "code_pre_skip", "path_selector", "scan_stats", "priority_claim", "numeric_generic", "detect_iban", "gate_order", "annotate_spans", "mod97_ok",
     "findings_rollup", "mask_range", "page_nodes", "page_scan", "page_country", "policy_load", "policy_fold", "items_admit",
     "element_cover", "selector_list", "share_sessions", "effective_trigger", "trigger_edges", "latency_summary", "stream_scan",
 )
