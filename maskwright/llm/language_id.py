@@ -24,44 +24,64 @@ from .shared import arrow_map, stored, whole_rows, with_fields
 from .words import characters, pieces, utf8
 
 ORDER = 4
-#: Bytes of text that are turned into arrays at once.
-PIECE = 4 << 20
+#: Bytes of text that are turned into arrays at once; a longer text is cut behind a character that is no letter.
+PIECE = 1 << 19
 #: Distinct n-grams a task holds before it passes its counts on.
 HELD = 1 << 21
 
-_symbols = None
+#: Letters beyond the base plane get symbols that no letter has there, one for every 32 of them.
+FAR_SYMBOLS, FAR_PLANES, FAR_BITS = 0xD800, 0x30000, 5
 
+_symbols: dict[str, np.ndarray] = {}
 
-def symbols() -> np.ndarray:
-    """A symbol per code point of the base plane: the lower-case letter, 0 for what is no letter."""
-    global _symbols
-    if _symbols is None:
-        table = np.zeros(0x10000, np.uint16)
+
+def symbols() -> tuple[np.ndarray, np.ndarray]:
+    """(symbol per code point of the base plane, is it a mark); the symbol is the lower-case letter, 0 for what is no letter."""
+    if "base" not in _symbols:
+        table, marks = np.zeros(0x10000, np.uint16), np.zeros(0x10000, bool)
         for i in range(0x10000):
             c = chr(i)
             if c.isalpha():
                 low = c.lower()
                 table[i] = ord(low) if len(low) == 1 and ord(low) < 0xFFFF else i
             elif 0x300 <= i and unicodedata.category(c)[0] == "M":
-                table[i] = i
-        _symbols = table
-    return _symbols
+                table[i], marks[i] = i, True
+        _symbols["base"], _symbols["marks"] = table, marks
+    return _symbols["base"], _symbols["marks"]
+
+
+def far_symbols(points: np.ndarray) -> np.ndarray:
+    """Symbols of code points beyond the base plane."""
+    if "far" not in _symbols:
+        _symbols["far"] = np.array([(FAR_SYMBOLS + ((i - 0x10000) >> FAR_BITS)) if chr(i).isalpha() else 0
+                                    for i in range(0x10000, FAR_PLANES)], np.uint16)
+    return np.where(points < FAR_PLANES, _symbols["far"][np.minimum(points, FAR_PLANES - 1) - 0x10000], 0)
 
 
 def ngram_codes(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(codes, offsets): the n-gram that ends at every letter and word end, 16 bits a symbol.
 
     A symbol before the word counts as 0. Runs of other characters are one word
-    end. A text without a letter has no code.
+    end. A mark counts where it follows a letter. A text without a letter has no
+    code.
     """
     n, texts = len(points), len(offsets) - 1
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(texts + 1, np.int64)
-    sym = np.where(points < 0x10000, symbols()[np.minimum(points, 0xFFFF)], np.uint16(0xFFFF))
+    base, is_mark = symbols()
+    near = np.minimum(points, 0xFFFF)
+    sym, mark = base[near], is_mark[near]
+    far = np.flatnonzero(points > 0xFFFF)
+    sym[far], mark[far] = far_symbols(points[far]), False
     # a border after each text
     at = np.arange(n) + np.repeat(np.arange(texts), np.diff(offsets))
     row = np.zeros(n + texts, np.uint16)
     row[at] = sym
+    if mark.any():
+        marks = np.zeros(n + texts, bool)
+        marks[at] = mark
+        holder = np.maximum.accumulate(np.where(marks, -1, np.arange(n + texts)))  # what the marks stand on
+        row[marks & ((holder < 0) | (row[holder] == 0))] = 0
     starts = offsets + np.arange(texts + 1)
     keep = row != 0
     keep[1:] |= row[:-1] != 0
@@ -76,11 +96,41 @@ def ngram_codes(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     for back in range(1, ORDER):
         before = np.zeros(len(row), np.int64)
         before[back:] = row[:-back]
-        letter = letter & (before != 0)  # once a border is met, all before it counts as 0
+        letter &= before != 0  # once a border is met, all before it counts as 0
         code |= np.where(letter, before, 0) << (16 * back)
     return code, kept[starts]
 
 
+_PART_OF_WORD = np.ones(256, bool)
+_PART_OF_WORD[:128] = [chr(i).isalpha() for i in range(128)]
+
+
+def text_codes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, last, codes, offsets) piece by piece; a long text comes in several, of one text each.
+
+    A piece ends behind an ASCII character that is no letter. There a word ends
+    anyway, so the codes are those of the whole text.
+    """
+    data, offsets = utf8(column)
+    for a, b in pieces(offsets, PIECE):
+        low, high = int(offsets[a]), int(offsets[b])
+        while True:
+            end = high
+            if high - low > PIECE:
+                end = low + PIECE
+                while end < high:
+                    cut = np.flatnonzero(~_PART_OF_WORD[data[end:min(high, end + PIECE)]])
+                    if len(cut):
+                        end += int(cut[0]) + 1
+                        break
+                    end = min(high, end + PIECE)
+            points, at = characters(data[low:end], np.clip(offsets[a:b + 1], low, end) - low)
+            yield a, b, *ngram_codes(points, at)
+            low = end
+            if low >= high:
+                break
+
+
 @dataclass
 class Model:
     """Sorted arrays of n-gram codes per language and order; 12 bytes an n-gram or context."""
@@ -126,11 +176,8 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return made
 
     for batch in batches:
-        data, offsets = utf8(batch.column(0))
         names = np.array(batch.column(1).to_pylist(), dtype=object)
-        for a, b in pieces(offsets, PIECE):
-            points, at = characters(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-            codes, at = ngram_codes(points, at)
+        for a, b, codes, at in text_codes(batch.column(0)):
             owner = np.repeat(names[a:b], np.diff(at))
             for name in sorted(set(names[a:b])):
                 found, n = np.unique(codes[owner == name], return_counts=True)
@@ -223,7 +270,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", evidence: fl
     plus ``deviations`` standard errors of a text of its length. A text that is
     null, empty or has no letter is ``und`` with score 0, not accepted; so is
     every text if nothing was learned. Equal cross-entropies go to the first
-    language in alphabetical order.
+    language in alphabetical order. Texts are read whole, in pieces, so a very
+    long one takes little more memory than itself.
     """
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -233,19 +281,17 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", evidence: fl
         mean = np.array([model.limits.get(x, (0, 0))[0] for x in model.languages])
         deviation = np.array([model.limits.get(x, (0, 0))[1] for x in model.languages])
         for batch in batches:
-            data, offsets = utf8(pc.struct_field(batch.column(0), text_col))
-            texts = len(offsets) - 1
-            entropy, length = np.full((max(1, known), texts), np.inf), np.zeros(texts, np.int64)
-            for a, b in pieces(offsets, PIECE):
-                points, at = characters(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-                codes, at = ngram_codes(points, at)
-                length[a:b] = np.diff(at)
-                full = np.flatnonzero(length[a:b])
+            texts = batch.num_rows
+            total, length = np.zeros((max(1, known), texts)), np.zeros(texts, np.int64)
+            for a, b, codes, at in text_codes(pc.struct_field(batch.column(0), text_col)):
+                counts = np.diff(at)
+                length[a:b] += counts
+                full = np.flatnonzero(counts)
                 if len(full) and known:
                     kinds, where = np.unique(codes, return_inverse=True)
-                    table = model.bits(kinds)
-                    for i in range(known):
-                        entropy[i, a + full] = np.add.reduceat(table[i][where], at[:-1][full]) / length[a:b][full]
+                    for i, bits in enumerate(model.bits(kinds)):
+                        total[i, a + full] += np.add.reduceat(bits[where], at[:-1][full])
+            entropy = np.where((length > 0) & (known > 0), total / np.maximum(length, 1), np.inf)
             best = np.argmin(entropy, axis=0)
             bits = entropy[best, np.arange(texts)]
             found = (length > 0) & (known > 0)

@@ -92,3 +92,26 @@ def test_every_ngram_has_its_own_entry(spark):
         other = np.setdiff1d(keys + 1_048_573, keys)
         assert (L._find((keys, values), other, 0.0) == 0).all()
         assert np.isclose(values.sum() if order == 1 else 0, 1 - model.contexts["cc", 1][1][0] if order == 1 else 0, atol=1e-3)
+
+
+def test_letters_of_all_planes_and_marks(spark, docs):
+    assert codes("\U0001F600 \U0001F603", "\u0301", " \u0301a", "a\u0301\u0302", "\U00020000", "\U00010428\U0001D400") != [[]] * 6
+    got = codes("\U0001F600\U0001F603", "\u0301", " \u0301a", "a", "\U00020000", "\U00010428", "e\u0301\u0302")
+    assert got[0] == got[1] == [] and got[2] == got[3] and got[4] and got[5] and got[4] != got[5] and len(got[6]) == 4
+    rows = spark.createDataFrame([(1, "\U0001F600 \U0001F603!", "aa"), (2, "\u0301", "aa"), (3, "1\u0301 \u0308", "aa"), (4, "nolo\u0301", "aa")], docs.schema)
+    found = {r.row.doc_id: (r.lang_pred, r.score) for r in L.identify_held_out(docs.unionByName(rows)).collect()}
+    assert found[1] == found[2] == found[3] == ("und", 0.0) and found[4][0] == "aa"
+
+
+def test_pieces_give_the_codes_of_whole_texts(monkeypatch):
+    rng = np.random.default_rng(1)
+    parts = ["ab", "é", "\u0301", " ", "-", "\n", "日本", "x" * 40, "\U0001F600", "\U00020000", ""]
+    texts = ["".join(rng.choice(parts, int(n))) for n in rng.integers(0, 400, 40)] + [None, "", "y" * 5_000]
+    whole = codes(*[t or "" for t in texts])
+    for size in (1, 7, 64, 1_000):
+        monkeypatch.setattr(L, "PIECE", size)
+        got = [[] for _ in texts]
+        for a, b, made, at in L.text_codes(pa.array(texts, pa.string())):
+            for k in range(a, b):
+                got[k] += made[at[k - a]:at[k - a + 1]].tolist()
+        assert got == whole
