@@ -14,7 +14,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     Each round joins every node's neighbours to its smallest one, first those
     above it, then those below; the edges end as stars. Rounds grow with the
     logarithm of a component's diameter; a node with many neighbours is a
-    large key of one join, which adaptive execution splits.
+    large key of one join, which adaptive execution splits. Raises if so many
+    ``rounds`` do not settle the edges.
     """
     now = stored(edges.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -31,5 +32,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if new == state:
             break
         state = new
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())

@@ -329,15 +329,15 @@ def shared_slots(rows: DataFrame, rank, settings: Settings) -> np.ndarray:
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for sets, owner, shingles, _ in _prefixes(batch.column(0), rank.value, settings):
-                yield pa.RecordBatch.from_arrays([pa.array(_slot(shingles).astype(np.int32)),
-                                                  pa.array(sets.fingerprint()[owner].astype(np.int32))], ["slot", "of"])
+                yield pa.RecordBatch.from_arrays([pa.array(_slot(shingles).astype(np.int32)), pa.array(sets.fingerprint()[owner])],
+                                                 ["slot", "of"])
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             word, bit = _bit(batch.column(0).to_numpy().astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(signed(U64(1) << bit))], ["word", "bits"])
 
-    held = arrow_map(rows.select("text"), slots, "slot int, of int").groupBy("slot").agg(
+    held = arrow_map(rows.select("text"), slots, "slot int, of long").groupBy("slot").agg(
         F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("slot")
     found = arrow_map(held, bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(1 << (MAP_BITS - 6), U64)
@@ -345,46 +345,38 @@ def shared_slots(rows: DataFrame, rank, settings: Settings) -> np.ndarray:
     return out
 
 
-def _dealt(shingles: np.ndarray, f: np.ndarray, rank: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, list, own): which list each posting goes to.
-
-    The list of a shingle that is counted more often than ``size`` is cut into
-    parts by the set; a set goes to the lists of its part with every part.
-    ``own`` is its part where two different parts meet, else -1: there sets of
-    one part have nothing to do with each other.
-    """
-    parts = np.int64(1) << np.maximum(0, rank.astype(np.int64) - int(np.log2(size)))
-    rows = np.repeat(np.arange(len(shingles)), parts)
-    other = np.arange(len(rows)) - np.repeat(np.cumsum(parts) - parts, parts)
-    mine = (f[rows] & (parts[rows] - 1))
-    low, high = np.minimum(mine, other), np.maximum(mine, other)
-    route = shingles[rows] ^ np.where(parts[rows] > 1, mix((low.astype(U64) << U64(32)) + high.astype(U64) + U64(1)), U64(0))
-    return rows, route, np.where(low < high, mine, -1)
-
-
 def postings(rows: DataFrame, rank, shared, settings: Settings) -> DataFrame:
-    """(shingle, own, f, n, pos and sketches) of the prefix of every set, without shingles of one prefix only.
-
-    ``shingle`` names the list, see ``_dealt``. Texts of equal sets give one
-    posting a list, however many they are, before the lists are dealt.
-    """
-
+    """(shingle, f, n, pos and sketches) of the prefix of every set, without shingles of one prefix only."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for sets, owner, shingles, pos in _prefixes(batch.column(0), rank.value, settings):
                 word, bit = _bit(_slot(shingles))
                 kept = (shared.value[word] >> bit) & U64(1) > 0
                 owner, shingles, pos = owner[kept], shingles[kept], pos[kept]
-                f = sets.fingerprint()
-                at, route, own = _dealt(shingles, f[owner], rank.value[_bucket(shingles)], settings.list_sets)
-                owner = owner[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(route)), pa.array(own.astype(np.int32)), pa.array(f[owner]), pa.array(sets.n[owner].astype(np.int32)),
-                     pa.array(pos[at].astype(np.int32)), *(pa.array(m[owner]) for m in sets.sketches())],
-                    ["shingle", "own", "f", "n", "pos", *SKETCHES])
+                    [pa.array(signed(shingles)), pa.array(sets.fingerprint()[owner]), pa.array(sets.n[owner].astype(np.int32)),
+                     pa.array(pos.astype(np.int32)), *(pa.array(m[owner]) for m in sets.sketches())],
+                    ["shingle", "f", "n", "pos", *SKETCHES])
+
+    return arrow_map(rows.select("text"), make, f"shingle long, f long, n int, pos int, {SKETCH_FIELDS}")
 
-    every = arrow_map(rows.select("text"), make, f"shingle long, own int, f long, n int, pos int, {SKETCH_FIELDS}")
-    return every.dropDuplicates(["shingle", "f"])
+
+def dealt(listed: DataFrame, settings: Settings) -> DataFrame:
+    """Postings with ``own``; ``shingle`` names the list that each goes to.
+
+    Lists are counted as they are. One of more than ``list_sets`` sets is cut
+    into parts by the set, and a set goes to the lists of its part with every
+    part. ``own`` is its part where two different parts meet, else -1: there
+    sets of one part have nothing to do with each other.
+    """
+    long_lists = listed.groupBy("shingle").agg(F.count("*").alias("sets")).where(F.col("sets") > settings.list_sets)
+    parts = F.pow(F.lit(2), F.ceil(F.log2(F.col("sets") / settings.list_sets))).cast("long")
+    long_lists = stored(long_lists.select("shingle", parts.alias("parts")), "long-lists")
+    found = listed.join(_small(long_lists), "shingle", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    found = found.withColumn("mine", F.pmod("f", "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    return found.select(F.when(F.col("parts") > 1, F.xxhash64("shingle", low, high)).otherwise(F.col("shingle")).alias("shingle"),
+                        F.when(low < high, F.col("mine")).otherwise(-1).cast("int").alias("own"), "f", "n", "pos", *SKETCHES)
 
 
 def candidates(listed: DataFrame, settings: Settings) -> DataFrame:
@@ -439,8 +431,8 @@ def candidates(listed: DataFrame, settings: Settings) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs(pa.Table.from_batches(held))], ["a", "b"])
 
-    dealt = listed.repartition("shingle").sortWithinPartitions("shingle")
-    return arrow_map(dealt, run, "a long, b long").distinct()
+    ordered = listed.repartition("shingle").sortWithinPartitions("shingle")
+    return arrow_map(ordered, run, "a long, b long").distinct()
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -448,6 +440,25 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
+def with_texts(picked: DataFrame, rows: DataFrame) -> DataFrame:
+    """``picked(key, version, ..)`` with the text of each, from ``rows(key, version, text)``."""
+    p, r = picked.alias("p"), rows.alias("r")
+    return p.join(r, F.col("p.key").eqNullSafe(F.col("r.key")) & (F.col("p.version") == F.col("r.version"))).select("p.*", "r.text")
+
+
+def class_texts(reps: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """(f, key, version, text): one text of every class, however often its row is there.
+
+    Where there are too many classes to find their texts by a broadcast, the texts are stored, as they are read twice.
+    """
+    picked = stored(reps.select("f", "key", "version"), "picked")
+    few = picked.count() <= BROADCAST_ROWS
+    found = with_texts(F.broadcast(picked) if few else picked, rows)
+    if sets.groupBy("key", "version").agg(F.count("*").alias("times")).where("times > 1").limit(1).count():
+        return stored(found.dropDuplicates(["f"]), "class-texts")
+    return found if few else stored(found, "class-texts")
+
+
 def not_apart(pairs: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:
     """Pairs whose sets do not differ, in the part of the hashes kept with them, by more than a link allows."""
     a, b = (reps.select(F.col("f").alias(x), F.col("n").alias(f"n_{x}"), F.col("part").alias(f"part_{x}")) for x in "ab")
@@ -485,12 +496,13 @@ def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     def texts(picked: DataFrame) -> DataFrame:
         """With the text of each (key, version)."""
-        p, r = _small(stored(picked, "picked")).alias("p"), rows.alias("r")
-        return p.join(r, F.col("p.key").eqNullSafe(F.col("r.key")) & (F.col("p.version") == F.col("r.version"))).select("p.*", "r.text")
+        return with_texts(_small(stored(picked, "picked")), rows)
 
     near = stored(compared(texts(blocks_of(reps, settings)), settings), "links-blocks")
-    shared = spark.sparkContext.broadcast(shared_slots(rows, sketch, settings))
-    pairs = stored(candidates(postings(rows, sketch, shared, settings), settings), "candidates")
+    chosen = class_texts(reps, sets, rows)
+    shared = spark.sparkContext.broadcast(shared_slots(chosen, sketch, settings))
+    listed = stored(postings(chosen, sketch, shared, settings), "postings")
+    pairs = stored(candidates(dealt(listed, settings), settings), "candidates")
     pairs = stored(not_apart(pairs, reps, settings), "pairs")
     ends = pairs.select(F.xxhash64("a", "b").alias("block"), F.explode(F.array("a", "b")).alias("f"))
     ends = ends.join(reps.select("f", "key", "version"), "f")

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from maskwright.llm import jaccard_join as J
 from maskwright.llm.components import components
@@ -67,20 +68,21 @@ def test_components_equal_all_pairs(spark, seed, size, percent, block, lists):
     assert sorted(((r.key, r.n_shingles, r.component_id) for r in got.collect()), key=str) == plain(rows, size, percent)
 
 
-@pytest.mark.parametrize("rank", [0, 3, 4, 6])
-def test_every_two_sets_of_a_long_list_meet_once(rank):
-    rng = np.random.default_rng(rank)
-    f = rng.integers(-2**62, 2**62, 60)
-    shingles = np.repeat(rng.integers(0, 2**63, 2, dtype=np.uint64), 30)
-    at, route, own = J._dealt(shingles, f, np.full(60, rank, np.int8), 8)
+@pytest.mark.parametrize("lists", [1, 4, 8, 30, 64])
+def test_every_two_sets_of_a_long_list_meet_once(spark, lists):
+    rng = np.random.default_rng(lists)
+    rows = [(int(s), int(f), 10, 0, *range(len(J.SKETCHES))) for s in (5, -7) for f in rng.integers(-2**62, 2**62, 30)]
+    listed = spark.createDataFrame(rows, f"shingle long, f long, n int, pos int, {J.SKETCH_FIELDS}")
     met = {}
-    for key in set(route.tolist()):
-        inside = [(int(at[k]), int(own[k])) for k in np.flatnonzero(route == key)]
+    made = J.dealt(listed, J.Settings(list_sets=lists)).select("shingle", "own", "f").collect()
+    for key in {r.shingle for r in made}:
+        inside = [(r.f, r.own) for r in made if r.shingle == key]
         for x, (a, p) in enumerate(inside):
             for b, q in inside[:x]:
                 if p < 0 or p != q:
                     met[min(a, b), max(a, b)] = met.get((min(a, b), max(a, b)), 0) + 1
-    assert met == {(a, b): 1 for b in range(60) for a in range(b) if shingles[a] == shingles[b]}
+    assert met == {(min(a[1], b[1]), max(a[1], b[1])): 1 for k, a in enumerate(rows) for b in rows[:k] if a[0] == b[0]}
+    assert len(made) == len(rows) or lists < 30
 
 
 def test_candidates_hold_every_pair_that_can_match(spark):
@@ -90,12 +92,9 @@ def test_candidates_hold_every_pair_that_can_match(spark):
     rows = []
     for k, s in enumerate(sets):
         length = len(s) - (80 * len(s) + 99) // 100 + 1
-        prefix = s[:length]
-        at, route, own = J._dealt(prefix, np.full(length, k), np.full(length, 3, np.int8), settings.list_sets)
-        for i, r, o in zip(at, route, own):
-            rows.append((int(np.int64(np.uint64(r).view(np.int64))), int(o), k, len(s), int(i), *(1000 * k + j for j in range(len(J.SKETCHES)))))
-    listed = spark.createDataFrame(rows, f"shingle long, own int, f long, n int, pos int, {J.SKETCH_FIELDS}").repartition(3)
-    found = {(r.a, r.b) for r in J.candidates(listed, settings).collect()}
+        rows += [(int(x), k, len(s), i, *(1000 * k + j for j in range(len(J.SKETCHES)))) for i, x in enumerate(s[:length])]
+    listed = spark.createDataFrame(rows, f"shingle long, f long, n int, pos int, {J.SKETCH_FIELDS}").repartition(3)
+    found = {(r.a, r.b) for r in J.candidates(J.dealt(listed, settings), settings).collect()}
     for b in range(40):
         for a in range(b):
             both = len(np.intersect1d(sets[a], sets[b]))
@@ -133,6 +132,10 @@ def test_equal_sets_give_one_posting_a_list(spark):
     sc, settings = spark.sparkContext, J.Settings()
     rank, every = sc.broadcast(np.zeros(1 << J.SKETCH_BITS, np.int8)), sc.broadcast(np.full(1 << (J.MAP_BITS - 6), 0xFFFFFFFFFFFFFFFF, np.uint64))
     text = " ".join(f"w{k}" for k in range(30))
-    rows = spark.createDataFrame([(text,)] * 90 + [(text.upper(),)] * 10 + [(text + " more",)], "text string").repartition(4)
-    made = J.postings(rows, rank, every, settings)
-    assert made.count() == made.select("shingle", "f").distinct().count() and made.select("f").distinct().count() == 2
+    for ids in (lambda k: k, lambda k: 1):  # copies of many ids, and one row many times
+        rows = [(ids(k), text) for k in range(90)] + [(ids(k + 90), text.upper()) for k in range(10)] + [(100, text + " more")]
+        rows = spark.createDataFrame(rows, "key long, text string").repartition(4).withColumn("version", F.xxhash64("text")).select("key", "version", "text")
+        sets = J.describe(rows, settings).where("kind = 0")
+        reps = sets.groupBy("f").agg(F.min(F.struct("key", "version")).alias("rep")).select("f", "rep.key", "rep.version")
+        made = J.postings(J.class_texts(reps, sets, rows), rank, every, settings)
+        assert made.count() == made.select("shingle", "f").distinct().count() and made.select("f").distinct().count() == 2
