@@ -11,8 +11,8 @@ different sets are found in two ways that together miss none:
   them by the few shingles in which the two differ.
 * Sets that share a shingle of their prefixes (the rarest shingles that any
   partner must hold one of) and have no sketch in common are compared pair by
-  pair, if what they hold of a fixed part of all hashes does not already differ
-  by more shingles than a link allows.
+  pair, if the parities of their shingles by place in a bit map do not already
+  differ more often than a link allows.
 
 Only links that connect something new in a task are passed on.
 """
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -40,9 +40,7 @@ OFTEN = 4
 SEEDS, FACTOR = (U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)), U64(0x9E3779B97F4A7C15)
 SKETCHES = tuple(f"m{k}" for k in range(1, 2 * len(SEEDS) + 3))
 SKETCH_FIELDS = ", ".join(f"{m} long" for m in SKETCHES)
-SETS = f"key long, version long, n long, f long, {SKETCH_FIELDS}, part array<int>"
-#: Sixteenths of all hashes that are kept with every set: enough that unlike sets differ there by more than links of 0.8 allow.
-PART = 3
+SETS = f"key long, version long, n long, f long, {SKETCH_FIELDS}, parity array<long>"
 #: Rows (block, set) that are broadcast to find their texts, at about 100 bytes each; beyond it both sides are dealt.
 BROADCAST_ROWS = 400_000
 
@@ -91,12 +89,21 @@ class Sets:
     def fingerprint(self) -> np.ndarray:
         return signed(mix(self.reduced(np.add, mix(self.shingles)) + self.n.astype(U64)))
 
-    def parts(self) -> pa.ListArray:
-        """Of every set the shingles of a fixed part of all hashes, cut to 32 bits."""
-        mine = (self.shingles >> U64(60)) < U64(PART)
-        ends = np.concatenate([[0], np.cumsum(mine)])[self.at]
-        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(
-            (self.shingles[mine] & U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
+    def parities(self) -> pa.ListArray:
+        """Of every set a map of about as many bits as it has shingles, each telling whether an odd number of them falls there.
+
+        A shingle that only one of two sets holds turns one bit, so maps differ
+        in at most as many bits as the sets in shingles. Lengths are powers of
+        two; a map folds onto one of half its length.
+        """
+        bits = np.int64(64) << np.ceil(np.log2(np.maximum(self.n, 64) / 64)).astype(np.int64)
+        bits[self.n == 0] = 0
+        first = np.concatenate([[0], np.cumsum(bits)])
+        owner = np.repeat(np.arange(len(self.n)), self.n)
+        place = first[owner] + (self.shingles & (bits[owner] - 1).astype(U64)).astype(np.int64)
+        odd = (np.bincount(place, minlength=int(first[-1])) & 1).astype(np.uint8)
+        words = np.packbits(odd, bitorder="little").view("<i8")
+        return pa.ListArray.from_arrays(pa.array((first // 64).astype(np.int32)), pa.array(words))
 
     def sketches(self) -> list[np.ndarray]:
         """Numbers that sets much alike are likely to share: of each hash the two smallest and the two largest."""
@@ -132,7 +139,7 @@ def describe(rows: DataFrame, settings: Settings) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["kind", "key", "version", "n", "f", *SKETCHES, "part"]
+        names = ["kind", "key", "version", "n", "f", *SKETCHES, "parity"]
         for batch in batches:
             seen, unlike = [], set()
             for a, b, sets in _batch_sets(batch.column(2), settings.words):
@@ -143,7 +150,7 @@ def describe(rows: DataFrame, settings: Settings) -> DataFrame:
                         seen.append(sets.shingles[sets.at[i]:sets.at[i + 1]])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(b - a, np.int32)), batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
-                     pa.array(sets.n), pa.array(f), *map(pa.array, sets.sketches()), sets.parts()], names)
+                     pa.array(sets.n), pa.array(f), *map(pa.array, sets.sketches()), sets.parities()], names)
             if seen:
                 kinds, count = np.unique(np.concatenate(seen), return_counts=True)
                 some = count >= OFTEN
@@ -151,7 +158,7 @@ def describe(rows: DataFrame, settings: Settings) -> DataFrame:
         some = np.flatnonzero(often)
         none = pa.array([None] * len(some), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int32)), none, none, pa.array(often[some]),
-                                          pa.array(some), *[none] * len(SKETCHES), pa.array([None] * len(some), pa.list_(pa.int32()))], names)
+                                          pa.array(some), *[none] * len(SKETCHES), pa.array([None] * len(some), pa.list_(pa.int64()))], names)
 
     return arrow_map(rows.select("key", "version", "text"), make, "kind int, " + SETS)
 
@@ -460,13 +467,18 @@ def class_texts(reps: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def not_apart(pairs: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs whose sets do not differ, in the part of the hashes kept with them, by more than a link allows."""
-    a, b = (reps.select(F.col("f").alias(x), F.col("n").alias(f"n_{x}"), F.col("part").alias(f"part_{x}")) for x in "ab")
+    """Pairs whose maps of parities do not differ in more bits than a link allows shingles to differ."""
+    a, b = (reps.select(F.col("f").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"p_{x}")) for x in "ab")
     both = F.col("n_a") + F.col("n_b")
     allowed = both - 2 * F.ceil(settings.percent * both / (100 + settings.percent))
-    shared = F.size(F.array_intersect("part_a", "part_b"))
-    apart = F.size(F.array_distinct("part_a")) + F.size(F.array_distinct("part_b")) - 2 * shared
-    return pairs.join(a, "a").join(b, "b").where(apart <= allowed).select("a", "b")
+    short, long = F.least(F.size("p_a"), F.size("p_b")), F.greatest(F.size("p_a"), F.size("p_b"))
+
+    def folded(x: str, i) -> Column:
+        return F.get(x, i).bitwiseXOR(F.coalesce(F.get(x, i + short), F.lit(0).cast("long")))
+
+    differ = F.aggregate(F.sequence(F.lit(0), short - 1), F.lit(0), lambda total, i: total + F.bit_count(
+        folded("p_a", i).bitwiseXOR(folded("p_b", i))))
+    return pairs.join(a, "a").join(b, "b").where((long > 2 * short) | (differ <= allowed)).select("a", "b")
 
 
 def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -491,8 +503,8 @@ def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     sketch = spark.sparkContext.broadcast(rank)
     reps = stored(sets.where(F.col("n") > 0).groupBy("f").agg(
         F.min(F.struct(F.col("key").isNull().alias("none"), "key", "version")).alias("rep"), F.max("n").alias("n"),
-        *(F.max(m).alias(m) for m in SKETCHES), F.first("part").alias("part")).select(
-        "f", "rep.key", "rep.version", "n", *SKETCHES, "part"), "classes")
+        *(F.max(m).alias(m) for m in SKETCHES), F.first("parity").alias("parity")).select(
+        "f", "rep.key", "rep.version", "n", *SKETCHES, "parity"), "classes")
 
     def texts(picked: DataFrame) -> DataFrame:
         """With the text of each (key, version)."""

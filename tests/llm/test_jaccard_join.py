@@ -139,3 +139,29 @@ def test_equal_sets_give_one_posting_a_list(spark):
         reps = sets.groupBy("f").agg(F.min(F.struct("key", "version")).alias("rep")).select("f", "rep.key", "rep.version")
         made = J.postings(J.class_texts(reps, sets, rows), rank, every, settings)
         assert made.count() == made.select("shingle", "f").distinct().count() and made.select("f").distinct().count() == 2
+
+
+def test_parities_differ_at_most_as_much_as_sets(spark):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(400)]
+    base = [rng.choice(words) for _ in range(300)]
+    texts_ = []
+    for k in range(40):
+        mine = list(base)
+        for _ in range(rng.choice([0, 1, 5, 20, 100, 300])):
+            mine[rng.randrange(len(mine))] = rng.choice(words)
+        texts_.append(" ".join(mine[:rng.choice([3, 60, 70, 260, 300])]))
+    settings = J.Settings(3, 80)
+    rows = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts_)], "key long, version long, text string")
+    reps = J.describe(rows, settings).where("kind = 0").groupBy("f").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.first("parity").alias("parity"))
+    reps = reps.cache()
+    held = {r.f: set(zip(*[texts_[r.key].split()[i:] for i in range(3)])) for r in reps.collect()}
+    every = [(a, b) for a in held for b in held if a < b]
+    kept = {(r.a, r.b) for r in J.not_apart(spark.createDataFrame(every, "a long, b long"), reps, settings).collect()}
+    for a, b in every:
+        shared = len(held[a] & held[b])
+        if 100 * shared >= 80 * len(held[a] | held[b]):
+            assert (a, b) in kept
+        if min(len(held[a]), len(held[b])) > 200 and 2 * shared < len(held[a] | held[b]):
+            assert (a, b) not in kept
+    assert kept
