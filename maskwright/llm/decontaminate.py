@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then local alignment.
 
 Word n-grams of the test items that are rare in the corpus are looked up in
-every text. Where several of them meet at about one place, the text there and
-the item are aligned word by word (Smith-Waterman), so copies with words
-changed, added or left out score as what they still share. Where frequent
+every text, with one word more or less inside them too. Where several of them
+meet at about one place, the text there and the item are aligned word by word
+(Smith-Waterman), so copies with words changed, added or left out score as what
+they still share. Where frequent
 n-grams meet, it is aligned if the words there can reach the threshold at all.
 Items go to the texts in blocks of bounded size.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import arrow_map, stored, whole_rows
-from .words import BYTE_LOWER, BYTE_VALUE, U64, mix, pieces, powers, shingle_hashes, utf8
+from .words import BYTE_LOWER, BYTE_VALUE, U64, mix, pieces, powers, utf8
 
 PIECE = 2 << 20
 HITS = "key long, version long, item long, score double, first_word long, last_word long"
@@ -30,7 +31,7 @@ IN_WORD[48:58] = IN_WORD[65:91] = IN_WORD[97:123] = IN_WORD[128:] = True
 
 @dataclass(frozen=True)
 class Settings:
-    """``seed`` words make a seed; one is rare up to ``rare`` times the median frequency of the item's seeds that occur.
+    """``seed`` words make a seed, in a row or with one word between them left out; one is rare up to ``rare`` times the median frequency of the item's seeds that occur.
 
     Alignment gives 2 for a word shared, and takes 1 for a word changed, added
     or left out; a hit has at least ``threshold`` of what the item itself has.
@@ -82,9 +83,26 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return score, start, end
 
 
+def shapes(size: int) -> list[tuple[int, ...]]:
+    """Places of a seed's words: in a row, or with one left out inside."""
+    return [tuple(range(size))] + [tuple(k for k in range(size + 1) if k != out) for out in range(1, size)]
+
+
+def runs(words: np.ndarray, shape: tuple[int, ...], size: int) -> np.ndarray:
+    """Hash of the words at ``shape`` from every word on; it tells which words follow each other, not where one is left out."""
+    count = max(0, len(words) - shape[-1])
+    made = np.full(count, len(shape) if len(shape) < size else 0, U64)
+    for k in shape:
+        made = mix(made * U64(0x9E3779B97F4A7C15) + words[k:count + k])
+    return made
+
+
 @dataclass
 class Items:
-    """A block of test items: their words, and their seeds by hash; all count as rare until they are counted."""
+    """A block of test items: their words, and their seeds by hash; all count as rare until they are counted.
+
+    ``sieve`` tells by the low bits of a hash that it is no seed.
+    """
 
     ids: list
     words: list[np.ndarray]
@@ -93,20 +111,29 @@ class Items:
     seed_at: np.ndarray
     rare: np.ndarray
     sizes: np.ndarray
+    sieve: np.ndarray
 
     @staticmethod
     def of(ids: list, texts: pa.Array, size: int) -> Items:
         data, offsets = utf8(texts)
         words, first = plain_words(data, offsets)
-        hashes, owner = shingle_hashes(words, first, size)
-        counts = np.maximum(np.diff(first) - size + 1, (np.diff(first) > 0).astype(np.int64))
-        # shorter items come last from shingle_hashes, as one seed at 0
-        begin = np.concatenate([[0], np.cumsum(np.where(np.diff(first) >= size, counts, 0))])
-        at = np.arange(len(owner)) - begin[owner]
-        at[np.diff(first)[owner] < size] = 0
+        lengths = np.diff(first)
+        found = []
+        # items shorter than a seed are one seed as a whole
+        for shape in shapes(size) + [tuple(range(n)) for n in range(1, size)]:
+            made = runs(words, shape, size)
+            at = np.arange(len(made))
+            owner = np.searchsorted(first, at, "right") - 1
+            fits = at + shape[-1] < first[owner + 1]
+            if len(shape) < size:
+                fits &= lengths[owner] == len(shape)
+            found.append((made[fits], owner[fits], (at - first[owner])[fits]))
+        hashes, owner, at = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(hashes, kind="stable")
+        sieve = np.zeros(1 << max(16, len(hashes).bit_length() + 2), bool)
+        sieve[hashes & U64(len(sieve) - 1)] = True
         return Items(ids, [words[first[i]:first[i + 1]] for i in range(len(ids))], hashes[order], owner[order], at[order],
-                     np.ones(len(order), bool), np.diff(first))
+                     np.ones(len(order), bool), lengths, sieve)
 
     def judged(self, number: np.ndarray, rare: float) -> Items:
         """With the seeds that are rare by ``number``: against their item's median of those that occur, and its rarest."""
@@ -122,22 +149,18 @@ class Items:
 
 def _text_seeds(words: np.ndarray, first: np.ndarray, items: Items, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, word position in the batch, place in items.seeds of its first equal) of seeds found in texts."""
-    sizes = sorted({size, *(len(w) for w in items.words if 0 < len(w) < size)})
+    short = sorted({len(w) for w in items.words if 0 < len(w) < size})
     found = []
-    for n in sizes:
-        count = len(words) - n + 1
-        if count <= 0:
-            continue
-        runs = np.full(count, n if n < size else 0, U64)
-        for k in range(n):
-            runs = mix(runs * U64(0x9E3779B97F4A7C15) + words[k:count + k])
-        at = np.minimum(np.searchsorted(items.seeds, runs), max(0, len(items.seeds) - 1))
-        hit = np.flatnonzero(items.seeds[at] == runs) if len(items.seeds) else np.zeros(0, np.int64)
+    for shape in shapes(size) + [tuple(range(n)) for n in short]:
+        made = runs(words, shape, size)
+        hit = np.flatnonzero(items.sieve[made & U64(len(items.sieve) - 1)])
+        at = np.searchsorted(items.seeds, made[hit])
+        same = at < len(items.seeds)
+        same[same] = items.seeds[at[same]] == made[hit[same]]
+        hit, at = hit[same], at[same]
         owner = np.searchsorted(first, hit, "right") - 1
-        whole = hit + n <= first[owner + 1]
-        found.append((owner[whole], hit[whole], at[hit[whole]]))
-    if not found:
-        return (np.zeros(0, np.int64),) * 3
+        whole = hit + shape[-1] < first[owner + 1]
+        found.append((owner[whole], hit[whole], at[whole]))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 

@@ -103,3 +103,30 @@ def test_copies_in_several_documents_are_found_as_one_alone_is(spark):
     docs = [(k, half) for k in range(60)] + [(100, f"{half} {rest}"), (101, f"some {rest}")]  # frequent seeds only in most copies
     got = D.find_items(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(1, " ".join(item))], ITEMS))
     assert {r.key for r in got.collect()} == {*range(60), 100, 101}
+
+
+def test_every_third_word_changed_added_or_left_out_is_found_from_the_threshold_on(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    docs, items, expected = [], [], set()
+    for k in range(40):
+        item = [word() for _ in range(rng.randint(12, 45))]
+        items.append((k, " ".join(item)))
+        changed = [word() if i % 3 == k % 3 else w for i, w in enumerate(item)]
+        added = [x for i, w in enumerate(item) for x in ([w, word()] if i % 2 else [w])]
+        out = [w for i, w in enumerate(item) if i % 4 != k % 4]
+        for n, copy in enumerate((changed, added, out)):
+            d = 10 * k + n
+            docs.append((d, " ".join([word() for _ in range(30)] + copy + [word() for _ in range(30)])))
+            if smith_waterman(item, docs[-1][1].split()) >= len(item):
+                expected.add((d, k))
+    got = D.find_items(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, ITEMS)).collect()
+    assert len({d % 10 for d, _ in expected}) == 3 and len(expected) > 90
+    assert {(r.key, r.item) for r in got} == expected
+
+
+def test_seeds_meet_with_a_word_more_or_less():
+    words = np.arange(1, 6, dtype=np.uint64)
+    assert D.shapes(3) == [(0, 1, 2), (0, 2, 3), (0, 1, 3)] and D.shapes(1) == [(0,)]
+    row, gap = D.runs(words[[0, 1, 3]], (0, 1, 2), 3), D.runs(words, (0, 1, 3), 3)
+    assert row[0] == gap[0] and len(gap) == 2 and len(D.runs(words[:1], (0, 1, 2), 3)) == 0
