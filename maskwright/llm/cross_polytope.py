@@ -92,6 +92,11 @@ def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return scaled / norm[:, None], norm * most[:, 0]
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by a power of two each, the largest component from 1/2 to 1: cosines stay as they are, and no square overflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def build_index(vectors: DataFrame, id_col: str, vector_col: str, tables: Tables) -> DataFrame:
     """(id, vector, hashes) of every vector that takes part, as a table in the shared folder."""
 
@@ -127,6 +132,7 @@ def _best(query_ids, queries, probes, ids, x, codes, k: int):
         order = np.argsort(codes, axis=0, kind="stable")
         sides = int(codes.max()) + 2
         starts = np.stack([np.searchsorted(codes[order[:, t], t], np.arange(sides)) for t in range(count)])
+    x, queries = scaled(x), scaled(queries)
     norms, q_norms = (np.sqrt(np.einsum("ij,ij->i", m, m)) for m in (x, queries))
     found = ([], [], [])
     for q in range(len(query_ids)):

@@ -85,3 +85,21 @@ def test_queries_have_all_candidates_where_there_are_few(spark):
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     got, want = found(C.nearest(df, df.where("vec_id % 50 = 0"), block=4)), brute(rows)
     assert {q: [i for _, i in v] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
+
+
+def test_very_large_and_very_small_components(spark):
+    rng = np.random.default_rng(4)
+    plain = [(i, rng.normal(size=8)) for i in range(120)]
+    power = lambda i: (1.0, 2.0 ** 665, 2.0 ** -900)[i % 3]
+    rows = [(i, (v * power(i)).tolist()) for i, v in plain] + [(200, [5e-324] + [0.0] * 7), (201, [1.7e308] * 8)]
+    got = found(C.nearest(*[spark.createDataFrame(rows, "vec_id long, embedding array<double>")] * 2).where("query_id % 50 = 0"))
+    same = [(i, v.tolist()) for i, v in plain] + [(200, [1.0] + [0.0] * 7), (201, [1.0] * 8)]
+    want = brute(same)
+    assert got == want
+    assert all(-1.0 <= -s <= 1.0 + 1e-9 for best in got.values() for s, _ in best)
+
+
+def test_scaling_leaves_every_cosine_as_it_was():
+    x = np.random.default_rng(5).normal(size=(50, 16))
+    cosine = lambda m: np.einsum("ij,j->i", m, m[0]) / (np.sqrt(np.einsum("ij,ij->i", m, m)) * np.sqrt(m[0] @ m[0]))
+    assert (cosine(C.scaled(x)) == cosine(x)).all()
