@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions import url as U
-from ..functions.arrays import let
+from ..functions.arrays import let, with_once
 from ..functions.rx import ecmascript, java
 
 _CATS = "struct<text:boolean,media:boolean,form:boolean,table:boolean,structure:boolean>"
@@ -233,14 +233,16 @@ def complete_snapshot(snapshot_json: Column) -> Column:
     return F.when(~empty_object, let(raw, fill))
 
 
-def normalise_rules(rules: DataFrame, unknown_type: str = "wildcard", max_rules: int = V.MAX_RULES,
+def normalise_rules(rules: DataFrame, unknown_type: str = "wildcard", max_rules: int | None = V.MAX_RULES,
                     max_length: int = V.MAX_PATTERN_LENGTH) -> DataFrame:
-    """Drop blank rules, keep the first ``max_rules``, trim, cut and type the rest.
+    """Drop blank rules, keep the first ``max_rules`` (None: all), trim, cut and type the rest.
 
     The limits are the feature: a model holds at most so many rules of such a length.
     """
     kind = F.col("hostname_type")
-    return rules.where(F.trim("hostname_value") != "").orderBy("rule_ord").limit(max_rules).select(
+    filled = rules.where(F.trim("hostname_value") != "")
+    kept = filled if max_rules is None else filled.orderBy("rule_ord").limit(max_rules)
+    return kept.select(
         "rule_ord",
         F.substring(F.trim("hostname_value"), 1, max_length).alias("hostname_value"),
         F.when(kind.isin(*V.PATTERN_TYPES), kind).otherwise(unknown_type).alias("hostname_type"),
@@ -336,6 +338,51 @@ class RuleBook:
         return F.element_at(F.create_map(*pairs), rule_ord) if pairs else F.lit(None).cast("string")
 
 
+def rule_index(rules: DataFrame) -> DataFrame:
+    """Normalised wildcard rules by host and path literal, the lowest of those that fit the same URLs.
+
+    A path rule is a prefix (of no length where any path fits) or exact.
+    """
+    p, path = F.col("p"), F.col("p.path")
+    any_path = path.isNull() | path.isin("", "/", "/*")
+    parsed = with_once(rules.where("hostname_type = 'wildcard'"), p=U.parse_pattern(F.col("hostname_value")))
+    return parsed.select(
+        "rule_ord", p["host"].alias("rule_host"), p["subdomain"].alias("below_only"), p["scheme"].alias("rule_scheme"),
+        p["port"].alias("rule_port"), (~any_path & ~path.endswith("*")).alias("exact"),
+        F.when(any_path, "").when(path.endswith("*"), F.substring(path, F.lit(1), F.length(path) - 1)).otherwise(path).alias("literal"),
+    ).groupBy("rule_host", "below_only", "rule_scheme", "rule_port", "exact", "literal").agg(F.min("rule_ord").alias("rule_ord"))
+
+
+def index_match(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """``pages`` and ``rule_ord``, the lowest wildcard rule that fits each url; null where none does or the url is none.
+
+    For rules without a bound: equal to ``RuleBook.wildcard_ord``, but urls and
+    rules meet by equi-joins alone. A url asks for the dot suffixes of its host
+    and, below one, for the prefixes of its path that are as long as some rule
+    of that host, so it meets only rules that fit it up to scheme and port.
+    Urls are matched once each, however many pages have them.
+    """
+    index = rule_index(rules)
+    lengths = index.groupBy("rule_host").agg(F.collect_set(F.when(~F.col("exact"), F.length("literal"))).alias("lengths"))
+    urls = pages.select("url").where("url is not null").distinct()
+    parts = with_once(urls, u=U.url_parts(F.col("url"))).where("u is not null").select("url", "u.*")
+    labels = F.split("host", r"\.", -1)
+    above = parts.select("host").distinct().select("host", F.posexplode(F.transform(
+        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("depth", "rule_host"))
+    known = above.join(lengths, "rule_host")
+    path = F.col("path")
+    asked = F.array_union(
+        F.transform(F.filter("lengths", lambda n: n <= F.length(path)),
+                    lambda n: F.struct(F.lit(False).alias("exact"), F.substring(path, F.lit(1), n).alias("literal"))),
+        F.array(F.struct(F.lit(True).alias("exact"), path.alias("literal")),
+                F.struct(F.lit(True).alias("exact"), F.regexp_replace(path, r"/\z", "").alias("literal"))))
+    keys = parts.join(known, "host").select("url", "scheme", "port", "depth", "rule_host", F.inline(asked))
+    fits = (F.col("rule_scheme").isNull() | (F.col("rule_scheme") == F.col("scheme"))) \
+        & (F.col("rule_port").isNull() | (F.col("rule_port") == F.col("port"))) & (~F.col("below_only") | (F.col("depth") > 0))
+    found = keys.join(index, ["rule_host", "exact", "literal"]).where(fits).groupBy("url").agg(F.min("rule_ord").alias("rule_ord"))
+    return pages.join(found, "url", "left")
+
+
 def fold(pages: DataFrame, book: RuleBook, base: dict[str, Column] | None = None,
          host_items: Column | None = None) -> DataFrame:
     """Add the resolved policy of each page.

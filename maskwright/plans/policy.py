@@ -91,6 +91,13 @@ def rule_match_wildcard(spark, sf_dir):
     return parts.select("page_id", book.wildcard_ord(c("u")).alias("rule_ord"))
 
 
+@query("rule_index_match")
+def rule_index_match(spark, sf_dir):
+    """First pattern rule of each page where every page host has a rule of its own, by equi-joins."""
+    rules = policy.normalise_rules(profiles.host_rules(spark, sf_dir), max_rules=None)
+    return policy.index_match(pages(spark, sf_dir).select("page_id", "url"), rules).select("page_id", "rule_ord")
+
+
 @query("rule_match_regex")
 def rule_match_regex(spark, sf_dir):
     """First regex rule of each page; unsafe and broken patterns never match."""

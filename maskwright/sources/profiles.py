@@ -136,6 +136,23 @@ RULES_SQL = (f"SELECT o AS rule_ord, {_VALUE} AS hostname_value, {_TYPE} AS host
              f"{_SNAPSHOT} AS snapshot FROM ({HOSTS_SQL})")
 
 
+# The same rules for every page host: as many as there are hosts, in the order of a hash.
+ALL_HOSTS_SQL = (
+    f"SELECT CAST(('0x' || substring(md5(host), 1, 7))::INT AS INT) AS o, host, {_PARENT} FROM "
+    "(SELECT DISTINCT regexp_extract(url, '" + HOST + "', 1) AS host FROM pages WHERE url IS NOT NULL)"
+)
+ALL_RULES_SQL = (f"SELECT o AS rule_ord, {_VALUE} AS hostname_value, {_TYPE} AS hostname_type, "
+                 f"{_SNAPSHOT} AS snapshot FROM ({ALL_HOSTS_SQL})")
+
+
+def host_rules(spark, sf_dir: str):
+    """A rule of some kind for every page host, without a bound."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    hosts = pages.selectExpr(f"regexp_extract(url, r'{HOST}', 1) AS host").where("host is not null").distinct()
+    numbered = hosts.selectExpr("CAST(conv(substring(md5(host), 1, 7), 16, 10) AS INT) AS o", "host", _PARENT)
+    return numbered.selectExpr("o AS rule_ord", f"{_VALUE} AS hostname_value", f"{_TYPE} AS hostname_type", f"{_SNAPSHOT} AS snapshot")
+
+
 def site_rules(spark, sf_dir: str):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     hosts = pages.selectExpr(f"regexp_extract(url, r'{HOST}', 1) AS host")

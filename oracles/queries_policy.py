@@ -157,9 +157,9 @@ _hit = (f"(r.p_scheme IS NULL OR r.p_scheme = p.scheme) AND (CASE WHEN r.p_sub T
         f"AND {path_ok('p.path', 'r.p_path')}")
 
 
-def _wild(types: str) -> str:
+def _wild(types: str, rules: str = RULES) -> str:
     return (f"(SELECT p.page_id, min(r.rule_ord) AS rule_ord FROM {PAGES} p LEFT JOIN "
-            f"{patterns(f'(SELECT * FROM {RULES} WHERE t IN ({types}))')} r ON p.scheme IS NOT NULL AND {_hit} GROUP BY p.page_id)")
+            f"{patterns(f'(SELECT * FROM {rules} WHERE t IN ({types}))')} r ON p.scheme IS NOT NULL AND {_hit} GROUP BY p.page_id)")
 
 
 WILD = _wild("'wildcard'")
@@ -171,6 +171,8 @@ FILLED = "NOT regexp_matches(snapshot, '^\\s*\\{\\s*\\}\\s*$')"
 EXACT = (f"(SELECT p.page_id, min(r.rule_ord) AS rule_ord FROM {PAGES} p LEFT JOIN (SELECT * FROM {RULES} "
          f"WHERE t = 'exact' AND {FILLED}) r ON r.v = p.host GROUP BY p.page_id)")
 SQL["rule_match_wildcard"] = f"SELECT * FROM {WILD}"
+_all_rules = RULES.replace(OFFERED, f"({profiles.ALL_RULES_SQL})").replace(f" ORDER BY rule_ord LIMIT {V.MAX_RULES}", "")
+SQL["rule_index_match"] = f"SELECT * FROM {_wild(repr('wildcard'), _all_rules)}"
 SQL["rule_match_regex"] = f"SELECT * FROM {REGEX}"
 SQL["rule_match_exact"] = f"SELECT * FROM {EXACT}"
 FIRST = f"(SELECT w.page_id, least(w.rule_ord, x.rule_ord) AS rule_ord FROM {WILD} w JOIN {REGEX} x ON x.page_id = w.page_id)"

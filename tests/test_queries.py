@@ -15,7 +15,7 @@ from maskwright.plans import all_queries
 
 SAMPLE = (
     "scan", "pii_scan", "pii_mask", "nearest_covered_ancestor", "code_pre_skip", "path_selector", "scan_stats", "priority_claim", "numeric_generic", "detect_iban", "gate_order", "annotate_spans", "mod97_ok",
-    "findings_rollup", "mask_range", "page_nodes", "page_scan", "page_country", "policy_load", "policy_fold", "items_admit",
+    "findings_rollup", "mask_range", "page_nodes", "page_scan", "page_country", "policy_load", "policy_fold", "rule_index_match", "items_admit",
     "element_cover", "selector_list", "share_sessions", "effective_trigger", "trigger_edges", "latency_summary", "stream_scan",
 )
 NAMES = sorted(all_queries()) if os.environ.get("MASKWRIGHT_ALL") else SAMPLE
