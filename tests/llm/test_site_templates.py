@@ -5,6 +5,9 @@ import pytest
 from maskwright.llm.site_templates import Page, extract_main_text
 
 
+PROSE = " ".join(f"word{k}" for k in range(30))
+
+
 @pytest.mark.parametrize("html, text", [
     ("", ""),
     ("plain  text", "plain text"),
@@ -25,6 +28,15 @@ from maskwright.llm.site_templates import Page, extract_main_text
     ("<div id='header'>Site</div><div class='entry-header'><h1>T</h1></div><p>x</p><div class='author-bio'>by</div>", "T\nx\nby"),
     ("<div class='sideBar'>no</div><div class='ad-slot'>no</div><div class='leads'>x</div>", "x"),
     ("</p></div>x</article>", "x"),
+    (f"<body><form><nav>menu</nav><h1>T</h1><p>{PROSE}</p><button>send</button></form></body>", f"T\n{PROSE}"),
+    (f"<body><form><article><p>{PROSE}</p></article></form></body>", PROSE),
+    (f"<div class='post share-box'><p>{PROSE}</p></div>", PROSE),
+    (f"<div class='widget-content'><p>{PROSE}</p><div class='share-box'>Share this</div></div>", PROSE),
+    (f"<div class='cookie-notice'><p>{PROSE}</p></div><p>x</p>", "x"),
+    (f"<div id=comments><p>{PROSE}</p></div><p>x</p>", "x"),
+    (f"<p>{PROSE}</p><form><p>{PROSE}</p></form>", PROSE),
+    ("<form>search</form>", ""),
+    (f"<{'x' * 80} hidden><p>no</p></{'x' * 80}><p>x</p>", "x"),
 ])
 def test_text_of_a_page(html, text):
     assert Page(html).text(frozenset()) == text
@@ -93,3 +105,22 @@ def test_copies_of_a_page_do_not_hide_a_template(spark):
 def test_sections_of_a_large_host_have_templates(spark):
     rows = [(k, "http://a.example/p", f"<body>{'<div class=x1>Our offers</div>' if k % 4 == 0 else ''}<div>Text {k}</div></body>") for k in range(4000)]
     assert dict(texts(extract_main_text(pages_of(spark, rows)))) == {k: f"Text {k}" for k in range(4000)}
+
+
+def test_prose_on_nearly_all_pages_of_a_host_goes_without_hiding_the_rest(spark):
+    """Without templates the result is another one, for pages with a declared article and without."""
+    line = "<p>Subscribe to our newsletter today</p>"
+    rows = [(k, "http://a.example/p", f"<article><h1>T {k}</h1>{line}<p>Text {k}</p>{'<p>Often</p>' if k % 2 else ''}</article>") for k in range(40)]
+    rows += [(100 + k, "http://b.example/p", f"<article>{line}<p>Text {k}</p></article>") for k in range(19)]
+    rows += [(200 + k, "http://c.example/p", f"<body><div class=x>{line}</div><div><p>Text {k}</p></div></body>") for k in range(9)]
+    got = dict(texts(extract_main_text(pages_of(spark, rows))))
+    assert all(got[k] == f"T {k}\nText {k}" + ("\nOften" if k % 2 else "") for k in range(40))
+    assert all(got[100 + k] == f"Subscribe to our newsletter today\nText {k}" for k in range(19))
+    assert all(got[200 + k] == f"Text {k}" for k in range(9))
+
+
+def test_templates_sent_and_joined_give_the_same(spark):
+    rows = [(k, f"http://{'ab'[k % 2]}.example/{k % 30}", f"<body><div class=x{k % 2}>Our offers</div><div>Text {k % 30}</div></body>")
+            for k in range(60)] + [(None, None, None), (99, None, "<p>x</p>")]
+    sent, joined = (texts(extract_main_text(pages_of(spark, rows), most_sent=n)) for n in (100, 0))
+    assert sent == joined and dict(sent)[3] == "Text 3" and dict(sent)[99] == "x"
