@@ -108,6 +108,38 @@ def latest(df: DataFrame, keys: list[str], bucket: Column, order: list[str], val
         name, F.coalesce(F.col("_in"), F.col("_edge"))["v"]).drop("_v", "_in", "_edge", BUCKET)
 
 
+def latest_each(df: DataFrame, keys: list[str], bucket: Column, order: list[str], values: dict[str, Column],
+                coarser: Coarser = ()) -> DataFrame:
+    """Columns with the last non-null of each of ``values`` up to each row, carried in one pass."""
+    cut = df.withColumn(BUCKET, bucket).withColumns(
+        {f"_v_{n}": F.when(v.isNotNull(), F.struct(v.alias("v"))) for n, v in values.items()})
+    at = F.struct(*order)
+    inner = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edges = cut.groupBy(*keys, BUCKET).agg(*[
+        F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_e_{n}") for n in values])
+    with_inner = cut.withColumns({f"_i_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inner) for n in values})
+    out = _join(with_inner, _carried_each(edges, keys, list(values), coarser), keys)
+    return out.withColumns({n: F.coalesce(f"_i_{n}", f"_e_{n}")["v"] for n in values}).drop(
+        BUCKET, *[f"_{x}_{n}" for n in values for x in "vie"])
+
+
+def _carried_each(rows: DataFrame, keys: list[str], names: list[str], coarser: Coarser) -> DataFrame:
+    """What the buckets before each one carry, for every name."""
+    def before(by: list, column: str) -> dict[str, Column]:
+        ahead = Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+        return {n: F.last(f"_e_{n}", ignorenulls=True).over(ahead) for n in names}
+    if not coarser:
+        return rows.withColumns({f"_e_{n}": v for n, v in before(keys or [F.lit(0)], BUCKET).items()})
+    cut = rows.withColumnRenamed(BUCKET, "_fine").withColumn(BUCKET, coarser[0](F.col("_fine")))
+    totals = cut.groupBy(*keys, BUCKET).agg(*[
+        F.max_by(f"_e_{n}", F.when(F.col(f"_e_{n}").isNotNull(), F.col("_fine"))).alias(f"_e_{n}") for n in names])
+    above = _carried_each(totals, keys, names, coarser[1:]).withColumnsRenamed({f"_e_{n}": f"_a_{n}" for n in names})
+    within = before([*keys, BUCKET], "_fine")
+    out = _join(cut.withColumns({f"_n_{n}": v for n, v in within.items()}), above, keys)
+    return out.withColumns({f"_e_{n}": F.coalesce(f"_n_{n}", f"_a_{n}") for n in names}).drop(
+        BUCKET, *[f"_{x}_{n}" for n in names for x in "na"]).withColumnRenamed("_fine", BUCKET)
+
+
 CELLS = 64
 
 

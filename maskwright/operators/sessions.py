@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions import windows as W
+from ..sources.tables import materialise
 
 ORDER = ["ts", "event_id"]
 
@@ -241,6 +242,110 @@ def trigger_edges(evaluations: DataFrame) -> DataFrame:
     return e.where(was.isNotNull()).select("event_id", "tab_id", F.explode(F.array_compact(notices)).alias("notice"))
 
 
+#: Order of evaluations: an event, then the silence after it.
+EVALUATED = ["at", "event_id", "seq"]
+
+
+def trigger_timeline(events: DataFrame, settings: DataFrame, threshold: float | None = None) -> DataFrame:
+    """Evaluations of every tab: at each of its own events and where silence makes it idle.
+
+    ``settings(tab_id, idle_enabled, tab_switch_enabled, share_enabled, enabled)``
+    holds the folded settings of a tab, a null being off for a trigger and on for
+    ``enabled``; tabs without settings have no evaluations. Each evaluation sees the state as of its moment: phases, shares
+    and ignore lists of the tab, the ignored sites, and what holds for all tabs
+    (suspended triggers, open shares, the master switch, which events of kind
+    ``enable`` and ``disable`` move). Changes made elsewhere count from the next
+    evaluation of a tab, so events and tabs are never paired. Equal times are
+    ordered by event_id. Every state is carried over bucket borders by one row
+    per bucket, all states of a scope in one pass; results between passes are
+    stored, so ``events`` is read for the steps of shares and once more.
+    """
+    c = F.col
+    steps = materialise(share_steps(events), "share-steps")
+    own = materialise(W.running_sum(steps, ["tab_id"], slot(), ORDER, c("step"), "own_sum"), "share-own")
+    shares = W.running_sum(own, [], instant(), ORDER, c("step"), "all_sum", coarser=ACROSS)
+    is_share = F.coalesce(c("kind").isin("share_open", "share_close"), F.lit(False))
+    rows = materialise(shares.unionByName(events.where(~is_share), allowMissingColumns=True), "share-rows")
+
+    limit = F.make_dt_interval(secs=F.lit(clamp_threshold(threshold)))
+    nexted = W.previous(rows, ["tab_id"], slot(), ORDER, c("ts"), "next_ts", backward=True)
+    fields = ("kind", "trigger", "step", "own_sum", "all_sum")
+    types = dict(rows.dtypes)
+    locked = F.coalesce(c("kind") == "lock", F.lit(False))
+    here = F.struct(c("ts").alias("at"), F.lit(0).alias("seq"), F.when(locked, "locked").otherwise("active").alias(
+        "idle_phase"), *[c(f) for f in fields])
+    silent = (c("next_ts").isNull() | (c("next_ts") > c("ts") + limit)) & ~locked
+    later = F.when(silent, F.struct((c("ts") + limit).alias("at"), F.lit(1).alias("seq"), F.lit("idle").alias(
+        "idle_phase"), *[F.lit(None).cast(types[f]).alias(f) for f in fields]))
+    points = materialise(nexted.select("event_id", "tab_id", "host", F.inline(F.array_compact(F.array(here, later)))), "points")
+
+    now = [c("at").alias("at"), c("event_id").alias("event_id")]
+
+    def op(trigger: str, on: str, off: str, timed: bool = False) -> Column:
+        said = (c("kind") == on).alias("on")
+        return F.when(c("kind").isin(on, off) & (c("trigger") == trigger), F.struct(said, *now) if timed else said)
+    of_tab = W.latest_each(points, ["tab_id"], slot("at"), EVALUATED, {
+        "tab_phase": F.when(c("kind").isin("focus", "hide", "lock"), F.when(c("kind") == "focus", "off").otherwise("fired")),
+        "own_open": c("own_sum"), "idle_tab": op("idle", "ignore_tab", "unignore_tab"),
+        "switch_tab": op("tab_switch", "ignore_tab", "unignore_tab"),
+        "share_tab": op("screen_share", "ignore_tab", "unignore_tab", timed=True)})
+    of_site = W.latest_each(materialise(of_tab, "of-tab"), ["host"], slot("at"), EVALUATED, {
+        f"{n}_site": op(t, "ignore_site", "unignore_site")
+        for n, t in (("idle", "idle"), ("switch", "tab_switch"), ("share", "screen_share"))})
+    of_all = W.latest_each(materialise(of_site, "of-site"), [], instant("at"), EVALUATED, {
+        "all_open": c("all_sum"), "reset": F.when(c("kind") == "share_open", F.struct(*now)),
+        "quiet": F.when((c("step") != 0) & (c("all_sum") == 0), F.struct(*now)),
+        "idle_off": op("idle", "suspend", "resume"), "switch_off": op("tab_switch", "suspend", "resume"),
+        "share_off": op("screen_share", "suspend", "resume", timed=True),
+        "switched": F.when(c("kind").isin("enable", "disable"), c("kind") == "enable")}, coarser=ACROSS)
+
+    def yes(x: Column) -> Column:
+        return F.coalesce(x, F.lit(False))
+
+    def after(op_column: str, reset: str) -> Column:
+        """Said, and not undone since."""
+        said = F.struct(c(op_column)["at"].alias("at"), c(op_column)["event_id"].alias("event_id"))
+        return yes(c(op_column)["on"] & (c(reset).isNull() | (said > c(reset))))
+    found = of_all.join(settings.select("tab_id", "idle_enabled", "tab_switch_enabled", "share_enabled", "enabled"), "tab_id")
+    master = F.coalesce(c("switched"), c("enabled"), F.lit(True))
+    sharing, suspended = F.coalesce(c("all_open"), F.lit(0)) > 0, after("share_off", "quiet")
+    idle_on = yes(c("idle_enabled")) & ~yes(c("idle_off")) & c("idle_phase").isin("idle", "locked") \
+        & ~yes(c("idle_tab")) & ~yes(c("idle_site"))
+    tab_on = yes(c("tab_switch_enabled")) & ~yes(c("switch_off")) & yes(c("tab_phase") == "fired") \
+        & ~yes(c("switch_tab")) & ~yes(c("switch_site"))
+    share_on = sharing & yes(c("share_enabled")) & ~suspended & ~yes(c("share_site")) \
+        & (F.coalesce(c("own_open"), F.lit(0)) == 0) & ~after("share_tab", "reset")
+    return found.select(
+        "event_id", "tab_id", "at", "seq", "idle_phase", F.coalesce("tab_phase", F.lit("off")).alias("tab_phase"),
+        (master & idle_on).alias("idle_on"), (master & tab_on).alias("tab_on"), (master & share_on).alias("share_on"),
+        (sharing & suspended).alias("share_suspended"), master.alias("master_on"))
+
+
+def trigger_notices(timeline: DataFrame) -> DataFrame:
+    """Notices on the edges of a timeline.
+
+    The first evaluation with the master switch on only seeds. While it is off
+    nothing is shown, and a share notice that still stands is dismissed. A share
+    outranks idle for the one notice slot; one that ends by suspension while
+    streams are open says so.
+    """
+    c, was = F.col, F.col("was")
+    stored = materialise(timeline, "timeline")
+    seen = W.running_sum(stored, ["tab_id"], slot("at"), EVALUATED, c("master_on").cast("int"), "seen")
+    e = W.previous(materialise(seen, "seen"), ["tab_id"], slot("at"), EVALUATED,
+                   F.struct("idle_phase", "tab_phase", "share_on"), "was")
+    away = c("idle_phase").isin("idle", "locked")
+    ended = ~c("share_on") & was["share_on"]
+    shown = F.array(
+        F.when(c("idle_on") & (c("idle_phase") != was["idle_phase"]) & away & ~c("share_on"), "idle_show")
+        .when(~c("idle_on") & (was["idle_phase"] != "active") & ~away & ~c("share_on"), "idle_dismiss"),
+        F.when(c("tab_on") & (c("tab_phase") != was["tab_phase"]) & (c("tab_phase") == "fired"), "tab_show"),
+        F.when(c("share_on") & ~was["share_on"], "share_show").when(ended, "share_dismiss"),
+        F.when(ended & c("share_suspended"), "share_suspended"))
+    notices = F.when(~c("master_on"), F.array(F.when(ended, "share_dismiss"))).when(c("seen") > 1, shown)
+    return e.select("event_id", "tab_id", "at", F.explode(F.array_compact(notices)).alias("notice"))
+
+
 def notify_counts(events: DataFrame, tabs: DataFrame) -> DataFrame:
     """Notices each tab receives: one per share start of any other tab, one per share end.
 

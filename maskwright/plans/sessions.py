@@ -119,6 +119,31 @@ def trigger_edges(spark, sf_dir):
     return S.trigger_edges(evaluations(spark, sf_dir))
 
 
+def tab_settings(spark, sf_dir):
+    """Settings of the profile with a tab's number, folded with the site rules for the tab's host."""
+    loaded = policy.load(profiles.profiles(spark, sf_dir)).withColumnRenamed("profile", "tab_id")
+    tabs = _events(spark, sf_dir).select("tab_id", F.concat(F.lit("https://"), c("host"), F.lit("/")).alias("url")).distinct()
+    base = {n: c(f"base_{n}") for n in policy.DEFAULTS}
+    pages = tabs.join(loaded.select("tab_id", *[c(n).alias(f"base_{n}") for n in policy.DEFAULTS]), "tab_id")
+    book = policy.RuleBook.of(policy.normalise_rules(profiles.site_rules(spark, sf_dir)))
+    return policy.fold(pages, book, base).select(
+        "tab_id", "idle_enabled", "tab_switch_enabled", "share_enabled", "enabled")
+
+
+@query("trigger_timeline")
+def trigger_timeline(spark, sf_dir):
+    """What acts on a tab at each of its evaluations."""
+    timeline = S.trigger_timeline(_events(spark, sf_dir), tab_settings(spark, sf_dir), THRESHOLD)
+    return timeline.withColumn("happened_at", c("at").cast("string")).drop("at", "seq")
+
+
+@query("trigger_notices")
+def trigger_notices(spark, sf_dir):
+    """Notices on the edges of these evaluations."""
+    timeline = S.trigger_timeline(_events(spark, sf_dir), tab_settings(spark, sf_dir), THRESHOLD)
+    return S.trigger_notices(timeline).select("event_id", "tab_id", c("at").cast("string").alias("happened_at"), "notice")
+
+
 @query("notify_targets")
 def notify_targets(spark, sf_dir):
     events = _events(spark, sf_dir)

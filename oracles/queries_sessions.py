@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from maskwright.sources import control
 
+from . import queries_pages
 from . import queries_policy as QP
 
 SQL: dict[str, str] = {}
@@ -108,6 +109,60 @@ SELECT event_id, tab_id, unnest(list_filter([
   CASE WHEN tab_on AND tab_phase <> was_tab AND tab_phase = 'fired' THEN 'tab_show' END,
   CASE WHEN share_on AND NOT was_share THEN 'share_show' WHEN NOT share_on AND was_share THEN 'share_dismiss' END],
   lambda x: x IS NOT NULL)) AS notice FROM w WHERE was_idle IS NOT NULL"""
+_tabs = f"(SELECT DISTINCT tab_id AS page_id, 'https://' || host || '/' AS url FROM {E})"
+_globals = f"(SELECT * FROM {_tabs} JOIN ({QP.LOADED}) ON profile = page_id)"
+CFG = QP.folded({n: f"g.{n}" for n in QP.FIELDS}).replace(queries_pages.RICH, _tabs).replace("FROM pages g", f"FROM {_globals} g")
+
+
+def _said(trigger: str, on: str, off: str) -> str:
+    return f"CASE WHEN kind IN ('{on}', '{off}') AND trigger = '{trigger}' THEN {{}} END"
+
+
+def _last(x: str, over: str, name: str) -> str:
+    return f"last_value({x} IGNORE NULLS) OVER {over} AS {name}"
+
+
+_at = "(happened, event_id)"
+_ops = [_last(_said(t, f"ignore_{s}", f"unignore_{s}").format(f"kind = 'ignore_{s}'"), w, f"{n}_{s}")
+        for n, t in (("idle", "idle"), ("switch", "tab_switch"), ("share", "screen_share")) for s, w in (("tab", "t"), ("site", "h"))]
+_ops += [_last(_said(t, "suspend", "resume").format("kind = 'suspend'"), "g", f"{n}_off")
+         for n, t in (("idle", "idle"), ("switch", "tab_switch"), ("share", "screen_share"))]
+_ops += [_last(_said("screen_share", "ignore_tab", "unignore_tab").format(_at), "t", "share_tab_at"),
+         _last(_said("screen_share", "suspend", "resume").format(_at), "g", "share_off_at"),
+         _last(f"CASE WHEN kind = 'share_open' THEN {_at} END", "g", "reset_at"),
+         _last(f"CASE WHEN step <> 0 AND all_open = 0 THEN {_at} END", "g", "quiet_at"),
+         _last("CASE WHEN kind IN ('focus', 'hide', 'lock') THEN CASE WHEN kind = 'focus' THEN 'off' ELSE 'fired' END END", "t", "tp")]
+_o = "ORDER BY happened, event_id, seq ROWS UNBOUNDED PRECEDING"
+TIMELINE = f"""(WITH e AS (SELECT x.*, coalesce(s.step, 0) AS step FROM {E} x LEFT JOIN (SELECT event_id AS sid, step FROM {STEPS}) s ON sid = event_id),
+n AS (SELECT *, lead(ts) OVER (PARTITION BY tab_id ORDER BY ts, event_id) AS next_ts FROM e),
+p AS (SELECT event_id, tab_id, host, ts AS happened, 0 AS seq, CASE WHEN kind = 'lock' THEN 'locked' ELSE 'active' END AS idle_phase, kind, trigger, step FROM n
+  UNION ALL SELECT event_id, tab_id, host, ts + INTERVAL 3600 SECOND, 1, 'idle', NULL, NULL, 0 FROM n
+  WHERE kind <> 'lock' AND (next_ts IS NULL OR next_ts > ts + INTERVAL 3600 SECOND)),
+o AS (SELECT *, sum(step) OVER (PARTITION BY tab_id {_o}) AS own_open, sum(step) OVER ({_o}) AS all_open FROM p),
+v AS (SELECT *, {', '.join(_ops)} FROM o
+  WINDOW t AS (PARTITION BY tab_id {_o}), h AS (PARTITION BY host {_o}), g AS ({_o})),
+f AS (SELECT v.*, c.idle_enabled, c.tab_switch_enabled, c.share_enabled, c.enabled AS master_on,
+    coalesce(share_off, false) AND coalesce(share_off_at > quiet_at, true) AS halted,
+    coalesce(share_tab, false) AND coalesce(share_tab_at > reset_at, true) AS left_out
+  FROM v JOIN (SELECT page_id, idle_enabled, tab_switch_enabled, share_enabled, enabled FROM {CFG}) c ON c.page_id = v.tab_id)
+SELECT event_id, tab_id, seq, happened, idle_phase, coalesce(tp, 'off') AS tab_phase, master_on, all_open > 0 AND halted AS share_suspended,
+  master_on AND idle_enabled AND NOT coalesce(idle_off, false) AND idle_phase IN ('idle', 'locked') AND NOT coalesce(idle_tab, false)
+    AND NOT coalesce(idle_site, false) AS idle_on,
+  master_on AND tab_switch_enabled AND NOT coalesce(switch_off, false) AND coalesce(tp = 'fired', false) AND NOT coalesce(switch_tab, false)
+    AND NOT coalesce(switch_site, false) AS tab_on,
+  master_on AND share_enabled AND all_open > 0 AND own_open = 0 AND NOT halted AND NOT left_out AND NOT coalesce(share_site, false) AS share_on
+FROM f)"""
+SQL["trigger_timeline"] = f"SELECT * EXCLUDE (seq, happened), {stamp('happened')} AS happened_at FROM {TIMELINE}"
+SQL["trigger_notices"] = f"""
+WITH w AS (SELECT *, lag(idle_phase) OVER o AS was_idle, lag(tab_phase) OVER o AS was_tab, coalesce(lag(share_on) OVER o, false) AS was_share,
+  count_if(master_on) OVER o AS seen FROM {TIMELINE} WINDOW o AS (PARTITION BY tab_id ORDER BY happened, event_id, seq)),
+l AS (SELECT *, CASE WHEN NOT master_on THEN [CASE WHEN was_share THEN 'share_dismiss' END] WHEN seen > 1 THEN [
+  CASE WHEN idle_on AND idle_phase <> was_idle AND idle_phase <> 'active' AND NOT share_on THEN 'idle_show'
+    WHEN NOT idle_on AND was_idle <> 'active' AND idle_phase = 'active' AND NOT share_on THEN 'idle_dismiss' END,
+  CASE WHEN tab_on AND tab_phase <> was_tab AND tab_phase = 'fired' THEN 'tab_show' END,
+  CASE WHEN share_on AND NOT was_share THEN 'share_show' WHEN NOT share_on AND was_share THEN 'share_dismiss' END,
+  CASE WHEN NOT share_on AND was_share AND share_suspended THEN 'share_suspended' END] END AS found FROM w)
+SELECT event_id, tab_id, {stamp('happened')} AS happened_at, unnest(list_filter(found, lambda x: x IS NOT NULL)) AS notice FROM l"""
 SQL["notify_targets"] = f"""
 SELECT t.tab_id, (SELECT count(*) FROM {E} e WHERE e.kind = 'share_close') + (SELECT count(*) FROM {E} e
   WHERE e.kind = 'share_open' AND e.tab_id <> t.tab_id) AS notices FROM (SELECT DISTINCT tab_id FROM {E}) t"""
