@@ -57,6 +57,15 @@ def stream_share_sessions(spark, sf_dir):
         "tab_id", c("started_at").cast("string"), c("ended_at").cast("string"), "max_streams", "opens")
 
 
+@query("stream_share_expiry")
+def stream_share_expiry(spark, sf_dir):
+    """Sharing sessions that were closed, or whose tab was silent for six hours."""
+    events = control.from_events(stream_scan_ops.source(spark, sf_dir, "events"))
+    with stream_sessions.keyed_state(spark):
+        ended = _finished(spark, stream_sessions.ended_shares(events, 21600), "stream-expiry")
+    return ended.select("tab_id", c("started_at").cast("string"), c("ended_at").cast("string"), "max_streams", "opens", "expired")
+
+
 @query("stream_idle")
 def stream_idle(spark, sf_dir):
     """Stretches of activity that the watermark has closed."""

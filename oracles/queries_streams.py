@@ -17,6 +17,21 @@ SQL["stream_text_changes"] = (
     "'item ' || event_id AS text FROM events WHERE event_type IN ('click', 'view')")
 SQL["stream_share_sessions"] = f"SELECT * FROM ({QS.SQL['share_sessions']}) WHERE ended_at IS NOT NULL"
 _mark = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)"
+_dead = "INTERVAL 21600 SECOND"
+SQL["stream_share_expiry"] = f"""
+WITH g AS (SELECT *, sum(CASE WHEN ts > was + {_dead} THEN 1 ELSE 0 END) OVER (PARTITION BY tab_id ORDER BY ts, event_id) AS life
+  FROM (SELECT *, lag(ts) OVER (PARTITION BY tab_id ORDER BY ts, event_id) AS was FROM {QS.E} WHERE ts <= {_mark})),
+lives AS (SELECT tab_id, life, max(ts) AS seen FROM g GROUP BY tab_id, life),
+s AS (SELECT *, CASE WHEN kind = 'share_open' THEN CASE WHEN prior = 'share_open' THEN 0 ELSE 1 END WHEN prior = 'share_open' THEN -1 ELSE 0 END AS step
+  FROM (SELECT *, coalesce(lag(kind) OVER (PARTITION BY tab_id, life, stream_id ORDER BY ts, event_id), '') AS prior FROM g
+    WHERE kind IN ('share_open', 'share_close'))),
+r AS (SELECT *, sum(step) OVER (PARTITION BY tab_id, life ORDER BY ts, event_id) AS n_open FROM s WHERE step <> 0),
+n AS (SELECT *, sum(CASE WHEN step = 1 AND n_open = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY tab_id, life ORDER BY ts, event_id) AS no FROM r),
+d AS (SELECT tab_id, life, no, min(ts) AS began, max(ts) FILTER (n_open = 0) AS closed, max(n_open) AS most, count_if(step = 1) AS opens
+  FROM n GROUP BY tab_id, life, no)
+SELECT tab_id, {QS.stamp('began')} AS started_at, {QS.stamp(f'coalesce(closed, seen + {_dead})')} AS ended_at,
+  CAST(most AS INT) AS max_streams, CAST(opens AS INT) AS opens, closed IS NULL AS expired
+FROM d JOIN lives USING (tab_id, life) WHERE closed IS NOT NULL OR seen + {_dead} <= {_mark}"""
 SQL["stream_idle"] = f"""
 WITH g AS (SELECT *, sum(CASE WHEN was IS NULL OR ts >= was + INTERVAL 3600 SECOND THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no
   FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events))
