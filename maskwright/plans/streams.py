@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import with_once
 from ..operators import resolve
 from ..sources import control, probes, rich_pages, tables
+from ..streaming import ledger
 from ..streaming import scan as stream_scan_ops
 from ..streaming import sessions as stream_sessions
 from .pages import scan_pages
@@ -97,3 +98,23 @@ def buffer_replay(spark, sf_dir):
     early = turns(tables.read(spark, sf_dir, "conversations")).where("turn < 2")
     merged = stream_scan_ops.replay(early, changes, ["id", "role"], "turn")
     return resolve.with_matches(merged).select("id", "role", "turn", F.md5("text").alias("text_md5"), F.size("m").alias("n"))
+
+
+@query("findings_stream_sink")
+def findings_stream_sink(spark, sf_dir):
+    """Findings of the probe texts written by a stream, each batch once, a folder per detector, and read back."""
+    found = stream_scan_ops.scan_stream(probes.from_orders(stream_scan_ops.source(spark, sf_dir, "orders")))
+    base = tables.scratch(spark, f"findings-stream-{uuid.uuid4().hex}")
+    ledger.run_to_end(found, f"{base}/out", f"{base}/checkpoint", "detector")
+    return ledger.rows(spark, f"{base}/out", found.schema, "detector").drop("batch")
+
+
+@query("replay_log")
+def replay_log(spark, sf_dir):
+    """Newest turn per speaker from a log of changes, compacted once."""
+    turns = stream_scan_ops.source(spark, sf_dir, "conversations", per_trigger=1).select(
+        c("conv_id").alias("id"), "role", "turn", "text")
+    path, keys = tables.scratch(spark, f"replay-log-{uuid.uuid4().hex}"), ["id", "role"]
+    ledger.log_changes(turns, path, f"{path}/checkpoint", keys, "turn")
+    ledger.compact(spark, path, turns.schema, keys, "turn", batches=1)
+    return ledger.current(spark, path, turns.schema, keys, "turn").select("id", "role", "turn", F.md5("text").alias("text_md5"))

@@ -49,3 +49,5 @@ SQL["buffer_replay"] = f"""
 SELECT m.id, m.role, m.turn, md5(m.text) AS text_md5, CAST(count(f.id) AS INT) AS n FROM {_merged} m
 LEFT JOIN ({D.findings(_keyed)}) f ON f.id = m.id * 10 + CASE m.role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END
 GROUP BY ALL"""
+SQL["findings_stream_sink"] = QD.SQL["scan_probes"]
+SQL["replay_log"] = f"SELECT id, role, turn, md5(text) AS text_md5 FROM {_merged}"
