@@ -15,6 +15,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialise
+
 BUCKET = "_bucket"
 Coarser = Sequence[Callable[[Column], Column]]
 
@@ -140,35 +142,45 @@ def _carried_each(rows: DataFrame, keys: list[str], names: list[str], coarser: C
         BUCKET, *[f"_{x}_{n}" for n in names for x in "na"]).withColumnRenamed("_fine", BUCKET)
 
 
+#: Cells that a round of refinement cuts a group into, and the different values that one window may order.
 CELLS = 64
+MOST_ORDERED = 1_000_000
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+def nearest_rank(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float],
+                 bound: int = MOST_ORDERED) -> DataFrame:
     """Exact nearest-rank quantiles per key, one column each.
 
-    A bounded sketch cuts the values of every key into cells; equal values are
-    counted together before they meet; only the cells that hold a wanted rank
-    are put in order. No task sees all values of a key.
+    Equal values are counted together first. Where a key has more than
+    ``bound`` different values, a sketch cuts them into cells and only the cells
+    that hold a wanted rank go on, as often as it takes; so no window orders
+    more than ``bound`` rows, whatever the data. A round costs one job, and a
+    cell has about a sixtieth of its group's values.
     """
     v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"))
-    points = [i / CELLS for i in range(1, CELLS)]
-    cuts = v.groupBy(*keys).agg(F.count("*").alias("_n"),
-                                F.percentile_approx("_x", points, 1000).alias("_cuts"))
     counted = v.groupBy(*keys, "_x").agg(F.count("*").alias("_c"))
-    celled = counted.join(cuts, keys).withColumn(
-        "_cell", F.size(F.filter("_cuts", lambda b: b < F.col("_x")))).drop("_cuts")
-    sums = celled.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_sum"), F.first("_n").alias("_n"))
-    to = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_cell"))
-    wanted = sums.withColumn("_to", to).withColumn("_q", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("name"), F.ceil(F.col("_n") * F.lit(q)).alias("rank"))
-        for n, q in quantiles.items()]))).where(
-        (F.col("_q.rank") <= F.col("_to")) & (F.col("_q.rank") > F.col("_to") - F.col("_sum"))).select(
-        *keys, "_cell", F.col("_q.name").alias("_name"), F.col("_q.rank").alias("_rank"),
-        (F.col("_to") - F.col("_sum")).alias("_from"))
-    upto = F.sum("_c").over(Window.partitionBy(*keys, "_cell").orderBy("_x"))
-    hit = celled.join(wanted.select(*keys, "_cell").distinct(), [*keys, "_cell"], "left_semi") \
-        .withColumn("_upto", upto).join(wanted, [*keys, "_cell"]) \
-        .where((F.col("_rank") <= F.col("_from") + F.col("_upto"))
-               & (F.col("_rank") > F.col("_from") + F.col("_upto") - F.col("_c")))
+    wanted = counted.groupBy(*keys).agg(F.sum("_c").alias("_n")).select(*keys, "_n", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("name"), F.lit(float(q)).alias("q")) for n, q in quantiles.items()])).alias("_q")).select(
+        *keys, F.col("_q.name").alias("_name"), F.ceil(F.col("_n") * F.col("_q.q")).alias("_rank"))
+    hit = _ranked(counted, keys, wanted, bound)
     return hit.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_name") == n, F.col("_x"))).alias(n) for n in quantiles])
+
+
+def _ranked(counted: DataFrame, by: list[str], wanted: DataFrame, bound: int, depth: int = 0) -> DataFrame:
+    """``wanted(*by, _name, _rank)`` with the value ``_x`` at that rank of ``counted(*by, _x, _c)``."""
+    if (counted.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= bound:
+        upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_x"))
+        return counted.withColumn("_upto", upto).join(wanted, by).where(
+            (F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_c")))
+    counted = materialise(counted, "ranked")
+    cuts = counted.groupBy(*by).agg(F.percentile_approx("_x", [i / CELLS for i in range(1, CELLS)], 1000).alias("_cuts"))
+    cell = f"_cell{depth}"
+    celled = counted.join(cuts, by).withColumn(cell, F.size(F.filter("_cuts", lambda b: b < F.col("_x")))).drop("_cuts")
+    sums = celled.groupBy(*by, cell).agg(F.sum("_c").alias("_sum"))
+    to = F.sum("_sum").over(Window.partitionBy(*by).orderBy(cell))
+    sought = materialise(sums.withColumn("_to", to).join(wanted, by).where(
+        (F.col("_rank") <= F.col("_to")) & (F.col("_rank") > F.col("_to") - F.col("_sum"))).select(
+        *by, cell, "_name", (F.col("_rank") - (F.col("_to") - F.col("_sum"))).alias("_rank")), "sought")
+    inside = celled.join(sought.select(*by, cell).distinct(), [*by, cell], "left_semi")
+    return _ranked(inside, [*by, cell], sought, bound, depth + 1)
