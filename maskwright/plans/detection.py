@@ -12,9 +12,9 @@ from ..functions import validators as C
 from ..functions.arrays import with_once
 from ..functions.matching import chunked, hits
 from ..functions.rx import java
-from ..operators import detect, mask, resolve, suppress
+from ..operators import detect, mask, resolve, sketches, suppress
 from ..sources import tables
-from ..sources.probes import probes
+from ..sources.probes import from_orders, probes
 from .registry import query
 
 c = F.col
@@ -429,6 +429,15 @@ def distinct_values(spark, sf_dir):
     return seen.groupBy("detector").agg(F.sum("n").alias("findings"), F.count("*").alias("distinct_values"))
 
 
+@query("distinct_values_sketch")
+def distinct_values_sketch(spark, sf_dir):
+    """About how many different values per detector: sketches of every month are stored, then merged."""
+    orders = tables.read(spark, sf_dir, "orders")
+    texts = from_orders(tables.spread(orders), month=F.date_trunc("month", c("o_orderdate").cast("timestamp")))
+    kept = tables.materialise(sketches.value_sketches(_findings(texts, "month"), ["month", "detector"]), "sketches")
+    return sketches.distinct_over(kept, ["detector"])
+
+
 @query("findings_by_quality")
 def findings_by_quality(spark, sf_dir):
     """Findings of labelled documents by label; only keys and counts meet in the join."""
