@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 PRECISION = 12
 
 
+def bound(precision: int = PRECISION) -> float:
+    """Four standard errors, relative."""
+    return 4 * 1.04 / 2 ** (precision / 2)
+
+
 def value_sketches(found: DataFrame, cells: list[str], value: str = "hit", precision: int = PRECISION) -> DataFrame:
     """(*cells, findings, sketch): nulls are counted as findings, not as values. Sketches are built before the shuffle."""
     return found.groupBy(*cells).agg(

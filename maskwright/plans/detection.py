@@ -431,11 +431,16 @@ def distinct_values(spark, sf_dir):
 
 @query("distinct_values_sketch")
 def distinct_values_sketch(spark, sf_dir):
-    """About how many different values per detector: sketches of every month are stored, then merged."""
+    """Different values per detector from sketches of every month, merged, and whether that is near the exact count."""
     orders = tables.read(spark, sf_dir, "orders")
     texts = from_orders(tables.spread(orders), month=F.date_trunc("month", c("o_orderdate").cast("timestamp")))
-    kept = tables.materialise(sketches.value_sketches(_findings(texts, "month"), ["month", "detector"]), "sketches")
-    return sketches.distinct_over(kept, ["detector"])
+    found = tables.materialise(_findings(texts, "month").select("month", "detector", "hit"), "months")
+    kept = tables.materialise(sketches.value_sketches(found, ["month", "detector"]), "sketches")
+    about = sketches.distinct_over(kept, ["detector"]).withColumnRenamed("distinct_values", "about")
+    exact = found.select("detector", F.sha2("hit", 256).alias("value")).distinct().groupBy("detector").agg(
+        F.count("*").alias("distinct_values"))
+    near = F.abs(c("about") - c("distinct_values")) <= F.lit(sketches.bound()) * c("distinct_values") + 1
+    return about.join(exact, "detector").select("detector", "findings", "distinct_values", near.alias("near"))
 
 
 @query("findings_by_quality")

@@ -172,6 +172,8 @@ SQL["findings_cube"] = (f"SELECT lang, type, count(*) AS n, sum(end_pos - start_
                         f"GROUP BY CUBE (lang, type)")
 SQL["distinct_values"] = (f"SELECT detector, count(*) AS findings, count(DISTINCT hit) AS distinct_values "
                           f"FROM ({_all}) GROUP BY detector")
+SQL["distinct_values_sketch"] = (f"SELECT detector, count(*) AS findings, count(DISTINCT hit) AS distinct_values, true AS near "
+                                 f"FROM ({SQL['scan_probes']}) GROUP BY detector")
 SQL["findings_by_quality"] = (f"SELECT quality, toxic, count(*) AS docs, sum(n) AS findings FROM ({SQL['match_count']}) m "
                               f"JOIN labels l ON l.doc_id = m.id GROUP BY quality, toxic")
 
