@@ -15,10 +15,13 @@ WATERMARK = "1 hour"
 
 
 def source(spark: SparkSession, sf_dir: str, table: str, per_trigger: int = 16) -> DataFrame:
-    """A table folder as a stream of files."""
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet") \
-        .option("maxFilesPerTrigger", per_trigger).parquet(sf_dir)
+    """A table, one file or a folder of files, as a stream of files."""
+    path = f"{sf_dir}/{table}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", per_trigger)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
 def scan_stream(units: DataFrame) -> DataFrame:
