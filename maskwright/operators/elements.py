@@ -159,10 +159,15 @@ def path_selector() -> Column:
                   F.concat(F.lit("body > "), F.array_join(below, " > ")))
 
 
+def _met(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join of elements that sends no side whole: stored elements are hundreds of times larger than their files."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _counted(rows: DataFrame, by: list[str], name: str) -> DataFrame:
     """``rows`` with how many share each value of ``by``; rows without one are counted with none."""
     n = rows.where(F.col(by[-1]).isNotNull()).groupBy("page_id", *by).agg(F.count("*").alias(name))
-    return rows.join(n, ["page_id", *by], "left")
+    return _met(rows, n, ["page_id", *by], "left")
 
 
 def id_selector(rows: DataFrame) -> DataFrame:
@@ -193,7 +198,7 @@ def data_selector(rows: DataFrame) -> DataFrame:
     best = exact.where("raw = value").withColumn(
         "sel", F.when(F.col("_a") == 1, sel).when(F.col("_t") == 1, F.concat(F.col("tag"), sel))) \
         .where("sel is not null").groupBy("page_id", "pos").agg(F.min_by("sel", "ord").alias("by_data"))
-    return rows.join(best, ["page_id", "pos"], "left")
+    return _met(rows, best, ["page_id", "pos"], "left")
 
 
 def matching_classes(wanted: DataFrame, held: DataFrame, scope: list[str]) -> DataFrame:
@@ -203,7 +208,7 @@ def matching_classes(wanted: DataFrame, held: DataFrame, scope: list[str]) -> Da
     """
     one = wanted.withColumn("_key", F.array_min("set"))
     more = held.select(*scope, F.col("set").alias("_held"), "n", F.explode("set").alias("_key"))
-    met = one.join(more, [*scope, "_key"]).where(F.size(F.array_except("set", "_held")) == 0)
+    met = _met(one, more, [*scope, "_key"]).where(F.size(F.array_except("set", "_held")) == 0)
     return met.groupBy(*scope, "set").agg(F.sum("n").alias("n"))
 
 
@@ -212,16 +217,16 @@ def class_selector(rows: DataFrame) -> DataFrame:
     named = rows.where("id is not null and id <> ''").select(
         "page_id", F.col("pos").alias("parent"), F.col("id").alias("parent_id"))
     own = F.concat(F.col("tag"), F.lit("."), F.array_join(F.transform("classes", css_escape), "."))
-    classed = rows.where(F.size("classes") > 0).select(
-        "page_id", "pos", "tag", "parent", F.array_sort(F.array_distinct("classes")).alias("set"), own.alias("own")) \
-        .join(named, ["page_id", "parent"], "left")
+    classed = _met(rows.where(F.size("classes") > 0).select(
+        "page_id", "pos", "tag", "parent", F.array_sort(F.array_distinct("classes")).alias("set"), own.alias("own")),
+        named, ["page_id", "parent"], "left")
     # Elements that would match too: same tag under that id with at least these classes.
     scope = ["page_id", "parent_id", "tag"]
     sets = classed.where("parent_id is not null").groupBy(*scope, "set").agg(F.count("*").alias("n"))
-    scoped = classed.join(matching_classes(sets.drop("n"), sets, scope), [*scope, "set"], "left")
+    scoped = _met(classed, matching_classes(sets.drop("n"), sets, scope), [*scope, "set"], "left")
     by_class = F.when(F.col("n") == 1, F.concat(
         F.lit("#"), css_escape(F.col("parent_id")), F.lit(" > "), F.col("own"))).otherwise(F.col("own"))
-    return rows.join(scoped.select("page_id", "pos", by_class.alias("by_class")), ["page_id", "pos"], "left")
+    return _met(rows, scoped.select("page_id", "pos", by_class.alias("by_class")), ["page_id", "pos"], "left")
 
 
 def anchor_paths(rows: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -229,8 +234,8 @@ def anchor_paths(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     below = rows.where(~F.col("tag").isin("body", "html")).select(
         "page_id", "pos", "steps", F.posexplode("ancestors").alias("depth", "anc"))
     path = F.array_join(F.slice("steps", F.col("depth") + 2, F.size("steps")), " > ")
-    return below.select("page_id", "pos", "anc", path.alias("path")).join(
-        anchors.withColumnRenamed("pos", "anc"), ["page_id", "anc"])
+    return _met(below.select("page_id", "pos", "anc", path.alias("path")),
+                anchors.withColumnRenamed("pos", "anc"), ["page_id", "anc"])
 
 
 def anchored_selector(rows: DataFrame) -> DataFrame:
@@ -244,8 +249,7 @@ def anchored_selector(rows: DataFrame) -> DataFrame:
     id_counts = rows.where("id is not null").groupBy("page_id", F.col("id").alias("aid")).agg(F.count("*").alias("id_n"))
     attr_counts = rows.select("page_id", F.inline("stable")).groupBy(
         "page_id", F.col("name").alias("aname"), F.col("raw").alias("avalue")).agg(F.count("*").alias("attr_n"))
-    rated = anchors.join(id_counts, ["page_id", "aid"], "left").join(
-        attr_counts, ["page_id", "aname", "avalue"], "left")
+    rated = _met(_met(anchors, id_counts, ["page_id", "aid"], "left"), attr_counts, ["page_id", "aname", "avalue"], "left")
     text = F.when(F.col("aid").isNotNull(), F.concat(F.lit("#"), css_escape(F.col("aid")))).otherwise(
         attribute_selector(F.col("aname"), F.col("avalue")))
     unique = F.when(F.col("aid").isNotNull(), F.col("id_n") == 1).otherwise(F.col("attr_n") == 1)
@@ -253,7 +257,7 @@ def anchored_selector(rows: DataFrame) -> DataFrame:
     near = anchor_paths(rows, rated).groupBy("page_id", "pos").agg(
         F.max(F.struct("anc", "anchor", "path")).alias("near"))
     by = near.select("page_id", "pos", F.concat("near.anchor", F.lit(" > "), F.col("near.path")).alias("by_anchor"))
-    return rows.join(by, ["page_id", "pos"], "left")
+    return _met(rows, by, ["page_id", "pos"], "left")
 
 
 def selector_lists(rows: DataFrame) -> DataFrame:
@@ -300,7 +304,7 @@ def restore(stored: DataFrame, target: DataFrame) -> DataFrame:
         plain = plain.unionByName(more)
     known = plain.where("sel is not null").groupBy("page_id", "sel").agg(
         F.count("*").alias("n"), F.min("pos").alias("found"))
-    exact = wanted.join(known, ["page_id", "sel"]).select("page_id", "item", "ord", "n", "found")
+    exact = _met(wanted, known, ["page_id", "sel"]).select("page_id", "item", "ord", "n", "found")
 
     parts = wanted.where(F.col("sel").rlike(CLASSED)).select(
         "page_id", "item", "ord", css_plain(F.regexp_extract("sel", CLASSED, 1)).alias("under"),
@@ -308,9 +312,9 @@ def restore(stored: DataFrame, target: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(
             F.regexp_extract("sel", CLASSED, 3), F.lit(rf"\.({_NAME})"), F.lit(1)), css_plain))).alias("set"))
     parents = target.select("page_id", F.col("pos").alias("parent"), F.col("id").alias("parent_id"))
-    classed = target.where(F.size("classes") > 0).join(parents, ["page_id", "parent"], "left").select(
+    classed = _met(target.where(F.size("classes") > 0), parents, ["page_id", "parent"], "left").select(
         "page_id", "pos", "tag", "parent_id", F.col("classes").alias("held"), F.explode(F.array_distinct("classes")).alias("_key"))
-    met = parts.withColumn("_key", F.array_min("set")).join(classed, ["page_id", "tag", "_key"]).where(
+    met = _met(parts.withColumn("_key", F.array_min("set")), classed, ["page_id", "tag", "_key"]).where(
         (F.size(F.array_except("set", "held")) == 0) & ((F.col("under") == "") | (F.col("under") == F.col("parent_id"))))
     by_class = met.groupBy("page_id", "item", "ord").agg(F.count("*").alias("n"), F.min("pos").alias("found"))
     return exact.unionByName(by_class).where("n = 1").groupBy("page_id", "item").agg(

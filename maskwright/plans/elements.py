@@ -154,7 +154,8 @@ def selector_list(spark, sf_dir):
 @query("selector_restore")
 def selector_restore(spark, sf_dir):
     """Elements found again after the menu is gone and the main parts sit one level deeper."""
-    stored = E.selector_lists(_kept(pages(spark, sf_dir))).select("page_id", c("pos").alias("item"), "selectors")
+    lists = E.selector_lists(_kept(pages(spark, sf_dir))).select("page_id", c("pos").alias("item"), "selectors")
+    stored = tables.materialise(lists, "selectors")  # paths and classes are looked up apart
     moved = F.replace(F.replace("html", F.lit("<article>"), F.lit("<main><article>")),
                       F.lit("<section id"), F.lit("<div><section id"))
     changed = pages(spark, sf_dir).withColumn("html", F.regexp_replace(moved, r"(?s)<nav\b.*?</nav>", "<p>gone</p>"))

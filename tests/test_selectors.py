@@ -49,3 +49,13 @@ def test_many_ids_and_classes_in_one_page(spark):
     body = "".join(f"<div id=i{k} class='c{k % 50} d'><p class='x y{k}'>t</p></div>" for k in range(3000))
     lists = E.selector_lists(rows(spark, body).cache()).where("tag = 'p'").select(F.size("selectors").alias("n")).collect()
     assert len(lists) == 3000 and {r["n"] for r in lists} == {3}
+
+
+def test_no_side_of_elements_is_sent_whole(spark, tmp_path):
+    rows(spark, "<div id=a class='x y'><p data-testid=q class=z>1</p><b aria-label=l>2</b></div>").write.parquet(str(tmp_path / "kept"))
+    kept = spark.read.parquet(str(tmp_path / "kept"))
+    stored = E.selector_lists(kept).select("page_id", F.col("pos").alias("item"), "selectors")
+    for df in (E.anchored_selector(kept), E.class_selector(kept), E.data_selector(kept), E.aria_selector(kept),
+               E.id_selector(kept), E.restore(stored, kept)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
