@@ -42,12 +42,13 @@ def index_range(n: Column) -> Column:
 
 def scan_fold(items: Column, state: Column, step: Callable[[Column, Column], Column],
               emit: Callable[[Column, Column], Column], emit_type: str,
-              emit_after: bool = False) -> Column:
+              emit_after: bool = False, brief: bool = False) -> Column:
     """Left fold that also yields one output per item.
 
     ``step(state, item)`` gives the next state, ``emit(state, item)`` the
     output for ``item`` given the state before it, or after it when
-    ``emit_after`` is set.
+    ``emit_after`` is set. ``brief`` is for arrays that mostly hold a few items:
+    up to BLOCK of them are folded at once, at the price of a larger expression.
     """
     def cut(xs: Column, size: int) -> Column:
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / size).cast("int")),
@@ -71,7 +72,10 @@ def scan_fold(items: Column, state: Column, step: Callable[[Column, Column], Col
             cut(xs, BLOCK ** depth), F.array(start), lambda done, x: F.concat(done, F.array(level(x, last(done)["state"], depth - 1))),
             lambda done: F.struct(last(done)["state"].alias("state"), F.flatten(F.transform(done, lambda r: r["out"])).alias("out")))
 
-    return let(items, lambda xs: F.when(F.size(xs) > 0, level(xs, state, LEVELS)["out"]).otherwise(empty(emit_type)))
+    def run(xs: Column) -> Column:
+        short = F.when(F.size(xs).between(1, BLOCK), block(xs, state)["out"]) if brief else F
+        return short.when(F.size(xs) > 0, level(xs, state, LEVELS)["out"]).otherwise(empty(emit_type))
+    return let(items, run)
 
 
 def laid_out(found: Column, size: Column, value: Callable[[Column], Column], value_type: str) -> Column:

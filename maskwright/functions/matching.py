@@ -36,17 +36,16 @@ def place(hits: Column, pieces: Column) -> Column:
     ``pieces`` is the text split at the same pattern, so match *i* starts after
     pieces ``0..i`` and matches ``0..i-1``.
     """
-    return scan_fold(
+    def placed(pos: Column, gap: Column, hit: Column) -> Column:
+        return F.struct((pos + F.length(gap)).alias("start"), (pos + F.length(gap) + F.length(hit)).alias("end"), hit.alias("text"))
+
+    only = F.array(placed(F.lit(0), F.get(pieces, F.lit(0)), F.get(hits, F.lit(0))).cast(HIT))
+    return F.when(F.size(hits) == 1, only).otherwise(scan_fold(
         F.transform(hits, lambda h, i: F.struct(h.alias("hit"), F.get(pieces, i).alias("gap"))),
         F.lit(0),
         lambda pos, x: pos + F.length(x["gap"]) + F.length(x["hit"]),
-        lambda pos, x: F.struct(
-            (pos + F.length(x["gap"])).alias("start"),
-            (pos + F.length(x["gap"]) + F.length(x["hit"])).alias("end"),
-            x["hit"].alias("text"),
-        ),
-        HIT,
-    )
+        lambda pos, x: placed(pos, x["gap"], x["hit"]),
+        HIT, brief=True))
 
 
 def hits(text: Column, java_pattern: str) -> Column:

@@ -147,7 +147,7 @@ def finds(pattern: str, ignore_case: bool = True) -> str:
     """A JVM pattern that is found in the same texts as ``pattern``.
 
     Only for tests of presence, where the order of alternatives is free: they
-    are grouped by first letter, and ASCII words are not tried at other characters.
+    are grouped by first letter, and no word is tried at characters that start none.
     """
     ascii_heads: dict[str, list[str]] = {}
     other_heads: dict[str, list[str]] = {}
@@ -163,7 +163,10 @@ def finds(pattern: str, ignore_case: bool = True) -> str:
     parts = []
     if ascii_heads:
         flag = "(?iu:" if any(not c.isascii() for r in ascii_heads.values() for x in r for c in x) else "(?i:"
-        parts.append("(?=[\\x00-\\x7f])" + (flag if ignore_case else "(?:") + joined(ascii_heads) + ")")
-    if other_heads:
-        parts.append(("(?iu:" if ignore_case else "(?:") + joined(other_heads) + ")")
+        firsts = "".join(sorted({re.escape(h[-1]) for h in ascii_heads}))
+        parts.append(("(?i)" if ignore_case else "") + f"(?=[{firsts}])(?-i:" + (flag if ignore_case else "(?:") + joined(ascii_heads) + "))")
+    unled = {"": other_heads.pop("")} if "" in other_heads else {}
+    for heads, guard in ((other_heads, "(?=[^\\x00-\\x7f])"), (unled, "")):
+        if heads:
+            parts.append(guard + ("(?iu:" if ignore_case else "(?:") + joined(heads) + ")")
     return "|".join(parts)

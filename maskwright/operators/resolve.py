@@ -19,17 +19,11 @@ RANGE = "struct<start:int,end:int>"
 MATCH = "struct<start:int,end:int,type:string,detector:string,text:string>"
 
 
-def _before(a: Column, b: Column, *keys) -> Column:
-    chain = None
-    for key in keys:
-        x, y = key(a), key(b)
-        part = F.when(x < y, -1).when(x > y, 1)
-        chain = part if chain is None else F.coalesce(chain, part)
-    return F.coalesce(chain, F.lit(0))
-
-
 def _sorted(items: Column, *keys) -> Column:
-    return F.array_sort(items, lambda a, b: _before(a, b, *keys))
+    """Sorted by ``keys``, equal ones as they came; by values, as a comparison in lambdas is far slower."""
+    keyed = F.transform(items, lambda c, i: F.struct(
+        *[key(c).alias(f"k{n}") for n, key in enumerate(keys)], i.alias("i"), c.alias("c")))
+    return F.transform(F.sort_array(keyed), lambda k: k["c"])
 
 
 def _start(c):
@@ -54,14 +48,14 @@ def islands(cands: Column) -> Column:
             items, F.lit(-1),
             lambda reach, c: F.greatest(reach, c["end"]),
             lambda reach, c: c["start"] >= reach,
-            "boolean")
+            "boolean", brief=True)
 
         def cut(flags: Column) -> Column:
             heads = F.filter(F.transform(flags, lambda f, i: F.when(f, i)), lambda i: i.isNotNull())
             return F.transform(heads, lambda h, k: F.slice(
                 items, h + 1, F.coalesce(F.get(heads, k + 1), F.size(items)) - h))
         return let(marked, cut)
-    return let(cands, lambda c: F.when(F.size(c) > 0, let(ordered(c), group)).otherwise(
+    return let(cands, lambda c: F.when(F.size(c) == 1, F.array(c)).when(F.size(c) > 0, let(ordered(c), group)).otherwise(
         empty(f"array<{detect.GATED}>")))
 
 
@@ -95,7 +89,7 @@ def _settle(island: Column) -> Column:
 
     def claim(items: Column) -> Column:
         return scan_fold(_sorted(items, _rank, _start), empty(RANGE), step,
-                         lambda taken, c: mark(_hits(taken, c), c), SETTLED)
+                         lambda taken, c: mark(_hits(taken, c), c), SETTLED, brief=True)
 
     def merge(items: Column) -> Column:
         def merged(reach, c):
@@ -106,7 +100,7 @@ def _settle(island: Column) -> Column:
             _sorted(items, _start, _length_first, _rank), F.lit(-1),
             lambda reach, c: F.when((c["outcome"] == "emitted") & (c["start"] >= reach),
                                     c["end"]).otherwise(reach),
-            merged, SETTLED)
+            merged, SETTLED, brief=True)
 
     return F.when(F.size(island) == 1, F.transform(island, lambda c: mark(F.lit(False), c))) \
         .otherwise(let(claim(island), merge))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions.arrays import let
-from ..functions.rx import finds, java
+from ..functions.rx import finds, java, strip_boundaries
 
 MARGIN = 150
 TAIL = 60
@@ -21,11 +21,15 @@ TAIL = 60
 
 @dataclass
 class Around:
-    """A match with the text near it; ``at`` is the match start inside ``near``."""
+    """A match with the text near it; ``at`` is the match start inside ``near``.
+
+    ``worded``, if known, is false where ``near`` holds no word of :data:`WORDED`.
+    """
 
     hit: Column
     near: Column
     at: Column
+    worded: Column | None = None
 
     def cut(self, lo, hi) -> Column:
         low = F.greatest(lo if isinstance(lo, Column) else F.lit(lo), F.lit(0))
@@ -46,6 +50,16 @@ class Around:
         return self.cut(self.at - n, self.at + n)
 
 
+# Found wherever one of these rules finds a word, and in one pass; the two letters fold to s and k.
+WORDED = finds("|".join(strip_boundaries(p) for p in (
+    V.ORDINAL_PRECURSOR.removeprefix("(?:").partition(")[")[0], V.DATE_KEYWORD.removeprefix(r"\b(?:").removesuffix(r")\b"),
+    V.ORDER_REF.removeprefix(r"\b(?:").removesuffix(r")\b"), V.PUBLIC_PRICE, V.COUNT_NOISE, "\u017f", "\u212a")))
+
+
+def _worded(a: Around, found: Column) -> Column:
+    return found if a.worded is None else a.worded & found
+
+
 def _full(p: str) -> str:
     return java(p).replace("^", r"\A", 1)
 
@@ -86,7 +100,7 @@ def is_resolution(a: Around) -> Column:
 
 
 def is_ordinal_label(a: Around) -> Column:
-    return a.before(30).rlike(java(V.ORDINAL_PRECURSOR, True))
+    return _worded(a, a.before(30).rlike(java(V.ORDINAL_PRECURSOR, True)))
 
 
 def is_date_like(a: Around) -> Column:
@@ -95,13 +109,13 @@ def is_date_like(a: Around) -> Column:
     dated = (
         (F.length(a.hit) <= 10)
         & a.hit.rlike(_full(V.DATE_SHAPE_FOR_KEYWORD))
-        & a.cut(a.at - 50, a.end + 50).rlike(java(V.DATE_KEYWORD, True))
+        & _worded(a, a.cut(a.at - 50, a.end + 50).rlike(java(V.DATE_KEYWORD, True)))
     )
     return shaped | compact | dated
 
 
 def is_order_ref(a: Around) -> Column:
-    return a.span(50).rlike(java(V.ORDER_REF, True))
+    return _worded(a, a.span(50).rlike(java(V.ORDER_REF, True)))
 
 
 def is_statistic(a: Around) -> Column:
@@ -109,11 +123,11 @@ def is_statistic(a: Around) -> Column:
 
 
 def is_public_price(a: Around) -> Column:
-    return a.span(100).rlike(finds(V.PUBLIC_PRICE))
+    return _worded(a, a.span(100).rlike(finds(V.PUBLIC_PRICE)))
 
 
 def is_count_noise(a: Around) -> Column:
-    return a.span(150).rlike(finds(V.COUNT_NOISE))
+    return _worded(a, a.span(150).rlike(finds(V.COUNT_NOISE)))
 
 
 TIERS = (
@@ -145,4 +159,4 @@ def reason(around: Around, profile: str = "precise") -> Column:
 
 def with_around(near: Column, start: Column, hit: Column, body) -> Column:
     """Bind the slice ``near`` (which begins MARGIN before the match, or at 0)."""
-    return let(near, lambda n: body(Around(hit, n, F.least(start, F.lit(MARGIN)))))
+    return let(near, lambda n: let(n.rlike(WORDED), lambda w: body(Around(hit, n, F.least(start, F.lit(MARGIN)), w))))

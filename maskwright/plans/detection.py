@@ -432,8 +432,8 @@ def distinct_values(spark, sf_dir):
 @query("distinct_values_sketch")
 def distinct_values_sketch(spark, sf_dir):
     """Different values per detector from sketches of every month, merged, and whether that is near the exact count."""
-    orders = tables.read(spark, sf_dir, "orders")
-    texts = from_orders(tables.spread(orders), month=F.date_trunc("month", c("o_orderdate").cast("timestamp")))
+    orders = tables.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    texts = from_orders(tables.spread(tables.dealt(orders)), month=F.date_trunc("month", c("o_orderdate").cast("timestamp")))
     found = tables.materialise(_findings(texts, "month").select("month", "detector", "hit"), "months")
     kept = tables.materialise(sketches.value_sketches(found, ["month", "detector"]), "sketches")
     about = sketches.distinct_over(kept, ["detector"]).withColumnRenamed("distinct_values", "about")

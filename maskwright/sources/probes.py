@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.arrays import with_once
+from . import tables
 
 # Digits, hex digits and letters to cut the identifiers from.
 _H = "md5(CAST(o_orderkey AS STRING)) || md5(CAST(o_custkey + o_orderkey AS STRING))"
@@ -125,4 +126,4 @@ def from_orders(orders, **extra):
 
 
 def probes(spark, sf_dir: str):
-    return from_orders(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return from_orders(tables.dealt(tables.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")))

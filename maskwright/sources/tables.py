@@ -24,6 +24,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(parts)) if parts else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Short rows that cost far more to scan than to read, in as many parts as a shuffle of the session has.
+
+    A split of such a file holds millions of rows and would keep one core busy long after the others are done.
+    """
+    conf = df.sparkSession.conf
+    return df if conf.get("maskwright.scan.partitions", None) else df.repartition(int(conf.get("spark.sql.shuffle.partitions")))
+
+
 def texts(df: DataFrame, key: Column | str, text: Column | str = "text",
           country: Column | None = None) -> DataFrame:
     """Any text column as text units ``(id, text, country)``."""
