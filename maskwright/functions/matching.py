@@ -30,21 +30,29 @@ def gaps(text: Column, java_pattern: str) -> Column:
     return F.when(text.contains(MARK), F.split(text, java_pattern, -1)).otherwise(marked)
 
 
-def place(hits: Column, pieces: Column) -> Column:
-    """Positions of ``hits`` from the text pieces around them.
+def placed_once(text: Column, hits: Column) -> Column:
+    """Is there one match, and its text at one place only? That place is then the match."""
+    hit = F.get(hits, F.lit(0))
+    at = F.position(hit, text)
+    return (F.size(hits) == 1) & (at > 0) & (F.position(hit, text, at + 1) == 0)
+
+
+def place(hits: Column, pieces: Column, text: Column) -> Column:
+    """Positions of ``hits`` from the text pieces around them, null where :func:`placed_once` holds.
 
     ``pieces`` is the text split at the same pattern, so match *i* starts after
     pieces ``0..i`` and matches ``0..i-1``.
     """
-    def placed(pos: Column, gap: Column, hit: Column) -> Column:
-        return F.struct((pos + F.length(gap)).alias("start"), (pos + F.length(gap) + F.length(hit)).alias("end"), hit.alias("text"))
+    def placed(pos: Column, hit: Column) -> Column:
+        return F.struct(pos.alias("start"), (pos + F.length(hit)).alias("end"), hit.alias("text"))
 
-    only = F.array(placed(F.lit(0), F.get(pieces, F.lit(0)), F.get(hits, F.lit(0))).cast(HIT))
-    return F.when(F.size(hits) == 1, only).otherwise(scan_fold(
+    only = F.get(hits, F.lit(0))
+    once = F.array(placed(F.position(only, text) - 1, only).cast(HIT))
+    return F.when(pieces.isNull(), once).otherwise(scan_fold(
         F.transform(hits, lambda h, i: F.struct(h.alias("hit"), F.get(pieces, i).alias("gap"))),
         F.lit(0),
         lambda pos, x: pos + F.length(x["gap"]) + F.length(x["hit"]),
-        lambda pos, x: placed(pos, x["gap"], x["hit"]),
+        lambda pos, x: placed(pos + F.length(x["gap"]), x["hit"]),
         HIT, brief=True))
 
 
@@ -52,7 +60,7 @@ def hits(text: Column, java_pattern: str) -> Column:
     """All matches as ``array<struct<start,end,text>>`` (0-based, end exclusive)."""
     return let(find_all(text, java_pattern), lambda found: F.when(
         F.size(found) > 0,
-        let(gaps(text, java_pattern), lambda pieces: place(found, pieces)),
+        let(F.when(~placed_once(text, found), gaps(text, java_pattern)), lambda pieces: place(found, pieces, text)),
     ).otherwise(empty(HIT)))
 
 

@@ -6,19 +6,21 @@ Python on the data path. Text that cannot hold a shape never reaches its regex.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions.arrays import empty, let
-from ..functions.matching import chunked, find_all, gaps, place, slice_of
-from ..functions.rx import grouped, java, strip_boundaries
+from ..functions.matching import chunked, find_all, gaps, place, placed_once, slice_of
+from ..functions.rx import alternatives, grouped, java, strip_boundaries
 from ..functions.validators import VALIDATORS, secret_value_ok
 from . import suppress
 
 CANDIDATE = "struct<start:int,end:int,rank:int,text:string>"
 GATED = "struct<start:int,end:int,rank:int,text:string,reason:string>"
-_FOUND = "struct<rank:int,hits:array<string>>"
+_FOUND = "struct<rank:int,hits:array<string>,pieces:array<string>>"
 
 # Order of claims: stage 1, identifiers, stage 2, generic numbers. Emails take no part.
 EMAIL_RANK = 0
@@ -80,11 +82,74 @@ def contains_any(text: Column, words) -> Column:
     return found
 
 
-def prescreen(d: V.Detector, text: Column, country: Column, context: bool = True) -> Column:
+class Screen:
+    """What the gates of a text look at: the text, its outline and its words in lower case.
+
+    The outline has 0 for every digit and A for every capital, so that a shape
+    is a plain string to look for. Both are read by many gates and made once.
+    """
+
+    _DIGITS, _CAPITALS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def __init__(self, text: Column, outline: Column | None = None, lower: Column | None = None):
+        self.text = text
+        self.outline = Screen.outlined(text) if outline is None else outline
+        self.lower = F.lower(text) if lower is None else lower
+
+    @staticmethod
+    def outlined(text: Column) -> Column:
+        return F.translate(text, Screen._DIGITS + Screen._CAPITALS,
+                           "0" * len(Screen._DIGITS) + "A" * len(Screen._CAPITALS))
+
+    @staticmethod
+    def of(text: Column, body) -> Column:
+        """``body(screen)`` with outline and lower case computed once."""
+        return let(Screen.outlined(text), lambda o: let(F.lower(text), lambda w: body(Screen(text, o, w))))
+
+    def holds(self, pattern: str) -> Column:
+        """Is ``pattern`` found in the text?"""
+        plain = outlines(pattern)
+        return contains_any(self.outline, plain) if plain else self.text.rlike(java(pattern))
+
+    def near(self, keyword: str) -> Column:
+        """Could a match of ``keyword`` be found in some slice of the text?"""
+        found = self.text.rlike(java(strip_boundaries(keyword), True))
+        heads = word_heads(keyword)
+        return contains_any(self.lower, heads) & found if heads else found
+
+
+def outlines(pattern: str) -> tuple[str, ...]:
+    """The plain strings of an outline that are there exactly where ``pattern`` is found, none if there are no such."""
+    out = [""]
+    for token, many, maybe in re.findall(r"(\\d|\[A-Z\]|\\\.|[ \-|]|.)(?:\{(\d+)\})?(\??)", pattern, re.S):
+        sign = {r"\d": "0", "[A-Z]": "A", r"\.": ".", " ": " ", "-": "-", "|": "|"}.get(token)
+        if sign is None:
+            return ()
+        if sign == "|":
+            return (*out, *rest) if (rest := outlines(pattern.partition("|")[2])) and not (many or maybe) else ()
+        longer = [o + sign * int(many or 1) for o in out]
+        out = longer + out if maybe else longer
+    return tuple(o for o in out if o)
+
+
+def word_heads(keyword: str) -> tuple[str, ...]:
+    """What the alternatives of a keyword pattern begin with, in lower case; none where that is not plain.
+
+    Only for ASCII patterns: under ``(?i)`` their letters fold to ASCII letters alone.
+    """
+    inner = re.fullmatch(r"\\b\(\?:(.*)\)\\b", keyword)
+    if not inner or not keyword.isascii() or len(alternatives(keyword)) > 1:
+        return ()
+    heads = [re.match(r"(?:(?:[A-Za-z0-9]|\\\.)(?![?*+{]))*", word)[0] for word in alternatives(inner[1])]
+    return tuple(dict.fromkeys(h.replace("\\", "").lower() for h in heads)) if all(heads) else ()
+
+
+def prescreen(d: V.Detector, screen: Screen, country: Column, context: bool = True) -> Column:
     """Necessary condition for any accepted match of ``d``, checked on the whole text.
 
     Without ``context`` it is one for any match of the shape.
     """
+    text = screen.text
     gate = F.lit(True)
     if d.contains:
         gate = contains_any(text, d.contains)
@@ -94,10 +159,11 @@ def prescreen(d: V.Detector, text: Column, country: Column, context: bool = True
             held = contains_any(text, words)
             gate = gate | (text.contains(char) & held if char else held)
     if d.gate:
-        gate = text.rlike(java(d.gate))
+        gate = screen.holds(d.gate)
+    if d.outline:
+        gate = contains_any(screen.outline, d.outline) & gate
     if context and d.keyword and not d.dispositive:
-        near = text.rlike(java(strip_boundaries(d.keyword), True))
-        gate = gate & (in_countries(country, d.countries) | near)
+        gate = gate & (in_countries(country, d.countries) | screen.near(d.keyword))
     return gate
 
 
@@ -109,13 +175,18 @@ def has_digit_or_long_alnum(text: Column) -> Column:
     return text.rlike("[0-9]|[A-Za-z0-9]{8}")
 
 
-def _found(d: V.Detector, rank: int, text: Column, country: Column, context: bool) -> Column:
-    pattern = compiled(d)
-    gate = prescreen(d, text, country, context)
-    return F.struct(
-        F.lit(rank).alias("rank"),
-        F.when(gate, find_all(text, pattern)).otherwise(empty("string")).alias("hits"),
-    )
+def _found(d: V.Detector, rank: int, screen: Screen, country: Column, context: bool) -> Column:
+    """The matches of one detector with the text around them, null where there are none.
+
+    A single match whose text is nowhere else needs no pieces to be placed.
+    """
+    pattern, text = compiled(d), screen.text
+
+    def found(hits: Column) -> Column:
+        return F.when(F.size(hits) > 0, F.struct(
+            F.lit(rank).alias("rank"), hits.alias("hits"),
+            F.when(~placed_once(text, hits), gaps(text, pattern)).alias("pieces")))
+    return F.when(prescreen(d, screen, country, context), let(find_all(text, pattern), found))
 
 
 def extract(text: Column, country: Column, email, numeric, only=None, context: bool = True) -> Column:
@@ -129,24 +200,19 @@ def extract(text: Column, country: Column, email, numeric, only=None, context: b
     ident_rows = [(i, d) for i, d in rows if d.stage in (10, 11)]
     email_rows = [(i, d) for i, d in rows if d.stage == 0]
 
-    def batch(part, enabled):
+    def batch(screen, part, enabled):
         if not part:
             return empty(_FOUND)
-        return F.when(enabled, F.array(*[_found(d, i, text, country, context) for i, d in part])
-                      .cast(f"array<{_FOUND}>")).otherwise(empty(_FOUND))
+        return F.when(enabled, F.array_compact(F.array(*[_found(d, i, screen, country, context) for i, d in part]))) \
+            .otherwise(empty(_FOUND))
 
-    found = F.filter(
-        F.concat(batch(email_rows, email),
-                 batch(digit_rows, numeric & has_digit(text)),
-                 batch(ident_rows, numeric)),
-        lambda f: F.size(f["hits"]) > 0)
+    def gathered(screen: Screen) -> Column:
+        return F.concat(batch(screen, email_rows, email),
+                        batch(screen, digit_rows, numeric & screen.outline.contains("0")),
+                        batch(screen, ident_rows, numeric))
 
     def locate(f: Column) -> Column:
-        pieces = None
-        for i, d in rows:
-            cut = gaps(text, compiled(d))
-            pieces = F.when(f["rank"] == i, cut) if pieces is None else pieces.when(f["rank"] == i, cut)
-        placed = let(pieces, lambda p: place(f["hits"], p))
+        placed = place(f["hits"], f["pieces"], text)
 
         def whole(h: Column) -> Column:
             return F.struct(h["start"].alias("start"), h["end"].alias("end"),
@@ -167,7 +233,7 @@ def extract(text: Column, country: Column, email, numeric, only=None, context: b
         return F.when(f["rank"] == keyword[0], F.transform(placed, value_only)).otherwise(
             F.transform(placed, whole))
 
-    return F.flatten(F.transform(found, locate))
+    return F.flatten(F.transform(Screen.of(text, gathered), locate))
 
 
 def passes(c: Column, country: Column, chunks: Column, rows) -> Column:
@@ -181,7 +247,11 @@ def passes(c: Column, country: Column, chunks: Column, rows) -> Column:
         else:
             continue
         checked = F.when(c["rank"] == i, ok) if checked is None else checked.when(c["rank"] == i, ok)
-    checked = F.lit(True) if checked is None else checked.otherwise(True)
+    if checked is not None:
+        sure = [i for i, d in rows if d.id != "keyword_value" and not d.validator]
+        checked = F.when(c["rank"].isin(*sure), True).otherwise(checked.otherwise(True)) if sure else checked.otherwise(True)
+    else:
+        checked = F.lit(True)
 
     gated = [(i, d) for i, d in rows if not d.dispositive]
     if not gated:

@@ -38,7 +38,8 @@ class Detector:
 
     ``gate`` holds alternatives a text must contain for the shape to be tried:
     plain strings in ``contains`` or one pattern in ``gate``. ``action`` is
-    ``emit`` (report) or ``claim`` (take the range, report nothing).
+    ``emit`` (report) or ``claim`` (take the range, report nothing). Every match
+    holds one of ``outline``, where 0 stands for a digit and A for a capital.
     """
 
     id: str
@@ -52,6 +53,7 @@ class Detector:
     gate: str | None = None
     contains: tuple[str, ...] = ()
     dispositive: bool = False
+    outline: tuple[str, ...] = ()
 
 
 # Stage 1: the shape, or the shape and a checksum, is enough.
@@ -59,28 +61,37 @@ STAGE1 = (
     Detector("card_pan", r"(?<![A-Za-z\d])(?:\d[ \-]?){11,18}\d(?![A-Za-z\d])", 1,
              validator="card_pan", gate=r"\d{4}", dispositive=True),
     Detector("iban", r"(?<![A-Za-z\d])[A-Z]{2}\d{2}[A-Z0-9 \-]{11,42}(?![A-Za-z\d])", 1,
-             validator="iban", gate=r"[A-Z]{2}\d{2}", dispositive=True),
+             validator="iban", gate=r"[A-Z]{2}\d{2}", dispositive=True,
+             outline=("AA00",)),
     Detector("eth_wallet", r"\b0x[a-fA-F0-9]{40}\b", 1, contains=("0x",), dispositive=True),
     Detector("isbn_13", r"\b97[89][\- ]?\d[\- ]?\d{3}[\- ]?\d{5}[\- ]?\d\b", 1,
              validator="isbn_13", contains=("978", "979"), action="claim", dispositive=True),
     Detector("e164_phone", r"\+\d{1,3}[ .\-\u00A0]?\d[\d .\-\u00A0]{6,14}\d\b", 1,
-             contains=("+",), dispositive=True),
+             contains=("+",), dispositive=True,
+             outline=("+0",)),
     Detector("aadhaar", r"\b[2-9]\d{3}[ \-]?\d{4}[ \-]?\d{4}\b", 1,
-             validator="aadhaar", gate=r"\d{4}", dispositive=True),
+             validator="aadhaar", gate=r"\d{4}", dispositive=True,
+             outline=("00000000", "0000 0000", "0000-0000")),
     Detector("cn_id", r"\b\d{17}[\dXx]\b", 1, validator="cn_id", gate=r"\d{17}", dispositive=True),
-    Detector("nric_sg", r"\b[STFGM]\d{7}[A-Z]\b", 1, gate=r"[STFGM]\d", dispositive=True),
+    Detector("nric_sg", r"\b[STFGM]\d{7}[A-Z]\b", 1, gate=r"[STFGM]\d", dispositive=True,
+             outline=("A0000000A",)),
     Detector("curp_mx", r"\b[A-Z]{4}\d{6}[HM][A-Z]{2}[A-Z]{3}[A-Z0-9]\d\b", 1,
-             gate=r"[A-Z]{4}\d{6}", dispositive=True),
+             gate=r"[A-Z]{4}\d{6}", dispositive=True,
+             outline=("AAAA000000A",)),
     Detector("emirates_id", r"\b784[ \-]?\d{4}[ \-]?\d{7}[ \-]?\d\b", 1,
              contains=("784",), dispositive=True),
-    Detector("nie_es", r"\b[XYZ]\d{7}[A-HJ-NP-TV-Z]\b", 1, gate=r"[XYZ]\d", dispositive=True),
+    Detector("nie_es", r"\b[XYZ]\d{7}[A-HJ-NP-TV-Z]\b", 1, gate=r"[XYZ]\d", dispositive=True,
+             outline=("A0000000A",)),
     Detector("codice_fiscale", r"\b[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]\b", 1,
-             gate=r"[A-Z]{6}\d{2}", dispositive=True),
+             gate=r"[A-Z]{6}\d{2}", dispositive=True,
+             outline=("AAAAAA00A00A000A",)),
     Detector("postal_uk", r"\b[A-Z]{1,2}\d[A-Z\d]?[ ]?\d[A-Z]{2}\b", 1,
-             gate=r"[A-Z]\d", dispositive=True),
+             gate=r"[A-Z]\d", dispositive=True,
+             outline=("0AA",)),
     Detector("postal_ca",
              r"\b[ABCEGHJ-NPR-TV-Z]\d[ABCEGHJ-NPR-TV-Z][ \-]?\d[ABCEGHJ-NPR-TV-Z]\d\b", 1,
-             gate=r"[A-Z]\d[A-Z]", dispositive=True),
+             gate=r"[A-Z]\d[A-Z]", dispositive=True,
+             outline=("A0A0A0", "A0A 0A0", "A0A-0A0")),
     Detector("ipv6",
              r"\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b"
              r"|\b(?:[0-9A-Fa-f]{1,4}:){1,7}:"
@@ -107,24 +118,31 @@ STAGE2 = (
              keyword=r"\b(?:ssn|social\s+security|social\s+sec)\b"),
     Detector("nhs_uk", r"\b\d{3}[ \-]?\d{3}[ \-]?\d{4}\b", 2, validator="nhs_uk",
              countries=("GB",), gate=r"\d{3}",
-             keyword=r"\b(?:nhs|national\s+health|patient)\b"),
+             keyword=r"\b(?:nhs|national\s+health|patient)\b",
+             outline=("000000", "000 000", "000-000")),
     Detector("bsn_nl", r"\b\d{9}\b", 2, validator="bsn_nl", countries=("NL",), gate=r"\d{9}",
-             keyword=r"\b(?:bsn|burgerservicenummer|sofinummer)\b"),
+             keyword=r"\b(?:bsn|burgerservicenummer|sofinummer)\b",
+             outline=("000000000",)),
     Detector("npi_us", r"\b\d{10}\b", 2, validator="npi_us", gate=r"\d{10}",
-             keyword=r"\b(?:npi|provider(?:\s+id)?|national\s+provider)\b"),
+             keyword=r"\b(?:npi|provider(?:\s+id)?|national\s+provider)\b",
+             outline=("0000000000",)),
     Detector("dni_es", r"\b\d{8}[A-HJ-NP-TV-Z]\b", 2, countries=("ES",), gate=r"\d{8}[A-Z]",
-             keyword=r"\b(?:dni|d\.n\.i\.|documento\s+nacional)\b"),
+             keyword=r"\b(?:dni|d\.n\.i\.|documento\s+nacional)\b",
+             outline=("00000000A",)),
     Detector("abn_au", r"\b\d{2} ?\d{3} ?\d{3} ?\d{3}\b", 2, countries=("AU",),
-             gate=r"\d{2} ?\d{3}", keyword=r"\b(?:abn|australian\s+business\s+number)\b"),
+             gate=r"\d{2} ?\d{3}", keyword=r"\b(?:abn|australian\s+business\s+number)\b",
+             outline=("000000", "000 000")),
     Detector("mrn", r"\b\d{4,10}\b", 2, gate=r"\d{4}",
              keyword=r"\b(?:mrn|medical\s+record(?:\s+number)?|chart(?:\s+(?:no|number))?"
                      r"|patient(?:\s+(?:id|no|number))?)\b"),
     Detector("postal_jp", r"(?:〒\s?)?\b\d{3}-\d{4}\b", 2, countries=("JP",), window=30,
-             gate=r"\d{3}-\d{4}|〒", keyword=r"〒|postal\s+code|郵便番号"),
+             gate=r"\d{3}-\d{4}|〒", keyword=r"〒|postal\s+code|郵便番号",
+             outline=("000-0000",)),
     Detector("postal_au", r"\b\d{4}\b", 2, countries=("AU",), window=30, gate=r"\d{4}",
              keyword=r"\b(?:postal|postcode|po\s+box|po\.?\s+box)\b"),
     Detector("postal_nl", r"\b[1-9]\d{3} ?[A-Z]{2}\b", 2, countries=("NL",), window=30,
-             gate=r"\d{4}", keyword=r"\b(?:postcode|postbus)\b"),
+             gate=r"\d{4}", keyword=r"\b(?:postcode|postbus)\b",
+             outline=("0000AA", "0000 AA")),
     Detector("postal_br", r"\b\d{5}-\d{3}\b", 2, countries=("BR",), window=30,
              gate=r"\d{5}-\d{3}", keyword=r"\b(?:cep|c\.e\.p\.)\b"),
     Detector("us_zip4", r"\b\d{5}-\d{4}\b", 2, countries=("US",), window=30,
