@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import materialise
 
-BUCKET = "_bucket"
+BUCKET, PLACE = "_bucket", "_place"
 Coarser = Sequence[Callable[[Column], Column]]
 
 
@@ -25,13 +25,19 @@ def _outer(keys):
     return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BUCKET)
 
 
+def _place(keys) -> Column:
+    """Key and bucket as one value, in which a null equals a null.
+
+    Rows dealt by it for a window are dealt as the join with their bucket's row
+    wants them, so they are shuffled once and not again for the join.
+    """
+    return F.struct(*[F.col(k) for k in keys], F.col(BUCKET))
+
+
 def _join(df: DataFrame, small: DataFrame, keys) -> DataFrame:
-    s = small.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(BUCKET).alias("_k_bucket"),
-                     *[c for c in small.columns if c not in (*keys, BUCKET)])
-    on = F.col(BUCKET) == F.col("_k_bucket")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return df.join(s, on, "left").drop("_k_bucket", *[f"_k_{k}" for k in keys])
+    """``df`` with the row of its PLACE in ``small``; rows without a bucket get none."""
+    s = small.where(F.col(BUCKET).isNotNull()).select(_place(keys).alias("_k"), *[c for c in small.columns if c not in (*keys, BUCKET)])
+    return df.join(s, F.col(PLACE) == F.col("_k"), "left").drop("_k", PLACE)
 
 
 def _carried(rows: DataFrame, keys: list[str], coarser: Coarser, pick: Callable, reduce: Callable,
@@ -48,10 +54,10 @@ def _carried(rows: DataFrame, keys: list[str], coarser: Coarser, pick: Callable,
     if not coarser:
         return rows.withColumn("_edge", pick("_edge").over(ahead(keys or [F.lit(0)], BUCKET)))
     cut = rows.withColumnRenamed(BUCKET, "_fine").withColumn(BUCKET, coarser[0](F.col("_fine")))
-    inner = ahead([*keys, BUCKET], "_fine")
+    inner = ahead([PLACE], "_fine")
     totals = cut.groupBy(*keys, BUCKET).agg(reduce("_edge", "_fine").alias("_edge"))
     above = _carried(totals, keys, coarser[1:], pick, reduce, join, backward).withColumnRenamed("_edge", "_above")
-    out = _join(cut.withColumn("_in", pick("_edge").over(inner)), above, keys)
+    out = _join(cut.withColumn(PLACE, _place(keys)).withColumn("_in", pick("_edge").over(inner)), above, keys)
     return out.withColumn("_edge", join(F.col("_in"), F.col("_above"))).drop("_in", "_above", BUCKET) \
         .withColumnRenamed("_fine", BUCKET)
 
@@ -63,10 +69,10 @@ def previous(df: DataFrame, keys: list[str], bucket: Column, order: list[str], v
     at = F.struct(*order)
     pick = F.min_by if backward else F.max_by
     step = F.lead if backward else F.lag
-    inner = Window.partitionBy(*keys, BUCKET).orderBy(*order)
+    inner = Window.partitionBy(PLACE).orderBy(*order)
     edge = cut.groupBy(*keys, BUCKET).agg(pick(F.col("_v"), at).alias("_edge")).withColumn(
         "_edge", step("_edge").over(_outer(keys)))
-    with_inner = cut.withColumn("_in", step("_v").over(inner))
+    with_inner = cut.withColumn(PLACE, _place(keys)).withColumn("_in", step("_v").over(inner))
     return _join(with_inner, edge, keys).withColumn(
         name, F.coalesce(F.col("_in"), F.col("_edge"))["v"]).drop("_v", "_in", "_edge", BUCKET)
 
@@ -75,12 +81,12 @@ def running_sum(df: DataFrame, keys: list[str], bucket: Column, order: list[str]
                 name: str, coarser: Coarser = ()) -> DataFrame:
     """Sum of ``value`` up to and including each row."""
     cut = df.withColumn(BUCKET, bucket).withColumn("_v", value)
-    inner = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(
+    inner = Window.partitionBy(PLACE).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     totals = cut.groupBy(*keys, BUCKET).agg(F.sum("_v").alias("_edge"))
     edge = _carried(totals, keys, coarser, F.sum, lambda e, _: F.sum(e),
                     lambda i, o: F.coalesce(i, F.lit(0)) + F.coalesce(o, F.lit(0)))
-    with_inner = cut.withColumn("_in", F.sum("_v").over(inner))
+    with_inner = cut.withColumn(PLACE, _place(keys)).withColumn("_in", F.sum("_v").over(inner))
     return _join(with_inner, edge, keys).withColumn(
         name, F.col("_in") + F.coalesce(F.col("_edge"), F.lit(0))).drop("_v", "_in", "_edge", BUCKET)
 
@@ -94,7 +100,7 @@ def latest(df: DataFrame, keys: list[str], bucket: Column, order: list[str], val
     cut = df.withColumn(BUCKET, bucket).withColumn("_v", F.when(value.isNotNull(), F.struct(value.alias("v"))))
     at = F.struct(*order)
     turn = (lambda c: F.col(c).desc()) if following else F.col
-    inner = Window.partitionBy(*keys, BUCKET).orderBy(*[turn(c) for c in order]).rowsBetween(
+    inner = Window.partitionBy(PLACE).orderBy(*[turn(c) for c in order]).rowsBetween(
         Window.unboundedPreceding, -1 if following else Window.currentRow)
     edge_value = (F.min_by if following else F.max_by)("_v", F.when(F.col("_v").isNotNull(), at))
 
@@ -105,7 +111,7 @@ def latest(df: DataFrame, keys: list[str], bucket: Column, order: list[str], val
         return (F.min_by if following else F.max_by)(edge, F.when(F.col(edge).isNotNull(), F.col(fine)))
     edges = cut.groupBy(*keys, BUCKET).agg(edge_value.alias("_edge"))
     edge = _carried(edges, keys, coarser, last, reduce, F.coalesce, following)
-    with_inner = cut.withColumn("_in", last("_v").over(inner))
+    with_inner = cut.withColumn(PLACE, _place(keys)).withColumn("_in", last("_v").over(inner))
     return _join(with_inner, edge, keys).withColumn(
         name, F.coalesce(F.col("_in"), F.col("_edge"))["v"]).drop("_v", "_in", "_edge", BUCKET)
 
@@ -116,10 +122,10 @@ def latest_each(df: DataFrame, keys: list[str], bucket: Column, order: list[str]
     cut = df.withColumn(BUCKET, bucket).withColumns(
         {f"_v_{n}": F.when(v.isNotNull(), F.struct(v.alias("v"))) for n, v in values.items()})
     at = F.struct(*order)
-    inner = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = Window.partitionBy(PLACE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edges = cut.groupBy(*keys, BUCKET).agg(*[
         F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_e_{n}") for n in values])
-    with_inner = cut.withColumns({f"_i_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inner) for n in values})
+    with_inner = cut.withColumn(PLACE, _place(keys)).withColumns({f"_i_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inner) for n in values})
     out = _join(with_inner, _carried_each(edges, keys, list(values), coarser), keys)
     return out.withColumns({n: F.coalesce(f"_i_{n}", f"_e_{n}")["v"] for n in values}).drop(
         BUCKET, *[f"_{x}_{n}" for n in values for x in "vie"])
@@ -136,8 +142,8 @@ def _carried_each(rows: DataFrame, keys: list[str], names: list[str], coarser: C
     totals = cut.groupBy(*keys, BUCKET).agg(*[
         F.max_by(f"_e_{n}", F.when(F.col(f"_e_{n}").isNotNull(), F.col("_fine"))).alias(f"_e_{n}") for n in names])
     above = _carried_each(totals, keys, names, coarser[1:]).withColumnsRenamed({f"_e_{n}": f"_a_{n}" for n in names})
-    within = before([*keys, BUCKET], "_fine")
-    out = _join(cut.withColumns({f"_n_{n}": v for n, v in within.items()}), above, keys)
+    within = before([PLACE], "_fine")
+    out = _join(cut.withColumn(PLACE, _place(keys)).withColumns({f"_n_{n}": v for n, v in within.items()}), above, keys)
     return out.withColumns({f"_e_{n}": F.coalesce(f"_n_{n}", f"_a_{n}") for n in names}).drop(
         BUCKET, *[f"_{x}_{n}" for n in names for x in "na"]).withColumnRenamed("_fine", BUCKET)
 

@@ -289,10 +289,10 @@ def trigger_timeline(events: DataFrame, settings: DataFrame, threshold: float |
         "own_open": c("own_sum"), "idle_tab": op("idle", "ignore_tab", "unignore_tab"),
         "switch_tab": op("tab_switch", "ignore_tab", "unignore_tab"),
         "share_tab": op("screen_share", "ignore_tab", "unignore_tab", timed=True)})
-    of_site = W.latest_each(materialise(of_tab, "of-tab"), ["host"], slot("at"), EVALUATED, {
+    of_site = W.latest_each(materialise(of_tab.drop("own_sum"), "of-tab"), ["host"], slot("at"), EVALUATED, {
         f"{n}_site": op(t, "ignore_site", "unignore_site")
         for n, t in (("idle", "idle"), ("switch", "tab_switch"), ("share", "screen_share"))})
-    of_all = W.latest_each(materialise(of_site, "of-site"), [], instant("at"), EVALUATED, {
+    of_all = W.latest_each(materialise(of_site.drop("host"), "of-site"), [], instant("at"), EVALUATED, {
         "all_open": c("all_sum"), "reset": F.when(c("kind") == "share_open", F.struct(*now)),
         "quiet": F.when((c("step") != 0) & (c("all_sum") == 0), F.struct(*now)),
         "idle_off": op("idle", "suspend", "resume"), "switch_off": op("tab_switch", "suspend", "resume"),

@@ -130,3 +130,24 @@ def test_replay_over_several_batches(spark, tmp_path):
     early = spark.createDataFrame([(1, "a", 1, "p"), (4, "d", 1, "q")], "id long, role string, turn long, text string")
     got = stream_ops.replay(early, spark.read.parquet(str(tmp_path / "out")), ["id", "role"], "turn")
     assert sorted((r.id, r.turn, r.text) for r in got.collect()) == [(1, 4, "z"), (2, 2, "y"), (3, 2, "w"), (4, 1, "q")]
+
+
+def test_rows_put_in_order_are_shuffled_once(spark):
+    df = spark.range(200).select((c("id") % 3).alias("k"), "id", (c("id") % 7).alias("v"))
+    old = {n: spark.conf.get(n) for n in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        args = (df, ["k"], F.floor(c("id") / 10), ["id"])
+        for made in (W.previous(*args, c("v"), "x"), W.running_sum(*args, c("v"), "x"), W.latest(*args, c("v"), "x"), W.latest_each(*args, {"x": c("v")})):
+            # one of the rows, three of the rows of their buckets
+            assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 4
+    finally:
+        for n, v in old.items():
+            spark.conf.set(n, v)
+
+
+def test_rows_without_a_bucket_carry_nothing_and_null_keys_are_a_key(spark):
+    df = spark.createDataFrame([(None, 1, 5), (None, 11, 6), (1, 2, 7), (1, None, 8), (1, 12, 9)], "k int, id int, v int")
+    got = W.previous(df, ["k"], F.floor(c("id") / 10), ["id"], c("v"), "x", backward=True).collect()
+    assert {(r["k"], r["id"], r["x"]) for r in got} == {(None, 1, 6), (None, 11, None), (1, 2, 9), (1, None, None), (1, 12, None)}
