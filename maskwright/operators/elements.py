@@ -133,26 +133,49 @@ def _filled(x: Column) -> Column:
     return F.when(F.trim(x) != "", F.trim(x))
 
 
+_STABLE = "struct<ord:int,name:string,value:string,raw:string>"
+
+
 def element_rows(pages: DataFrame) -> DataFrame:
-    """One row per element with its step path and its naming attributes, partitioned by page."""
-    nodes = with_once(pages, nodes=html.element_tree(F.col("html"))).select("page_id", F.inline("nodes"))
-    el = nodes.where(F.col("kind").isin("open", "void", "raw"))
-    at = lambda name: html.attribute(F.regexp_extract("token", r"(?s)\A<[^>]*>|\A.*?>", 0), name)
-    classes = F.filter(F.split(F.coalesce(at("class"), F.lit("")), r"\s+"), lambda x: x != "")
-    return el.select(
+    """One row per element with its step path and its naming attributes, partitioned by page.
+
+    Pages are dealt before they are parsed, since they are smaller than their
+    elements and cost far more to parse than to read. ``named`` elements carry
+    an attribute that selectors look at, ``above`` are the ancestors that may
+    carry one, as ``(depth, anc)``. Where a ``page_id`` comes more than once a
+    name may stand in another copy, so there every element and ancestor counts.
+    """
+    # rows without a page meet no others, so they need not come together
+    key = ["page_id", F.when(F.col("page_id").isNull(), F.xxhash64("html"))]
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = pages.select("page_id", "html").repartition(parts, *key).withColumn(
+        "alone", F.col("page_id").isNull() | (F.count("*").over(Window.partitionBy(*key)) == 1))
+    tree = html.element_tree(F.col("html"), ("id", *V.STABLE_ATTRIBUTES), ~F.col("alone"))
+    el = with_once(counted, nodes=tree).select("page_id", "alone", F.inline("nodes"))
+    at = lambda name: html.attribute(F.col("head"), name)
+    classes = F.filter(F.split(at("class"), r"\s+"), lambda x: x != "")
+    stable = F.array_compact(F.array(*[F.when(_filled(at(a)).isNotNull(), F.struct(
+        F.lit(i).alias("ord"), F.lit(a).alias("name"), F.trim(at(a)).alias("value"), at(a).alias("raw")).cast(_STABLE))
+        for i, a in enumerate(V.STABLE_ATTRIBUTES)]))
+    rows = el.select(
         "page_id", "pos", "tag", "parent", "ancestors", "steps", at("id").alias("id"),
-        at("aria-label").alias("aria"), classes.alias("classes"),
-        F.array_compact(F.array(*[F.when(_filled(at(a)).isNotNull(), F.struct(
-            F.lit(i).alias("ord"), F.lit(a).alias("name"), F.trim(at(a)).alias("value"), at(a).alias("raw")))
-            for i, a in enumerate(V.STABLE_ATTRIBUTES)])).alias("stable"),
-    ).repartition("page_id")
+        at("aria-label").alias("aria"), F.coalesce(classes, empty("string")).alias("classes"),
+        F.when(F.col("head").rlike(rf"(?is)\s(?:{'|'.join(V.STABLE_ATTRIBUTES)})\s*="), stable).otherwise(empty(_STABLE)).alias("stable"),
+        "above", "alone")
+    named = ~F.col("alone") | F.col("id").isNotNull() | F.col("aria").isNotNull() | (F.size("classes") > 0) | (F.size("stable") > 0)
+    return rows.withColumn("named", named).drop("alone")
 
 
 def path_selector() -> Column:
     """Steps below the body; null for the body and the root themselves."""
     steps = F.col("steps")
-    body = F.array_position(F.transform(steps, lambda s: F.regexp_extract(s, r"\A([^:]*)", 1)), "body")
-    root = F.array_position(F.transform(steps, lambda s: F.regexp_extract(s, r"\A([^:]*)", 1)), "html")
+
+    def first(tag: str) -> Column:
+        """Place of the first step of that tag, mostly the first or second; 0 for none."""
+        at = lambda i: F.coalesce(F.get(steps, F.lit(i)).startswith(f"{tag}:"), F.lit(False))
+        return F.when(at(0), 1).when(at(1), 2).otherwise(
+            F.array_position(F.transform(steps, lambda s: s.startswith(f"{tag}:")), True))
+    body, root = first("body"), first("html")
     top = F.when(body > 0, body).otherwise(F.greatest(root, F.lit(1))).cast("int")
     below = F.slice(steps, top + 1, F.size(steps))
     return F.when(~F.col("tag").isin("body", "html") & (F.size(below) > 0),
@@ -231,23 +254,23 @@ def class_selector(rows: DataFrame) -> DataFrame:
 
 def anchor_paths(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     """``anchors(page_id, pos, ..)`` met by every element below them: (page_id, pos, anc, path, ..)."""
-    below = rows.where(~F.col("tag").isin("body", "html")).select(
-        "page_id", "pos", "steps", F.posexplode("ancestors").alias("depth", "anc"))
+    below = rows.where(~F.col("tag").isin("body", "html")).select("page_id", "pos", "steps", F.inline("above"))
     path = F.array_join(F.slice("steps", F.col("depth") + 2, F.size("steps")), " > ")
     return _met(below.select("page_id", "pos", "anc", path.alias("path")),
                 anchors.withColumnRenamed("pos", "anc"), ["page_id", "anc"])
 
 
-def anchored_selector(rows: DataFrame) -> DataFrame:
-    """Path from the nearest ancestor with an id or stable attribute, if that anchor is unique."""
+def anchored(rows: DataFrame) -> DataFrame:
+    """``(page_id, pos, by_anchor)`` of the elements below an anchor, see :func:`anchored_selector`."""
     first = F.get(F.col("stable"), F.lit(0))
     anchor_id = F.when(F.col("tag") != "body", _filled(F.col("id")))
-    anchors = rows.select(
+    named = rows.where("named")
+    anchors = named.select(
         "page_id", "pos", anchor_id.alias("aid"),
         F.when(anchor_id.isNull(), first["name"]).alias("aname"),
         F.when(anchor_id.isNull(), first["value"]).alias("avalue")).where("aid is not null or aname is not null")
-    id_counts = rows.where("id is not null").groupBy("page_id", F.col("id").alias("aid")).agg(F.count("*").alias("id_n"))
-    attr_counts = rows.select("page_id", F.inline("stable")).groupBy(
+    id_counts = named.where("id is not null").groupBy("page_id", F.col("id").alias("aid")).agg(F.count("*").alias("id_n"))
+    attr_counts = named.select("page_id", F.inline("stable")).groupBy(
         "page_id", F.col("name").alias("aname"), F.col("raw").alias("avalue")).agg(F.count("*").alias("attr_n"))
     rated = _met(_met(anchors, id_counts, ["page_id", "aid"], "left"), attr_counts, ["page_id", "aname", "avalue"], "left")
     text = F.when(F.col("aid").isNotNull(), F.concat(F.lit("#"), css_escape(F.col("aid")))).otherwise(
@@ -256,15 +279,26 @@ def anchored_selector(rows: DataFrame) -> DataFrame:
     rated = rated.select("page_id", "pos", F.when(unique, text).alias("anchor"))
     near = anchor_paths(rows, rated).groupBy("page_id", "pos").agg(
         F.max(F.struct("anc", "anchor", "path")).alias("near"))
-    by = near.select("page_id", "pos", F.concat("near.anchor", F.lit(" > "), F.col("near.path")).alias("by_anchor"))
-    return _met(rows, by, ["page_id", "pos"], "left")
+    return near.select("page_id", "pos", F.concat("near.anchor", F.lit(" > "), F.col("near.path")).alias("by_anchor"))
+
+
+def anchored_selector(rows: DataFrame) -> DataFrame:
+    """Path from the nearest ancestor with an id or stable attribute, if that anchor is unique."""
+    return _met(rows, anchored(rows), ["page_id", "pos"], "left")
 
 
 def selector_lists(rows: DataFrame) -> DataFrame:
-    """Ordered selectors of every element, most structural first."""
-    full = id_selector(aria_selector(data_selector(class_selector(anchored_selector(rows)))))
-    picked = F.array_distinct(F.array_compact(F.array(
-        path_selector(), F.col("by_anchor"), F.col("by_class"), F.col("by_aria"), F.col("by_data"), F.col("by_id"))))
+    """Ordered selectors of every element, most structural first.
+
+    Only named elements go through the joins that look for a name of their own.
+    """
+    brief = rows.select("page_id", "pos", "tag", path_selector().alias("by_path"), "parent", "id", "aria", "classes", "stable", "named")
+    own = ("by_class", "by_aria", "by_data", "by_id")
+    kept = ("page_id", "pos", "tag", "by_path", *own)
+    named = id_selector(aria_selector(data_selector(class_selector(brief.where("named"))))).select(*kept)
+    bare = brief.where("not named").withColumns({name: F.lit(None).cast("string") for name in own}).select(*kept)
+    full = _met(named.unionByName(bare), anchored(rows), ["page_id", "pos"], "left")
+    picked = F.array_distinct(F.array_compact(F.array("by_path", "by_anchor", *own)))
     return full.select("page_id", "pos", "tag", F.when(F.col("tag").isin("body", "html"), empty("string"))
                        .otherwise(picked).alias("selectors"))
 
@@ -286,33 +320,36 @@ def restore(stored: DataFrame, target: DataFrame) -> DataFrame:
     answers to, whether or not it is unique there; classes by their set, so an
     element with more classes matches too.
     """
-    wanted = stored.select("page_id", "item", F.posexplode("selectors").alias("ord", "sel"))
-    inner = target.select("page_id", "pos", "tag", F.inline("stable"))
+    wanted = stored.select("page_id", "item", F.posexplode("selectors").alias("ord", "sel")).where("sel is not null")
+    held = target.where("named")
+    inner = held.select("page_id", "pos", "tag", F.inline("stable"))
     by_attribute = attribute_selector(F.col("name"), F.col("raw"))
     by_id = F.concat(F.lit("#"), css_escape(F.col("id")))
-    named = target.where("id <> ''").select("page_id", "pos", by_id.alias("anchor")).unionByName(
+    named = held.where("id <> ''").select("page_id", "pos", by_id.alias("anchor")).unionByName(
         inner.select("page_id", "pos", by_attribute.alias("anchor")))
     answers = [
-        target.select("page_id", "pos", path_selector().alias("sel")),
+        target.where(~F.col("tag").isin("body", "html")).select("page_id", "pos", path_selector().alias("sel")),
         anchor_paths(target, named).select("page_id", "pos", F.concat("anchor", F.lit(" > "), F.col("path")).alias("sel")),
-        target.select("page_id", "pos", F.concat(F.col("tag"), F.lit("[aria-label="), quoted(F.col("aria")), F.lit("]")).alias("sel")),
+        held.where("aria is not null").select(
+            "page_id", "pos", F.concat(F.col("tag"), F.lit("[aria-label="), quoted(F.col("aria")), F.lit("]")).alias("sel")),
         named.select("page_id", "pos", F.col("anchor").alias("sel")),
         inner.select("page_id", "pos", F.concat(F.col("tag"), by_attribute).alias("sel")),
     ]
-    plain = answers[0]
-    for more in answers[1:]:
-        plain = plain.unionByName(more)
-    known = plain.where("sel is not null").groupBy("page_id", "sel").agg(
-        F.count("*").alias("n"), F.min("pos").alias("found"))
-    exact = _met(wanted, known, ["page_id", "sel"]).select("page_id", "item", "ord", "n", "found")
-
-    parts = wanted.where(F.col("sel").rlike(CLASSED)).select(
+    # A selector and what answers to it lie in one window; they begin alike, so a hash of theirs puts them in order first.
+    plain = wanted
+    for more in answers:
+        plain = plain.unionByName(more, allowMissingColumns=True)
+    same = Window.partitionBy("page_id", "_hash", "sel")
+    exact = plain.where("page_id is not null").withColumn("_hash", F.xxhash64("sel")).select(
+        "page_id", "item", "ord", F.count("pos").over(same).alias("n"), F.min("pos").over(same).alias("found")).where("ord is not null")
+
+    parts = wanted.where(F.col("sel").contains(".") & F.col("sel").rlike(CLASSED)).select(
         "page_id", "item", "ord", css_plain(F.regexp_extract("sel", CLASSED, 1)).alias("under"),
         F.regexp_extract("sel", CLASSED, 2).alias("tag"),
         F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(
             F.regexp_extract("sel", CLASSED, 3), F.lit(rf"\.({_NAME})"), F.lit(1)), css_plain))).alias("set"))
-    parents = target.select("page_id", F.col("pos").alias("parent"), F.col("id").alias("parent_id"))
-    classed = _met(target.where(F.size("classes") > 0), parents, ["page_id", "parent"], "left").select(
+    parents = held.select("page_id", F.col("pos").alias("parent"), F.col("id").alias("parent_id"))
+    classed = _met(held.where(F.size("classes") > 0), parents, ["page_id", "parent"], "left").select(
         "page_id", "pos", "tag", "parent_id", F.col("classes").alias("held"), F.explode(F.array_distinct("classes")).alias("_key"))
     met = _met(parts.withColumn("_key", F.array_min("set")), classed, ["page_id", "tag", "_key"]).where(
         (F.size(F.array_except("set", "held")) == 0) & ((F.col("under") == "") | (F.col("under") == F.col("parent_id"))))

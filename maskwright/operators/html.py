@@ -9,6 +9,7 @@ browsers close them; elements without end tag never nest.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -51,9 +52,8 @@ def tokens(html: Column) -> Column:
     return find_all(html, TOKEN)
 
 
-def kind(token: Column) -> Column:
-    """text, comment, doctype, raw, close, void or open."""
-    tag = F.lower(F.regexp_extract(token, TAG_NAME, 1))
+def kind(token: Column, tag: Column) -> Column:
+    """text, comment, doctype, raw, close, void or open; ``tag`` is the name of the token's tag, empty for none."""
     return (
         F.when(token.startswith("<!--"), "comment")
         .when(token.startswith("<!"), "doctype")
@@ -65,13 +65,16 @@ def kind(token: Column) -> Column:
     )
 
 
+def tag_name(token: Column) -> Column:
+    """Name of the token's tag, empty for comments, doctypes and text; evaluate it once."""
+    return F.when(token.startswith("<"), F.lower(F.regexp_extract(token, TAG_NAME, 1))).otherwise("")
+
+
 def token_struct(token: Column, pos: Column) -> Column:
-    k = kind(token)
-    return F.struct(
-        pos.alias("pos"), k.alias("kind"),
-        F.when(k.isin("close", "raw", "void", "open"),
-               F.lower(F.regexp_extract(token, TAG_NAME, 1))).alias("tag"),
-        token.alias("token"))
+    return let(tag_name(token), lambda tag: F.struct(
+        pos.alias("pos"), kind(token, tag).alias("kind"),
+        F.when(tag != "", tag).alias("tag"),
+        token.alias("token")))
 
 
 def page_nodes(html: Column, found: Column | None = None) -> Column:
@@ -79,40 +82,49 @@ def page_nodes(html: Column, found: Column | None = None) -> Column:
     return F.transform(tokens(html) if found is None else found, token_struct)
 
 
+# A leaf is open and ended by the next tag, so nothing is ever below it.
+STARTS = ("open", "leaf", "void", "raw")
+
+
 def _last(stack: Column, wanted) -> Column:
     """Index of the innermost open element that satisfies ``wanted``, or -1."""
     return F.coalesce(F.array_max(F.transform(
         stack, lambda s, i: F.when(wanted(s["tag"]), i))), F.lit(-1))
 
 
-def _pop(stack: Column, index: Column) -> Column:
-    return F.when(index >= 0, F.slice(stack, F.lit(1), index)).otherwise(stack)
+def _pop(stack: Column, tag: Column) -> Column:
+    """Open elements after the end tag ``tag``, which mostly ends the innermost."""
+    index = _last(stack, lambda s: s == tag)
+    return F.when(F.get(stack, F.size(stack) - 1)["tag"] == tag, F.slice(stack, F.lit(1), F.size(stack) - 1)) \
+        .when(F.exists(stack, lambda s: s["tag"] == tag), F.slice(stack, F.lit(1), index)).otherwise(stack)
 
 
 def _open_before(stack: Column, t: Column) -> Column:
     """Open elements once the end tags implied by ``t`` are accounted for."""
     tag = t["tag"]
-    result = None
+    result = F.when(~tag.isin(*sorted({x for tags, _, _ in IMPLIED_END for x in tags})), stack)
     for tags, closed, shields in IMPLIED_END:
         target = _last(stack, lambda s: s.isin(*closed))
         shield = _last(stack, lambda s: s.isin(*shields))
-        popped = F.when(target > shield, F.slice(stack, F.lit(1), target)).otherwise(stack)
-        result = F.when(tag.isin(*tags), popped) if result is None else result.when(
-            tag.isin(*tags), popped)
-    starts = t["kind"].isin("open", "void", "raw")
-    return F.when(starts, result.otherwise(stack)) \
-        .when(t["kind"] == "close", _pop(stack, _last(stack, lambda s: s == tag))) \
+        closes = F.exists(stack, lambda s: s["tag"].isin(*closed)) & (target > shield)
+        result = result.when(tag.isin(*tags), F.when(closes, F.slice(stack, F.lit(1), target)).otherwise(stack))
+    return F.when(t["kind"] == "close", _pop(stack, tag)) \
+        .when(t["kind"].isin(*STARTS), result.otherwise(stack)) \
         .otherwise(stack)
 
 
+def _open_after(stack: Column, t: Column) -> Column:
+    """Open elements behind the token ``t``, itself included where it opens one."""
+    before = _open_before(stack, t)
+    return F.when(t["kind"] == "open", F.concat(before, F.array(
+        F.struct(t["tag"].alias("tag"), t["pos"].alias("pos")).cast(_FRAME)))).otherwise(before)
+
+
 def tree(html: Column, found: Column | None = None) -> Column:
     """Nodes with parent, ancestors (outermost first) and block segment."""
     def step(state: Column, t: Column) -> Column:
-        stack = _open_before(state["stack"], t)
-        grown = F.when(t["kind"] == "open", F.concat(stack, F.array(
-            F.struct(t["tag"].alias("tag"), t["pos"].alias("pos")).cast(_FRAME)))).otherwise(stack)
         return F.struct(
-            grown.alias("stack"), state["next"].alias("seg"),
+            _open_after(state["stack"], t).alias("stack"), state["next"].alias("seg"),
             (state["next"] + F.when(F.coalesce(t["tag"].isin(*V.BLOCK_TAGS), F.lit(False)), 1)
              .otherwise(0)).alias("next"))
 
@@ -315,41 +327,91 @@ def body_sample(html: Column, found: Column | None = None) -> Column:
     return let(tokens(html) if found is None else found, sample)
 
 
-STEP_NODE = ("struct<pos:int,kind:string,tag:string,token:string,parent:int,"
-             "ancestors:array<int>,steps:array<string>>")
-_ORDINAL = "struct<pos:int,nth:int>"
+STEP_NODE = ("struct<pos:int,tag:string,head:string,parent:int,"
+             "ancestors:array<int>,steps:array<string>,above:array<struct<depth:int,anc:int>>>")
+_SLIM = "struct<pos:int,kind:string,tag:string,head:string>"
+_ELEMENT = "struct<pos:int,tag:string,head:string,ancestors:array<int>>"
+_STEP = "struct<pos:int,step:string>"
 
 
-def ordinals(nodes: Column) -> Column:
-    """(pos, nth) of every element: the how-manieth of its tag below its parent.
+def ordered_steps(elements: Column) -> Column:
+    """(pos, step) of every element: ``tag:nth-of-type(n)``, the how-manieth of its tag below its parent.
 
     Siblings of one tag meet by sorting, so neither many siblings nor many
     different tags below one parent are compared with one another.
     """
-    elements = F.filter(nodes, lambda n: n["kind"].isin("open", "void", "raw"))
-    siblings = F.sort_array(F.transform(elements, lambda n: F.struct(
-        n["parent"].alias("parent"), n["tag"].alias("tag"), n["pos"].alias("pos"))))
-
-    def step(state: Column, e: Column) -> Column:
-        same = (state["parent"] == e["parent"]) & (state["tag"] == e["tag"])
-        return F.struct(e["parent"].alias("parent"), e["tag"].alias("tag"), F.when(same, state["nth"] + 1).otherwise(1).alias("nth"))
-
-    start = F.struct(F.lit(-2).alias("parent"), F.lit("").alias("tag"), F.lit(0).alias("nth"))
-    return F.sort_array(scan_fold(siblings, start, step, lambda state, e: F.struct(
-        e["pos"].alias("pos"), state["nth"].alias("nth")), _ORDINAL, emit_after=True))
-
-
-def element_tree(html: Column) -> Column:
-    """Like :func:`tree`, with the ``tag:nth-of-type(n)`` step of every element on the way down."""
-    def with_steps(ns: Column) -> Column:
-        def emit(steps: Column) -> Column:
-            return F.transform(ns, lambda n: F.struct(
-                n["pos"].alias("pos"), n["kind"].alias("kind"), n["tag"].alias("tag"), n["token"].alias("token"),
-                n["parent"].alias("parent"), n["ancestors"].alias("ancestors"),
-                F.array_compact(F.concat(F.transform(n["ancestors"], lambda a: F.get(steps, a)), F.array(F.get(steps, n["pos"]))))
-                .alias("steps")).cast(STEP_NODE))
-
-        def step(x: Column) -> Column:
-            return F.concat(F.get(ns, x["pos"])["tag"], F.lit(":nth-of-type("), x["nth"].cast("string"), F.lit(")"))
-        return let(laid_out(ordinals(ns), F.size(ns), step, "string"), emit)
-    return let(tree(html), with_steps)
+    siblings = F.sort_array(F.transform(elements, lambda e: F.struct(
+        _parent(e["ancestors"]).alias("parent"), e["tag"].alias("tag"), e["pos"].alias("pos"))))
+
+    def counted(ordered: Column) -> Column:
+        def same(e: Column, before: Column) -> Column:
+            return F.coalesce((before["parent"] == e["parent"]) & (before["tag"] == e["tag"]), F.lit(False))
+
+        runs = F.transform(ordered, lambda e, i: F.struct(
+            e["pos"].alias("pos"), e["tag"].alias("tag"), same(e, F.get(ordered, i - 1)).alias("same")))
+        return F.sort_array(scan_fold(
+            runs, F.lit(0), lambda nth, e: F.when(e["same"], nth + 1).otherwise(1), lambda nth, e: F.struct(
+                e["pos"].alias("pos"), F.concat(e["tag"], F.lit(":nth-of-type("), nth.cast("string"), F.lit(")")).alias("step")),
+            _STEP, emit_after=True))
+    return let(siblings, counted)
+
+
+def _parent(ancestors: Column) -> Column:
+    return F.coalesce(F.try_element_at(ancestors, F.lit(-1)), F.lit(-1))
+
+
+def element_tree(html: Column, names: Iterable[str], everywhere: Column) -> Column:
+    """The elements of a page, placed as in :func:`tree`.
+
+    ``head`` is the start tag where it holds attributes, ``steps`` the
+    ``tag:nth-of-type(n)`` of every element on the way down, ``above`` the
+    ancestors that hold one of the attributes ``names``, or all where ``everywhere``.
+    """
+    naming = rf"(?is)\s(?:{'|'.join(names)})\s*="
+
+    def slim(token: Column, pos: Column) -> Column:
+        head = F.when(token.contains("="), F.regexp_extract(token, r"(?s)\A<[^>]*>|\A.*?>", 0))
+        return let(tag_name(token), lambda tag: F.struct(
+            pos.alias("pos"), kind(token, tag).alias("kind"), tag.alias("tag"), head.alias("head")).cast(_SLIM))
+
+    def emit(stack: Column, t: Column) -> Column:
+        up = F.transform(stack, lambda s: s["pos"])
+        return F.when(t["kind"] == "open", F.slice(up, F.lit(1), F.size(up) - 1)).when(t["kind"] != "close", up)
+
+    def with_leaves(tags: Column) -> Column:
+        """Elements that the next tag ends stand for both tags."""
+        def leaf(t: Column, after: Column) -> Column:
+            return (t["kind"] == "open") & (after["kind"] == "close") & (after["tag"] == t["tag"])
+
+        seen = F.transform(tags, lambda t, i: F.struct(
+            t["pos"].alias("pos"), F.when(leaf(t, F.get(tags, i + 1)), "leaf").otherwise(t["kind"]).alias("kind"),
+            t["tag"].alias("tag"), t["head"].alias("head")))
+        return let(seen, lambda ts: F.filter(ts, lambda t, i: (t["kind"] != "close") | F.coalesce(
+            F.get(ts, i - 1)["kind"] != "leaf", F.lit(True))))
+
+    def placed(tags: Column) -> Column:
+        # texts and attributes stay out of the fold
+        bare = F.transform(tags, lambda t: F.struct(t["pos"].alias("pos"), t["kind"].alias("kind"), t["tag"].alias("tag")))
+        return let(scan_fold(bare, empty(_FRAME), _open_after, emit, "array<int>", emit_after=True), lambda ups: F.filter(
+            F.transform(tags, lambda t, i: F.struct(
+                t["pos"].alias("pos"), t["tag"].alias("tag"), t["head"].alias("head"), F.get(ups, i).alias("ancestors")).cast(_ELEMENT)),
+            lambda e: e["ancestors"].isNotNull()))
+
+    def with_steps(els: Column, size: Column) -> Column:
+        named = marks(F.transform(F.filter(els, lambda e: e["head"].rlike(naming)), lambda e: e["pos"]), size)
+
+        def above(e: Column, flags: Column) -> Column:
+            return F.filter(F.transform(e["ancestors"], lambda a, i: F.struct(i.alias("depth"), a.alias("anc"))),
+                            lambda x: everywhere | marked(flags, x["anc"]))
+
+        def rows(steps: Column, flags: Column) -> Column:
+            return F.transform(els, lambda e: F.struct(
+                e["pos"].alias("pos"), e["tag"].alias("tag"), e["head"].alias("head"),
+                _parent(e["ancestors"]).alias("parent"), e["ancestors"].alias("ancestors"),
+                F.concat(F.transform(e["ancestors"], lambda a: F.get(steps, a)), F.array(F.get(steps, e["pos"]))).alias("steps"),
+                above(e, flags).alias("above")).cast(STEP_NODE))
+        steps = laid_out(ordered_steps(els), size, lambda x: x["step"], "string")
+        return let(steps, lambda s: let(named, lambda flags: rows(s, flags)))
+
+    return let(F.transform(tokens(html), slim), lambda ns: let(
+        let(let(F.filter(ns, lambda n: n["tag"] != ""), with_leaves), placed), lambda els: with_steps(els, F.size(ns))))

@@ -108,7 +108,7 @@ def _rows(spark, sf_dir):
 
 def _kept(df):
     """Parsed elements, stored once: addresses read them from several branches."""
-    return tables.materialise(E.element_rows(df), "elements")
+    return tables.materialise(E.element_rows(df), "elements", "named")
 
 
 @query("path_selector")

@@ -66,15 +66,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Write an intermediate result to the shared folder and read it back.
 
     For results that several branches of a plan read and that cost more to make
-    than to store. The copy is a table, so it outlives lost executors.
+    than to store. The copy is a table, so it outlives lost executors. Branches
+    that want some values of the columns ``by`` read only the files of these.
     """
     path = scratch(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def write_findings(findings: DataFrame, path: str, mode: str = "errorifexists") -> None:
